@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage and, where SQL can say the same, their SQL for DuckDB."""
+"""The registered queries of this subpackage and, where SQL can say the same, their SQL for DuckDB.
+
+Each query reads its whole tables through its operator with the parameters meant for production.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packgraph.llm import exact_dedup
+from packgraph.llm import exact_dedup, quality_cnn, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_cnn": op8_quality_cnn,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL}

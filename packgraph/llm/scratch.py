@@ -93,3 +93,24 @@ def plain(df: DataFrame, **wanted: str) -> DataFrame:
         at = next((i for i, n in enumerate(names) if n == name), next((i for i, n in enumerate(names) if n.lower() == name.lower()), None))
         picked.append((F.lit(None) if at is None else F.col(f"__c{at}")).cast(kind).alias(name))
     return positional.select(*picked)
+
+
+def with_texts(docs: DataFrame, make):
+    """The rows of docs whose text passes, with all their columns, filtered where they are.
+
+    ``make()`` is called once in each task and returns a function from a list of texts (bytes or None) to a list of
+    booleans. Column names may clash: the first column named text is meant.
+    """
+    names = docs.columns
+    at = next((i for i, n in enumerate(names) if n == "text"), next((i for i, n in enumerate(names) if n.lower() == "text"), None))
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def kept(batches):
+        import pyarrow as pa
+
+        verdict = make()
+        for batch in batches:
+            texts = [None] * batch.num_rows if at is None else batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(verdict(texts), pa.bool_()))
+
+    return safe.mapInArrow(kept, safe.schema).toDF(*names)

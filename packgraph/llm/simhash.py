@@ -25,26 +25,13 @@ from pyspark.sql import functions as F
 
 from packgraph.llm.components import components
 from packgraph.llm.scratch import Scratch, plain
+from packgraph.llm.words import PIECE, word_pieces
 
 SEED = 42
 DISTANCE = 4
-PIECE = 1 << 20  # bytes of a text that are split into words at once
 ROWS = 255  # bits are first counted in bytes
 
 
-def word_pieces(data: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
-    """The words of a text, in lists that come from about ``piece`` bytes each. bytes.split() cuts at ASCII white space."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + piece)
-        while end < len(data) and data[end] not in b" \t\n\x0b\f\r":
-            step = min(len(data), end + 256)
-            cut = min((i for i in (data.find(s, end, step) for s in (b" ", b"\t", b"\n", b"\x0b", b"\f", b"\r")) if i >= 0), default=step)
-            end = cut
-        yield data[at:end].split()
-        at = end
-
-
 def fingerprint(text: bytes, width: int = 4, piece: int = PIECE) -> int:
     """The fingerprint of a UTF-8 text, unsigned; see the module."""
     counts, total, carry = np.zeros(64, np.int64), 0, []
