@@ -62,12 +62,16 @@ class Vocabulary:
                 a = self.shorter[a]
         self._machine = None
 
-    def __getstate__(self):
+    @property
+    def tables(self) -> tuple:
         return self.tokens, self.ids, self.shorter, self.left, self.right, self.merged
 
-    def __setstate__(self, state):
-        self.tokens, self.ids, self.shorter, self.left, self.right, self.merged = state
-        self._fits, self._machine = {}, None
+    @classmethod
+    def of(cls, tables: tuple) -> Vocabulary:
+        made = cls.__new__(cls)
+        made.tokens, made.ids, made.shorter, made.left, made.right, made.merged = tables
+        made._fits, made._machine = {}, None
+        return made
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether BPE never merges across the border of a and b.
@@ -167,10 +171,10 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ``path``: a rank file, read on the driver; the tables over it, of fixed size, go to the executors once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)).tables)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(Vocabulary.of(shared.value), pattern)
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in batch.column(1).to_pylist():

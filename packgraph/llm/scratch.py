@@ -114,3 +114,24 @@ def with_texts(docs: DataFrame, make):
             yield batch.filter(pa.array(verdict(texts), pa.bool_()))
 
     return safe.mapInArrow(kept, safe.schema).toDF(*names)
+
+
+def mark(text: str = "text"):
+    """A hash that tells rows of one doc_id apart if their texts differ."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and mark are in kept (columns doc_id, mark), with all their columns; of rows that repeat
+    both, one. Only these texts' rows are dealt out by doc_id; kept is small columns."""
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = plain(docs, doc_id="long", text="string").columns  # the columns that plain() picks, by place
+    at = {w: next((i for i, n in enumerate(names) if n == w), next((i for i, n in enumerate(names) if n.lower() == w), None)) for w in own}
+    pick = lambda w, kind: (F.lit(None) if at[w] is None else F.col(f"c{at[w]}")).cast(kind)
+    keyed = safe.withColumns({"__id": F.coalesce(pick("doc_id", "long"), F.lit(0)), "__none": pick("doc_id", "long").isNull(), "__mark": F.xxhash64(F.coalesce(pick("text", "string"), F.lit("")))})
+    keys = kept.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("mark").alias("__mark"))
+    on = ["__id", "__none", "__mark"]
+    repeated = not keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    found = keyed.join(keys.distinct(), on, "left_semi")
+    return (found.dropDuplicates(on) if repeated else found).drop(*on).toDF(*names)
