@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.llm.scratch import Scratch, plain
+from packgraph.llm.scratch import Scratch, mark, only, plain
 
 #: ASCII white space, which does not count when texts are compared (fixed values).
 SPACE = " \t\n\x0b\f\r"
@@ -46,17 +46,17 @@ def _block_names(scratch: Scratch, blocks: DataFrame) -> DataFrame:
     return alone.unionByName(by_bytes.select("rid", "n_blocks", "pos", "name"))
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lookup=F.xxhash64) -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_points (code points), text_sha256, n_blocks and name; (n_blocks, name) is
+def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lookup=F.xxhash64, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of docs: rid, doc_id, mark, n_points (code points), text_sha256, n_blocks and name; (n_blocks, name) is
     the identity of the normalised text."""
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    scratch = scratch or Scratch(docs.sparkSession, "exact-dedup")
     texts = (
         plain(docs, doc_id="long", text="string")
         .withColumn("rid", F.monotonically_increasing_id())
         .withColumn("norm", normalised(F.col("text")).cast("binary"))
         .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.length("norm") / F.lit(block_bytes)).cast("int")))
     )
-    row = F.struct("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), F.sha2("norm", 256).alias("text_sha256"))
+    row = F.struct("doc_id", mark().alias("mark"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), F.sha2("norm", 256).alias("text_sha256"))
     cut = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("norm"), i * block_bytes + 1, F.lit(block_bytes)))
     # The only pass over the texts. Bytes are sliced, so the work is linear in a text's length.
     blocks = texts.select("rid", "n_blocks", row.alias("row"), F.posexplode(cut).alias("pos", "block"))
@@ -79,19 +79,31 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lookup=F.xxhash6
     return rows.join(finished, "rid")
 
 
+def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """n_blocks, name, group_size and best (the row that stays) of each group; written, so that a large group's rows can
+    meet it in several tasks."""
+    best = F.min(F.struct((-F.col("n_points")).alias("neg"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "mark"))
+    return scratch.put("groups", rows.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")))
+
+
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with the most code points stays, then the smallest doc_id (null last), then the
     first read of rows equal in both.
     """
-    rows = identities(docs, block_bytes)
-    best = F.min(F.struct((-F.col("n_points")).alias("neg"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    groups = rows.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    groups = groups.select("n_blocks", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    rows = identities(docs, block_bytes, scratch=scratch)
+    groups = _groups(rows, scratch).select("n_blocks", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
     return rows.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 
 
+def keep(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The row that stays of each group, with all its columns."""
+    scratch = Scratch(docs.sparkSession, "exact-keep")
+    return only(docs, _groups(identities(docs, block_bytes, scratch=scratch), scratch).select("best.doc_id", "best.mark"))
+
+
 SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_points,
