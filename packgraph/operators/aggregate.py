@@ -41,7 +41,7 @@ def group_key(f: Field) -> Column:
         return F.coalesce(F.concat(F.lit("s"), f.native.cast("string")), F.lit("-"))
     tagged = F.when(~f.exists | f.null, "-").when(f.flag.isNotNull(), F.concat(F.lit("b"), f.text))
     if f.kind == "variant":
-        is_text = f.num.isNull()
+        is_text = f.num.isNull() | f.string
         return tagged.when(~is_text, F.concat(F.lit("n"), F.regexp_replace(f.num.cast("string"), r"\.?0+$", ""))).otherwise(F.concat(F.lit("s"), f.text))
     return tagged.otherwise(F.concat(F.lit("s"), f.text))
 

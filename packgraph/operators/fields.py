@@ -25,6 +25,7 @@ class Field:
     flag: Column
     native: Column | None = None
     kind: str = "variant"  # or number, text, flag, time, other
+    string: Column | None = None  # whether a property is a string
 
     @property
     def value(self) -> Column:
@@ -63,7 +64,7 @@ def variant(value: Column) -> Field:
     is_number = kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
     num = F.when(is_number, F.try_variant_get(value, "$", DECIMAL)).when(kind == "STRING", number(raw))
     text = F.when(null, F.lit("None")).when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
-    return Field(value.isNotNull(), null, text, num, flag)
+    return Field(value.isNotNull(), null, text, num, flag, string=F.coalesce(kind == "STRING", F.lit(False)))
 
 
 class Resolver:
@@ -110,4 +111,7 @@ def first_existing(fields: list[Field]) -> Field:
     exists = F.lit(False)
     for f in fields:
         exists = exists | f.exists
-    return Field(exists, F.coalesce(pick("null"), F.lit(False)), pick("text"), pick("num").cast(DECIMAL), pick("flag").cast("boolean"))
+    is_string = F.lit(False)
+    for f in reversed(fields):
+        is_string = F.when(f.exists, F.lit(f.kind == "text") if f.string is None else f.string).otherwise(is_string)
+    return Field(exists, F.coalesce(pick("null"), F.lit(False)), pick("text"), pick("num").cast(DECIMAL), pick("flag").cast("boolean"), string=is_string)

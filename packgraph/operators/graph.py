@@ -14,7 +14,7 @@ from packgraph.functions.scalars import edge_id
 def dedupe_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """One row per id: the last row's content at the first row's place; rows without an id are left out."""
     rest = [c for c in nodes.columns if c not in ("id", order)]
-    last = F.max(F.struct(order, *rest)).alias("m")
+    last = F.max_by(F.struct(*rest), order).alias("m")
     return nodes.filter("id IS NOT NULL").groupBy("id").agg(F.min(order).alias(order), last).select("id", order, *[f"m.{c}" for c in rest])
 
 

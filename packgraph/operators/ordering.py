@@ -53,7 +53,7 @@ def order_columns(order_by: Any, resolve: Callable[[str], Field], tie: Sequence[
         elif f.kind in ("number", "time", "flag"):
             keys = [f.native]
         else:
-            keys = [f.num.isNull(), f.num, F.lower(f.text)]
+            keys = [f.num.isNull(), f.num, F.lower(f.value)]
         out += [k.desc() if o.descending else k.asc() for k in keys]
     return [*out, *(c.asc() for c in tie)]
 

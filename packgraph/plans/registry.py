@@ -21,6 +21,7 @@ from packgraph.operators import ordering as O
 from packgraph.operators import profile as P
 from packgraph.operators import rollup as R
 from packgraph.operators import search as H
+from packgraph.operators import steel as ST
 from packgraph.operators.fields import Resolver
 from packgraph.operators.where import filter_rows
 from packgraph.sources import ingest
@@ -440,3 +441,52 @@ def _first_existing(t: Tables) -> DataFrame:
     rows = t.events.withColumn("properties", F.parse_json("props"))
     r = Resolver(rows, "properties", {"v": ["properties.absent", "properties.k", "event_type"]})
     return rows.select("event_id", r("v").value.alias("v"))
+
+
+# --- steel hierarchy ---------------------------------------------------------------------------------------------------------------
+
+
+def steel_parts(t: Tables) -> DataFrame:
+    """Line items as parts of orders (assemblies) of customers (modules) of segments (module types)."""
+    rows = parts_with_owners(t)
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("c_mktsegment").alias("module_type"), F.col("c_custkey").alias("module_id"), F.col("o_orderkey").alias("assembly_id"), (F.col("l_linenumber") == 1).alias("is_main"),
+        F.col("l_returnflag").alias("role"), F.col("l_linestatus").alias("category"), F.col("l_suppkey").alias("material_id"), F.col("l_partkey").alias("section_id"), F.col("l_quantity").alias("length_m"), F.col("l_extendedprice").alias("weight_kg"),
+        F.col("l_tax").alias("x"), F.col("l_discount").alias("y"), F.col("l_quantity").alias("z"),
+    )
+
+
+def steel_enriched(t: Tables) -> DataFrame:
+    return ST.enriched_parts(steel_parts(t), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")))
+
+
+_W = "CAST(l_extendedprice AS DECIMAL(28,6))"
+query("steel_assemblies", f"""
+SELECT c_mktsegment AS module_type, c_custkey AS module_id, o_orderkey AS assembly_id, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg,
+  CAST(sum(CASE WHEN l_linenumber = 1 THEN {_W} ELSE 0 END) AS DOUBLE) AS main_kg, CAST(sum(CASE WHEN l_linenumber <> 1 THEN {_W} ELSE 0 END) AS DOUBLE) AS attached_kg,
+  count(DISTINCT CASE WHEN l_linenumber <> 1 THEN l_returnflag || '|' || l_suppkey || '|' || p_brand END) AS n_attached
+FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY ALL""")(
+    lambda t: ST.assemblies(steel_enriched(t)).select("module_type", "module_id", "assembly_id", "n", dbl(F.col("weight_kg")).alias("weight_kg"), dbl(F.col("main_kg")).alias("main_kg"), dbl(F.col("attached_kg")).alias("attached_kg"), big(F.coalesce(F.size(F.coalesce("attached", F.array())), F.lit(0))).alias("n_attached"))
+)
+query("steel_modules", f"SELECT c_mktsegment AS module_type, c_custkey AS module_id, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT o_orderkey) AS assemblies FROM {_OWNED} GROUP BY ALL")(
+    lambda t: ST.modules(ST.assemblies(steel_enriched(t))).select("module_type", "module_id", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "assemblies")
+)
+query("steel_module_types", f"SELECT c_mktsegment AS module_type, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT c_custkey) AS modules FROM {_OWNED} GROUP BY 1")(
+    lambda t: ST.module_types(ST.modules(ST.assemblies(steel_enriched(t)))).select("module_type", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules")
+)
+query("steel_breakdown", f"SELECT c_mktsegment AS module_type, CASE WHEN upper(p_brand) LIKE 'C%' THEN 'channel' ELSE 'other' END AS value, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY ALL")(
+    lambda t: ST.breakdown(steel_enriched(t), ["module_type"], "profile_group").select("module_type", "value", "n", dbl(F.col("weight_kg")).alias("weight_kg"))
+)
+query("steel_usage", f"SELECT p_brand AS section_name, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT c_custkey) AS modules FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY 1")(
+    lambda t: ST.usage(steel_enriched(t), "section_name").select("section_name", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules")
+)
+query("steel_fasteners", "SELECT CASE WHEN p_size % 2 = 0 THEN 'anchor' ELSE 'bolt' END AS kind, 'M' || (p_size + 5) || 'x' || (p_size * 3) AS spec, count(*) AS patterns, CAST(sum(CASE WHEN p_size % 2 = 0 THEN 4 ELSE p_size * 2 END) AS BIGINT) AS pieces, count(*) FILTER (WHERE p_size * 2 <> 4) AS mismatches FROM part GROUP BY ALL")(
+    lambda t: ST.fasteners(t.part.select(F.when(F.col("p_size") % 2 == 0, "anchor").otherwise("bolt").alias("kind"), F.col("p_size").alias("nx"), F.lit(2).alias("ny"), F.lit(4).alias("n_locations"), F.lit(None).cast("string").alias("description"), F.lit("8.8").alias("grade"), F.lit("s").alias("standard"), ((F.col("p_size") + 5) / 1000.0).alias("diameter_m"), (F.col("p_size") * 3 / 1000.0).alias("length_m")))
+    .select("kind", "spec", "patterns", "pieces", "mismatches")
+)
+query("steel_totals", f"SELECT count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT c_custkey) AS modules, min(l_tax) AS min_x, max(l_quantity) AS max_z, count(*) FILTER (WHERE l_suppkey IS NULL) AS no_material_id FROM {_OWNED}")(
+    lambda t: ST.model_totals(steel_enriched(t)).select("n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules", "min_x", "max_z", "no_material_id")
+)
+query("steel_edges", f"SELECT relation, count(*) AS n FROM (SELECT DISTINCT 'has_module' AS relation, c_mktsegment || '>' || c_custkey AS k FROM {_OWNED} UNION SELECT 'has_assembly', c_custkey || '>' || o_orderkey FROM {_OWNED} UNION SELECT 'has_single_part', o_orderkey || '>' || l_linenumber FROM {_OWNED} UNION SELECT 'uses_material', l_orderkey || '-' || l_linenumber || '>' || l_suppkey FROM lineitem UNION SELECT 'uses_section', l_orderkey || '-' || l_linenumber || '>' || l_partkey FROM lineitem) GROUP BY 1")(
+    lambda t: ST.hierarchy_edges(steel_parts(t)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+)

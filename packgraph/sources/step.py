@@ -16,7 +16,7 @@ def instances(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.col("value").alias("line")).filter(F.col("line").rlike(INSTANCE))
     raw = F.regexp_extract("line", INSTANCE, 3)
     unquoted = F.regexp_replace(raw, r"'(?:[^']|'')*'", "")
-    return lines.select(F.regexp_extract("line", INSTANCE, 1).cast("long").alias("id"), F.regexp_extract("line", INSTANCE, 2).alias("type"), F.transform(F.regexp_extract_all(raw, F.lit(ARGUMENT), F.lit(1)), F.trim).alias("args"), F.transform(F.regexp_extract_all(unquoted, F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long")).alias("refs"))
+    return lines.select(F.regexp_extract("line", INSTANCE, 1).cast("long").alias("id"), F.regexp_extract("line", INSTANCE, 2).alias("type"), F.transform(F.regexp_extract_all(raw, F.lit(ARGUMENT), F.lit(1)), lambda x: F.trim(x)).alias("args"), F.transform(F.regexp_extract_all(unquoted, F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long")).alias("refs"))
 
 
 def decoded(text: Column) -> Column:
