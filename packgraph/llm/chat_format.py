@@ -77,23 +77,32 @@ def chosen_paths(messages: DataFrame, branches: int, scratch: Scratch) -> DataFr
     once = scratch.put("messages", once)
     ids = once.select("t", F.col("node").alias("parent"), F.lit(True).alias("known"))
     start = once.select("t", "node", "parent", "score").join(ids, ["t", "parent"], "left")
-    jump = scratch.put("jump-0", start.select("t", "node", F.when(F.col("known") & (F.col("parent") != F.col("node")), F.col("parent")).alias("up"), F.col("score").alias("gain"), (F.col("parent") == F.col("node")).alias("loop")))
-    jump = jump.filter("loop IS NULL OR NOT loop").drop("loop")
+    own = (F.col("parent") == F.col("node")).alias("loop")
+    jump = scratch.put("jump-0", start.select("t", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("gain"), own)).filter("loop IS NULL OR NOT loop").drop("loop")
     most = jump.count().bit_length() + 1
-    levels = [jump]
-    while len(levels) <= most and not levels[-1].filter("up IS NOT NULL").isEmpty():
-        low = levels[-1]
-        high = low.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("gain2"))
-        both = low.join(high, ["t", "up"], "left")
-        levels.append(scratch.put(f"jump-{len(levels)}", both.select("t", "node", F.col("up2").alias("up"), (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain"))))
-    # A message whose pointer is still set after that many doublings stands on a circle or below one.
-    total = levels[-1].filter("up IS NULL").select("t", "node", F.col("gain").alias("total"))
-    inner = levels[0].filter("up IS NOT NULL").select("t", F.col("up").alias("node")).distinct()
+    # Only messages whose pointer has not passed the root go on to the next doubling, so a level has a row for each message
+    # at least so deep, and one long thread costs short ones nothing.
+    levels, done, open_ = [], [jump.filter("up IS NULL")], jump.filter("up IS NOT NULL")
+    while len(levels) < most and not open_.isEmpty():
+        levels.append(open_)
+        high = open_
+        for rows in done:
+            high = high.unionByName(rows)
+        high = high.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("gain2"))
+        both = open_.join(high, ["t", "up"]).select("t", "node", F.col("up2").alias("up"), (F.col("gain") + F.col("gain2")).alias("gain"))
+        both = scratch.put(f"jump-{len(levels)}", both)
+        done, open_ = [*done, both.filter("up IS NULL")], both.filter("up IS NOT NULL")
+    # A message that is still open after that many doublings stands on a circle or below one.
+    total = done[0]
+    for rows in done[1:]:
+        total = total.unionByName(rows)
+    total = total.select("t", "node", F.col("gain").alias("total"))
+    inner = jump.filter("up IS NOT NULL").select("t", F.col("up").alias("node")).distinct()
     leaves = total.join(inner, ["t", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.col("total").desc(), "node"))
     path = leaves.withColumn("rank", rank).filter(F.col("rank") <= branches).select("t", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("steps"))
-    for r in range(len(levels) - 2, -1, -1):  # the last level has no pointers
-        above = path.join(levels[r].filter("up IS NOT NULL").select("t", "node", "up"), ["t", "node"]).select("t", "leaf", "rank", F.col("up").alias("node"), (F.col("steps") + (1 << r)).alias("steps"))
+    for r in range(len(levels) - 1, -1, -1):
+        above = path.join(levels[r].select("t", "node", "up"), ["t", "node"]).select("t", "leaf", "rank", F.col("up").alias("node"), (F.col("steps") + (1 << r)).alias("steps"))
         path = scratch.put(f"path-{r}", path.unionByName(above))
     return path.join(once.select("t", "tree", "node", "role", "text"), ["t", "node"]).select("tree", "leaf", "rank", "steps", "role", "text")
 
