@@ -48,7 +48,8 @@ def line_dedup(docs: DataFrame, size: int = LINES) -> DataFrame:
     covered = spans.select("doc_id", "mark", F.explode(F.sequence("start", F.col("stop") - 1)).alias("line")).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
     covered = scratch.put("covered", covered.select(F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("mark0"), "gone"))
     keyed = texts.select("doc_id", "mark", "text", F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("mark0"))
-    out = keyed.join(covered, ["id0", "none", "mark0"], "left").withColumn("lines", F.split("text", "\n"))
+    # The covered lines have no proven bound: the same merge join at every size, rather than a broadcast while they are few.
+    out = keyed.join(covered.hint("merge"), ["id0", "none", "mark0"], "left").withColumn("lines", F.split("text", "\n"))
     left = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
     gone = F.coalesce(F.size("gone"), F.lit(0))
     return out.select("doc_id", F.size("lines").alias("n_lines"), F.greatest(gone, F.lit(0)).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
