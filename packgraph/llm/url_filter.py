@@ -1,11 +1,12 @@
 """URL filters by a temporal join with dated lists, in DataFrame operations only.
 
 List entries say that a pattern was added to a list or removed from it at some time. They become validity intervals, each
-from an addition to the pattern's next entry. A capture is held against the entries of its host and of every parent
+from an addition to the next entry of the same pattern and list. A capture is held against the entries of its host and of every parent
 domain that were active when it was fetched. Intervals are dealt out by pattern and year, so a join on equal keys meets
 few intervals of a pattern, however long its history, and a pattern's captures of many years don't meet in one place.
 
-Of several entries of a pattern at one time, a removal wins over an addition, and the larger list name over a smaller one.
+Lists don't touch each other: a pattern stays active as long as one list has it. Of several entries of a pattern and list at
+one time, a removal wins over an addition; of several lists that have the longest pattern, the largest name is given.
 An interval contains its start, not its end. Nulls: entries without pattern, action or time are ignored; a capture without
 a URL, a host or a time matches nothing and is kept in the output. Repeated captures get the same answer each, as page_id
 and URL decide it. Empty tables: without entries nothing matches, without captures there are no rows.
@@ -37,9 +38,9 @@ def domains(name: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, list, since and until of each addition; entries: pattern, list, action (add or remove), at."""
     dated = plain(entries, pattern="string", list="string", action="string", at="timestamp").filter("pattern IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
-    single = dated.groupBy(F.lower("pattern").alias("pattern"), "at").agg(F.max(F.struct("action", "list")).alias("e"))
-    until = F.coalesce(F.lead("at").over(Window.partitionBy("pattern").orderBy("at")), F.lit(FOREVER).cast("timestamp"))
-    return single.withColumn("until", until).filter("e.action = 'add'").select("pattern", F.col("e.list").alias("list"), F.col("at").alias("since"), "until")
+    single = dated.groupBy(F.lower("pattern").alias("pattern"), "list", "at").agg(F.max("action").alias("action"))
+    until = F.coalesce(F.lead("at").over(Window.partitionBy("pattern", "list").orderBy("at")), F.lit(FOREVER).cast("timestamp"))
+    return single.withColumn("until", until).filter("action = 'add'").select("pattern", "list", F.col("at").alias("since"), "until")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
