@@ -3,10 +3,11 @@
 Two multinomials over hashed word unigrams and bigrams are compared: one of trusted texts, one of the whole raw corpus.
 A document's score is the mean over its n-grams of log p_trusted - log p_raw, so its length doesn't matter; it is kept if
 the score reaches the threshold and the base rules hold. Nothing is drawn at random. Before the ratio is taken, the trusted
-counts and the counts that the raw corpus makes expect are both raised by ``prior``: rare n-grams say little.
+counts and the counts that the raw corpus makes expect are both raised by ``prior``: rare n-grams say little. From
+prior / SHARE trusted n-grams on it rises with their number, so that more texts of the same kind leave the ratios as they are.
 
-The raw counts cover every row. Trusted texts are those of at most ``trusted_rows`` labelled good rows, the ones with the
-smallest hash of doc_id, which bounds what is broadcast; the two tables have ``buckets`` entries whatever the corpus.
+The raw counts cover every row, the trusted counts every row that is labelled good. Labels meet the texts in an ordinary
+join; the two tables have ``buckets`` entries whatever the corpus.
 
 Nulls: a null text has no words, so it fails the base rules; a null doc_id is kept in the output and is never trusted.
 Labels that are null or disagree about a doc_id are left out. Repeated rows count each time they occur. Without trusted
@@ -26,9 +27,9 @@ from packgraph.llm.scratch import plain, with_texts
 from packgraph.llm.words import SPACE, WordIds
 
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.06  # nats for each n-gram
-PRIOR = 16.0  # occurrences
+PRIOR = 16.0  # occurrences, at least
+SHARE = PRIOR / 20_000_000  # of the trusted n-grams
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 WINDOW = 5
@@ -84,16 +85,18 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED * n_words
 
 
-def trusted_ids(labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``trusted_rows`` doc_ids that are labelled good, those with the smallest hashes."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids that are labelled good."""
     agreed = plain(labels, doc_id="long", quality="int").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
-    return agreed.filter("lo = 1 AND hi = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
+    return agreed.filter("lo = 1 AND hi = 1").select("doc_id")
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, prior: float = PRIOR) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, share: float = SHARE) -> np.ndarray:
     """log p_trusted - log p_raw of each bucket, from one pass over every text."""
-    trusted = F.broadcast(trusted_ids(labels, trusted_rows).withColumn("good", F.lit(True)))
-    marked = plain(docs, doc_id="long", text="string").join(trusted, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    trusted = trusted_ids(labels).withColumn("good", F.lit(True)).hint("shuffle_hash")  # the ids are held, the texts not sorted
+    texts = plain(docs, doc_id="long", text="string")
+    marked = texts.filter("doc_id IS NOT NULL").join(trusted, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = marked.unionByName(texts.filter("doc_id IS NULL").select("text", F.lit(False).alias("good")))  # not dealt out by id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raw, good = WordIds(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -114,6 +117,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trust
     raw[table["bucket"]], good[table["bucket"]] = table["raw"], table["good"]
     if not good.sum():
         return np.zeros(buckets)
+    prior = max(prior, share * good.sum())
     return np.log((good + prior) / (raw * (good.sum() / raw.sum()) + prior))
 
 
@@ -121,9 +125,9 @@ def score(hashes: np.ndarray, ratios: np.ndarray) -> float:
     return float(ratios[ngram_buckets(hashes, len(ratios))].mean()) if len(hashes) else 0.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    ratios = log_ratios(docs, labels, buckets, trusted_rows)
+    ratios = log_ratios(docs, labels, buckets)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -140,9 +144,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return plain(docs, doc_id="long", text="string").mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The rows of docs that are kept, with all their columns; no row is moved between tasks."""
-    ratios = log_ratios(docs, labels, buckets, trusted_rows)
+    ratios = log_ratios(docs, labels, buckets)
 
     def verdicts() -> object:
         ids = WordIds()
