@@ -1,14 +1,14 @@
-"""Near-duplicates by the similarity of whole texts: Jaccard similarity of word shingle sets, decided exactly.
+"""Near-duplicates by the similarity of whole texts: SimHash candidates first, then what SimHash can't reach.
 
-Texts are near copies if their sets of lower-case word shingles have a similarity of SIMILARITY or more. Candidates come from
-MinHash: BANDS keys of ROWS minima each; texts at similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS,
-0.99993 at 0.8 and more above. Every link is then decided from the two texts' whole shingle sets (as 64-bit hashes), so
-keys that meet by chance link nothing. Links are joined to components, of which one row stays.
+Texts are near copies if their sets of lower-case word shingles have a similarity (Jaccard) of ``least`` or more. Candidates
+are pairs whose fingerprints differ in at most ``distance`` bits, found by deletion-variant keys. Texts at 0.8 usually differ in
+8 to 14 of 64 bits, out of reach of any key of useful length, so MinHash keys propose the rest: BANDS keys of ROWS minima
+each; texts at similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99993 at 0.8 and more above. Every
+link is decided from the two texts' whole shingle sets (as 64-bit hashes), so keys that meet by chance link nothing.
 
-Within a key the texts are first held against a few of the key's own, which joins large clusters with as many rows as they
-have members; afterwards members of different clusters are held against each other, so no link between clusters is lost. That
-join leaves out what can't be similar: each set has a sketch of bits, of which each shingle flips one. Two sketches differ in
-no more bits than the sets differ in shingles, and sets of n shingles together may differ in n * (1 - s) / (1 + s) at most.
+All candidates go through ``linking``. Its joins leave out what can't be similar: each set has a sketch of bits, of which
+each shingle flips one. Two sketches differ in no more bits than the sets differ in shingles, and sets of n shingles together
+may differ in n * (1 - s) / (1 + s) at most.
 
 Nulls: a null text counts as empty, and empty texts are alike; a text of fewer words than a shingle is one shingle. A null
 doc_id comes last. Repeated rows are near copies of each other. An empty table gives an empty result.
@@ -20,77 +20,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.llm.components import components
+from packgraph.llm import deletion_keys
+from packgraph.llm.linking import Wave, link
 from packgraph.llm.scratch import Scratch, mark, only, plain
-from packgraph.llm.words import PIECE, word_pieces
+from packgraph.llm.shingles import BANDS, SKETCH, band_keys, fingerprint_of, set_of, shingle_hashes, shingle_set, similarity, sketch
 
-WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
-ROUNDS = 2  # of stars within keys, before different clusters are held against each other
+WIDTH, SIMILARITY, DISTANCE = 5, 0.8, 4
+BAND_WAVES = (0, 2, 8, BANDS)
 CACHED = 64  # shingle sets that a task keeps
-SKETCH = 16  # longs
-_DRAWS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+FEW_NODES = 1 << 18  # ids that are broadcast, 2 MB; more of them are joined
 
 
-def shingle_set(text: bytes, width: int = WIDTH, piece: int = PIECE) -> np.ndarray:
-    """The distinct hashes of a UTF-8 text's word shingles, in order."""
-    found, carry = [], []
-    digest = xxhash.xxh64_intdigest
-    for words in word_pieces(text.lower(), piece):
-        words = carry + words
-        found.append(np.unique(np.array([digest(b" ".join(words[i : i + width])) for i in range(len(words) - width + 1)], np.uint64)))
-        carry = words[-(width - 1) :] if width > 1 else []
-    out = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    return np.array([digest(b" ".join(carry))], np.uint64) if not len(out) and carry else out
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed long for each band, from the least of the hashes under each of BANDS * ROWS random orders."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[at : at + 1024, None] ^ _DRAWS[0]) * _DRAWS[1]).min(axis=0))
-    data, size = least.tobytes(), 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(data[i * size : (i + 1) * size]) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
-
-
-def sketch(hashes: np.ndarray) -> list[int]:
-    """Bits as signed longs; each hash flips one of them."""
-    flips = np.bincount(((hashes >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
-    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).tolist()
-
-
-def _banded(width: int):
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(width: int):
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sketches, sizes = [], [], []
+            fps, keys, sketches, sizes = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
-                hashes = shingle_set(text or b"", width)
+                parts = list(shingle_hashes(text or b"", width))
+                hashes = set_of(iter(parts))
+                fps.append(fingerprint_of(iter(parts)))
                 keys.append(band_keys(hashes))
                 sketches.append(sketch(hashes))
                 sizes.append(len(hashes))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, longs), pa.array(sketches, longs), pa.array(sizes, pa.int64())], ["doc_id", "mark", "text", "keys", "sketch", "n"])
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(sketches, longs), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["doc_id", "mark", "text", "fp", "keys", "sketch", "n"])
 
-    return banded
+    return measured
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Of pairs (a, b, root_a, root_b; a and b are nodes) the roots of those whose texts are similar, as a and b."""
-    one = pairs.dropDuplicates(["a", "b"]).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "root_a", "root_b", "text_a", "text_b")
+def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
+    """The pairs whose texts are similar. Only the texts that a pair needs are moved."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
 
         def of(node: int, text: bytes | None) -> np.ndarray:
@@ -104,61 +69,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
             a, b, root_a, root_b = (batch.column(i).to_pylist() for i in range(4))
             texts_a, texts_b = (batch.column(i).cast(pa.binary()) for i in (4, 5))
             near = [i for i in range(len(a)) if similarity(of(b[i], texts_b[i].as_py()), of(a[i], texts_a[i].as_py())) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([root_a[i] for i in near], pa.int64()), pa.array([root_b[i] for i in near], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([root_a[i] for i in near], pa.int64()), pa.array([root_b[i] for i in near], pa.int64())], ["root_a", "root_b"])
 
-    return both.mapInArrow(check, "a long, b long").distinct()
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        # One order for each pair, so that a pair that meets under many keys is decided once.
+        swap = F.col("node_a") > F.col("node_b")
+        at = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
+        once = pairs.select(at("node_a", "node_b"), at("node_b", "node_a"), at("root_a", "root_b"), at("root_b", "root_a")).dropDuplicates(["node_a", "node_b"])
+        once = scratch.put(f"pairs-{name}", once)
+        needed = scratch.put(f"needed-{name}", once.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct())
+        few = needed.count() <= FEW_NODES
+        some = texts.join(F.broadcast(needed) if few else needed, "node", "left_semi")
+        some = scratch.put(f"some-{name}", some)
+        a, b = (some.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+        both = once.join(a, "node_a").join(b, "node_b").select("node_a", "node_b", "root_a", "root_b", "text_a", "text_b")
+        found = scratch.put(f"links-{name}", both.mapInArrow(similar, "root_a long, root_b long").distinct())
+        scratch.drop(f"pairs-{name}", f"needed-{name}", f"some-{name}")
+        return found
 
+    return check
 
-def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of keys under which there is more than one root: band, key, node, root, most (the root of most rows)."""
-    placed = met.join(roots, "node")
-    sizes = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
-    return placed.join(mixed.filter("roots > 1").drop("roots"), ["band", "key"])
 
+def _band_waves(keys: DataFrame, first: int) -> list[Wave]:
+    def wave(a: int, b: int) -> Wave:
+        table = lambda: F.array(*[F.struct(F.lit(first + i).alias("kind"), F.get("keys", F.lit(i)).alias("key")) for i in range(a, b)])
+        return lambda roots: keys.join(roots, "node").select("node", "root", F.explode(table()).alias("k")).select("node", "root", "k.*")
 
-def _joined(roots: DataFrame, step: DataFrame) -> DataFrame:
-    found = roots.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left")
-    return found.select("node", F.coalesce("next", "root").alias("root"))
+    return [wave(a, b) for a, b in zip(BAND_WAVES, BAND_WAVES[1:])]
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
     """doc_id, mark (a hash of the text), node and root of each row; equal roots: linked by near copies."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     texts = plain(docs, doc_id="long", text="string").select("doc_id", mark().alias("mark"), "text")
-    keyed = texts.mapInArrow(_banded(width), "doc_id long, mark long, text string, keys array<long>, sketch array<long>, n long")
-    rows = scratch.put("rows", keyed.withColumn("node", F.monotonically_increasing_id()))
-    index = rows.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = index.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key").hint("merge")
-    met = scratch.put("met", index.join(shared, ["band", "key"]))
-    texts = scratch.put("texts", rows.select("node", "text", "sketch", "n").join(met.select("node").distinct(), "node", "left_semi"))
-
-    roots = scratch.put("roots", met.select("node").distinct().withColumn("root", F.col("node")))
-    for turn in range(ROUNDS):
-        placed = scratch.put(f"placed-{turn}", _mixed(met, roots))
-        draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node").alias("b"), F.col("root").alias("root_b"))
-        first = F.min(F.when(F.col("root") == F.col("most"), draw))
-        leaders = placed.groupBy("band", "key").agg(F.array_distinct(F.array(first, F.min(draw))).alias("leaders"))
-        pairs = placed.join(leaders, ["band", "key"]).select(F.col("node").alias("a"), F.col("root").alias("root_a"), F.explode("leaders").alias("l"))
-        pairs = pairs.select("a", "root_a", "l.b", "l.root_b").filter("root_a <> root_b")
-        links = scratch.put(f"links-{turn}", _verified(pairs, texts, width, least))
-        roots = scratch.put(f"roots-{turn}", _joined(roots, components(links, scratch, f"star-{turn}")))
-        scratch.drop(f"placed-{turn}")
-    open_ = scratch.put("open", _mixed(met, roots).join(texts.select("node", "sketch", "n"), "node"))
-    side = lambda x: [F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}")]
-    fewer = open_.filter("root <> most").select("band", "key", *side("a"))
-    other = open_.select("band", "key", *side("b"), (F.col("root") == F.col("most")).alias("main"))
-    apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    # Of two nodes that are both among the fewer, one order is enough. Rounding up loses no pair.
-    maybe = (F.col("root_a") != F.col("root_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6)
-    pairs = fewer.join(other, ["band", "key"]).filter(maybe).select("a", "b", "root_a", "root_b")
-    roots = _joined(roots, components(_verified(pairs, texts, width, least), scratch, "bridge"))
-    found = rows.select("doc_id", "mark", "node").join(roots, "node", "left")
-    return scratch.put("reached", found.withColumn("root", F.coalesce("root", "node")))
-
-
-def keep(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    made = texts.mapInArrow(_measured(width), "doc_id long, mark long, text string, fp long, keys array<long>, sketch array<long>, n long")
+    rows = scratch.put("rows", made.withColumn("node", F.monotonically_increasing_id()))
+    roots = scratch.put("roots", rows.select("node", F.col("node").alias("root")))
+
+    fps = rows.select("node", "fp")
+    simhash: list[Wave] = [lambda known: fps.join(known, "node").select("node", "root", F.lit(0).alias("kind"), F.col("fp").alias("key"))]
+    for wave in deletion_keys.waves(distance, "fp", 1):
+        simhash.append(lambda known, wave=wave: wave(fps.join(known, "node")))
+    unlike = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    alike = unlike <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6  # rounding up loses no pair
+    check = _check(rows.select("node", "text"), scratch, width, least)
+    roots = link(roots, simhash, alike & (deletion_keys.apart("fp_a", "fp_b") <= distance), scratch, rows.select("node", "fp", "sketch", "n"), check, tag="fp-")
+    roots = link(roots, _band_waves(rows.select("node", "keys"), 0), alike, scratch, rows.select("node", "sketch", "n"), check, tag="band-")
+    reached = scratch.put("reached", rows.select("doc_id", "mark", "node").join(roots, "node"))
+    scratch.only(reached)
+    return reached
+
+
+def keep(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
     """The row of smallest doc_id of each component, with all its columns."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best")
-    return only(docs, near_copies(docs, width, least).groupBy("root").agg(best).select("best.doc_id", "best.mark").distinct())
+    return only(docs, near_copies(docs, width, distance, least).groupBy("root").agg(best).select("best.doc_id", "best.mark").distinct())

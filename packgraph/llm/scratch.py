@@ -33,6 +33,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: dict[int, tuple[str, DataFrame]] = {}
         atexit.register(self._delete, self.base)
 
     def _delete(self, path: str) -> None:
@@ -49,11 +50,28 @@ class Scratch:
         """Write df as a table and read it again with the schema it was written with."""
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        self._delete(f"{self.base}/{name}")
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.names[id(found)] = (name, found)
+        return found
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._delete(f"{self.base}/{name}")
+            self.names = {i: x for i, x in self.names.items() if x[0] != name}
+
+    def drop_all(self, prefix: str) -> None:
+        self.drop(*[name for name, _ in list(self.names.values()) if name.startswith(prefix)])
+
+    def forget(self, df: DataFrame) -> None:
+        """Delete the table that ``put`` gave as df."""
+        if id(df) in self.names:
+            self.drop(self.names[id(df)][0])
+
+    def only(self, *kept: DataFrame) -> None:
+        """Delete all tables but those that ``put`` gave as kept."""
+        keep = {id(x) for x in kept}
+        self.drop(*[name for i, (name, _) in self.names.items() if i not in keep])
 
 
 #: Bins of a numbered group: each bin is one sort, so a group of n rows is numbered in pieces of about n / BINS.

@@ -5,9 +5,11 @@ at distance d or less, fingerprints are cut into d // 2 + 1 segments, so that on
 either it is equal, or it is equal once that bit is left out. Each fingerprint is indexed under its exact segments and
 under every segment with one bit left out; equal keys meet in a join, and the whole distance is verified there.
 
-Equal fingerprints are joined as one. Within a key the fingerprints are first held against a few of the key's own only,
-which joins large clusters with as many rows as they have members; afterwards only members of different clusters are held
-against each other. So no cluster is ever expanded into its pairs, and no link between clusters is lost.
+Equal fingerprints are joined as one. Keys are joined in waves (``linking``), so that no cluster and no crowd under one key
+is expanded into its pairs, and no link is lost.
+
+``keep`` can also ask for a similarity of whole texts (``near_dedup``): a link of fingerprints is then only a candidate that
+the shingle sets decide, and pairs beyond the reach of the fingerprints are found too.
 
 Nulls: a null text counts as empty, whose fingerprint is zero and linked like any other; a null doc_id keeps its row and
 gives a component no name. Repeated rows get the same answer each. An empty table gives an empty result.
@@ -19,175 +21,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.llm.components import components
+from packgraph.llm import near_dedup
+from packgraph.llm.deletion_keys import linked
 from packgraph.llm.scratch import Scratch, mark, only, plain
-from packgraph.llm.words import PIECE, word_pieces
-
-SEED = 42
-DISTANCE = 4
-ROUNDS, LEADERS = 2, 8  # of stars within keys, before different clusters are held against each other
-ROWS = 255  # bits are first counted in bytes
-
-
-def fingerprint(text: bytes, width: int = 4, piece: int = PIECE) -> int:
-    """The fingerprint of a UTF-8 text, unsigned; see the module."""
-    counts, total, carry = np.zeros(64, np.int64), 0, []
-    digest = xxhash.xxh64_digest
-    for words in word_pieces(text.lower(), piece):
-        words = carry + words
-        if len(words) >= width:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[: -width] + 1))
-            hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())])
-            counts += _set_bits(hashes)
-            total += len(starts)
-        carry = words[-(width - 1) :] if width > 1 else []
-    if not total:
-        if not carry:
-            return 0
-        counts, total = _set_bits(digest(b" ".join(carry), SEED)), 1
-    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
-
-
-def _set_bits(hashes: bytes) -> np.ndarray:
-    """How many of the 8-byte hashes have each bit set, highest bit first."""
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    short = -len(rows) % ROWS
-    if short:
-        rows = np.concatenate((rows, np.zeros((short, 8), np.uint8)))
-    bits = np.unpackbits(rows, axis=1).reshape(-1, ROWS, 64)
-    return bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [fingerprint(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+from packgraph.llm.shingles import fingerprint
+
+WIDTH, DISTANCE = 4, 4
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, mark (a hash of the text) and fp (the fingerprint as a signed long) of each row."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [fingerprint(t or b"", width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
+
     texts = plain(docs, doc_id="long", text="string").select("doc_id", mark().alias("mark"), "text")
-    return texts.mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
-
-
-def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
-    """First bit and length of each segment. For an even distance the last has no variants, so it is twice as long."""
-    n = distance // 2 + 1
-    short = bits // (n + (distance % 2 == 0 and n > 1))
-    edges = [short * i for i in range(n)] + [bits]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
-def masks(distance: int, bits: int = 64, enough: int = 32) -> list[int]:
-    """One mask for each kind of key: which bits of a fingerprint the key holds, as signed longs.
-
-    If no segment is equal, each differs; at most ``distance`` bits over distance // 2 + 1 segments then leave at least two
-    segments (one, for an odd distance) with exactly one bit, so for an even distance the last needs no variants.
-
-    A segment alone makes short keys, under which ever more fingerprints meet by chance as a corpus grows. The bits outside
-    it differ in no more places than are left, so of one block more than that one is equal: keys of under ``enough`` bits
-    take one such block along.
-    """
-
-    def extended(mask: int, segment: int, left: int) -> list[int]:
-        if mask.bit_count() >= enough:
-            return [mask]
-        rest = [i for i in range(bits) if not segment >> i & 1]
-        edges = [len(rest) * i // (left + 1) for i in range(left + 2)]
-        return [mask | sum(1 << i for i in rest[x:y]) for x, y in zip(edges, edges[1:])]
-
-    cut = segments(distance, bits)
-    out = []
-    for k, (a, n) in enumerate(cut):
-        whole = ((1 << n) - 1) << a
-        out += extended(whole, whole, distance)
-        if distance and (distance % 2 or k < len(cut) - 1):
-            for i in range(a, a + n):
-                out += extended(whole & ~(1 << i), whole, distance - 1)
-    return [m - (1 << bits) if m >> (bits - 1) else m for m in out]
-
-
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def _salts(n: int, seed: int) -> list[int]:
-    return [int(x) for x in np.random.default_rng(seed).integers(-(1 << 62), 1 << 62, n)]
-
-
-def linked(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
-    """(fp, root) of every fingerprint; fps: distinct fingerprints in a column fp. Equal roots: linked."""
-    kinds = masks(distance)
-    table = F.array(*[F.struct(F.lit(i).cast("short").alias("kind"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(kinds)])
-    # Each row becomes as many as there are kinds of keys: it takes more partitions than the table's few files give.
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    index = dealt.select("fp", F.explode(table).alias("k")).select("fp", "k.kind", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"))
-    keys = index.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "key").hint("merge")
-    met = scratch.put("met", index.join(keys, ["kind", "key"]))
-
-    roots = fps.select("fp", F.col("fp").alias("root"))
-    for turn in range(ROUNDS):
-        roots = scratch.put(f"roots-{turn}", _joined(roots, _star(met, roots, scratch, distance, turn)))
-    open_ = scratch.put("open", _mixed(met, roots))
-    fewer = open_.filter("root <> most").select("kind", "key", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
-    other = open_.select("kind", "key", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
-    bridges = fewer.join(other, ["kind", "key"]).filter((F.col("a") != F.col("b")) & (_apart("fp_a", "fp_b") <= distance)).select("a", "b")
-    return _joined(roots, components(bridges, scratch, "bridge"))
-
-
-def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of keys under which there is more than one root: kind, key, fp, root, most (the root of most rows)."""
-    placed = met.join(roots, "fp")
-    sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("kind", "key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
-    return placed.join(mixed.filter("roots > 1").drop("roots"), ["kind", "key"])
-
-
-def _star(met: DataFrame, roots: DataFrame, scratch: Scratch, distance: int, turn: int) -> DataFrame:
-    """(v, root) over the roots that a few fingerprints of each key link: those least and greatest after flipping random
-    bits, others for each kind of key and each turn."""
-    placed = scratch.put(f"placed-{turn}", _mixed(met, roots).drop("most"))
-    flips = F.array(*[F.array(*[F.lit(x) for x in _salts(LEADERS // 2, 1000 * turn + k)]) for k in range(len(masks(distance)))])
-    flipped = placed.withColumn("flips", F.get(flips, F.col("kind").cast("int")))
-    x = lambda i: F.col("fp").bitwiseXOR(F.get("flips", F.lit(i)))
-    ends = [f(x(i)).alias(f"{f.__name__}{i}") for i in range(LEADERS // 2) for f in (F.min, F.max)]
-    found = flipped.groupBy("kind", "key").agg(*ends).withColumn("flips", F.get(flips, F.col("kind").cast("int")))
-    leaders = found.select("kind", "key", F.array_distinct(F.array(*[F.col(f"{f}{i}").bitwiseXOR(F.get("flips", F.lit(i))) for i in range(LEADERS // 2) for f in ("min", "max")])).alias("leaders"))
-    near = placed.join(leaders, ["kind", "key"]).select("root", F.explode(F.filter("leaders", lambda y: F.bit_count(y.bitwiseXOR(F.col("fp"))) <= distance)).alias("leader"))
-    edges = near.distinct().join(roots.select(F.col("fp").alias("leader"), F.col("root").alias("to")), "leader").select(F.col("root").alias("a"), F.col("to").alias("b"))
-    return components(edges, scratch, f"star-{turn}")
-
-
-def _joined(roots: DataFrame, step: DataFrame) -> DataFrame:
-    """roots after the step's (v, root) is applied to them."""
-    found = roots.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left")
-    return found.select("fp", F.coalesce("next", "root").alias("root"))
-
-
-def simhash_groups(docs: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
+    return texts.mapInArrow(made, "doc_id long, mark long, fp long")
+
+
+def simhash_groups(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as doc_id, mark and fp; and fp, component_id (smallest doc_id that links reach) and best (the row
     of smallest doc_id, null last, as a struct) of each fingerprint."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.put("rows", fingerprints(docs))
+    rows = scratch.put("rows", fingerprints(docs, width))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best")
     fps = scratch.put("fps", rows.groupBy("fp").agg(least))
-    roots = scratch.put("roots", fps.join(linked(fps.select("fp"), scratch, distance), "fp"))
+    roots = scratch.put("reached-roots", fps.join(linked(fps.select("fp"), scratch, distance), "fp"))
     groups = scratch.put("groups", roots.groupBy("root").agg(F.min("best").alias("best")))
-    return rows, scratch.put("reached", roots.select("fp", "root").join(groups, "root").select("fp", F.col("best.doc_id").alias("component_id"), "best"))
+    reached = scratch.put("reached", roots.select("fp", "root").join(groups, "root").select("fp", F.col("best.doc_id").alias("component_id"), "best"))
+    scratch.only(rows, reached)
+    return rows, reached
 
 
-def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def report(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    rows, reached = simhash_groups(docs, distance)
+    rows, reached = simhash_groups(docs, width, distance)
     return rows.join(reached, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The row of smallest doc_id of each component, with all its columns."""
-    return only(docs, simhash_groups(docs, distance)[1].select("best.doc_id", "best.mark").distinct())
+def keep(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
+    """The row of smallest doc_id of each component, with all its columns. With ``least``, texts are linked by that similarity
+    of their sets of shingles instead of their fingerprints' distance."""
+    if least is not None:
+        return near_dedup.keep(docs, width, distance, least)
+    return only(docs, simhash_groups(docs, width, distance)[1].select("best.doc_id", "best.mark").distinct())

@@ -7,7 +7,8 @@ from packgraph.llm import quality_cnn, quality_rules
 from packgraph.llm.queries import ORACLES, QUERIES
 
 import corpus_pipeline
-from test_small import brute_exact, brute_fingerprint, components
+from test_near_dedup import brute
+from test_small import brute_exact
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -38,10 +39,8 @@ def test_pipeline_stages(spark):
         elif k == 2:
             assert kept == {keep for _, keep, _, _ in brute_exact(before)}
         elif k == 3:
-            fp = {d: brute_fingerprint(t) for d, t in before}
-            values = sorted(set(fp.values()))
-            comp = components(values, [(a, b) for i, a in enumerate(values) for b in values[i:] if (a ^ b).bit_count() <= 4])
-            assert kept == {min(d for d in fp if comp[fp[d]] == c) for c in set(comp.values())}
+            comp = brute(before)  # the contract of stages: five words, a similarity of 0.8
+            assert kept == {min(before[i][0] for i in comp if comp[i] == c) for c in set(comp.values())}
         else:
             assert kept == {d for d, _ in before}
         sizes.append(len(kept))

@@ -10,7 +10,7 @@ import zlib
 import pytest
 import xxhash
 
-from packgraph.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality_cnn, quality_rules, scratch, sharding, simhash, url_filter
+from packgraph.llm import byte_bpe, chat_format, deletion_keys, exact_dedup, line_dedup, packing, quality_cnn, quality_rules, scratch, sharding, simhash, url_filter
 
 SCHEMA = "doc_id long, text string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,7 +112,7 @@ def test_fingerprints_whatever_the_piece():
 
 @pytest.mark.parametrize("distance", range(6))
 def test_keys_meet_for_every_pair_in_reach(distance):
-    masks = [m % (1 << 64) for m in simhash.masks(distance)]
+    masks = [m % (1 << 64) for m in deletion_keys.masks(distance)]
     r = random.Random(distance)
     for _ in range(3000):
         apart = sum(1 << i for i in r.sample(range(64), r.randint(0, distance)))
