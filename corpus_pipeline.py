@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packgraph.llm import exact_dedup, near_dedup, packing, quality_cnn, quality_rules
+from packgraph.llm import exact_dedup, packing, quality_cnn, quality_rules, simhash
 from packgraph.llm.scratch import Scratch
 
 
@@ -33,7 +33,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts linked by a similarity of 0.8 or more on five-word shingles."""
-    return near_dedup.keep(docs)
+    return simhash.keep(docs, width=5, least=0.8)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
