@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from packgraph.llm.scratch import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(v, root) for every vertex of ``edges`` (columns a, b, both long): root is one vertex of v's component.
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+    """(v, root) for every vertex of ``edges`` (columns a, b, both long): root is one vertex of v's component. None: no edges.
 
     In each round every vertex moves to the neighbour, or itself, that comes first in the round's own random order, and
     edges are redrawn between where their ends moved. That shrinks chains as well as stars by a constant factor, so rounds
     grow with the logarithm of the number of vertices. Each round is written, so a lost executor costs no earlier round.
     """
-    spark = edges.sparkSession
     left = scratch.put(f"{name}-edges-0", edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots: DataFrame | None = None
     turn = 0
@@ -36,4 +35,4 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(f"{name}-roots-{turn - 1}")
         left = scratch.put(f"{name}-edges-{turn}", redrawn)
         scratch.drop(f"{name}-edges-{turn - 1}")
-    return roots if roots is not None else spark.createDataFrame([], "v long, root long")
+    return roots

@@ -33,32 +33,30 @@ def joined(roots: DataFrame, step: DataFrame) -> DataFrame:
     return found.select("node", F.coalesce("next", "root").alias("root"))
 
 
-def _placed(rows: DataFrame, roots: DataFrame, few: int) -> DataFrame:
-    """Rows (node, kind, key) of keys that hold more than one root, with root, main (it is the root of most rows) and crowded
+def _mixed(placed: DataFrame, few: int) -> DataFrame:
+    """Keys (kind, key) of placed rows that hold more than one root, with most (the root of most of their rows) and crowded
     (more than ``few`` rows have another root)."""
-    placed = rows.join(roots, "node")
     sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("kind", "key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = mixed.select("kind", "key", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n") > few).alias("crowded"))
-    return placed.join(mixed, ["kind", "key"]).select("node", "kind", "key", "root", (F.col("root") == F.col("most")).alias("main"), "crowded")
+    return mixed.select("kind", "key", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n") > few).alias("crowded"))
 
 
-def _direct(placed: DataFrame, more: list[str], maybe: Column) -> DataFrame:
-    """Pairs of different roots within a key: each row outside the main root against all others."""
-    side = lambda x, own: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", *own)]
-    fewer = placed.filter("NOT main").select("kind", "key", *side("a", more))
-    other = placed.select("kind", "key", *side("b", ["main", *more]))
+def _direct(placed: DataFrame, keys: DataFrame, with_payload, more: list[str], maybe: Column) -> DataFrame:
+    """Pairs of different roots within the keys: each row outside the main root against all others."""
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", *more)]
+    outside = with_payload(placed.join(keys.select("kind", "key", "most"), ["kind", "key"]).filter("root <> most"))
     # Of two rows that are both outside the main root, one order is enough.
-    once = (F.col("root_a") != F.col("root_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b")))
-    return fewer.join(other, ["kind", "key"]).filter(once & maybe).select("node_a", "node_b", "root_a", "root_b")
+    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
+    pairs = outside.select("kind", "key", "most", *side("a")).join(with_payload(placed).select("kind", "key", *side("b")), ["kind", "key"])
+    return pairs.filter(once & maybe).select("node_a", "node_b", "root_a", "root_b")
 
 
-def _star(placed: DataFrame, more: list[str], maybe: Column, salt: int) -> DataFrame:
-    """Pairs of a key's rows and its leaders, drawn at random, one of them from the main root."""
+def _star(crowd: DataFrame, more: list[str], maybe: Column, salt: int) -> DataFrame:
+    """Pairs of a crowded key's rows and its leaders, drawn at random, one of them from the main root."""
     draw = lambda i: F.struct(F.xxhash64(F.lit(salt + i), "node").alias("draw"), "node", "root", *more)
-    drawn = [F.min(draw(i)) for i in range(LEADERS - 1)] + [F.min(F.when(F.col("main"), draw(LEADERS)))]
-    leaders = placed.groupBy("kind", "key").agg(F.array(*drawn).alias("leaders"))
-    met = placed.join(leaders, ["kind", "key"]).select(*[F.col(c).alias(f"{c}_a") for c in ("node", "root", *more)], F.explode("leaders").alias("l"))
+    drawn = [F.min(draw(i)) for i in range(LEADERS - 1)] + [F.min(F.when(F.col("root") == F.col("most"), draw(LEADERS)))]
+    leaders = crowd.groupBy("kind", "key").agg(F.array(*drawn).alias("leaders"))
+    met = crowd.join(leaders, ["kind", "key"]).select(*[F.col(c).alias(f"{c}_a") for c in ("node", "root", *more)], F.explode("leaders").alias("l"))
     pairs = met.select(*[f"{c}_a" for c in ("node", "root", *more)], *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "root", *more)])
     return pairs.filter((F.col("root_a") != F.col("root_b")) & maybe).select("node_a", "node_b", "root_a", "root_b")
 
@@ -73,7 +71,8 @@ def link(
     refine: Callable[[DataFrame, int], DataFrame] | None = None,
     tag: str = "",
 ) -> DataFrame:
-    """(node, root) of each node: equal roots are linked. roots: node and the root known so far, a written table.
+    """(node, root) of each node: equal roots are linked. roots: node and the root known so far, a table of ``scratch``, which is
+    deleted when there are newer ones.
 
     Each wave makes rows of node, root, kind (int) and key (long) from roots. ``maybe`` is a condition on node_a and node_b
     and on the payload's columns with the same endings; ``check(pairs, name)`` gives those of the pairs (node_a, node_b,
@@ -81,36 +80,36 @@ def link(
     of several calls with one scratch apart.
     """
     more = [c for c in payload.columns if c != "node"] if payload is not None else []
+    with_payload = lambda df: df.join(payload, "node") if more else df
     for w, wave in enumerate(waves):
         index = wave(roots)
-        mixed = index.groupBy("kind", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("kind", "key").hint("merge")
-        rows, level = scratch.put(f"met-{tag}{w}-0", index.select("node", "kind", "key").join(mixed, ["kind", "key"])), 0
+        shared = index.groupBy("kind", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("kind", "key").hint("merge")
+        placed, level = scratch.put(f"placed-{tag}{w}-0", index.join(shared, ["kind", "key"])), 0
         while True:
             name = f"{tag}{w}-{level}"
             last = level >= TURNS and (refine is None or level - TURNS >= LEVELS)
-            placed = scratch.put(f"placed-{name}", _placed(rows, roots, FEW if level < TURNS else CROWD))
-            scratch.drop(f"met-{name}")
-            if placed.isEmpty():
-                scratch.drop(f"placed-{name}")
+            mixed = scratch.put(f"mixed-{name}", _mixed(placed, FEW if level < TURNS else CROWD))
+            if mixed.isEmpty():
+                scratch.drop(f"placed-{name}", f"mixed-{name}")
                 break
-            full = placed.join(payload, "node") if more else placed
-            pairs = _direct(full if last else full.filter("NOT crowded"), more, maybe)
-            if not last:
-                pairs = pairs.unionByName(_star(full.filter("crowded"), more, maybe, 100 * level))
+            pairs = _direct(placed, mixed if last else mixed.filter("NOT crowded"), with_payload, more, maybe)
+            crowded = mixed.filter("crowded")
+            more_levels = not last and not crowded.isEmpty()
+            if more_levels:
+                crowd = scratch.put(f"crowd-{name}", placed.join(crowded.select("kind", "key", "most"), ["kind", "key"]))
+                pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level))
             links = check(pairs, name) if check else pairs
             step = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}")
-            before, roots = roots, scratch.put(f"roots-{name}", joined(roots, step))
-            scratch.drop_all(f"step-{name}-")
-            scratch.drop(f"links-{name}")
-            if (w, level) != (0, 0):
+            if step is not None:
+                before, roots = roots, scratch.put(f"roots-{name}", joined(roots, step))
                 scratch.forget(before)
-            rows = placed.filter("crowded").select("node", "kind", "key")
-            if last or rows.isEmpty():
-                scratch.drop(f"placed-{name}")
+            scratch.drop_all(f"step-{name}-")
+            scratch.drop(f"links-{name}", f"placed-{name}", f"mixed-{name}")
+            if not more_levels:
                 break
             level += 1
-            if level > TURNS:
-                rows = refine(rows, level - TURNS)
-            rows = scratch.put(f"met-{tag}{w}-{level}", rows)
-            scratch.drop(f"placed-{name}")
+            rows = crowd.select("node", "kind", "key")
+            rows = refine(rows, level - TURNS) if refine is not None and level > TURNS else rows
+            placed = scratch.put(f"placed-{tag}{w}-{level}", rows.join(roots, "node"))
+            scratch.drop(f"crowd-{name}")
     return roots

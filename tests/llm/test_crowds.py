@@ -56,7 +56,7 @@ def test_waves_keep_a_large_cluster_out_of_later_indexes(spark, monkeypatch):
 
     def counted(self, name, df):
         out = put(self, name, df)
-        if name.startswith("met-"):
+        if name.startswith("placed-"):
             seen[name] = out.count()
         return out
 
