@@ -74,9 +74,10 @@ def chosen_paths(messages: DataFrame, branches: int, scratch: Scratch) -> DataFr
     # A tree without a number becomes its own key, so that plain equality joins work throughout.
     whole = whole.withColumn("t", F.coalesce(F.col("tree").cast("string"), F.lit("")))
     once = whole.groupBy("t", "node").agg(F.min(F.struct("parent", "role", "text", "score", "tree")).alias("m")).select("t", "node", "m.*")
-    once = scratch.put("messages", once)
-    ids = once.select("t", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    start = once.select("t", "node", "parent", "score").join(ids, ["t", "parent"], "left")
+    # Only the pointers are written: texts go to their messages once and from there to their conversation.
+    links = scratch.put("messages", once.select("t", "node", "parent", "score"))
+    ids = links.select("t", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    start = links.join(ids, ["t", "parent"], "left")
     own = (F.col("parent") == F.col("node")).alias("loop")
     jump = scratch.put("jump-0", start.select("t", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("gain"), own)).filter("loop IS NULL OR NOT loop").drop("loop")
     most = jump.count().bit_length() + 1
@@ -104,6 +105,7 @@ def chosen_paths(messages: DataFrame, branches: int, scratch: Scratch) -> DataFr
     for r in range(len(levels) - 1, -1, -1):
         above = path.join(levels[r].select("t", "node", "up"), ["t", "node"]).select("t", "leaf", "rank", F.col("up").alias("node"), (F.col("steps") + (1 << r)).alias("steps"))
         path = scratch.put(f"path-{r}", path.unionByName(above))
+        scratch.drop(f"path-{r + 1}", f"jump-{r + 1}", f"jump-{r}")  # the leaves are ranked, and level r has been gone back through
     return path.join(once.select("t", "tree", "node", "role", "text"), ["t", "node"]).select("tree", "leaf", "rank", "steps", "role", "text")
 
 

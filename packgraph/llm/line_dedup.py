@@ -1,8 +1,8 @@
 """Line deduplication by overlapping windows of three lines.
 
 Each three lines in a row are hashed (two 64-bit hashes). A window that occurs more than once in the whole table stays at
-its first place, the smallest doc_id (null last) and line, and is removed elsewhere; where removed windows overlap, their
-lines are removed once. Of a window that overlaps its own first place in one text, the lines of that first place stay.
+its first place, the smallest doc_id (null last) and line, and is removed elsewhere; removed windows of a text that overlap or
+touch are merged, and the text is put together from the lines between the merged spans. Of a window that overlaps its own first place in one text, the lines of that first place stay.
 
 Windows without a word are ignored, and texts of fewer lines have none. Nulls: a null text counts as empty. Rows that agree
 in doc_id and text are one document and get the same result. An empty table gives no rows.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from packgraph.llm.scratch import Scratch, plain
 
@@ -45,14 +46,21 @@ def line_dedup(docs: DataFrame, size: int = LINES) -> DataFrame:
     same_text = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
     later = windows.join(again, ["h1", "h2"]).filter(~(same_text & (F.col("pos") == F.col("first_pos"))))
     spans = later.select("doc_id", "mark", F.when(same_text, F.greatest("pos", F.col("first_pos") + size)).otherwise(F.col("pos")).alias("start"), (F.col("pos") + size).alias("stop")).filter("start < stop")
-    covered = spans.select("doc_id", "mark", F.explode(F.sequence("start", F.col("stop") - 1)).alias("line")).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone"))
-    covered = scratch.put("covered", covered.select(F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("mark0"), "gone"))
+    # Spans that begin behind all ends so far begin a new merged span.
+    text_order = Window.partitionBy("doc_id", "mark").orderBy("start", "stop")
+    apart = F.coalesce(F.col("start") > F.max("stop").over(text_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    merged = spans.withColumn("apart", apart).withColumn("at", F.sum(F.col("apart").cast("int")).over(text_order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy("doc_id", "mark", "at").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    gone = merged.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    gone = scratch.put("gone", gone.select(F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("mark0"), "gone"))
     keyed = texts.select("doc_id", "mark", "text", F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("none"), F.col("mark").alias("mark0"))
-    # The covered lines have no proven bound: the same merge join at every size, rather than a broadcast while they are few.
-    out = keyed.join(covered.hint("merge"), ["id0", "none", "mark0"], "left").withColumn("lines", F.split("text", "\n"))
-    left = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
-    gone = F.coalesce(F.size("gone"), F.lit(0))
-    return out.select("doc_id", F.size("lines").alias("n_lines"), F.greatest(gone, F.lit(0)).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
+    # The spans have no proven bound: the same merge join at every size, rather than a broadcast while they are few.
+    out = keyed.join(gone.hint("merge"), ["id0", "none", "mark0"], "left").withColumn("lines", F.split("text", "\n"))
+    # What stays: from each span's stop to the next one's start.
+    ends = F.concat(F.col("gone.start"), F.array(F.size("lines")))
+    left = F.flatten(F.zip_with(F.concat(F.array(F.lit(0)), F.col("gone.stop")), ends, lambda x, y: F.slice("lines", x + 1, y - x)))
+    n_gone = F.aggregate("gone", F.lit(0), lambda n, x: n + x["stop"] - x["start"])
+    return out.select("doc_id", F.size("lines").alias("n_lines"), F.coalesce(n_gone, F.lit(0)).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
 
 
 def report(docs: DataFrame, size: int = LINES) -> DataFrame:

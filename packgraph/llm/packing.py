@@ -4,13 +4,14 @@ A global histogram of lengths is made by one aggregation, and dynamic programmin
 rounding every length up to its bucket's boundary adds the fewest tokens. Documents of a bucket then fill batches of as
 many rows as fit the token budget at the bucket's boundary.
 
-Histogram cells are single lengths up to CELLS and CELLS / 2 to each doubling beyond, so the driver gets a bounded table
+Histogram cells are single lengths up to ``cells`` and cells / 2 to each doubling beyond, so the driver gets a bounded table
 for texts of any length; each cell keeps its count, sum and greatest length, and boundaries are greatest lengths of cells.
-Up to CELLS the optimum is over all lengths, beyond over the cells. Padding is counted exactly everywhere.
+Up to ``cells`` (65,536) the optimum is over all lengths, beyond over the cells, which are at most 1/32,768 of their length wide: the
+padding of a longer document is at most that much more than with the exact optimum. Padding is counted exactly everywhere.
 
-Lengths are byte-level tokens: the UTF-8 bytes of the text and one end token. Nulls: a null text counts as empty; a null
-doc_id is a value like any other. A document longer than the budget is a batch of its own. Repeated rows get places of
-their own. An empty table gives no rows.
+Lengths are byte-level tokens, the UTF-8 bytes of the text and one end token, or those of a column that is named. Nulls: a
+null text counts as empty, a null or negative length as 0; a null doc_id is a value like any other. A document longer than the
+budget is a batch of its own. Repeated rows get places of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.llm.scratch import Scratch, numbered, plain
+from packgraph.llm.scratch import Scratch, binned, numbered, plain
 
-BUCKETS, BUDGET, CELLS = 16, 1 << 18, 1 << 10
+BUCKETS, BUDGET, CELLS = 16, 1 << 18, 1 << 16
 
 
 def cell(length: Column, cells: int = CELLS) -> Column:
@@ -73,17 +74,20 @@ def boundaries(histogram: list[tuple[int, int, int]], buckets: int = BUCKETS) ->
     return out[::-1]
 
 
-def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, cells: int = CELLS, length: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, bucket, padded_tokens (the bucket's boundary), batch (from 0 in each
-    bucket) and place (from 0 in each batch)."""
-    text = F.coalesce("text", F.lit(""))
-    lengths = plain(docs, doc_id="long", text="string").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("n_tokens"))
-    lengths = Scratch(docs.sparkSession, "packing").put("lengths", lengths)
-    cells = lengths.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
-    ends = boundaries([(r["top"], r["n"], r["total"]) for r in sorted(cells.collect(), key=lambda r: r["cell"])], buckets)
+    bucket) and place (from 0 in each batch). ``length``: a column with the number of tokens, such as byte_bpe's n_tokens."""
+    if length is None:
+        sized = plain(docs, doc_id="long", text="string").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("n_tokens"))
+    else:
+        sized = plain(docs, doc_id="long", **{length: "long"}).select("doc_id", F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
+    scratch = Scratch(docs.sparkSession, "packing")
+    lengths = scratch.put("lengths", binned(sized, ["doc_id", "n_tokens"]))
+    found = lengths.groupBy(cell(F.col("n_tokens"), cells).alias("cell")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
+    ends = boundaries([(r["top"], r["n"], r["total"]) for r in sorted(found.collect(), key=lambda r: r["cell"])], buckets)
     bucket = sum([(F.col("n_tokens") > end).cast("int") for end in ends[:-1]], F.lit(0))
     table = F.array(*[F.lit(end).cast("long") for end in ends or [0]])
-    sized = lengths.withColumn("bucket", bucket).withColumn("padded_tokens", F.get(table, F.col("bucket")))
-    rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("padded_tokens")))
-    slots = numbered(sized, ["bucket"], ["doc_id", "n_tokens"], "slot", groups_bound=buckets)
+    placed = lengths.withColumn("bucket", bucket).withColumn("padded_tokens", F.get(table, F.col("bucket")))
+    rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest("padded_tokens", F.lit(1))))
+    slots = numbered(placed, ["bucket"], ["doc_id", "n_tokens"], "slot", scratch)
     return slots.select("doc_id", "n_tokens", "bucket", "padded_tokens", F.floor(F.col("slot") / rows).alias("batch"), (F.col("slot") % rows).alias("place"))

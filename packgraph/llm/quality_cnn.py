@@ -4,10 +4,10 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each
 slide over every chunk, each filter's largest response in a chunk is taken, and a weighted sum makes the chunk's logit. The
 mean over the chunks is the document's logit, its logistic the probability of label 1.
 
-The network is fitted on the driver to a bounded sample: at most ``sample_rows`` labelled documents of each label, those
-with the smallest hashes of doc_id among rows that aren't held out, and at most ``sample_chunks`` chunks of each, spread
-over the whole text. Classes are weighted back to their shares. Scoring reads every chunk of every document; only chunks
-of a fixed size are in memory at once. Labels, language, source and doc_id are no inputs of a score.
+The network is fitted on the driver to all chunks of a bounded sample of labelled documents that aren't held out: of each
+label, in the order of a hash of doc_id, at most ``sample_rows`` documents and as many as have ``sample_chunks`` chunks together; a
+document of over LONGEST chunks is not learned from. Classes are weighted back to their shares. Scoring reads every chunk of
+every document; only chunks of a fixed size are in memory at once. Labels, language, source and doc_id are no inputs of a score.
 
 Nulls: a null text counts as empty, which is one chunk of padding; a null doc_id is not held out and never learned from.
 Labels that are null, not 0 or 1, or disagree about a doc_id are left out. If a label has no sample, every score is the
@@ -29,7 +29,7 @@ from packgraph.llm.scratch import plain, with_texts
 CHUNK, STEP = 256, 192  # bytes of a chunk, and from one chunk's start to the next one's
 WIDTH, STRIDE, VECTOR, FILTERS = 8, 4, 8, 32
 SLAB = 512  # chunks that are scored at once
-SAMPLE_ROWS, SAMPLE_CHUNKS = 2000, 6
+SAMPLE_ROWS, SAMPLE_CHUNKS, LONGEST = 2000, 12_000, 1024  # of each label; chunks of one document
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -37,10 +37,14 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def n_chunks(size):
+    """How many chunks cover so many bytes; for numbers and arrays."""
+    return np.maximum(-(-(size - CHUNK) // STEP), 0) + 1
+
+
 def chunks(text: bytes) -> np.ndarray:
     """The chunks of a text, one a row, the last padded with zero bytes; a view of as many rows as cover the text."""
-    n = 1 if len(text) <= CHUNK else -(-(len(text) - CHUNK) // STEP) + 1
-    padded = np.zeros((n - 1) * STEP + CHUNK, np.uint8)
+    padded = np.zeros((n_chunks(len(text)) - 1) * STEP + CHUNK, np.uint8)
     padded[: len(text)] = np.frombuffer(text, np.uint8)
     return sliding_window_view(padded, CHUNK)[::STEP]
 
@@ -115,6 +119,15 @@ def labelled(labels: DataFrame, sample_rows: int) -> tuple[DataFrame, dict[int,
     return few[0].unionByName(few[1]), {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
 
 
+def _chosen(texts: DataFrame, sample_chunks: int) -> list[int]:
+    """Of the sample's rows (doc_id, label, text; one size for each doc_id, so at most the sample's ids come to the driver) the
+    ids that are learned from."""
+    sizes = texts.groupBy("doc_id", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"), F.xxhash64("doc_id").alias("draw")).toPandas()
+    sizes["n"] = n_chunks(sizes["size"].to_numpy(np.int64))
+    sizes = sizes[sizes["n"] <= LONGEST].sort_values(["draw", "doc_id"], kind="stable")
+    return sizes[sizes.groupby("label")["n"].cumsum() <= sample_chunks]["doc_id"].tolist()
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chunks: int = SAMPLE_CHUNKS, epochs: int = 8) -> Network | float:
     """The fitted network, or the one score for all documents if there is nothing to learn from."""
     sample, shares = labelled(labels, sample_rows)
@@ -123,14 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
         for batch in batches:
             out = []
             for i, text, label in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)))):
-                rows = chunks(text or b"")
-                for k in np.unique(np.linspace(0, len(rows) - 1, sample_chunks).round().astype(int)):
-                    out.append((i, int(k), label, rows[k].tobytes()))
+                out += [(i, k, label, row.tobytes()) for k, row in enumerate(chunks(text or b""))]
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "k", "label", "chunk"])
 
-    texts = plain(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id")  # at most 2 * sample_rows ids
-    found = texts.select("doc_id", "text", "label").mapInArrow(cut, "doc_id long, k long, label int, chunk binary").dropDuplicates().toPandas()
+    # Of rows that repeat a doc_id, the text that comes last counts.
+    texts = plain(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # at most 2 * sample_rows ids
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in _chosen(texts, sample_chunks)], "doc_id long"))
+    one = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
+    found = one.mapInArrow(cut, "doc_id long, k long, label int, chunk binary").toPandas()
     found = found.sort_values(["doc_id", "k", "chunk"], kind="stable")
     if found["label"].nunique() < 2:
         return (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)

@@ -1,100 +1,41 @@
-"""Intermediate tables in the folder that all executors share, and bounded-size helpers over them.
-
-A written table cuts lineage and survives lost executors: a later read never recomputes what came before it.
-"""
+"""Bounded-size helpers over written tables, and columns of input tables picked by name."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from packgraph.scratch import Scratch, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="packgraph-")
-    sc.setCheckpointDir(root)
-    return sc.getCheckpointDir().rstrip("/")
-
-
-class Scratch:
-    """Tables written below one fresh shared folder; what is left goes when Python ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.names: dict[int, tuple[str, DataFrame]] = {}
-        atexit.register(self._delete, self.base)
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        if sc._jsc is None:  # the session has ended
-            return
-        try:
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  leftovers are no reason to fail a finished job
-            pass
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Write df as a table and read it again with the schema it was written with."""
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        found = self.spark.read.schema(df.schema).parquet(path)
-        self.names[id(found)] = (name, found)
-        return found
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
-            self._delete(f"{self.base}/{name}")
-            self.names = {i: x for i, x in self.names.items() if x[0] != name}
-
-    def drop_all(self, prefix: str) -> None:
-        self.drop(*[name for name, _ in list(self.names.values()) if name.startswith(prefix)])
-
-    def forget(self, df: DataFrame) -> None:
-        """Delete the table that ``put`` gave as df."""
-        if id(df) in self.names:
-            self.drop(self.names[id(df)][0])
-
-    def only(self, *kept: DataFrame) -> None:
-        """Delete all tables but those that ``put`` gave as kept."""
-        keep = {id(x) for x in kept}
-        self.drop(*[name for i, (name, _) in self.names.items() if i not in keep])
-
+__all__ = ["Scratch", "binned", "mark", "numbered", "only", "plain", "shared_root", "with_texts"]
 
 #: Bins of a numbered group: each bin is one sort, so a group of n rows is numbered in pieces of about n / BINS.
 BINS = 1024
+OFFSETS = 1 << 20  # counts that are broadcast, about 30 MB; more of them are joined
+
+
+def binned(df: DataFrame, order: list[str], bins: int = BINS) -> DataFrame:
+    """df with a bin for each row, for ``numbered``. The partition counts too, so that rows alike in all columns, however many,
+    do not meet in one bin; the result is to be written before it is used, since only then it stays as it is."""
+    return df.withColumn("__bin", F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(bins)).cast("int"))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bins: int = BINS, groups_bound: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, scratch: Scratch) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... without bringing a group into one task.
 
-    Rows go to (group, bin) by a hash of the order columns; bins are sorted on their own and their counts,
-    at most bins * groups_bound rows, become offsets. Rows alike in every order column are numbered in any order.
-    ``group`` must have at most ``groups_bound`` values; the broadcast below relies on that.
+    df comes from a written table of ``binned`` rows. Bins are sorted on their own, and the counts of (group, bin) become
+    offsets. Rows alike in every order column are numbered in any order.
     """
-    binned = df.withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
-    local = binned.withColumn("__at", F.row_number().over(Window.partitionBy(*group, "__bin").orderBy(*order)).cast("long") - 1)
-    sizes = binned.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    local = df.withColumn("__at", F.row_number().over(Window.partitionBy(*group, "__bin").orderBy(*order)).cast("long") - 1)
+    sizes = df.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    offsets = scratch.put(f"offsets-{out}", offsets)
     on: Column = F.col("__bin") == F.col("__b")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    offsets = F.broadcast(offsets) if bins * groups_bound <= 1 << 22 else offsets
-    joined = local.join(offsets, on)
+    joined = local.join(F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets, on)
     return joined.withColumn(out, F.col("__at") + F.col("__off")).drop("__bin", "__at", "__b", "__off", *[f"__g{i}" for i in range(len(group))])
 
 

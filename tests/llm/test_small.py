@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -215,10 +216,55 @@ def test_network_gradients():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-4
 
 
+def plain_score(net, text):
+    """The network's score of one text in plain loops."""
+    vectors, filters, bias, out, out_bias = (p.tolist() for p in net.parts)
+    data, logits, at = text or b"", [], 0
+    while True:
+        chunk = data[at : at + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0")
+        total = out_bias[0]
+        for f in range(quality_cnn.FILTERS):
+            most = 0.0
+            for p in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+                x = bias[f]
+                for w in range(quality_cnn.WIDTH):
+                    for v in range(quality_cnn.VECTOR):
+                        x += vectors[chunk[p + w]][v] * filters[w * quality_cnn.VECTOR + v][f]
+                most = max(most, x)
+            total += most * out[f]
+        logits.append(total)
+        if at + quality_cnn.CHUNK >= len(data):
+            break
+        at += quality_cnn.STEP
+    return 1 / (1 + math.exp(-sum(logits) / len(logits)))
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    import numpy as np
+
+    net = quality_cnn.Network(np.random.default_rng(5))
+    net.parts[2] += np.linspace(-0.2, 0.2, quality_cnn.FILTERS, dtype=np.float32)
+    rows = [(1, None), (2, ""), (3, "abc é"), (4, prose(8, 120)), (5, "x" * 449), (6, "y" * 256), (6, "y" * 257)]
+    got = quality_cnn.quality_scores(table(spark, rows).selectExpr("'s' AS score", "doc_id", "text", "1 AS predicted", "2 AS held_out"), None, net).collect()
+    want = sorted((d, plain_score(net, (t or "").encode())) for d, t in rows)
+    assert all(a == r["doc_id"] and abs(b - r["score"]) < 1e-5 for (a, b), r in zip(want, sorted(got, key=lambda r: (r["doc_id"], r["score"]))))
+    assert quality_cnn.keep(wide(spark), None, net).columns == wide(spark).columns
+
+
+def test_the_sample_is_bounded_by_its_chunks(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x" * (i * 300)) for i in range(40)] + [(50, 1, "y" * 300_000), (51, 1, None)], "doc_id long, label int, text string")
+    ids = quality_cnn._chosen(rows, 60)
+    sizes = {r["doc_id"]: (r["label"], len(quality_cnn.chunks((r["text"] or "").encode()))) for r in rows.collect()}
+    for label in (0, 1):
+        assert 20 < sum(sizes[i][1] for i in ids if sizes[i][0] == label) <= 60
+    assert 50 not in ids and len(ids) == len(set(ids))
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 255, 256, 257, 448, 449, 5000):
         data = bytes(i % 251 + 1 for i in range(n))
         rows = quality_cnn.chunks(data)
+        assert len(rows) == quality_cnn.n_chunks(n)
         back = bytearray(len(rows) * quality_cnn.STEP + quality_cnn.CHUNK)
         for k, row in enumerate(rows):
             back[k * quality_cnn.STEP : k * quality_cnn.STEP + quality_cnn.CHUNK] = row.tobytes()
@@ -256,21 +302,62 @@ def test_shards(spark):
     assert sharding.shards(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 3, 4, 5, 8, 12, 17, 18])
-def test_any_grown_tree_takes_rows_only_into_the_new_shard(spark, n):
-    from pyspark.sql import functions as F
+def xx(*parts):
+    """Spark's xxhash64 of an int, a string and a long (or null), unsigned."""
+    h = 42
+    for x in parts:
+        if x is not None:
+            data = x.encode() if isinstance(x, str) else x.to_bytes(4 if parts[0] is x else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h
 
-    ids = spark.range(2000).select(sharding.shard_of(F.col("id"), sharding.even_tree(n)).alias("a"), sharding.shard_of(F.col("id"), sharding.even_tree(n + 1)).alias("b")).collect()
-    assert {r["b"] for r in ids if r["a"] != r["b"]} == {n}
 
+def plain_descent(key, tree):
+    """The shard of a key by going down the tree, without Spark."""
+    while isinstance(tree, sharding.Node):
+        time = lambda x: -math.log(((xx(sharding.SALT, x.name, key) >> 11) + 0.5) / 2**53) / x.weight
+        tree = min((x for x in tree.below if x.weight > 0), key=time)
+    return tree.number
+
+
+def placed(spark, tree, n=3000):
+    return {r["id"]: r["s"] for r in sharding.with_shard(spark.range(n), "id", tree, "s").collect()}
+
+
+def a_tree(w=1.0, at=1):
+    s = lambda i: sharding.Shard(i, w if i == at else 1.0 + i % 3)
+    return sharding.Node("root", (
+        sharding.Node("a", (sharding.Node("a1", (s(0), s(1))), sharding.Node("a2", (s(2),)))), sharding.Node("b", (sharding.Node("b1", (s(3), s(4), s(5))), sharding.Node("b2", (s(6),)))), sharding.Node("c", (s(7), s(8))),
+    ))
 
-def test_a_weight_moves_rows_only_to_its_shard(spark):
-    from pyspark.sql import functions as F
 
-    tree = lambda w: [[[sharding.Leaf(0), sharding.Leaf(1, w)], [sharding.Leaf(2)]], [[sharding.Leaf(3)]]]
-    rows = spark.range(4000).select(sharding.shard_of(F.col("id"), tree(1.0)).alias("a"), sharding.shard_of(F.col("id"), tree(3.0)).alias("b")).collect()
-    assert {r["b"] for r in rows if r["a"] != r["b"]} == {1}
-    assert abs(sum(r["b"] == 1 for r in rows) / 4000 - 0.5) < 0.04
+@pytest.mark.parametrize("tree", [sharding.even_tree(16), sharding.tree_of(18), a_tree(2.5), a_tree(0.0)])
+def test_shards_are_those_of_a_plain_descent(spark, tree):
+    assert placed(spark, tree) == {i: plain_descent(i, tree) for i in range(3000)}
+    none = sharding.with_shard(spark.createDataFrame([(None,)], "id long"), "id", tree, "s").first()["s"]
+    assert none == plain_descent(None, tree)
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 8, 16, 17, 20])
+def test_a_grown_tree_takes_rows_only_into_the_new_shard(spark, n):
+    tree = sharding.tree_of(n, min(n, 16))
+    a, b = placed(spark, tree), placed(spark, sharding.grown(tree, sharding.Shard(n)))
+    assert {b[i] for i in a if a[i] != b[i]} == {n}
+    assert n < 16 or sharding.grown(tree, sharding.Shard(n)) == sharding.tree_of(n + 1)
+
+
+def test_the_shape_of_the_tree_matters(spark):
+    assert placed(spark, sharding.even_tree(16, 4, 2)) != placed(spark, sharding.even_tree(16, 8, 1))
+
+
+def test_changed_weights_move_rows_only_into_or_out_of_their_subtree(spark):
+    for at, sub in ((1, {0, 1, 2}), (4, {3, 4, 5, 6}), (7, {7, 8})):
+        one, more = placed(spark, a_tree(1.0, at), 6000), placed(spark, a_tree(4.0, at), 6000)
+        moved = {(one[i], more[i]) for i in one if one[i] != more[i]}
+        assert moved and all(b in sub for _, b in moved)  # more weight: only into the subtree
+        assert all(a not in sub or b == at for a, b in moved if at in (1, 7) and {a, b} <= ({0, 1} if at == 1 else sub))
+        total = sum(x.weight for x in a_tree(4.0, at).below)
+        assert abs(sum(s == at for s in more.values()) / 6000 - 4 / total) < 0.04
 
 
 def test_boundaries_are_optimal():
@@ -284,19 +371,44 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([]) == []
 
 
-def test_packing(spark):
-    got = packing.packed(wide(spark), buckets=3, budget=12).collect()
-    assert len(got) == len(ROWS)
-    batches = collections.defaultdict(list)
+def brute_packed(rows, buckets, budget):
+    """The least padding over all choices of boundaries, and the number of batches that each bucket's rows need."""
+    sizes = sorted(len((t or "").encode()) + 1 for _, t in rows)
+    tops = sorted(set(sizes))
+    best = min(((sum(min(e for e in (*c, tops[-1]) if e >= s) - s for s in sizes), c) for m in range(buckets) for c in itertools.combinations(tops[:-1], m)), key=lambda x: x[0])
+    return best[0]
+
+
+@pytest.mark.parametrize("buckets,budget", [(1, 12), (3, 12), (3, 9000), (5, 1)])
+def test_packing(spark, buckets, budget):
+    got = packing.packed(wide(spark), buckets=buckets, budget=budget).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == sorted(((d, len((t or "").encode()) + 1) for d, t in ROWS), key=repr)
+    assert sum(r["padded_tokens"] - r["n_tokens"] for r in got) == brute_packed(ROWS, buckets, budget)
+    rows = collections.defaultdict(list)
     for r in got:
-        assert r["n_tokens"] <= r["padded_tokens"]
-        batches[r["bucket"], r["batch"]].append(r)
-    for rows in batches.values():
-        assert len(rows) == 1 or sum(r["padded_tokens"] for r in rows) <= 12
-        assert sorted(r["place"] for r in rows) == list(range(len(rows)))
+        rows[r["bucket"]].append(r)
+    tops = {b: max(r["n_tokens"] for r in x) for b, x in rows.items()}
+    assert [tops[b] for b in sorted(tops)] == sorted(tops.values())
+    for b, x in rows.items():
+        fit = max(1, budget // tops[b])
+        assert {r["padded_tokens"] for r in x} == {tops[b]}
+        assert sorted((r["batch"], r["place"]) for r in x) == [(i // fit, i % fit) for i in range(len(x))]
     assert packing.packed(table(spark, [])).count() == 0
 
 
+def test_packing_by_a_column_of_lengths(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, -4), (4, 70)], "doc_id long, n_tokens int")
+    assert sorted((r["doc_id"], r["n_tokens"], r["padded_tokens"]) for r in packing.packed(df, buckets=2, length="n_tokens").collect()) == [(1, 5, 5), (2, 0, 5), (3, 0, 5), (4, 70, 70)]
+
+
+def test_numbers_have_no_gaps_whatever_the_copies(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS g", "if(id % 2 = 0, 1L, id) AS x")
+    s = scratch.Scratch(spark, "numbers")
+    got = scratch.numbered(s.put("t", scratch.binned(df, ["x"], bins=16)), ["g"], ["x"], "at", s).collect()
+    for g in range(3):
+        assert sorted(r["at"] for r in got if r["g"] == g) == list(range(1000))
+
+
 def test_histogram_cells_rise_and_are_bounded(spark):
     from pyspark.sql import functions as F
 
