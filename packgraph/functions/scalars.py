@@ -105,3 +105,13 @@ def safe_path(path: Column) -> Column:
 def redact(text: Column) -> Column:
     """Secrets of keys such as ``sk-...`` and bearer tokens replaced."""
     return F.regexp_replace(F.regexp_replace(text, r"sk-[A-Za-z0-9_-]{8,}", "sk-***"), r"(?i)(bearer\s+)[A-Za-z0-9._-]{8,}", "$1***")
+
+
+def square_metres(metric: Column, square_feet: Column) -> Column:
+    """An area in square metres: the metric one if there is one, else the one in square feet converted."""
+    return F.coalesce(metric, square_feet * F.lit(SQFT_TO_SQM))
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL as it is written, with its port; empty if there is none."""
+    return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)

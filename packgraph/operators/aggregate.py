@@ -117,3 +117,12 @@ def nested_totals(df: DataFrame, outer: str, inner: str, value: Column, refs: st
     """Two levels in one shuffle of partial sums: per outer key a total, and an array of its inner keys' totals."""
     low = df.groupBy(outer, inner).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"), F.countDistinct(refs).alias("refs"))
     return low.groupBy(outer).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(inner, "total", "n", "refs"))).alias("items"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name and n of tables; an empty one counts 0."""
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.functions.scalars import SQFT_TO_SQM, short_id
+from packgraph.functions.scalars import short_id, square_metres
 from packgraph.operators import derive as D
 from packgraph.operators import join as J
 
@@ -43,7 +43,7 @@ def quantity_facts(quantities: DataFrame, elements: DataFrame) -> DataFrame:
     measure = F.lit("other")
     for pattern, kind in reversed(MEASURES):
         measure = F.when(F.col("display").rlike(rf"[0-9]\s*(?:{pattern})\s*$"), kind).otherwise(measure)
-    rows = quantities.select("quantity_id", F.col("element_id"), "parameter", "display", F.coalesce(F.col("area_m2"), F.col("area_ft2") * SQFT_TO_SQM).alias("area_m2"), "volume_m3", measure.alias("measure"))
+    rows = quantities.select("quantity_id", F.col("element_id"), "parameter", "display", square_metres(F.col("area_m2"), F.col("area_ft2")).alias("area_m2"), "volume_m3", measure.alias("measure"))
     return J.enrich(rows, "element_id", elements.withColumnRenamed("name", "element_name"), "element_id", ["category", "element_name"])
 
 

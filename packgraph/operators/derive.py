@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import short_id
+from packgraph.operators.numbering import numbered
 
 REVIEW_BELOW = 0.65
 
@@ -97,5 +98,4 @@ def sharded_by_size(rows: DataFrame, key: str, order: Sequence[str], most: int)
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("slices", F.ceil(F.col("n") / most))
     before = Window.orderBy(F.col("n").desc(), key).rowsBetween(Window.unboundedPreceding, -1)  # over groups, not rows
     starts = sizes.select(F.col(key).alias("__k"), F.coalesce(F.sum("slices").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return rows.withColumn("__p", place).join(starts, F.col(key) == F.col("__k")).withColumn("shard", (F.col("start") + F.floor(F.col("__p") / most)).cast("int")).drop("__p", "__k", "start")
+    return numbered(rows, [key], list(order), "__p").join(starts, F.col(key) == F.col("__k")).withColumn("shard", (F.col("start") + F.floor(F.col("__p") / most)).cast("int")).drop("__p", "__k", "start")

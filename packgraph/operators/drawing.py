@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import dimension_mm, orientation, room_tag
+from packgraph.functions.texts import short_number
 
 #: Entity types that hold text (fixed values).
 TEXT_TYPES = ("TEXT", "MTEXT", "DIMENSION", "LAYER")
@@ -73,3 +75,31 @@ def area_from_dimensions(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def room_areas(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tag", room_tag(F.col("text"))).filter("tag IS NOT NULL").select(*[c for c in rows.columns], "tag.label", "tag.area", "tag.unit")
+
+
+def box_of(bbox: Column, low: Column, high: Column, points: list[Column]) -> Column:
+    """A box from an array of four numbers, else from its two corners (structs of x and y), else from the first point; null if
+    nothing is whole."""
+    at = lambda i: F.get(bbox, F.lit(i)).cast("double")
+    listed = F.when((F.size(bbox) >= 4) & at(0).isNotNull() & at(1).isNotNull() & at(2).isNotNull() & at(3).isNotNull(), F.struct(at(0).alias("x1"), at(1).alias("y1"), at(2).alias("x2"), at(3).alias("y2")))
+    whole = lambda *c: F.forall(F.array(*[x.cast("double") for x in c]), lambda x: x.isNotNull())
+    d = lambda c: c.cast("double")
+    cornered = F.when(whole(low["x"], low["y"], high["x"], high["y"]), F.struct(d(low["x"]).alias("x1"), d(low["y"]).alias("y1"), d(high["x"]).alias("x2"), d(high["y"]).alias("y2")))
+    single = [F.when(whole(p["x"], p["y"]), F.struct(d(p["x"]).alias("x1"), d(p["y"]).alias("y1"), d(p["x"]).alias("x2"), d(p["y"]).alias("y2"))) for p in points]
+    return F.coalesce(listed, cornered, *single)
+
+
+def entity_text(kind: Column, measurement: Column, texts: list[Column]) -> Column:
+    """What an entity says: a dimension's measured number, else the first text that it has, else nothing."""
+    return F.coalesce(F.when(kind == "DIMENSION", short_number(measurement.try_cast("double"), 6)), *[t.cast("string") for t in texts], F.lit(""))
+
+
+def rectangle(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Square metres of each key: its largest horizontal times its largest vertical length, or, where one of these is missing,
+    its two lengths of highest confidence (then the largest)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("confidence").desc_nulls_last(), F.col("value_mm").desc()))
+    top = rows.withColumn("__p", place)
+    sides = top.groupBy(*keys).agg(*[F.max(F.when(F.col("direction") == d, F.col("value_mm"))).alias(n) for d, n in (("horizontal", "w"), ("vertical", "h"))], *[F.max(F.when(F.col("__p") == i, F.col("value_mm"))).alias(f"d{i}") for i in (1, 2)])
+    both = F.col("w").isNotNull() & F.col("h").isNotNull()
+    area = F.when(both, F.col("w") * F.col("h")).otherwise(F.col("d1") * F.col("d2"))
+    return sides.select(*keys, F.round(area / 1_000_000, 4).alias("area_m2"), F.when(both, "directions").when(F.col("d2").isNotNull(), "confidence").alias("method"))

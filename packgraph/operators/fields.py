@@ -94,7 +94,7 @@ class Resolver:
             return found
         if self.properties is None:
             return missing()
-        path = name.removeprefix("properties.")
+        path = name.removeprefix("properties.").removeprefix(f"{self.properties}.")
         steps = "".join(f"['{p}']" for p in path.replace("'", "\\'").split("."))
         return variant(F.try_variant_get(F.col(self.properties), "$" + steps, "variant"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import edge_id
+from packgraph.operators.numbering import numbered
+from packgraph.scratch import Scratch
 
 
 def dedupe_nodes(nodes: DataFrame, order: str) -> DataFrame:
@@ -28,16 +30,24 @@ def node_key(kind: str, key: str) -> Column:
     return F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
 
 
-def union_edges(explicit: DataFrame | None, inferred: Sequence[DataFrame]) -> DataFrame:
-    """Explicit edges and those inferred edges that no explicit one has the source, relation and target of."""
+def union_edges(explicit: DataFrame | None, inferred: Sequence[DataFrame], once: bool = False) -> DataFrame:
+    """Explicit edges and those inferred edges that no explicit one has the source, relation and target of. ``once``: the
+    inferred parts have no repeats and no edge in common, so nothing is moved to find any."""
     triple = ["source", "relation", "target"]
     out = inferred[0]
     for more in inferred[1:]:
         out = out.unionByName(more)
-    out = out.distinct()
+    out = out if once else out.distinct()
     return out if explicit is None else explicit.select(*triple).distinct().unionByName(out.join(explicit, triple, "left_anti").select(*triple))
 
 
+def keyed_edges(df: DataFrame, source: tuple[str, str], target: tuple[str, str], relation: str, unique: bool = False) -> DataFrame:
+    """Edges between ids such as ``order:7`` that two key columns (kind, column) imply, each once. Repeats are found on the keys
+    themselves, before any id is made; ``unique``: there are none, since a key of the table is among the two."""
+    pairs = df.select(F.col(source[1]).alias("a"), F.col(target[1]).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return edges_from(pairs if unique else pairs.distinct(), node_key(source[0], "a"), node_key(target[0], "b"), relation)
+
+
 def with_ids(edges: DataFrame, pack: str) -> DataFrame:
     return edges.withColumn("id", edge_id(F.lit(pack), F.col("source"), F.col("relation"), F.col("target")))
 
@@ -69,13 +79,18 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """id and hop (least number of undirected steps) of all nodes within so many steps. Circles end at visited nodes."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    """id and hop (least number of undirected steps) of all nodes within so many steps. Circles end at visited nodes.
+
+    Only edges that touch the frontier are taken in a hop, so nothing is done to the others, and each frontier is written:
+    the next hop reads it instead of computing all hops before it again.
+    """
+    scratch = Scratch(edges.sparkSession, "k-hop")
+    frontier = scratch.put("hop-0", seeds.select("id").filter("id IS NOT NULL").distinct().withColumn("hop", F.lit(0)))
+    seen = frontier
     for hop in range(1, hops + 1):
-        step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        out = edges.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
+        back = edges.join(frontier.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
+        frontier = scratch.put(f"hop-{hop}", out.unionByName(back).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -96,12 +111,122 @@ def stub_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def budget(rows: DataFrame, pack: str, order: list[str], total: int, packs: int) -> DataFrame:
-    """Rows of each pack up to an even share of the total, in order, with numbers in ``place``."""
-    share = -(-total // max(1, packs))
-    place = F.row_number().over(Window.partitionBy(pack).orderBy(*order))
-    return rows.withColumn("place", place).filter(F.col("place") <= share)
+    """Rows of each pack up to its share of the total, in order, with numbers from 1 in ``place``.
+
+    Packs are gone through by rising number of rows, each with an even share, rounded up, of what is left for it and those
+    after it, so slots that a small pack leaves unused go to the others.
+    """
+    sizes = [(r[pack], r["n"]) for r in rows.groupBy(pack).agg(F.count(F.lit(1)).alias("n")).collect()]  # one row for each pack
+    left, open_, shares = max(0, total), max(packs, len(sizes)), []
+    for name, n in sorted(sizes, key=lambda x: (x[1], str(x[0]))):
+        share = min(n, -(-left // open_))
+        shares.append((name, share))
+        left, open_ = left - share, open_ - 1
+    kind = rows.schema[pack].dataType.simpleString()
+    allowed = F.broadcast(rows.sparkSession.createDataFrame(shares, f"__pack {kind}, __share long"))
+    placed = numbered(rows, [pack], order, "place").withColumn("place", F.col("place") + 1)
+    return placed.join(allowed, F.col(pack).eqNullSafe(F.col("__pack"))).filter("place <= __share").drop("__pack", "__share")
 
 
 def shard(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """Slices of at most ``size`` rows inside each value of the key: a column shard from 0."""
-    return rows.withColumn("shard", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("int"))
+    return numbered(rows, [key], order, "shard").withColumn("shard", F.floor(F.col("shard") / size).cast("int"))
+
+
+def visible_nodes(ranked: DataFrame, limit: int, min_degree: int = 0, hidden_types: Sequence[str] = (), focus: DataFrame | None = None, forced: DataFrame | None = None, search: str = "") -> DataFrame:
+    """The forced nodes and, for what is left of the limit, the others by falling degree, then id: their columns, forced, and
+    capped (others were left out). ranked: id, label, type, degree; focus and forced: id."""
+    must = ranked.join(forced.select("id").distinct(), "id", "left_semi") if forced is not None else ranked.limit(0)
+    rest = ranked.join(forced.select("id").distinct(), "id", "left_anti") if forced is not None else ranked
+    rest = rest.filter((F.col("degree") >= min_degree) & ~F.coalesce(F.col("type").isin(list(hidden_types)), F.lit(False)))
+    rest = rest.join(focus.select("id").distinct(), "id", "left_semi") if focus is not None else rest
+    if search.strip():
+        has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(search.strip().lower())), F.lit(False))
+        rest = rest.filter(has("id") | has("label"))
+    room = max(0, limit - must.count())
+    some = rest.orderBy(F.col("degree").desc(), "id").limit(room + 1)
+    capped = some.count() > room
+    shown = some.orderBy(F.col("degree").desc(), "id").limit(room)
+    return must.withColumn("forced", F.lit(True)).unionByName(shown.withColumn("forced", F.lit(False))).withColumn("capped", F.lit(capped))
+
+
+def resolve_references(nodes: DataFrame, pack: str, referenced: DataFrame | None, text: str = "", limit: int = 300) -> DataFrame:
+    """id of the shown nodes of one pack that an answer refers to, by their source ids or, without a list, by whole mentions in
+    its text. nodes: id, label, pack_id (null: unknown), original_id (null: the id without the pack's prefix), ord."""
+    prefix = f"{pack}::"
+    own = F.col("id").startswith(prefix)
+    rows = nodes.filter(F.coalesce(F.col("pack_id") == pack, own | ~F.contains("id", F.lit("::"))))
+    rows = rows.withColumn("__source", F.coalesce("original_id", F.when(own, F.substring("id", len(prefix) + 1, 1 << 20)), F.col("id")))
+    if referenced is not None:
+        ids = referenced.select(F.col("id").alias("__ref")).distinct()
+        hits = rows.join(ids, (F.col("__ref") == F.col("__source")), "left_semi").unionByName(rows.join(ids, F.col("__ref") == F.col("id"), "left_semi")).dropDuplicates(["id"])
+    else:
+        quoted = lambda c: F.concat(F.lit(r"(?s)(^|[^0-9A-Za-z\uAC00-\uD7A3])"), F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"($|[^0-9A-Za-z\uAC00-\uD7A3])"))
+        said = lambda c, least: (F.length(c) >= least) & F.contains(F.lit(text), F.col(c)) & F.lit(text).rlike(quoted(F.col(c)))
+        hits = rows.filter(F.coalesce(said("label", 4), F.lit(False)) | said("id", 1) | said("__source", 6))
+    return hits.orderBy("ord").limit(limit).select("id")
+
+
+def merge_references(rows: DataFrame, keys: Sequence[str], refs: str, order: str) -> DataFrame:
+    """One row for each key: the first row's columns and the references (an array) of all of them, in order, each once."""
+    rest = [c for c in rows.columns if c not in (*keys, refs, order)]
+    parts = F.array_sort(F.collect_list(F.struct(order, F.coalesce(refs, F.array()).alias("r"))))
+    merged = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("m"), F.min(order).alias(order), F.array_distinct(F.flatten(F.transform(parts, lambda p: p["r"]))).alias(refs))
+    return merged.select(*keys, *[f"m.{c}" for c in rest], order, refs)
+
+
+def scaffold(rows: DataFrame, dims: Sequence[str], key: str, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """A graph over the dimensions of rows: nodes (id, type, label, evidence: the first key with that value) for the dataset
+    and each value, and edges from the dataset to each value and from each value of a dimension to those of the next that
+    occur with it."""
+    spark, root = rows.sparkSession, f"dataset:{dataset}"
+    blank = lambda d: F.nullif(F.trim(F.col(d).cast("string")), F.lit(""))
+    node = lambda d: F.concat(F.lit(f"{d}:"), blank(d))
+    nodes = spark.createDataFrame([(root, "dataset", dataset, None)], "id string, type string, label string, evidence string")
+    edges = None
+    for i, d in enumerate(dims):
+        values = rows.filter(blank(d).isNotNull()).groupBy(node(d).alias("id"), blank(d).alias("label")).agg(F.min(key).cast("string").alias("evidence"))
+        nodes = nodes.unionByName(values.select("id", F.lit(d).alias("type"), "label", "evidence"))
+        found = values.select(F.lit(root).alias("source"), F.col("id").alias("target"), F.lit(f"has_{d}").alias("relation"))
+        if i:
+            last = dims[i - 1]
+            pairs = rows.filter(blank(d).isNotNull() & blank(last).isNotNull()).select(node(last).alias("source"), node(d).alias("target")).distinct()
+            found = found.unionByName(pairs.withColumn("relation", F.lit(f"{last}_has_{d}")))
+        edges = found if edges is None else edges.unionByName(found)
+    return nodes, edges
+
+
+def tree_filter(tree: DataFrame, matches: DataFrame, depth: int = 32) -> DataFrame:
+    """Rows of a tree (id, parent) that match or have a match below them, with matched: matches are walked up to their roots,
+    at most ``depth`` levels; circles end at nodes that are already kept."""
+    scratch = Scratch(tree.sparkSession, "tree")
+    frontier = scratch.put("level-0", matches.select("id").distinct())
+    kept = frontier
+    for level in range(1, depth + 1):
+        above = tree.join(frontier, "id", "left_semi").select(F.col("parent").alias("id")).filter("id IS NOT NULL").distinct()
+        frontier = scratch.put(f"level-{level}", above.join(kept, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        kept = kept.unionByName(frontier)
+    found = tree.join(kept, "id", "left_semi")
+    return found.join(matches.select("id").distinct().withColumn("matched", F.lit(True)), "id", "left").fillna({"matched": False})
+
+
+def merge_local(parts: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of several loaded graphs as one: a node of a later part does not replace one of an earlier, ends without
+    a node become placeholders until a part has the real one, edges count once by source, relation and target, and a node's
+    size comes from its degree (4 to 24)."""
+    nodes, edges = None, None
+    for i, (n, e) in enumerate(parts):
+        n = n.select("id", "label", "type", F.lit(i).alias("part"), F.lit(False).alias("placeholder"))
+        nodes = n if nodes is None else nodes.unionByName(n)
+        e = e.select("source", "relation", "target")
+        edges = e if edges is None else edges.unionByName(e)
+    edges = edges.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    stubs = ends.select("id", F.col("id").alias("label"), F.lit("Element").alias("type"), F.lit(len(parts)).alias("part"), F.lit(True).alias("placeholder"))
+    best = F.min(F.struct("placeholder", "part", "label", "type")).alias("m")
+    whole = nodes.unionByName(stubs).filter("id IS NOT NULL").groupBy("id").agg(best).select("id", "m.label", "m.type", "m.placeholder")
+    degree = degrees(edges).select("id", "degree")
+    sized = whole.join(degree, "id", "left").fillna({"degree": 0})
+    return sized.withColumn("size", F.least(F.lit(24), 4 + F.col("degree"))), edges

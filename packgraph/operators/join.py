@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from packgraph.operators.fields import Resolver
 from packgraph.operators.where import InvalidQuery, compile_where
@@ -19,11 +20,12 @@ def _side(df: DataFrame, field: str, where: Any, properties: str | None) -> Data
     return rows.withColumn("join_key", resolve(field).value).filter("join_key IS NOT NULL")
 
 
-def join_by_property(left: DataFrame, left_field: str, right: DataFrame, right_field: str, how: str = "inner", left_where: Any = None, right_where: Any = None, properties: str | None = None, summary: list[Column] | None = None) -> DataFrame:
+def join_by_property(left: DataFrame, left_field: str, right: DataFrame, right_field: str, how: str = "inner", left_where: Any = None, right_where: Any = None, properties: str | None = None, summary: list[Column] | None = None, samples: tuple[int, list[str]] | None = None) -> DataFrame:
     """join_key, left (struct of the row, null for a key of the right side only) and the right side's columns.
 
     Null and missing keys are left out on both sides, in outer joins too. Without ``summary`` the right side is an array of
-    its rows; with it, only these aggregates are kept of each key, which a hot key needs.
+    its rows; with it, only these aggregates are kept of each key, which a hot key needs. ``samples`` (how many, columns) adds
+    the first rows of a key by these columns; each task keeps no more than that of a key before rows are moved.
     """
     if how not in JOINS:
         raise InvalidQuery(f"unknown join {how!r}")
@@ -31,7 +33,13 @@ def join_by_property(left: DataFrame, left_field: str, right: DataFrame, right_f
     a = a.select("join_key", F.struct(*[c for c in a.columns if c != "join_key"]).alias("left"))
     b = _side(right, right_field, right_where, properties)
     rows = summary or [F.collect_list(F.struct(*[c for c in b.columns if c != "join_key"])).alias("right")]
-    return a.join(b.groupBy("join_key").agg(*rows), "join_key", JOINS[how])
+    right = b.groupBy("join_key").agg(*rows)
+    if samples:
+        most, columns = samples
+        place = F.row_number().over(Window.partitionBy("join_key").orderBy(*columns))
+        some = b.select("join_key", *columns).withColumn("__p", place).filter(F.col("__p") <= most)
+        right = right.join(some.groupBy("join_key").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("samples")), "join_key")
+    return a.join(right, "join_key", JOINS[how])
 
 
 def key_diagnostics(left: DataFrame, left_field: str, right: DataFrame, right_field: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import number
 
@@ -24,10 +25,13 @@ def property_profile(df: DataFrame, group: str, json: str, samples: int = 8) ->
         F.count("value").alias("n"),
         F.countDistinct("value").alias("n_distinct"),
         F.count_if(number(F.col("value")).isNotNull()).alias("n_numeric"),
-        F.slice(F.array_sort(F.collect_set(F.substring("value", 1, 64))), 1, samples).alias("samples"),
     )
-    out = stats.join(total, group)
-    return out.select(group, "property", "n", "n_distinct", F.round(F.col("n") / F.col("total"), 4).alias("coverage"), F.round(F.col("n_numeric") / F.col("n"), 4).alias("numeric_ratio"), "samples")
+    # Values are told apart as a whole and ranked before any is collected, so a group holds only its samples.
+    place = F.row_number().over(Window.partitionBy(group, "property").orderBy("value"))
+    some = values.filter("value IS NOT NULL").distinct().withColumn("place", place).filter(F.col("place") <= samples)
+    some = some.groupBy(group, "property").agg(F.array_sort(F.collect_list("value")).alias("all")).select(group, "property", F.transform("all", lambda v: F.substring(v, 1, 64)).alias("samples"))
+    out = stats.join(total, group).join(some, [group, "property"], "left")
+    return out.select(group, "property", "n", "n_distinct", F.round(F.col("n") / F.col("total"), 4).alias("coverage"), F.round(F.col("n_numeric") / F.col("n"), 4).alias("numeric_ratio"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:

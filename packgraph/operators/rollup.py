@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BLANK = "(blank)"
 
@@ -53,6 +54,14 @@ def fastener_name(diameter_m: Column, length_m: Column) -> Column:
     return F.concat(F.lit("M"), mm(diameter_m), F.lit("x"), mm(length_m))
 
 
+def least_values(rows: DataFrame, keys: Sequence[str], value: Column, most: int, out: str) -> DataFrame:
+    """keys and the ``most`` least distinct values of each; they are ranked before any is collected."""
+    flat = rows.select(*keys, value.alias("__v")).filter("__v IS NOT NULL").distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__v"))
+    return flat.withColumn("__p", place).filter(F.col("__p") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias(out))
+
+
 def type_rows(rows: DataFrame, keys: Sequence[str], length: Column, area: Column, volume: Column, concrete: Column, sample: Column) -> DataFrame:
-    """Quantities per type; volume counts concrete only; three least samples."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"), F.sum(area).alias("area"), F.sum(F.when(concrete, volume).otherwise(0)).alias("volume"), F.slice(F.array_sort(F.collect_set(sample)), 1, 3).alias("samples"))
+    """Quantities per type; volume counts concrete only; three least samples. Types whose key is null have none."""
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"), F.sum(area).alias("area"), F.sum(F.when(concrete, volume).otherwise(0)).alias("volume"))
+    return sums.join(least_values(rows, keys, sample, 3, "samples"), list(keys), "left")

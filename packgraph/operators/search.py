@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import collapse, occurrences
+from packgraph.functions.texts import EXPANSIONS, FLOOR
 
 #: Words that are no search terms (fixed values).
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")
+STOP_WORDS = (
+    "the", "and", "for", "with", "what", "which", "how", "are", "is", "of", "to", "this", "that", "from", "about", "tell", "show", "list", "give", "please",
+    "설명", "알려", "무엇", "어떤", "어떻게", "그리고", "그것", "대해", "해줘", "주세요", "입니까", "인가요",
+)
 BEFORE, AFTER = 120, 260  # characters of a snippet around the first hit
 
 
 def query_terms(query: str) -> list[str]:
     """Terms in order, each once: ASCII words of two letters or more that are no stop words, all digits, Hangul runs of two
-    to four characters and the pairs in longer and shorter ones."""
+    to four characters that are no stop words, and the pairs in all of them."""
     out: list[str] = []
     for token in re.findall(r"[a-z0-9]+|[가-힣]+", query.lower()):
         if token[0] >= "가":
-            if 2 <= len(token) <= 4:
+            if 2 <= len(token) <= 4 and token not in STOP_WORDS:
                 out.append(token)
             out += [token[i : i + 2] for i in range(len(token) - 1)]
         elif token.isdigit() or (len(token) >= 2 and token not in STOP_WORDS):
@@ -30,9 +34,17 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def score(text: Column, terms: Sequence[str]) -> Column:
-    """Sum over matched terms of (1 + 0.4 (length - 1)) (1 + 0.2 min(count, 5)), times 1 + 0.5 matched; 0 without a match."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def expand(question: str) -> str:
+    """A question with the words that its keywords and floors stand for, each once, in order."""
+    low, parts = question.casefold(), [question]
+    for word, more in EXPANSIONS.items():
+        parts += more if word in low else ()
+    for n in dict.fromkeys(int(x) for x in re.findall(FLOOR, question)):
+        parts += [f"{n}-", f"{n}F", f"{n}층"]
+    return " ".join(dict.fromkeys(p for p in parts if p))
+
+
+def _score(low: Column, terms: Sequence[str]) -> Column:
     total, matched = F.lit(0.0), F.lit(0)
     for t in terms:
         n = F.least(occurrences(low, t), F.lit(5))
@@ -41,6 +53,26 @@ def score(text: Column, terms: Sequence[str]) -> Column:
     return total * (1 + 0.5 * matched)
 
 
+def score(text: Column, terms: Sequence[str]) -> Column:
+    """Sum over matched terms of (1 + 0.4 (length - 1)) (1 + 0.2 min(count, 5)), times 1 + 0.5 matched; 0 without a match."""
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: _score(low, terms)), F.lit(0))
+
+
+def scored(rows: DataFrame, text: Column, terms: Sequence[str]) -> DataFrame:
+    """Rows that match, with score and hit (where the first term stands). A text is put in small letters once for all of it."""
+
+    def measured(low: Column) -> Column:
+        return F.struct(F.round(_score(low, terms), 6).alias("score"), _first_hit(low, terms).alias("hit"))
+
+    found = F.filter(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), measured), lambda s: s["score"] > 0)
+    return rows.select("*", F.explode(found).alias("__s")).select(*rows.columns, "__s.score", "__s.hit")
+
+
+def _first_hit(low: Column, terms: Sequence[str]) -> Column:
+    hits = [F.nullif(F.instr(low, t), F.lit(0)) for t in terms]
+    return F.coalesce(F.least(*hits) if len(hits) > 1 else hits[0], F.lit(1)) if hits else F.lit(1)
+
+
 def any_term(text: Column, terms: Sequence[str]) -> Column:
     out = F.lit(False)
     for t in terms:
@@ -48,28 +80,32 @@ def any_term(text: Column, terms: Sequence[str]) -> Column:
     return out
 
 
-def snippet(text: Column, terms: Sequence[str]) -> Column:
-    """The text around the earliest hit, white space collapsed; from the start if there is no hit."""
-    hits = [F.nullif(F.instr(F.lower(text), t), F.lit(0)) for t in terms]
-    hit = F.coalesce(F.least(*hits) if len(hits) > 1 else hits[0], F.lit(1)) if hits else F.lit(1)
+def _around(text: Column, hit: Column) -> Column:
     start = F.greatest(hit - BEFORE, F.lit(1))
     return collapse(F.substring(text, start, hit + AFTER - start))
 
 
+def snippet(text: Column, terms: Sequence[str]) -> Column:
+    """The text around the earliest hit, white space collapsed; from the start if there is no hit."""
+    hit = F.get(F.transform(F.array(F.lower(text)), lambda low: _first_hit(low, terms)), F.lit(0))
+    return _around(text, hit)
+
+
 def search(rows: DataFrame, text: Column, query: str, limit: int | None, tie: Sequence[str], shown: Column | None = None) -> DataFrame:
-    """Rows that match, by falling score: their columns, score and snippet. The cheap test for any term comes first."""
+    """Rows that match, with their columns, score and snippet: the best by score if there is a limit, else all of them in no
+    order, since nothing asks for one."""
     terms = query_terms(query)
     if not terms:
         return rows.withColumn("score", F.lit(0.0)).withColumn("snippet", F.lit("")).limit(0)
-    found = rows.filter(any_term(text, terms)).withColumn("score", F.round(score(text, terms), 6))
-    found = found.withColumn("snippet", snippet(text if shown is None else shown, terms)).orderBy(F.col("score").desc(), *tie)
-    return found if limit is None else found.limit(max(0, limit))
+    found = scored(rows, text, terms)
+    if limit is not None:
+        found = found.orderBy(F.col("score").desc(), *tie).limit(max(0, limit))
+    return found.withColumn("snippet", _around(text, F.col("hit")) if shown is None else snippet(shown, terms)).drop("hit")
 
 
 def top_per_pack(rows: DataFrame, text: Column, query: str, pack: str, limit: int, tie: Sequence[str]) -> DataFrame:
     """The best rows of each pack, numbered in ``place``."""
-    terms = query_terms(query)
-    found = rows.filter(any_term(text, terms)).withColumn("score", F.round(score(text, terms), 6))
+    found = scored(rows, text, query_terms(query)).drop("hit")
     place = F.row_number().over(Window.partitionBy(pack).orderBy(F.col("score").desc(), *tie))
     return found.withColumn("place", place).filter(F.col("place") <= limit)
 

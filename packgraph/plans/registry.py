@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packgraph.functions import scalars as S
 from packgraph.operators import aggregate as A
 from packgraph.operators import anchors as AN
+from packgraph.operators import bim as B
 from packgraph.operators import derive as D
 from packgraph.operators import drawing as DR
 from packgraph.operators import graph as G
@@ -162,10 +163,10 @@ SELECT c_mktsegment, CAST(sum(total) AS DOUBLE) AS total, CAST(sum(n) AS BIGINT)
 
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
     query(f"join_{_how}", f"""
-WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name FROM customer WHERE c_custkey % 2 = 0),
+WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
 o AS (SELECT CAST(o_custkey AS VARCHAR) AS k, count(*) AS n_right, min(o_orderkey) AS first_right FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT coalesce(c.k, o.k) AS join_key, c_name, n_right, first_right FROM c {_join} o ON c.k = o.k""")(
-        lambda t, how=_how: J.join_by_property(t.customer.filter("c_custkey % 2 = 0"), "c_custkey", t.orders, "o_custkey", how, right_where={"o_orderstatus": "F"}, summary=[F.count(F.lit(1)).alias("n_right"), F.min("o_orderkey").alias("first_right")])
+        lambda t, how=_how: J.join_by_property(t.customer, "c_custkey", t.orders, "o_custkey", how, {"c_mktsegment__ne": "BUILDING"}, {"o_orderstatus": "F"}, summary=[F.count(F.lit(1)).alias("n_right"), F.min("o_orderkey").alias("first_right")])
         .select("join_key", "left.c_name", "n_right", "first_right")
     )
 query("join_nested", "SELECT CAST(n_nationkey AS VARCHAR) AS join_key, n_name, count(*) AS n, string_agg(s_name, '|' ORDER BY s_name) AS names FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL")(
@@ -186,12 +187,12 @@ query("evidence_fallback", "SELECT n_name FROM nation")(lambda t: J.evidence_fir
 
 def star_edges(t: Tables) -> DataFrame:
     return G.union_edges(None, [
-        G.edges_from(t.lineitem, G.node_key("order", "l_orderkey"), G.node_key("part", "l_partkey"), "has_part"),
-        G.edges_from(t.orders, G.node_key("customer", "o_custkey"), G.node_key("order", "o_orderkey"), "has_order"),
-        G.edges_from(t.customer, G.node_key("nation", "c_nationkey"), G.node_key("customer", "c_custkey"), "has_customer"),
-        G.edges_from(t.supplier, G.node_key("nation", "s_nationkey"), G.node_key("supplier", "s_suppkey"), "has_supplier"),
-        G.edges_from(t.nation, G.node_key("region", "n_regionkey"), G.node_key("nation", "n_nationkey"), "has_nation"),
-    ])
+        G.keyed_edges(t.lineitem, ("order", "l_orderkey"), ("part", "l_partkey"), "has_part"),
+        G.keyed_edges(t.orders, ("customer", "o_custkey"), ("order", "o_orderkey"), "has_order", unique=True),
+        G.keyed_edges(t.customer, ("nation", "c_nationkey"), ("customer", "c_custkey"), "has_customer", unique=True),
+        G.keyed_edges(t.supplier, ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "has_supplier", unique=True),
+        G.keyed_edges(t.nation, ("region", "n_regionkey"), ("nation", "n_nationkey"), "has_nation", unique=True),
+    ], once=True)
 
 
 _EDGES = """
@@ -205,8 +206,8 @@ query("edges_inferred", f"WITH {_EDGES} SELECT source, target, relation FROM e")
 query("edges_explicit_first", f"WITH {_EDGES} SELECT relation, count(*) AS n FROM (SELECT source, relation, target FROM e UNION SELECT 'region:0', 'has_nation', 'nation:0' UNION SELECT 'region:0', 'near', 'region:1') GROUP BY 1")(
     lambda t: G.union_edges(t.spark.createDataFrame([("region:0", "has_nation", "nation:0"), ("region:0", "near", "region:1")], "source string, relation string, target string"), [star_edges(t).select("source", "relation", "target")]).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 )
-query("edge_ids", f"WITH {_EDGES} SELECT source, target, substr(sha1('[\"demo\",\"' || source || '\",\"' || relation || '\",\"' || target || '\"]'), 1, 16) AS id FROM e WHERE relation = 'has_supplier'")(
-    lambda t: G.with_ids(star_edges(t).filter("relation = 'has_supplier'"), "demo").select("source", "target", "id")
+query("edge_ids", f"WITH {_EDGES} SELECT source, target, substr(sha1('[\"demo\",\"' || source || '\",\"' || relation || '\",\"' || target || '\"]'), 1, 16) AS id FROM e")(
+    lambda t: G.with_ids(star_edges(t), "demo").select("source", "target", "id")
 )
 query("degree", f"WITH {_EDGES} SELECT id, CAST(sum(o) AS BIGINT) AS degree_out, CAST(sum(i) AS BIGINT) AS degree_in, count(*) AS degree FROM (SELECT source AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY id")(lambda t: G.degrees(star_edges(t)))
 query("neighbours", f"WITH {_EDGES} SELECT source AS seed, target AS neighbour, relation, 'out' AS direction FROM e WHERE source IN ('nation:1', 'nation:2') UNION ALL SELECT target, source, relation, 'in' FROM e WHERE target IN ('nation:1', 'nation:2')")(
@@ -221,8 +222,8 @@ SELECT id, min(hop) AS hop FROM (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id
 query("induced_subgraph", f"WITH {_EDGES} SELECT source, target, relation FROM e WHERE (source LIKE 'region:%' OR source LIKE 'nation:%' OR source LIKE 'supplier:%') AND (target LIKE 'nation:%' OR target LIKE 'supplier:%')")(
     lambda t: G.induced(star_edges(t), t.nation.select(G.node_key("nation", "n_nationkey").alias("id")).unionByName(t.region.select(G.node_key("region", "r_regionkey").alias("id"))).unionByName(t.supplier.select(G.node_key("supplier", "s_suppkey").alias("id")))).select("source", "target", "relation")
 )
-query("stub_nodes", f"WITH {_EDGES} SELECT DISTINCT id, split_part(id, ':', 1) AS kind FROM (SELECT unnest([source, target]) AS id FROM e) WHERE id NOT IN (SELECT 'nation:' || n_nationkey FROM nation) AND split_part(id, ':', 1) IN ('region', 'nation', 'supplier')")(
-    lambda t: G.stub_nodes(star_edges(t), t.nation.select(G.node_key("nation", "n_nationkey").alias("id"))).filter("kind IN ('region', 'nation', 'supplier')")
+query("stub_nodes", f"WITH {_EDGES} SELECT DISTINCT id, split_part(id, ':', 1) AS kind FROM (SELECT unnest([source, target]) AS id FROM e) WHERE id NOT IN (SELECT 'nation:' || n_nationkey FROM nation)")(
+    lambda t: G.stub_nodes(star_edges(t), t.nation.select(G.node_key("nation", "n_nationkey").alias("id")))
 )
 query("merge_packs", "SELECT 'a::' || n_name AS id, 'a' AS pack_id FROM nation UNION ALL SELECT 'b::' || r_name, 'b' FROM region")(
     lambda t: G.merge_packs({"a": t.nation.select(F.col("n_name").alias("id")), "b": t.region.select(F.col("r_name").alias("id"))}).select("id", "pack_id")
@@ -233,7 +234,11 @@ query("node_dedupe", "SELECT id, min(event_id) AS ord, arg_max(event_type, event
 query("parallel_lanes", "SELECT source, target, relation, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY relation, source, target) - (count(*) OVER (PARTITION BY least(source, target), greatest(source, target)) + 1) / 2.0 AS lane FROM (SELECT DISTINCT 'c' || o_custkey AS source, o_orderstatus AS target, o_orderpriority AS relation FROM orders)")(
     lambda t: G.lanes(t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.col("o_orderstatus").alias("target"), F.col("o_orderpriority").alias("relation")).distinct()).withColumn("lane", dbl(F.col("lane")))
 )
-query("pack_budget", "SELECT c_nationkey, c_custkey, place FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer) WHERE place <= 4")(
+query("pack_budget", """
+WITH RECURSIVE s AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY count(*), CAST(c_nationkey AS VARCHAR)) AS i FROM customer GROUP BY 1),
+r AS (SELECT 0::BIGINT AS i, 100::BIGINT AS rest, 25::BIGINT AS packs, 0::BIGINT AS share UNION ALL
+  SELECT s.i, rest - least(n, CAST(ceil(rest / packs) AS BIGINT)), packs - 1, least(n, CAST(ceil(rest / packs) AS BIGINT)) FROM r JOIN s ON s.i = r.i + 1)
+SELECT c_nationkey, c_custkey, place FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer) JOIN s USING (c_nationkey) JOIN r USING (i) WHERE place <= share""")(
     lambda t: G.budget(t.customer, "c_nationkey", ["c_custkey"], 100, 25).select("c_nationkey", "c_custkey", big(F.col("place")).alias("place"))
 )
 
@@ -275,17 +280,17 @@ query("search_merge_evidence", "SELECT doc_id, CASE WHEN contains(lower(text), '
 query("schema_profile", """
 WITH v AS (SELECT event_type, unnest(json_keys(props)) AS property, props FROM events),
 x AS (SELECT event_type, property, json_extract_string(props, '$.' || property) AS value FROM v),
-s AS (SELECT event_type, property, count(value) AS n, count(DISTINCT value) AS n_distinct, count(try_cast(value AS DOUBLE)) AS n_numeric FROM x GROUP BY ALL)
-SELECT event_type, property, n, n_distinct, round(n / total, 4) AS coverage, round(n_numeric / n, 4) AS numeric_ratio FROM s JOIN (SELECT event_type, count(*) AS total FROM events GROUP BY 1) USING (event_type)""")(
-    lambda t: P.property_profile(t.events, "event_type", "props").select("event_type", "property", "n", "n_distinct", "coverage", "numeric_ratio")
+s AS (SELECT event_type, property, count(value) AS n, count(DISTINCT value) AS n_distinct, count(try_cast(value AS DOUBLE)) AS n_numeric, array_to_string(list_sort(list(DISTINCT value))[:8], '|') AS samples FROM x GROUP BY ALL)
+SELECT event_type, property, n, n_distinct, round(n / total, 4) AS coverage, round(n_numeric / n, 4) AS numeric_ratio, samples FROM s JOIN (SELECT event_type, count(*) AS total FROM events GROUP BY 1) USING (event_type)""")(
+    lambda t: P.property_profile(t.events, "event_type", "props").withColumn("samples", F.array_join("samples", "|"))
 )
 query("column_profile", "SELECT 'p_brand' AS property, count(p_brand) AS n, count(DISTINCT p_brand) AS n_distinct FROM part UNION ALL SELECT 'p_type', count(p_type), count(DISTINCT p_type) FROM part UNION ALL SELECT 'p_size', count(p_size), count(DISTINCT p_size) FROM part")(
     lambda t: P.column_profile(t.part, ["p_brand", "p_type", "p_size"])
 )
-query("field_types", "SELECT unnest(json_keys(props)) AS field, 'number' AS type, count(*) AS n FROM events GROUP BY 1")(lambda t: P.field_types(t.events, "props"))
+query("field_types", "SELECT field, CASE json_type(props, '$.' || field) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS field FROM events) GROUP BY ALL")(lambda t: P.field_types(t.events, "props"))
 query("relation_types", f"WITH {_EDGES} SELECT relation AS key, count(*) AS n FROM e GROUP BY 1")(lambda t: A.histogram(star_edges(t), F.col("relation")))
 query("table_counts", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")(
-    lambda t: t.nation.select(F.lit("nation").alias("name")).unionByName(t.orders.select(F.lit("orders").alias("name"))).unionByName(t.part.select(F.lit("part").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    lambda t: A.table_counts({"nation": t.nation, "orders": t.orders, "part": t.part})
 )
 
 # --- roll-ups ------------------------------------------------------------------------------------------------------------------
@@ -317,13 +322,23 @@ query("facets", "SELECT lower(lang) AS facet, count(DISTINCT doc_id) AS n_object
 query("fasteners", "SELECT 'M' || CAST(p_size AS INTEGER) || 'x' || CAST(p_size * 4 AS INTEGER) AS spec, count(*) AS n, CAST(sum(p_size * 2) AS BIGINT) AS quantity FROM part GROUP BY 1")(
     lambda t: R.level(t.part.withColumn("spec", R.fastener_name(F.col("p_size") / 1000.0, F.col("p_size") * 4 / 1000.0)), ["spec"], {"quantity": big(F.col("p_size") * 2)})
 )
-query("type_rows", "SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS length, CAST(sum(p_size * 2) AS BIGINT) AS area, CAST(sum(CASE WHEN p_type LIKE '%STEEL%' THEN p_size ELSE 0 END) AS BIGINT) AS volume FROM part GROUP BY 1")(
-    lambda t: R.type_rows(t.part, ["p_brand"], big(F.col("p_size")), big(F.col("p_size") * 2), big(F.col("p_size")), F.col("p_type").contains("STEEL"), F.col("p_type")).drop("samples")
+query("type_rows", "SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS length, CAST(sum(p_size * 2) AS BIGINT) AS area, CAST(sum(CASE WHEN p_type LIKE '%STEEL%' THEN p_size ELSE 0 END) AS BIGINT) AS volume, array_to_string(list_sort(list(DISTINCT p_type))[:3], '|') AS samples FROM part GROUP BY 1")(
+    lambda t: R.type_rows(t.part, ["p_brand"], big(F.col("p_size")), big(F.col("p_size") * 2), big(F.col("p_size")), F.col("p_type").contains("STEEL"), F.col("p_type")).withColumn("samples", F.array_join("samples", "|"))
 )
-query("quality_counters", "SELECT count(*) AS n, count(*) FILTER (WHERE l_discount = 0) AS no_discount, count(*) FILTER (WHERE l_tax = 0) AS no_tax FROM lineitem")(
-    lambda t: t.lineitem.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_discount") == 0).alias("no_discount"), F.count_if(F.col("l_tax") == 0).alias("no_tax"))
+query("quality_counters", f"""
+WITH {_EDGES}, n AS (SELECT 'nation:' || n_nationkey AS id, n_name FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_name FROM region)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)) AS broken_edges,
+  (SELECT count(*) FROM n WHERE n_name LIKE '%A%') AS nodes_without_evidence, (SELECT max(c) FROM (SELECT count(*) AS c FROM e GROUP BY relation)) AS largest_relation""")(
+    lambda t: _quality(t)
 )
 
+
+def _quality(t: Tables) -> DataFrame:
+    nodes = t.nation.select(G.node_key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name")).unionByName(t.region.select(G.node_key("region", "r_regionkey").alias("id"), F.col("r_name").alias("name")))
+    edges = star_edges(t).withColumn("id", F.concat_ws(">", "source", "relation", "target"))
+    return B.pack_quality(nodes, edges, nodes.filter("name NOT LIKE '%A%'").select(F.col("id").alias("node_id"))).drop("capped")
+
+
 # --- derivations ---------------------------------------------------------------------------------------------------------------
 
 
@@ -342,8 +357,8 @@ for _rules, _set in (("materials", D.MATERIALS), ("elements", D.ELEMENTS), ("qua
 query("decisions", f"SELECT 'part' AS source_file, CAST(p_partkey AS VARCHAR) AS source_id, {_rules_sql('p_type', D.MATERIALS)} AS label, {_rules_sql('p_type', D.MATERIALS)} = 'unclassified' AS review_required FROM part")(
     lambda t: D.decisions(t.part, "part", "p_partkey", F.col("p_type"), D.MATERIALS).select("source_file", "source_id", "label", "review_required")
 )
-query("schedule_rows", "SELECT conv_id, string_agg(role || ' ' || length(text), ' | ' ORDER BY turn) AS row_text, count(*) AS n_cells FROM conversations GROUP BY 1")(
-    lambda t: D.schedule_rows(t.conversations.select("conv_id", F.lit(2).alias("row"), "turn", F.concat_ws(" ", "role", F.length("text").cast("string")).alias("cell")), "conv_id", "row", "turn", "cell").select("conv_id", "row_text", "n_cells")
+query("schedule_rows", "SELECT conv_id, string_agg(role || ' ' || coalesce(text, ''), ' | ' ORDER BY turn) AS row_text, count(*) AS n_cells FROM conversations GROUP BY 1")(
+    lambda t: D.schedule_rows(t.conversations.select("conv_id", F.lit(2).alias("row"), "turn", F.concat_ws(" ", "role", F.coalesce("text", F.lit(""))).alias("cell")), "conv_id", "row", "turn", "cell").select("conv_id", "row_text", "n_cells")
 )
 query("schedule_headers", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS header FROM conversations")(
     lambda t: D.carried_headers(t.conversations, "conv_id", "turn", F.col("role") == "user", big(F.length("text"))).select("conv_id", "turn", "header")
@@ -369,10 +384,10 @@ SELECT c_custkey, CAST(start + (row_number() OVER (PARTITION BY c_mktsegment ORD
     lambda t: D.sharded_by_size(t.customer, "c_mktsegment", ["c_custkey"], 64).select("c_custkey", "shard")
 )
 query("incremental_diff", """
-WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 1), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 3)
+WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority <> '1-URGENT'), b AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'created' WHEN b.o_orderkey IS NULL THEN 'deleted' WHEN a.o_orderstatus = b.o_orderstatus THEN 'unchanged' ELSE 'updated' END AS change
 FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")(
-    lambda t: ingest.diff(t.orders.filter("o_orderkey % 10 <> 1"), t.orders.filter("o_orderkey % 10 <> 3").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 2, "X").otherwise(F.col("o_orderstatus"))), "o_orderkey", ["o_orderstatus"])
+    lambda t: ingest.diff(t.orders.filter("o_orderpriority <> '1-URGENT'"), t.orders.filter("o_orderpriority <> '5-LOW'").withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "2-HIGH", "X").otherwise(F.col("o_orderstatus"))), "o_orderkey", ["o_orderstatus"])
 )
 
 # --- drawings and anchors ----------------------------------------------------------------------------------------------------------
@@ -398,8 +413,8 @@ WITH d AS (SELECT label, vec_id, 50.0 + vec_id % 900 AS mm, CASE WHEN x2 - x1 >
 SELECT label, round(max(mm) FILTER (WHERE dir = 'h') * max(mm) FILTER (WHERE dir = 'v') / 1000000::DOUBLE, 4)::DOUBLE AS area_m2 FROM d GROUP BY 1""")(
     lambda t: DR.area_from_dimensions(DR.dimensions(boxes(t).withColumn("text", F.concat(F.lit("dim "), (50 + F.col("vec_id") % 900).cast("string")))), ["label"]).select("label", "area_m2")
 )
-query("room_tags", "SELECT p_partkey, p_name AS label, p_size + 0.5::DOUBLE AS area, 'm2' AS unit FROM part WHERE p_size > 20")(
-    lambda t: DR.room_areas(t.part.filter("p_size > 20").select("p_partkey", F.concat(F.col("p_name"), F.lit(" : "), (F.col("p_size") + F.lit(0.5).cast("double")).cast("string"), F.lit(" m2")).alias("text"))).select("p_partkey", "label", "area", "unit")
+query("room_tags", "SELECT p_partkey, p_name AS label, p_size + 0.5::DOUBLE AS area, 'm2' AS unit FROM part")(
+    lambda t: DR.room_areas(t.part.select("p_partkey", F.concat(F.col("p_name"), F.lit(" : "), (F.col("p_size") + F.lit(0.5).cast("double")).cast("string"), F.lit(" m2")).alias("text"))).select("p_partkey", "label", "area", "unit")
 )
 query("entity_summary", "SELECT 'entity_type' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'layer', o_orderpriority, count(*) FROM orders GROUP BY ALL UNION ALL SELECT 'source_file', 'a.dxf', count(*) FROM orders UNION ALL SELECT 'sheet_no', CAST(o_custkey % 5 AS VARCHAR), count(*) FROM orders GROUP BY ALL")(
     lambda t: DR.summaries(t.orders.select(F.col("o_orderstatus").alias("entity_type"), F.col("o_orderpriority").alias("layer"), F.lit("a.dxf").alias("source_file"), (F.col("o_custkey") % 5).cast("string").alias("sheet_no")))
@@ -424,13 +439,13 @@ def _anchored(t: Tables) -> DataFrame:
 # --- scalar functions ---------------------------------------------------------------------------------------------------------------
 
 query("scalar_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")(lambda t: t.part.select("p_partkey", S.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug")))
-query("scalar_module_parts", "SELECT p_partkey, p_size AS floor, '05' AS module_code, 'ST' AS type_code FROM part")(
-    lambda t: t.part.select("p_partkey", S.module_parts(F.concat(F.col("p_size").cast("string"), F.lit("-05-ST"))).alias("m")).select("p_partkey", "m.*")
+query("scalar_module_parts", "SELECT p_partkey, p_size AS floor, lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0') AS module_code, replace(p_type, ' ', '-') AS type_code FROM part")(
+    lambda t: t.part.select("p_partkey", S.module_parts(F.concat_ws("-", F.col("p_size").cast("string"), F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0"), F.replace("p_type", F.lit(" "), F.lit("-")))).alias("m")).select("p_partkey", "m.*")
 )
 query("scalar_lenient_number", "SELECT p_partkey, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) AS v FROM part")(lambda t: t.part.select("p_partkey", S.lenient_number(F.col("p_brand")).alias("v")))
 query("scalar_family_type", "SELECT p_partkey, p_brand AS family, p_type AS type FROM part")(lambda t: t.part.select("p_partkey", S.family_type(F.concat_ws(" : ", "p_brand", "p_type")).alias("f")).select("p_partkey", "f.*"))
-query("scalar_area_units", "SELECT p_partkey, round(p_size * 0.09290304::DOUBLE, 6) AS m2 FROM part")(lambda t: t.part.select("p_partkey", F.round(F.col("p_size") * F.lit(S.SQFT_TO_SQM), 6).alias("m2")))
-query("scalar_url_host", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")(lambda t: t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")))
+query("scalar_area_units", "SELECT p_partkey, round(p_size * 0.09290304::DOUBLE, 6) AS m2 FROM part")(lambda t: t.part.select("p_partkey", F.round(S.square_metres(F.lit(None).cast("double"), F.col("p_size")), 6).alias("m2")))
+query("scalar_url_host", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")(lambda t: t.pages.select("page_id", S.url_host(F.col("url")).alias("host")))
 query("markdown_pairs", "SELECT n_nationkey, 'name' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation")(
     lambda t: t.nation.select("n_nationkey", F.explode(S.markdown_pairs(F.concat(F.lit("# Nation\n- name: "), F.col("n_name"), F.lit("\n* region: "), F.col("n_regionkey").cast("string"), F.lit("\nend")))).alias("p")).select("n_nationkey", "p.*")
 )

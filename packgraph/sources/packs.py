@@ -107,3 +107,13 @@ def missing_members(lines: DataFrame, required: list[str]) -> DataFrame:
     """path and member of required members that an archive lacks."""
     wanted = lines.select("path").distinct().select("path", F.explode(F.array(*[F.lit(m) for m in required])).alias("member"))
     return wanted.join(lines.select("path", "member").distinct(), ["path", "member"], "left_anti")
+
+
+def json_member(lines: DataFrame, member: str) -> DataFrame:
+    """path and value (VARIANT) of a JSON member; null where it is malformed, which fails nothing."""
+    return lines.filter(F.col("member") == member).select("path", F.try_parse_json(F.regexp_replace("line", "^\ufeff", "")).alias("value"))
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """path, member and n: lines that aren't blank."""
+    return lines.groupBy("path", "member").agg(F.count_if(F.trim(F.regexp_replace("line", r"[\s\ufeff]", "")) != "").alias("n"))

@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One instance on a line, one argument at the top level of a list, and a reference (fixed values).
-INSTANCE = r"^\s*#([0-9]+)\s*=\s*([A-Z0-9_]+)\s*\((.*)\)\s*;\s*$"
-ARGUMENT = r"((?:'(?:[^']|'')*'|\((?:[^()']|'(?:[^']|'')*'|\((?:[^()']|'(?:[^']|'')*'|\([^()]*\))*\))*\)|[^,'()])+)(?:,|$)"
+#: An instance, one argument at the top level of a list, and a reference (fixed values).
+INSTANCE = r"(?s)^\s*#([0-9]+)\s*=\s*([A-Z0-9_]+)\s*\((.*)\)\s*$"
+STATEMENT = r"((?:'[^']*+'|[^';]++)++);"  # up to a semicolon outside quotes
+DEPTH = 8  # of nested lists
+_nested = r"\((?:[^()']++|'[^']*+')*+\)"
+for _ in range(DEPTH - 1):
+    _nested = rf"\((?:[^()']++|'[^']*+'|{_nested})*+\)"
+ARGUMENT = rf"((?:'[^']*+'|{_nested}|[^,'()]++)++)(?:,|$)"
 REFERENCE = r"#([0-9]+)"
 
 
 def instances(spark: SparkSession, path: str) -> DataFrame:
-    """id, type, args (strings, nested lists as they are) and refs of each instance."""
-    lines = spark.read.text(path).select(F.col("value").alias("line")).filter(F.col("line").rlike(INSTANCE))
+    """id, type, args (strings, nested lists as they are) and refs of each instance, over however many lines it goes.
+
+    A file is cut where a line ends with a semicolon, which is where one instance ends and the next begins; such a piece is
+    then cut at semicolons outside quotes. A quoted semicolon at the end of a line would need a line break inside a string,
+    which the format does not allow.
+    """
+    pieces = spark.read.option("lineSep", ";\n").text(path).select(F.concat(F.regexp_replace("value", r"\r?\n", " "), F.lit(";")).alias("piece"))
+    lines = pieces.select(F.explode(F.regexp_extract_all("piece", F.lit(STATEMENT), F.lit(1))).alias("line")).filter(F.col("line").rlike(INSTANCE))
     raw = F.regexp_extract("line", INSTANCE, 3)
-    unquoted = F.regexp_replace(raw, r"'(?:[^']|'')*'", "")
+    unquoted = F.regexp_replace(raw, r"'[^']*+'", "")
     return lines.select(F.regexp_extract("line", INSTANCE, 1).cast("long").alias("id"), F.regexp_extract("line", INSTANCE, 2).alias("type"), F.transform(F.regexp_extract_all(raw, F.lit(ARGUMENT), F.lit(1)), lambda x: F.trim(x)).alias("args"), F.transform(F.regexp_extract_all(unquoted, F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long")).alias("refs"))
 
 
 def decoded(text: Column) -> Column:
     """A quoted string with doubled quotes and ``\\X2\\hex\\X0\\`` runs (UTF-16, big-endian) resolved."""
     inner = F.replace(F.regexp_replace(text, r"^'|'$", ""), F.lit("''"), F.lit("'"))
-    pieces = F.regexp_extract_all(inner, F.lit(r"(\\X2\\[0-9A-Fa-f]+\\X0\\|(?:(?!\\X2\\)[\s\S])+)"), F.lit(1))
+    pieces = F.regexp_extract_all(inner, F.lit(r"(\\X2\\[0-9A-Fa-f]+\\X0\\|[^\\]+|\\)"), F.lit(1))
     hexed = lambda x: F.decode(F.unhex(F.regexp_extract(x, r"^\\X2\\([0-9A-Fa-f]+)\\X0\\$", 1)), "UTF-16BE")
     return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"^\\X2\\[0-9A-Fa-f]+\\X0\\$"), hexed(x)).otherwise(x)), "")
 

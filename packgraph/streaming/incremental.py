@@ -8,12 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def index_new_files(spark: SparkSession, folder: str, schema: str, index: str, checkpoint: str, partition: str = "pack_id") -> StreamingQuery:
-    """Every JSON file of the folder once; partitions that a batch touches are replaced. Ends when all files are in."""
+    """Every JSON file of the folder once. The index is partitioned by pack and by source file, and a batch replaces only the
+    partitions of the files that it reads: a pack whose files come in several batches keeps all of them, and a batch that is
+    run again after a failure writes the same rows again. Ends when all files are in."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").partitionBy(partition).option("partitionOverwriteMode", "dynamic").parquet(index)
+        batch.write.mode("overwrite").partitionBy(partition, "source_file").option("partitionOverwriteMode", "dynamic").parquet(index)
 
-    return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = spark.readStream.schema(schema).json(folder).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from packgraph.plans.registry import ORACLES, QUERIES
+from packgraph.plans.catalogue import ORACLES, QUERIES
 
 from compare import DATA, duck, same
 

@@ -42,10 +42,38 @@ def test_step(spark, tmp_path):
     assert step.property_sets(rows).collect() == [(1, "Pset", "Width", "200.")]
 
 
+def test_step_instances_over_several_lines(spark, tmp_path):
+    text = "#1=IFCWALL('a;b',\n  $,('x;y'),\n#2); #2=IFCDOOR('long " + "z" * 9000 + "',((((1.,2.))))\n);\n#3=IFCSLAB($);\r\nDATA;\n"
+    (tmp_path / "m.ifc").write_bytes(text.encode())
+    rows = {r["id"]: r for r in step.instances(spark, str(tmp_path / "m.ifc")).collect()}
+    assert {i: r["type"] for i, r in rows.items()} == {1: "IFCWALL", 2: "IFCDOOR", 3: "IFCSLAB"}
+    assert rows[1]["args"] == ["'a;b'", "$", "('x;y')", "#2"] and rows[1]["refs"] == [2] and len(rows[2]["args"]) == 2
+
+
+def test_numbers_in_order(spark):
+    from packgraph.operators.numbering import numbered
+
+    rows = spark.range(500).selectExpr("id % 3 AS g", "if(id % 50 = 0, NULL, (id * 37) % 200) AS x", "id AS y", "string(id) AS s")
+    for order in (["x", "y"], ["s"], ["y"]):
+        got = numbered(rows, ["g"], order, "at", bins=7).collect()
+        for g in range(3):
+            some = sorted((r for r in got if r["g"] == g), key=lambda r: r["at"])
+            assert [r["at"] for r in some] == list(range(len(some)))
+            keys = [tuple((r[o] is not None, r[o]) for o in order) for r in some]
+            assert keys == sorted(keys, key=lambda k: tuple((a, b if a else 0) for a, b in k))
+
+
+def test_budget_hands_unused_slots_on(spark):
+    rows = spark.createDataFrame([(p, i) for p, n in (("a", 2), ("b", 9), ("c", 9)) for i in range(n)], "pack string, i int")
+    got = graph.budget(rows, "pack", ["i"], 11, 3).groupBy("pack").count().collect()
+    assert {r["pack"]: r["count"] for r in got} == {"a": 2, "b": 5, "c": 4}
+
+
 def test_search_scores(spark):
     df = spark.createDataFrame([("Beam\t evidence beam",), ("other",)], "t string")
     assert search.query_terms("The beam 강재 7") == ["beam", "강재", "7"]
-    assert search.query_terms("the") == []
+    assert search.query_terms("the please 설명") == ["설명"]  # a stop word as a pair of syllables is a term
+    assert search.expand("모듈 3층") == "모듈 3층 module modules module_id module_type documents/modules 3- 3F 3층"
     found = search.search(df, F.col("t"), "beam", None, ["t"]).collect()
     assert len(found) == 1 and abs(found[0]["score"] - (1 + 0.4 * 3) * 1.4 * 1.5) < 1e-9
     one = search.snippet(F.lit("x" * 150 + "BEAM" + "y" * 300), ["beam"])
@@ -72,9 +100,12 @@ def test_streams_and_reindex(spark, tmp_path):
     run()
     (tmp_path / "in/b.json").write_text('{"pack_id":"p","v":3}\n')
     run()
-    assert {(r["pack_id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("p", 3), ("q", 2)}
-    ingest.reindex(spark.createDataFrame([("q", 9)], "pack_id string, v int"), str(tmp_path / "out"))
-    assert {(r["pack_id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("p", 3), ("q", 9)}
+    rows = {(r["pack_id"], r["source_file"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {("p", "a.json", 1), ("q", "a.json", 2), ("p", "b.json", 3)}  # a pack keeps the rows of all its files
+    whole = str(tmp_path / "whole")
+    for some in ([("p", 3), ("q", 2)], [("q", 9)]):
+        ingest.reindex(spark.createDataFrame(some, "pack_id string, v int"), whole)
+    assert {(r["pack_id"], r["v"]) for r in spark.read.parquet(whole).collect()} == {("p", 3), ("q", 9)}
 
 
 def test_scalars_and_reports(spark, tmp_path):
