@@ -57,21 +57,22 @@ def _table(masks: list[int], first: int = 0) -> Column:
     return F.array(*[F.struct(F.lit(first + i).alias("kind"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)])
 
 
-def waves(distance: int, fp: str = "node", first: int = 0) -> list[Wave]:
-    """The kinds of keys in a fixed shuffled order, few of them in the first wave; ``fp`` is the fingerprint's column."""
+def waves(distance: int, fp: str = "node", equal: bool = False, sizes: tuple[int, ...] = (FIRST, SECOND)) -> list[Wave]:
+    """The kinds of keys in a fixed shuffled order, few of them in the first waves; ``fp`` is the fingerprint's column. ``equal``:
+    fingerprints may repeat, so the first kind is the whole of one."""
     found = masks(distance)
-    found = [found[i] for i in np.random.default_rng(distance).permutation(len(found))]
+    found = [-1] * equal + [found[i] for i in np.random.default_rng(distance).permutation(len(found))]
 
     def wave(a: int, b: int) -> Wave:
         def index(rows: DataFrame) -> DataFrame:
             # Each row becomes as many as there are kinds: it takes more partitions than the table's few files give.
             dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-            return dealt.select("*", F.explode(_table(found[a:b], first + a)).alias("k")).select("node", "root", "k.kind", F.col(fp).bitwiseAND(F.col("k.mask")).alias("key"))
+            return dealt.select("*", F.explode(_table(found[a:b], a)).alias("k")).select("node", "root", "k.kind", F.col(fp).bitwiseAND(F.col("k.mask")).alias("key"))
 
         return index
 
-    edges = [0, FIRST, FIRST + SECOND, len(found)]
-    return [wave(a, b) for a, b in zip(edges, edges[1:]) if a < min(b, len(found))]
+    edges = [min(sum(sizes[:i]), len(found)) for i in range(len(sizes) + 1)] + [len(found)]
+    return [wave(a, b) for a, b in zip(edges, edges[1:]) if a < b]
 
 
 def refiner(distance: int, fp: str = "node"):

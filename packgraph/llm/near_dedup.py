@@ -29,7 +29,7 @@ from packgraph.llm.scratch import Scratch, mark, only, plain
 from packgraph.llm.shingles import BANDS, SKETCH, band_keys, fingerprint_of, set_of, shingle_hashes, shingle_set, similarity, sketch
 
 WIDTH, SIMILARITY, DISTANCE = 5, 0.8, 4
-BAND_WAVES = (0, 2, 8, BANDS)
+BAND_WAVES = (0, 2, BANDS)
 CACHED = 64  # shingle sets that a task keeps
 FEW_NODES = 1 << 18  # ids that are broadcast, 2 MB; more of them are joined
 
@@ -90,9 +90,9 @@ def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
     return check
 
 
-def _band_waves(keys: DataFrame, first: int) -> list[Wave]:
+def _band_waves(keys: DataFrame) -> list[Wave]:
     def wave(a: int, b: int) -> Wave:
-        table = lambda: F.array(*[F.struct(F.lit(first + i).alias("kind"), F.get("keys", F.lit(i)).alias("key")) for i in range(a, b)])
+        table = lambda: F.array(*[F.struct(F.lit(i).alias("kind"), F.get("keys", F.lit(i)).alias("key")) for i in range(a, b)])
         return lambda roots: keys.join(roots, "node").select("node", "root", F.explode(table()).alias("k")).select("node", "root", "k.*")
 
     return [wave(a, b) for a, b in zip(BAND_WAVES, BAND_WAVES[1:])]
@@ -107,14 +107,12 @@ def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, l
     roots = scratch.put("roots", rows.select("node", F.col("node").alias("root")))
 
     fps = rows.select("node", "fp")
-    simhash: list[Wave] = [lambda known: fps.join(known, "node").select("node", "root", F.lit(0).alias("kind"), F.col("fp").alias("key"))]
-    for wave in deletion_keys.waves(distance, "fp", 1):
-        simhash.append(lambda known, wave=wave: wave(fps.join(known, "node")))
+    simhash = [lambda known, wave=wave: wave(fps.join(known, "node")) for wave in deletion_keys.waves(distance, "fp", True, (deletion_keys.FIRST,))]
     unlike = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     alike = unlike <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6  # rounding up loses no pair
     check = _check(rows.select("node", "text"), scratch, width, least)
     roots = link(roots, simhash, alike & (deletion_keys.apart("fp_a", "fp_b") <= distance), scratch, rows.select("node", "fp", "sketch", "n"), check, tag="fp-")
-    roots = link(roots, _band_waves(rows.select("node", "keys"), 0), alike, scratch, rows.select("node", "sketch", "n"), check, tag="band-")
+    roots = link(roots, _band_waves(rows.select("node", "keys")), alike, scratch, rows.select("node", "sketch", "n"), check, tag="band-")
     reached = scratch.put("reached", rows.select("doc_id", "mark", "node").join(roots, "node"))
     scratch.only(reached)
     return reached
