@@ -14,7 +14,12 @@ from packgraph.operators.fields import Field, Resolver
 from packgraph.operators.where import InvalidQuery
 
 #: Fields that are left out of a projection unless asked for (fixed values).
-HEAVY = ("content", "embedding", "raw", "text", "body", "metadata", "raw_json", "html", "source_refs", "compact_row")
+HEAVY = ("bim_references", "content", "embedding", "formula", "formula_details", "formula_source", "raw", "raw_json", "raw_text", "source_text")
+#: Fields of a node that are shown if none are asked for (fixed values).
+NODE_FIELDS = (
+    "id", "label", "type", "module_id", "module_type", "workset_name", "category", "class", "family_name", "family_and_type", "type_name", "work_category", "item_name", "specification", "quantity", "unit",
+    "normalized_unit", "source_sheet", "source_row", "source_element_id", "ifc_guid",
+)
 
 
 @dataclass(frozen=True)
@@ -73,8 +78,9 @@ def projection_names(fields: Sequence[str]) -> dict[str, str]:
     return {f: s if short.count(s) == 1 and (s == f or s not in fields) else f for f, s in zip(fields, short)}
 
 
-def project(df: DataFrame, fields: Sequence[str], properties: str | None = None, heavy: bool = False) -> DataFrame:
-    """The asked fields under their short names; a field that is missing from a row is null there."""
+def project(df: DataFrame, fields: Sequence[str] | None, properties: str | None = None, heavy: bool = False) -> DataFrame:
+    """The asked fields, NODE_FIELDS without any, under their short names; a field that is missing from a row is null there."""
+    fields = fields or NODE_FIELDS
     resolve = Resolver(df, properties)
     chosen = {f: n for f, n in projection_names(fields).items() if heavy or f.split(".")[-1] not in HEAVY}
     return df.select(*[(g.native if (g := resolve(f)).native is not None else g.value).alias(n) for f, n in chosen.items()])

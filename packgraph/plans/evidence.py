@@ -15,6 +15,7 @@ from packgraph.operators import packs as P
 from packgraph.operators import rows as RW
 from packgraph.operators import rules as RU
 from packgraph.operators import search as H
+from packgraph.operators import suite as SU
 from packgraph.plans.registry import _EDGES, Tables, big, dbl, query, star_edges
 from packgraph.plans.tools import Engine
 from packgraph.sources import packs as SP
@@ -307,3 +308,51 @@ query("search_pack", "SELECT 'documents/' || doc_id || '.md' AS ref FROM documen
     lambda t: engine(t).evidence_search("", "licensed", 1 << 30).select("ref")
 )
 query("quantity_chunks", "SELECT CAST(p_partkey AS VARCHAR) AS chunk_id FROM part WHERE p_size > 25 AND p_brand = 'Brand#13'")(lambda t: engine(t).quantity_facts_query("p", {"metadata.join_keys.area_m2__gt": 25, "metadata.join_keys.family_name": "Brand#13"}, limit=None).rows.select("chunk_id"))
+
+# --- derived tables and suites ---------------------------------------------------------------------------------------------------
+
+
+def quantity_table(t: Tables) -> DataFrame:
+    none = lambda k: F.lit(None).cast(k)
+    by_material = F.col("l_linenumber") == 1
+    return t.lineitem.select(
+        F.when(by_material, "element_material_quantity").otherwise("parameter").alias("record_type"), F.col("l_orderkey").alias("element_id"), F.col("l_partkey").alias("material_id"), F.when(by_material, F.col("l_quantity")).alias("area_m2"), none("double").alias("volume_m3"),
+        F.col("l_suppkey").alias("parameter_id"), F.when(F.col("l_returnflag") == "A", "면적").when(F.col("l_returnflag") == "R", "Length").otherwise("Zone").alias("parameter"), none("string").alias("built_in"), none("string").alias("data_type"), F.when(F.col("l_returnflag") == "R", "autodesk.unit.millimeters").alias("unit_type"), "l_linenumber",
+    )
+
+
+_ROLES = """q AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 1 THEN 'material_area' WHEN l_returnflag = 'A' THEN 'primary_element_area' WHEN l_returnflag = 'R' THEN 'primary_element_length' ELSE 'element_parameter' END AS quantity_role,
+  CASE WHEN l_linenumber = 1 THEN 'material:' || l_orderkey || ':' || l_partkey || ':area' WHEN l_returnflag = 'A' THEN 'element:' || l_orderkey || ':area' WHEN l_returnflag = 'R' THEN 'element:' || l_orderkey || ':length' ELSE 'element:' || l_orderkey || ':parameter:' || l_suppkey END AS dedup_key FROM lineitem)"""
+query("quantity_roles", f"WITH {_ROLES} SELECT l_orderkey AS element_id, l_linenumber, quantity_role, dedup_key, starts_with(quantity_role, 'primary') AS is_primary_measure FROM q")(
+    lambda t: SU.quantity_roles(quantity_table(t)).select("element_id", "l_linenumber", "quantity_role", "dedup_key", "is_primary_measure")
+)
+query("quantity_deduplicated", f"WITH {_ROLES} SELECT dedup_key, min(l_linenumber) AS l_linenumber FROM q GROUP BY 1")(lambda t: SU.deduplicated(SU.quantity_roles(quantity_table(t)), "l_linenumber").select("dedup_key", "l_linenumber"))
+query("drawing_exports", "SELECT 'drawing_evidence:sheet_pdfs:' || o_orderkey AS derived_id, 'Sheet PDF ' || o_custkey || ' ' || o_orderpriority || ' status=' || CASE o_orderstatus WHEN 'F' THEN 'exported' ELSE o_orderstatus END || ' file=None' AS text, CASE o_orderstatus WHEN 'F' THEN 'high' ELSE 'low' END AS importance FROM orders")(
+    lambda t: SU.export_evidence(t.orders.select(F.col("o_orderkey").cast("string").alias("node_id"), F.col("o_custkey").alias("sheet_number"), F.col("o_orderpriority").alias("sheet_name"), F.when(F.col("o_orderstatus") == "F", "exported").otherwise(F.col("o_orderstatus")).alias("status")), "sheet_pdfs").select("derived_id", "text", "importance")
+)
+query("drawing_entities", "SELECT 'drawing_evidence:drawing_entities:' || p_partkey AS derived_id, 'DXF ' || CASE WHEN p_size > 25 THEN 'DIMENSION' ELSE 'LINE' END || ' sheet=None view=' || p_brand || ' file=a.dxf layer=' || p_type || ' text=' || p_name AS text, CASE WHEN p_size > 25 THEN p_size::DOUBLE END AS value_mm, CASE WHEN p_size > 25 THEN 'medium' ELSE 'low' END AS importance FROM part")(
+    lambda t: SU.entity_evidence(t.part.select(F.col("p_partkey").alias("entity_key"), F.when(F.col("p_size") > 25, "dimension").otherwise("line").alias("entity_type"), F.col("p_type").alias("layer"), F.col("p_name").alias("text"), F.lit("a.dxf").alias("dxf_file_name"), F.lit(None).cast("string").alias("sheet_number"), F.col("p_brand").alias("view_name"), dbl(F.col("p_size")).alias("measurement"))).select("derived_id", "text", "value_mm", "importance")
+)
+query("drawing_context", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.75 THEN 'high' ELSE 'medium' END AS importance, round(greatest(0.45, least(0.95, l_discount * 10)), 4)::DOUBLE AS confidence FROM lineitem")(
+    lambda t: t.lineitem.select("l_orderkey", "l_linenumber", SU.context_class("element_representation_links", F.col("l_discount") * 10, F.lit(None).cast("string")).alias("c")).select("l_orderkey", "l_linenumber", "c.importance", F.round("c.confidence", 4).alias("confidence"))
+)
+query("xml_lists", "SELECT n_nationkey, n_name || ',z' AS refs, CAST(n_regionkey AS VARCHAR) AS module_id, 'as:part:' || n_nationkey AS id FROM nation")(
+    lambda t: t.nation.withColumn("m", F.create_map(F.lit("m_Refs_SIZE"), F.lit("3"), F.lit("m_Refs_0"), F.col("n_name"), F.lit("m_Refs_1"), F.lit(""), F.lit("m_Refs_2"), F.lit("z"), F.lit("m_Refs_3"), F.lit("late"), F.lit("m_UserAttributes_0"), F.col("n_regionkey").cast("string")))
+    .select("n_nationkey", F.array_join(SU.listed(F.col("m"), "m_Refs"), ",").alias("refs"), SU.user_attribute(F.col("m"), "module_id").alias("module_id"), SU.object_id("part", F.col("n_nationkey")).alias("id"))
+)
+query("user_views", "SELECT 'view:brand:' || replace(p_brand, ' ', '_') AS view_id, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS p_size FROM part GROUP BY p_brand UNION ALL SELECT 'view:brand_type:' || replace(p_brand, ' ', '_') || ':' || replace(p_type, ' ', '_'), count(*), CAST(sum(p_size) AS BIGINT) FROM part GROUP BY p_brand, p_type")(
+    lambda t: SU.user_views(t.part, {"brand": ["p_brand"], "brand_type": ["p_brand", "p_type"]}, ["p_size"]).select("view_id", "n", "p_size")
+)
+query("suite_shards", """
+WITH s AS (SELECT c_mktsegment, count(*) AS n, ceil(count(*) / 64.0) AS slices FROM customer GROUP BY 1),
+b AS (SELECT c_mktsegment, coalesce(sum(slices) OVER (ORDER BY n DESC, c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+p AS (SELECT c_custkey, c_mktsegment, CAST(start + (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 64 AS INTEGER) AS shard FROM customer JOIN b USING (c_mktsegment))
+SELECT 'bim_objects-' || lpad(CAST(shard AS VARCHAR), 4, '0') || '-' || c_mktsegment AS pack_id, count(*) AS rows FROM p GROUP BY 1""")(
+    lambda t: SU.manifest(SU.suite(t.customer, "bim_objects.jsonl", "c_mktsegment", ["c_custkey"], 64), ["c_custkey"]).select("pack_id", "rows")
+)
+query("combined_pack", "SELECT 'nation:' || n_nationkey AS node_id, 'nation' AS type, 1 AS evidence FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region', 1 FROM region")(
+    lambda t: SU.combined({"nation": t.nation.withColumn("key", F.col("n_nationkey")), "region": t.region.withColumn("key", F.col("r_regionkey"))}, ["key"])[0].select("node_id", "type", big(F.size("evidence_ids")).alias("evidence"))
+)
+query("shape_faults", f"WITH {_EDGES}, n AS (SELECT 'nation:' || n_nationkey AS id FROM nation UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 1) SELECT 'repeated_id' AS fault, id, count(*) AS n FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown_end', id, count(*) FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) WHERE id NOT IN (SELECT id FROM n) GROUP BY id")(
+    lambda t: SU.shape_faults(t.nation.unionByName(t.nation.filter("n_regionkey = 1")).select(G.node_key("nation", "n_nationkey").alias("id")), star_edges(t))
+)

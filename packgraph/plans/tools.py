@@ -116,7 +116,7 @@ class Engine:
 
     # --- structured queries -------------------------------------------------------------------------------------------------
 
-    def filtered_search_nodes(self, pack_id, node_type=None, where=None, fields: Sequence[str] = ("id", "label", "type"), order_by=None, limit: int | None = 1000, offset: int = 0, include_heavy_fields: bool = False) -> Page:
+    def filtered_search_nodes(self, pack_id, node_type=None, where=None, fields: Sequence[str] | None = None, order_by=None, limit: int | None = 1000, offset: int = 0, include_heavy_fields: bool = False) -> Page:
         rows = self._nodes(pack_id, node_type, where)
         page = O.page(rows, order_by, limit, offset, ["ord"], "properties")
         return Page(O.project(page, fields, "properties", include_heavy_fields), rows, limit, offset)

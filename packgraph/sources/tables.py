@@ -24,8 +24,11 @@ def raw_bundle(spark: SparkSession, paths: dict[str, str], schemas: dict[str, st
     return {name: spark.read.schema(schema).json(paths[name]) if name in paths else spark.createDataFrame([], schema) for name, schema in schemas.items()}
 
 
-def write_jsonl(df: DataFrame, path: str, most: int = 30_000) -> None:
-    """JSON lines in files of at most ``most`` rows."""
+def write_jsonl(df: DataFrame, path: str, most: int = 30_000, sort_keys: bool = False, places: int | None = None) -> None:
+    """JSON lines in files of at most ``most`` rows; keys in the order of columns or by name, doubles rounded if asked for."""
+    if places is not None:
+        df = df.select(*[F.round(n, places).alias(n) if k in ("double", "float") else F.col(n) for n, k in df.dtypes])
+    df = df.select(*sorted(df.columns)) if sort_keys else df
     df.write.mode("overwrite").option("maxRecordsPerFile", most).json(path)
 
 
