@@ -98,3 +98,46 @@ def test_projects(spark, engine):
     f = lambda rows: spark.createDataFrame(rows, "folder_id string, name string")
     states = {r["folder_id"]: r["state"] for r in engine.reconcile(f([("1", "a"), ("2", "b"), ("3", "c")]), f([("1", "a"), ("2", "B2"), ("4", "d"), ("5", "D")])).collect()}
     assert states == {"1": "unchanged", "2": "renamed", "3": "deleted", "4": "conflict", "5": "conflict"}
+
+
+@pytest.fixture(scope="module")
+def documented(spark, engine):
+    from dataclasses import replace
+
+    body = "# M\n**요약**: one\n## Summary\n| 항목 | 값 |\n|---|---|\n| 객체 수 | 12 |\n## End\ntotal weight kg: 5\nmodule_type: ST\n"
+    docs = [("p", "documents/modules/1-05-ST.md", "m", body, 0), ("p", "documents/assembly_marks/A1.md", "a", "kg: 7", 1), ("p", "documents/section_weight_index.md", "s", "## All Sections\n| section | kg |\n|---|---|\n| H100 | 3 |\n", 2)]
+    meta = ['{"join_keys":{"schedule_name":"Doors"},"compact_row":{"row":1,"row_role":"column_header","values":[{"text":"No"},{"text":"Name"}]}}', '{"join_keys":{"schedule_name":"Doors"},"compact_row":{"row":2,"row_role":"data_row","values":[{"text":"1"},{"text":"D1"}]}}', '{"join_keys":{"schedule_name":"Doors"},"compact_row":{"row":3,"row_role":"data_row","values":[{"text":"x"}]}}']
+    chunks = spark.createDataFrame([("p", f"s{i}", "d", "t", "c", m, i) for i, m in enumerate(meta)], "pack_id string, chunk_id string, document_id string, title string, content string, j string, ord long")
+    return replace(engine, documents=spark.createDataFrame(docs, "pack_id string, path string, title string, body string, ord long"), chunks=chunks.withColumn("metadata", F.parse_json("j")).drop("j"))
+
+
+def test_documents_that_hold_facts(engine, documented):
+    found = documented.module_list("p").first()
+    assert (found["module_id"], found["module_type"], found["summary"], found["element_count"]) == ("1-05-ST", "ST", "one", 12.0)
+    assert [r["module_id"] for r in engine.module_list("p").collect()] == ["1-05-ST"]  # named by elements, without documents
+    got = documented.module_get("p", "1-05-st", 5).first()
+    assert (got["kind"], got["content"], got["truncated"], got["facts"]["total_weight_kg"]) == ("document", "# M\n*", True, "5")
+    assert {r["kind"] for r in documented.module_get("p", "column").collect()} == {"evidence", "node"}
+    assert [r["mark"] for r in documented.assembly_list("p").collect()] == ["A1"] and documented.assembly_get("p", "a1").first()["facts"] == {"kg": "7"}
+    assert documented.section_weight_index("p").first()["cells"] == {"section": "H100", "kg": "3"}
+    assert [t.count() for t in documented.fastener_summary("p")] == [0, 0, 0]
+    assert [r["data"] for r in documented.schedule_table_extract("p", "door").collect()] == [{"No": "1", "Name": "D1"}, {"column_0": "x"}]
+
+
+def test_catalogue_of_tools(spark, engine):
+    names = {t["name"] for t in engine.tool_manifest()}
+    assert {"server_status", "tool_manifest", "module_get", "evidence_trace", "graph_get"} <= names and not any(n.startswith("_") for n in names)
+    status = {r["name"]: r["n"] for r in engine.server_status().collect()}
+    assert status["nodes"] == 5 and status["tools"] == len(names)
+    assert {(r["source_type"], r["relation"], r["target_type"], r["n"]) for r in engine.pack_schema("p").collect()} == {("Assembly", "has", "Element", 2), ("Element", "near", None, 1)}
+    assert [(r["pack_id"], r["documents"], r["chunks"]) for r in engine.source_list().collect()] == [("p", 2, 3), ("q", 0, 0)]
+    assert {r["kind"] for r in engine.evidence_trace("p", "column", include_answer=True).collect()} == {"evidence", "node", "edge", "answer"}
+    links = spark.createDataFrame([("x", "p"), ("x", "none")], "project_id string, pack_id string")
+    projects = spark.createDataFrame([("x", "X"), ("y", "Y")], "project_id string, name string")
+    assert [(r["project_id"], r["packs"]) for r in engine.project_list(projects, links).collect()] == [("x", 1), ("y", 0)]
+    assert [r["pack_id"] for r in engine.project_overview("x", links).collect()] == ["p"]
+
+
+def test_drawing_text_of_chunks(engine):
+    found = engine.drawing_text_search("p", "c").collect()
+    assert {r["kind"] for r in found} <= {"chunk", "entity"}
