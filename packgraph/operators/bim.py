@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from packgraph.functions.scalars import short_id, square_metres
 from packgraph.operators import derive as D
 from packgraph.operators import join as J
+from packgraph.operators import rules as RU
+from packgraph.operators import suite as SU
 
 #: Columns that name where a row comes from, in the order they are shown (fixed values).
 REFERENCE_FIELDS = ("element_id", "unique_id", "ifc_guid", "sheet_id", "sheet_number", "view_id", "view_name", "schedule_id", "schedule_name", "section", "row", "column", "page", "dxf_file_name", "entity_key", "handle", "entity_type")
@@ -26,17 +28,40 @@ def source_ref(source_file: str, key: str, columns: list[str]) -> Column:
 
 def bim_objects(elements: DataFrame) -> DataFrame:
     """One classified object for each raw element."""
-    text = F.concat_ws(" ", "category", "class_name", "name")
-    c = D.classify(text, D.ELEMENTS)
+    c = RU.classified("element", *_element_text())
     ref = source_ref("elements.jsonl", "element_id", elements.columns)
-    return elements.withColumn("c", c).select(short_id(F.lit("object"), F.col("element_id")).alias("object_id"), "element_id", "name", "category", F.col("c.label").alias("label"), F.col("c.confidence").alias("confidence"), ref.alias("source_ref"))
+    return elements.withColumn("c", c).select(short_id(F.lit("object"), F.col("element_id")).alias("object_id"), "element_id", "name", "category", F.col("c.label").alias("label"), F.col("c.importance").alias("importance"), F.col("c.confidence").alias("confidence"), ref.alias("source_ref"))
+
+
+def _element_text() -> list[Column]:
+    return [F.col("category"), F.col("name"), F.col("class_name")]
 
 
 def material_facts(materials: DataFrame) -> DataFrame:
-    c = D.classify(F.concat_ws(" ", "name", "material_class"), D.MATERIALS)
+    c = RU.classified("material", F.regexp_replace("name", "^#+", ""), F.col("material_class"))
     return materials.withColumn("c", c).select(short_id(F.lit("material"), F.col("material_id")).alias("fact_id"), "material_id", "name", F.col("c.label").alias("label"), F.col("c.confidence").alias("confidence"))
 
 
+def drawing_documents(sheets: DataFrame) -> DataFrame:
+    """One classified document for each sheet (sheet_id, sheet_number, name)."""
+    c = RU.classified("sheet", F.col("sheet_number"), F.col("name"))
+    return sheets.withColumn("c", c).select(short_id(F.lit("sheet"), F.col("sheet_id")).alias("document_id"), "sheet_id", "sheet_number", "name", F.col("c.label").alias("drawing_category"), F.col("c.importance").alias("importance"), F.col("c.confidence").alias("confidence"))
+
+
+def schedule_tables(schedules: DataFrame, cells: DataFrame) -> DataFrame:
+    """One classified table for each schedule (schedule_id, name, fields as text) with its numbers of rows and cells."""
+    c = RU.classified("schedule", F.col("name"), F.col("fields"))
+    sizes = cells.groupBy("schedule_id").agg(F.countDistinct("row").alias("rows"), F.count(F.lit(1)).alias("cells"))
+    out = schedules.withColumn("c", c).join(sizes, "schedule_id", "left").fillna(0, ["rows", "cells"])
+    return out.select("schedule_id", "name", F.col("c.label").alias("schedule_category"), F.col("c.importance").alias("importance"), F.col("c.confidence").alias("confidence"), "rows", "cells")
+
+
+def decided(rows: DataFrame, source: str, key: str, verdict: Column) -> DataFrame:
+    """One decision for each raw row from its classification; review is asked for below a confidence."""
+    c = rows.select(F.lit(source).alias("source_file"), F.col(key).cast("string").alias("source_id"), verdict.alias("c"))
+    return c.select("source_file", "source_id", "c.label", "c.decision", "c.confidence", (F.col("c.confidence") < D.REVIEW_BELOW).alias("review_required"))
+
+
 def quantity_facts(quantities: DataFrame, elements: DataFrame) -> DataFrame:
     """Quantities in square and cubic metres with their element's category and name. An area in square feet is converted
     where no metric one is given."""
@@ -48,36 +73,63 @@ def quantity_facts(quantities: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def relationships(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges with hashed ids and whether both ends are known nodes (column id)."""
+    """Edges with hashed ids, their category and whether both ends are known nodes (column id)."""
     ids = known.select("id").distinct()
     out = edges.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("t")), "target", "left")
     whole = F.coalesce(F.col("s") & F.col("t"), F.lit(False))
-    return out.select(short_id(F.col("source"), F.col("relation"), F.col("target")).alias("relationship_id"), "source", "target", "relation", whole.alias("resolved"))
+    return out.select(short_id(F.col("source"), F.col("relation"), F.col("target")).alias("relationship_id"), "source", "target", "relation", RU.classified("relation", F.col("relation"))["label"].alias("category"), whole.alias("resolved"))
+
+
+#: Raw tables of a bundle that may be absent, with the columns that are read (fixed values).
+OPTIONAL = {
+    "sheets": "sheet_id long, sheet_number string, name string", "schedules": "schedule_id long, name string, fields string",
+    "drawing_entities": "entity_key string, entity_type string, layer string, text string, dxf_file_name string, sheet_number string, view_name string, measurement double",
+    "sheet_pdfs": "node_id string, sheet_number string, sheet_name string, pdf_path string, pdf_file_name string, status string",
+}
 
 
 def build_derived(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The derived tables of a raw bundle (elements, materials, quantities, schedule_cells, graph_edges), a decision for each
-    raw row that is classified, and the coverage of every element."""
-    objects = bim_objects(raw["elements"])
-    decided = D.decisions(raw["elements"], "elements.jsonl", "element_id", F.concat_ws(" ", "category", "class_name", "name"), D.ELEMENTS).unionByName(
-        D.decisions(raw["materials"], "materials.jsonl", "material_id", F.concat_ws(" ", "name", "material_class"), D.MATERIALS)
-    )
-    of_elements = decided.filter("source_file = 'elements.jsonl'")
+    """The ten derived tables of a raw bundle (elements, materials, quantities, schedule_cells, graph_edges and those of OPTIONAL):
+    eight kinds of facts, a decision for each raw row that is classified, and the coverage of each of these rows."""
+    spark = raw["elements"].sparkSession
+    raw = {**{k: spark.createDataFrame([], s) for k, s in OPTIONAL.items()}, **raw}
     facts = quantity_facts(raw["quantities"], raw["elements"])
-    coverage = D.coverage(raw["elements"].withColumn("key", F.col("element_id").cast("string")), "key", of_elements, "source_id", facts.withColumn("key2", F.col("element_id").cast("string")), "key2")
+    verdicts = {
+        "elements": ("element_id", RU.classified("element", *_element_text())), "materials": ("material_id", RU.classified("material", F.regexp_replace("name", "^#+", ""), F.col("material_class"))),
+        "quantities": ("quantity_id", RU.classified("quantity", F.col("parameter"))), "sheets": ("sheet_id", RU.classified("sheet", F.col("sheet_number"), F.col("name"))), "schedules": ("schedule_id", RU.classified("schedule", F.col("name"), F.col("fields"))),
+    }
+    decisions, keys = None, None
+    for name, (key, verdict) in verdicts.items():
+        one, own = decided(raw[name], f"{name}.jsonl", key, verdict), raw[name].select(F.concat_ws(":", F.lit(name), F.col(key).cast("string")).alias("key"))
+        decisions, keys = (one, own) if decisions is None else (decisions.unionByName(one), keys.unionByName(own))
+    of = lambda df, name, key: df.select(F.concat_ws(":", F.lit(name), F.col(key).cast("string")).alias("made"))
+    sheets, tables, materials = drawing_documents(raw["sheets"]), schedule_tables(raw["schedules"], raw["schedule_cells"]), material_facts(raw["materials"])
+    made = of(facts, "elements", "element_id").unionByName(of(facts, "quantities", "quantity_id")).unionByName(of(materials, "materials", "material_id")).unionByName(of(sheets, "sheets", "sheet_id")).unionByName(of(tables, "schedules", "schedule_id"))
+    judged = decisions.select(F.concat_ws(":", F.regexp_replace("source_file", r"\.jsonl$", ""), "source_id").alias("judged"))
+    evidence = SU.entity_evidence(raw["drawing_entities"]).select("derived_id", "evidence_type", "text", "importance", "confidence").unionByName(SU.export_evidence(raw["sheet_pdfs"], "sheet_pdfs").select("derived_id", "evidence_type", "text", "importance", "confidence"))
     return {
-        "bim_objects": objects, "material_facts": material_facts(raw["materials"]), "quantity_facts": facts, "schedule_rows": D.schedule_rows(raw["schedule_cells"], "schedule_id", "row", "column", "text"),
-        "relationships": relationships(raw["graph_edges"], raw["elements"].select(F.col("element_id").cast("string").alias("id"))), "classification_decisions": decided, "source_coverage": coverage,
+        "bim_objects": bim_objects(raw["elements"]), "material_facts": materials, "quantity_facts": facts, "drawing_documents": sheets, "drawing_evidence": evidence, "schedule_tables": tables,
+        "schedule_rows": D.schedule_rows(raw["schedule_cells"], "schedule_id", "row", "column", "text"), "relationships": relationships(raw["graph_edges"], raw["elements"].select(F.col("element_id").cast("string").alias("id"))),
+        "classification_decisions": decisions, "source_coverage": D.coverage(keys, "key", judged, "judged", made, "made"),
     }
 
 
+#: What a profile of a raw bundle counts: its name, table and column (fixed values).
+COUNTERS = (
+    ("elements_by_category", "elements", "category"), ("elements_by_class", "elements", "class_name"), ("materials_by_class", "materials", "material_class"), ("quantities_by_parameter", "quantities", "parameter"),
+    ("edges_by_relation", "graph_edges", "relation"), ("sheets_by_number", "sheets", "sheet_number"), ("schedules_by_name", "schedules", "name"), ("cells_by_schedule", "schedule_cells", "schedule_id"),
+    ("entities_by_type", "drawing_entities", "entity_type"), ("entities_by_layer", "drawing_entities", "layer"), ("entities_by_file", "drawing_entities", "dxf_file_name"), ("entities_by_sheet", "drawing_entities", "sheet_number"),
+    ("entities_by_view", "drawing_entities", "view_name"), ("exports_by_status", "sheet_pdfs", "status"),
+)
+
+
 def project_profile(raw: dict[str, DataFrame]) -> DataFrame:
-    """table, key and n: how many rows of each table have each category, class or relation."""
-    by = {"elements": "category", "materials": "material_class", "quantities": "parameter", "graph_edges": "relation"}
+    """counter, key and n: how many rows have each value of the counted columns; tables that are absent count nothing."""
     out = None
-    for name, column in by.items():
-        part = raw[name].groupBy(F.coalesce(F.col(column), F.lit("(blank)")).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "key", "n")
-        out = part if out is None else out.unionByName(part)
+    for name, table, column in COUNTERS:
+        if table in raw:
+            part = raw[table].groupBy(F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit("(blank)")).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "key", "n")
+            out = part if out is None else out.unionByName(part)
     return out
 
 

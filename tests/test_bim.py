@@ -21,16 +21,31 @@ def raw(spark):
 def test_derived_tables(raw):
     out = bim.build_derived(raw)
     objects = {r["element_id"]: r for r in out["bim_objects"].collect()}
-    assert objects[1]["label"] == "structural" and objects[1]["source_ref"]["row"] == "0" and "row" not in objects[2]["source_ref"]
-    assert out["material_facts"].first()["label"] == "concrete"
+    assert objects[1]["label"] == "core_bim_object" and objects[2]["label"] == "unknown_element" and objects[1]["source_ref"]["row"] == "0" and "row" not in objects[2]["source_ref"]
+    assert out["material_facts"].first()["label"] == "concrete_mortar_masonry"
     facts = {r["quantity_id"]: r for r in out["quantity_facts"].collect()}
     assert abs(facts[1]["area_m2"] - 0.9290304) < 1e-9 and facts[1]["measure"] == "area" and facts[1]["category"] == "Structural Columns"
     assert facts[2]["measure"] == "volume" and facts[2]["category"] is None
     assert {r["row"]: (r["row_text"], r["role"]) for r in out["schedule_rows"].collect()} == {0: ("Doors", "title"), 1: ("No | Name", "header"), 2: ("1 | D1", "data")}
     assert {r["target"]: r["resolved"] for r in out["relationships"].collect()} == {"2": True, "3": False}
-    assert {r["source_id"]: r["review_required"] for r in out["classification_decisions"].collect()} == {"1": False, "2": True, "7": False}
-    assert {r["key"]: r["status"] for r in out["source_coverage"].collect()} == {"1": "mapped", "2": "classified_only"}
-    assert bim.project_profile(raw).filter("`table` = 'elements' AND key = '(blank)'").first()["n"] == 1
+    decided = {(r["source_file"], r["source_id"]): r["review_required"] for r in out["classification_decisions"].collect()}
+    assert decided == {("elements.jsonl", "1"): False, ("elements.jsonl", "2"): True, ("materials.jsonl", "7"): False, ("quantities.jsonl", "1"): False, ("quantities.jsonl", "2"): False}
+    assert {r["key"]: r["status"] for r in out["source_coverage"].collect()} == {"elements:1": "mapped", "elements:2": "classified_only", "materials:7": "mapped", "quantities:1": "mapped", "quantities:2": "mapped"}
+    assert bim.project_profile(raw).filter("counter = 'elements_by_category' AND key = '(blank)'").first()["n"] == 1
+    assert len(out) == 10 and out["drawing_evidence"].count() == 0
+
+
+def test_drawings_and_schedules(spark, raw):
+    more = {
+        "sheets": spark.createDataFrame([(3, "A-101", "1F Floor Plan"), (4, "A-000", "표지")], "sheet_id long, sheet_number string, name string"), "schedules": spark.createDataFrame([(5, "Door finish", "No")], "schedule_id long, name string, fields string"),
+        "sheet_pdfs": spark.createDataFrame([("n1", "A-101", "Plan", "/x/a.pdf", "a.pdf", "exported")], bim.OPTIONAL["sheet_pdfs"]),
+        "drawing_entities": spark.createDataFrame([("k1", "text", "room", "Office", "a.dxf", "A-101", "v", None)], bim.OPTIONAL["drawing_entities"]),
+    }
+    out = bim.build_derived({**raw, **more})
+    assert {r["sheet_id"]: r["drawing_category"] for r in out["drawing_documents"].collect()} == {3: "core_drawing_sheet", 4: "document_admin_sheet"}
+    assert [(r["schedule_category"], r["rows"], r["cells"]) for r in out["schedule_tables"].collect()] == [("finish_schedule", 3, 5)]
+    assert {(r["derived_id"], r["importance"]) for r in out["drawing_evidence"].collect()} == {("drawing_evidence:drawing_entities:k1", "medium"), ("drawing_evidence:sheet_pdfs:n1", "high")}
+    assert len({r["counter"] for r in bim.project_profile({**raw, **more}).collect()}) == 14
 
 
 def test_quality_and_groups(spark):
