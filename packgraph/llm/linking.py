@@ -67,7 +67,7 @@ def link(
     maybe: Column,
     scratch: Scratch,
     payload: DataFrame | None = None,
-    check: Callable[[DataFrame, str], DataFrame] | None = None,
+    check: Callable[[DataFrame, str], DataFrame | None] | None = None,
     refine: Callable[[DataFrame, int], DataFrame] | None = None,
     tag: str = "",
 ) -> DataFrame:
@@ -76,7 +76,7 @@ def link(
 
     Each wave makes rows of node, root, kind (int) and key (long) from roots. ``maybe`` is a condition on node_a and node_b
     and on the payload's columns with the same endings; ``check(pairs, name)`` gives those of the pairs (node_a, node_b,
-    root_a, root_b) that are linked. ``refine(rows, level)`` deals rows (node, kind, key) to finer keys. ``tag`` tells the tables
+    root_a, root_b) that are linked, or None. ``refine(rows, level)`` deals rows (node, kind, key) to finer keys. ``tag`` tells the tables
     of several calls with one scratch apart.
     """
     more = [c for c in payload.columns if c != "node"] if payload is not None else []
@@ -99,7 +99,7 @@ def link(
                 crowd = scratch.put(f"crowd-{name}", placed.join(crowded.select("kind", "key", "most"), ["kind", "key"]))
                 pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level))
             links = check(pairs, name) if check else pairs
-            step = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}")
+            step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}")
             if step is not None:
                 before, roots = roots, scratch.put(f"roots-{name}", joined(roots, step))
                 scratch.forget(before)

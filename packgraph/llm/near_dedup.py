@@ -53,7 +53,7 @@ def _measured(width: int):
 
 
 def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
-    """The pairs whose texts are similar. Only the texts that a pair needs are moved."""
+    """Gives the pairs whose texts are similar, None if there are no pairs. Only the texts that a pair needs are moved."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -71,15 +71,17 @@ def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
             near = [i for i in range(len(a)) if similarity(of(b[i], texts_b[i].as_py()), of(a[i], texts_a[i].as_py())) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([root_a[i] for i in near], pa.int64()), pa.array([root_b[i] for i in near], pa.int64())], ["root_a", "root_b"])
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
+    def check(pairs: DataFrame, name: str) -> DataFrame | None:
         # One order for each pair, so that a pair that meets under many keys is decided once.
         swap = F.col("node_a") > F.col("node_b")
         at = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
         once = pairs.select(at("node_a", "node_b"), at("node_b", "node_a"), at("root_a", "root_b"), at("root_b", "root_a")).dropDuplicates(["node_a", "node_b"])
         once = scratch.put(f"pairs-{name}", once)
         needed = scratch.put(f"needed-{name}", once.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct())
-        few = needed.count() <= FEW_NODES
-        some = texts.join(F.broadcast(needed) if few else needed, "node", "left_semi")
+        n = needed.count()
+        if not n:
+            return None
+        some = texts.join(F.broadcast(needed) if n <= FEW_NODES else needed, "node", "left_semi")
         some = scratch.put(f"some-{name}", some)
         a, b = (some.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = once.join(a, "node_a").join(b, "node_b").select("node_a", "node_b", "root_a", "root_b", "text_a", "text_b")

@@ -30,6 +30,7 @@ BUCKETS = 1 << 16
 THRESHOLD = -0.06  # nats for each n-gram
 PRIOR = 16.0  # occurrences, at least
 SHARE = PRIOR / 20_000_000  # of the trusted n-grams
+FEW_IDS = 1 << 20  # that are broadcast, about 32 MB
 MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 WINDOW = 5
@@ -93,7 +94,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, share: float = SHARE) -> np.ndarray:
     """log p_trusted - log p_raw of each bucket, from one pass over every text."""
-    trusted = trusted_ids(labels).withColumn("good", F.lit(True)).hint("shuffle_hash")  # the ids are held, the texts not sorted
+    trusted = trusted_ids(labels).withColumn("good", F.lit(True))
+    # Few ids go to the texts; of more, the texts go to the ids, which are held while texts pass unsorted.
+    trusted = F.broadcast(trusted) if trusted.count() <= FEW_IDS else trusted.hint("shuffle_hash")
     texts = plain(docs, doc_id="long", text="string")
     marked = texts.filter("doc_id IS NOT NULL").join(trusted, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     marked = marked.unionByName(texts.filter("doc_id IS NULL").select("text", F.lit(False).alias("good")))  # not dealt out by id

@@ -190,6 +190,38 @@ def test_quality_ratio_is_what_the_counts_say(spark):
     assert quality_rules.keep(table(spark, []), empty).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_verdicts_are_those_of_plain_counts(spark, monkeypatch, few):
+    """Words and pairs are counted in plain dictionaries by bucket; few: the two ways of joining the trusted ids."""
+    monkeypatch.setattr(quality_rules, "FEW_IDS", few)
+    rows = [(i, prose(i, 40) if i % 2 else " ".join(prose(i, 10).upper().split() * 2 + ["spam"] * 5)) for i in range(60)] + [(None, prose(3, 30)), (99, None)]
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 40, 2)] + [(0, 0)], "doc_id long, quality int")
+    buckets, mask = 211, (1 << 64) - 1
+
+    def of(text):
+        h = [xxhash.xxh64_intdigest(w.encode()) for w in WORDS.findall(text or "")]
+        mix = [int(x) for x in quality_rules._MIX]
+        pairs = [(a * mix[0] + b * mix[1]) & mask for a, b in zip(h, h[1:])]
+        pairs = [((p ^ p >> 29) * mix[3]) & mask for p in pairs]
+        return [x % buckets for x in [*h, *(p ^ p >> 32 for p in pairs)]]
+
+    raw, good = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        raw.update(of(t))
+        good.update(of(t) if d is not None and d < 40 and d % 2 else [])
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {b: math.log((good[b] + 16) / (raw[b] * share + 16)) for b in range(buckets)}
+    got = sorted(((r["doc_id"], r["score"], r["kept"]) for r in quality_rules.quality_rules(table(spark, rows), labels, -0.02, buckets).collect()), key=repr)
+    want = []
+    for d, t in rows:
+        n, *_, repeated = brute_measures(t)
+        value = sum(ratio[b] for b in of(t)) / len(of(t)) if of(t) else 0.0
+        want.append((d, value, n >= 10 and 100 * repeated <= 20 * n and value >= -0.02))
+    want.sort(key=repr)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2] == b[2] for a, b in zip(sorted(got, key=lambda x: (x[0] is None, x[0] or 0)), sorted(want, key=lambda x: (x[0] is None, x[0] or 0))))
+    assert {k for _, _, k in want} == {True, False}
+
+
 def test_network_gradients():
     import numpy as np
 
