@@ -26,6 +26,7 @@ from packgraph.operators import join as J
 from packgraph.operators import lookups as L
 from packgraph.operators import ordering as O
 from packgraph.operators import profile as P
+from packgraph.operators import rollup as R
 from packgraph.operators import search as H
 from packgraph.operators.fields import Resolver
 from packgraph.operators.where import InvalidQuery, compile_where
@@ -142,6 +143,14 @@ class Engine:
         out = out.orderBy(S.natural_key(F.col("join_key")), F.col("left.ord"))
         return out if limit is None else out.limit(limit)
 
+    def join_values(self, right: dict[str, Any], fields: Sequence[str], most: int = 5) -> DataFrame:
+        """join_key, field and the least ``most`` distinct values that a join's right side has of each field for that key."""
+        rows = self._nodes(right.get("pack_id"), right.get("node_type"), right.get("where"))
+        r = Resolver(rows, "properties")
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), r(f).value.alias("value")) for f in fields])).alias("p")
+        flat = rows.select(r(right["join_field"]).value.alias("join_key"), pairs).filter("join_key IS NOT NULL").select("join_key", "p.*")
+        return R.least_values(flat, ["join_key", "field"], F.col("value"), most, "samples")
+
     def schema_profile(self, pack_id) -> DataFrame:
         return P.property_profile(self._nodes(pack_id).withColumn("json", F.to_json("properties")), "type", "json")
 
@@ -173,11 +182,11 @@ class Engine:
         return H.search(rows, text, search_text, limit, ["rank", "label_chars", "ord"]).drop("rank", "label_chars")
 
     def node_context(self, pack_id, node_id: str, limit: int = 50) -> DataFrame:
-        """The node's edges with the nodes at their other ends."""
+        """The node's edges with the nodes at their other ends, and whether each node was found."""
         edges = self._seen(self.edges, pack_id)
         near = edges.filter(F.col("source") == node_id).select("id", "relation", F.col("target").alias("other"), F.lit("out").alias("direction")).unionByName(edges.filter(F.col("target") == node_id).select("id", "relation", F.col("source").alias("other"), F.lit("in").alias("direction")))
-        found = self._nodes(pack_id).select(F.col("id").alias("other"), "label", "type")
-        return near.orderBy("id", "direction").limit(limit).join(found, "other", "left")
+        found = self._nodes(pack_id).select(F.col("id").alias("other"), "label", "type", F.lit(True).alias("found"))
+        return near.orderBy("id", "direction").limit(limit).join(found, "other", "left").fillna({"found": False})
 
     def edge_list(self, pack_id, source=None, target=None, relation=None, limit: int = 200) -> DataFrame:
         rows = self._seen(self.edges, pack_id)

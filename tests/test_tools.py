@@ -42,6 +42,11 @@ def test_join(engine):
     assert [(r["join_key"], r["left"]["id"], r["count"]) for r in got] == [("M1", "e1", None), ("M2", "e2", 1), ("M2", "e3", 1)]
 
 
+def test_join_values(engine):
+    got = engine.join_values({"pack_id": "p", "join_field": "code"}, ["item_name", "unit"]).collect()
+    assert {(r["join_key"], r["field"]): r["samples"] for r in got} == {("M1", "item_name"): ["Bolt"], ("M1", "unit"): ["EA"], ("M2", "item_name"): ["Bolt", "Nut"], ("M2", "unit"): ["EA"]}
+
+
 def test_graph(engine):
     nodes, edges = engine.graph_get("p", 3, 5)
     assert [r["id"] for r in nodes.collect()] == ["a1", "e3", "e1"] and [r["id"] for r in edges.collect()] == ["x1"]
