@@ -53,6 +53,12 @@ def apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all shuffle partitions: each becomes as many as there are kinds of keys, so it takes more tasks than small rows
+    get by themselves. By a hash of the node, since dealing out by the node itself is left out after a join on it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node"))
+
+
 def _table(masks: list[int], first: int = 0) -> Column:
     return F.array(*[F.struct(F.lit(first + i).alias("kind"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)])
 
@@ -65,9 +71,7 @@ def waves(distance: int, fp: str = "node", equal: bool = False, sizes: tuple[int
 
     def wave(a: int, b: int) -> Wave:
         def index(rows: DataFrame) -> DataFrame:
-            # Each row becomes as many as there are kinds: it takes more partitions than the table's few files give.
-            dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-            return dealt.select("*", F.explode(_table(found[a:b], a)).alias("k")).select("node", "root", "k.kind", F.col(fp).bitwiseAND(F.col("k.mask")).alias("key"))
+            return spread(rows).select("*", F.explode(_table(found[a:b], a)).alias("k")).select("node", "root", "k.kind", F.col(fp).bitwiseAND(F.col("k.mask")).alias("key"))
 
         return index
 

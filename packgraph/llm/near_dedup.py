@@ -95,7 +95,7 @@ def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
 def _band_waves(keys: DataFrame) -> list[Wave]:
     def wave(a: int, b: int) -> Wave:
         table = lambda: F.array(*[F.struct(F.lit(i).alias("kind"), F.get("keys", F.lit(i)).alias("key")) for i in range(a, b)])
-        return lambda roots: keys.join(roots, "node").select("node", "root", F.explode(table()).alias("k")).select("node", "root", "k.*")
+        return lambda roots: deletion_keys.spread(keys.join(roots, "node")).select("node", "root", F.explode(table()).alias("k")).select("node", "root", "k.*")
 
     return [wave(a, b) for a, b in zip(BAND_WAVES, BAND_WAVES[1:])]
 
