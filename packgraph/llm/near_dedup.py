@@ -1,17 +1,17 @@
 """Near-duplicates by the similarity of whole texts: SimHash candidates first, then what SimHash can't reach.
 
 Texts are near copies if their sets of lower-case word shingles have a similarity (Jaccard) of ``least`` or more. Candidates
-are pairs whose fingerprints differ in at most ``distance`` bits, found by deletion-variant keys. Texts at 0.8 usually differ in
-8 to 14 of 64 bits, out of reach of any key of useful length, so MinHash keys propose the rest: BANDS keys of ROWS minima
-each; texts at similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99993 at 0.8 and more above. Every
+are pairs whose fingerprints differ in at most ``distance`` bits, found by deletion-variant keys, which joins the closest
+copies. Texts at 0.8 usually differ in 8 to 14 of 64 bits, out of reach of any key of useful length, so MinHash keys propose
+the rest: BANDS keys of ROWS minima each; texts at similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99993 at 0.8 and more above. Every
 link is decided from the two texts' whole shingle sets (as 64-bit hashes), so keys that meet by chance link nothing.
 
 All candidates go through ``linking``. Its joins leave out what can't be similar: each set has a sketch of bits, of which
 each shingle flips one. Two sketches differ in no more bits than the sets differ in shingles, and sets of n shingles together
-may differ in n * (1 - s) / (1 + s) at most.
+may differ in n * (1 - s) / (1 + s) at most. Only what is made of a text is written; texts are read again where pairs need them.
 
 Nulls: a null text counts as empty, and empty texts are alike; a text of fewer words than a shingle is one shingle. A null
-doc_id comes last. Repeated rows are near copies of each other. An empty table gives an empty result.
+doc_id comes last. Rows that repeat doc_id and text are one node. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from packgraph.llm.linking import Wave, link
 from packgraph.llm.scratch import Scratch, mark, only, plain
 from packgraph.llm.shingles import BANDS, SKETCH, band_keys, fingerprint_of, set_of, shingle_hashes, shingle_set, similarity, sketch
 
-WIDTH, SIMILARITY, DISTANCE = 5, 0.8, 4
+WIDTH, SIMILARITY, DISTANCE = 5, 0.8, 2
 BAND_WAVES = (0, 2, BANDS)
 CACHED = 64  # shingle sets that a task keeps
-FEW_NODES = 1 << 18  # ids that are broadcast, 2 MB; more of them are joined
+FEW_NODES = 1 << 18  # ids and marks that are broadcast, 6 MB; more of them are joined
 
 
 def _measured(width: int):
@@ -47,13 +47,14 @@ def _measured(width: int):
                 sizes.append(len(hashes))
             longs = pa.list_(pa.int64())
             made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(sketches, longs), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["doc_id", "mark", "text", "fp", "keys", "sketch", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc_id", "mark", "fp", "keys", "sketch", "n"])
 
     return measured
 
 
-def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
-    """Gives the pairs whose texts are similar, None if there are no pairs. Only the texts that a pair needs are moved."""
+def _check(texts: DataFrame, rows: DataFrame, scratch: Scratch, width: int, least: float):
+    """Gives the pairs whose texts are similar, None if there are no pairs. Only the texts that a pair needs are moved. texts:
+    doc_id, mark, text; rows: doc_id, mark, node."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -77,12 +78,14 @@ def _check(texts: DataFrame, scratch: Scratch, width: int, least: float):
         at = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
         once = pairs.select(at("node_a", "node_b"), at("node_b", "node_a"), at("root_a", "root_b"), at("root_b", "root_a")).dropDuplicates(["node_a", "node_b"])
         once = scratch.put(f"pairs-{name}", once)
-        needed = scratch.put(f"needed-{name}", once.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct())
+        needed = once.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+        needed = scratch.put(f"needed-{name}", rows.join(needed, "node").select(F.col("doc_id").alias("own"), F.col("mark").alias("own_mark"), "node"))
         n = needed.count()
         if not n:
             return None
-        some = texts.join(F.broadcast(needed) if n <= FEW_NODES else needed, "node", "left_semi")
-        some = scratch.put(f"some-{name}", some)
+        same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark"))
+        some = texts.join(F.broadcast(needed) if n <= FEW_NODES else needed, same).select("node", "text")
+        some = scratch.put(f"some-{name}", some.dropDuplicates(["node"]))  # a text that is in the table twice is needed once
         a, b = (some.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = once.join(a, "node_a").join(b, "node_b").select("node_a", "node_b", "root_a", "root_b", "text_a", "text_b")
         found = scratch.put(f"links-{name}", both.mapInArrow(similar, "root_a long, root_b long").distinct())
@@ -101,18 +104,18 @@ def _band_waves(keys: DataFrame) -> list[Wave]:
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, mark (a hash of the text), node and root of each row; equal roots: linked by near copies."""
+    """doc_id, mark (a hash of the text), node and root of each different row; equal roots: linked by near copies."""
     scratch = Scratch(docs.sparkSession, "near")
     texts = plain(docs, doc_id="long", text="string").select("doc_id", mark().alias("mark"), "text")
-    made = texts.mapInArrow(_measured(width), "doc_id long, mark long, text string, fp long, keys array<long>, sketch array<long>, n long")
-    rows = scratch.put("rows", made.withColumn("node", F.monotonically_increasing_id()))
+    made = texts.mapInArrow(_measured(width), "doc_id long, mark long, fp long, keys array<long>, sketch array<long>, n long")
+    rows = scratch.put("rows", made.dropDuplicates(["doc_id", "mark"]).withColumn("node", F.monotonically_increasing_id()))
     roots = scratch.put("roots", rows.select("node", F.col("node").alias("root")))
 
     fps = rows.select("node", "fp")
     simhash = [lambda known, wave=wave: wave(fps.join(known, "node")) for wave in deletion_keys.waves(distance, "fp", True, (deletion_keys.FIRST,))]
     unlike = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     alike = unlike <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6  # rounding up loses no pair
-    check = _check(rows.select("node", "text"), scratch, width, least)
+    check = _check(texts, rows.select("doc_id", "mark", "node"), scratch, width, least)
     roots = link(roots, simhash, alike & (deletion_keys.apart("fp_a", "fp_b") <= distance), scratch, rows.select("node", "fp", "sketch", "n"), check, tag="fp-")
     roots = link(roots, _band_waves(rows.select("node", "keys")), alike, scratch, rows.select("node", "sketch", "n"), check, tag="band-")
     reached = scratch.put("reached", rows.select("doc_id", "mark", "node").join(roots, "node"))
