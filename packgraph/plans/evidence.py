@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from packgraph.operators import rows as RW
 from packgraph.operators import rules as RU
 from packgraph.operators import search as H
 from packgraph.operators import suite as SU
-from packgraph.plans.registry import _EDGES, Tables, big, dbl, query, star_edges
+from packgraph.plans.registry import _EDGES, Tables, _score_sql, big, dbl, query, star_edges
 from packgraph.plans.tools import Engine
 from packgraph.sources import packs as SP
 
@@ -356,3 +358,41 @@ query("combined_pack", "SELECT 'nation:' || n_nationkey AS node_id, 'nation' AS
 query("shape_faults", f"WITH {_EDGES}, n AS (SELECT 'nation:' || n_nationkey AS id FROM nation UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 1) SELECT 'repeated_id' AS fault, id, count(*) AS n FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown_end', id, count(*) FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) WHERE id NOT IN (SELECT id FROM n) GROUP BY id")(
     lambda t: SU.shape_faults(t.nation.unionByName(t.nation.filter("n_regionkey = 1")).select(G.node_key("nation", "n_nationkey").alias("id")), star_edges(t))
 )
+
+# --- tools over elements and entities ---------------------------------------------------------------------------------------------
+
+
+def elements(t: Tables) -> Engine:
+    """Parts as elements of modules and vectors as drawing entities."""
+    props = F.parse_json(F.to_json(F.struct(F.concat(F.col("p_size").cast("string"), F.lit("-05-ST")).alias("module_type"), F.col("p_type").alias("item_name"), F.col("p_size").alias("quantity"), F.col("p_brand").alias("unit"), F.col("p_partkey").alias("source_row"), F.col("p_partkey").alias("source_element_id"))))
+    nodes = t.part.select(F.lit("p").alias("pack_id"), G.node_key("part", "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("Element").alias("type"), props.alias("properties"), F.col("p_partkey").alias("ord"))
+    edges = nodes.limit(0).select("pack_id", "id", F.col("id").alias("source"), F.col("id").alias("target"), F.lit("r").alias("relation"), "ord")
+    x = lambda i: dbl(F.get("embedding", F.lit(i)))
+    entities = t.embeddings.select(F.lit("p").alias("pack_id"), F.col("vec_id").alias("ord"), F.when(F.col("label") % 2 == 0, "TEXT").otherwise("LINE").alias("entity_type"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("layer"), F.concat(F.lit("room "), F.col("label").cast("string")).alias("text"), F.lit("A-1").alias("sheet_no"), F.lit("v").alias("view_name"), F.lit("a.dxf").alias("source_file"), DR.box(x(0), x(1), x(2), x(3)).alias("bbox"))
+    return Engine(nodes, edges, entities=entities)
+
+
+query("tool_project_modules", "SELECT p_size || '-05-ST' AS module_id, 'module_type' AS sources, count(*) AS n FROM part GROUP BY 1")(lambda t: elements(t).list_project_modules("p").withColumn("sources", F.array_join("sources", ",")))
+query("tool_module_elements", "SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 7")(lambda t: elements(t).list_module_elements("p", "7-05-ST", fields=["id"]))
+query("tool_quantity_by_module", "SELECT p_size || '-05-ST' AS module_type, sum(p_size)::DOUBLE AS total, count(*) AS n FROM part GROUP BY p_size")(lambda t: elements(t).aggregate_quantity_by_module("p").select("module_type", dbl(F.col("total")).alias("total"), "n"))
+query("tool_quantity_evidence", "SELECT p_brand AS unit, sum(p_size)::DOUBLE AS quantity_sum, count(*) AS row_count FROM part WHERE contains(p_type, 'STEEL') GROUP BY 1")(
+    lambda t: elements(t).query_quantity_evidence("p", include_item_regex="STEEL", group_by=["unit"]).select("unit", dbl(F.col("quantity_sum")).alias("quantity_sum"), "row_count")
+)
+query("tool_filtered_nodes", "SELECT 'part:' || p_partkey AS id, p_size::VARCHAR AS quantity FROM part WHERE p_size >= 20 AND p_type LIKE '%STEEL%'")(
+    lambda t: elements(t).filtered_search_nodes("p", "element", {"quantity__gte": 20, "item_name__contains": "steel"}, ["id", "quantity"], limit=None).rows
+)
+query("tool_distinct_values", "SELECT DISTINCT p_brand AS value FROM part")(lambda t: elements(t).distinct_property_values("p", "unit").select("value"))
+query("tool_entity_search", "SELECT vec_id AS ord FROM embeddings WHERE label % 2 = 0 AND contains('l' || label, '4')")(lambda t: elements(t).dxf_entity_search("p", entity_type=["text"], layer="4", limit=1 << 30).select("ord"))
+query("tool_text_search", "SELECT vec_id AS ord FROM embeddings WHERE label % 2 = 0 AND contains(CAST(label AS VARCHAR), '4')")(lambda t: elements(t).dxf_text_search("p", "4", limit=1 << 30).select("ord"))
+query("tool_bbox_query", "SELECT vec_id AS ord FROM embeddings WHERE least(embedding[1], embedding[3])::DOUBLE >= -0.2 AND greatest(embedding[1], embedding[3])::DOUBLE <= 0.2 AND least(embedding[2], embedding[4])::DOUBLE >= -0.2 AND greatest(embedding[2], embedding[4])::DOUBLE <= 0.2")(
+    lambda t: elements(t).dxf_bbox_query("p", (-0.2, -0.2, 0.2, 0.2), "within", limit=1 << 30).select("ord")
+)
+query("tool_drawing_text", "SELECT CAST(vec_id AS VARCHAR) AS ref, 1.2 * 1.5 + 5 + 2 AS score FROM embeddings WHERE label % 2 = 0 AND contains(CAST(label AS VARCHAR), '4') AND NOT contains(CAST(label AS VARCHAR), '44')")(
+    lambda t: elements(t).drawing_text_search("p", "4", limit=1 << 30).filter("NOT contains(text, '44')").select("ref", F.round("score", 4).alias("score"))
+)
+query("tool_entity_summary", "SELECT 'layer' AS facet, 'L' || label AS value, count(*) AS n FROM embeddings GROUP BY label")(lambda t: elements(t).dxf_entity_summary("p").filter("facet = 'layer'"))
+query("tool_graph_get", "SELECT id FROM (SELECT 'nation:' || n_nationkey AS id, 0 AS o, n_name AS l FROM nation UNION ALL SELECT 'region:' || r_regionkey, 1, r_name FROM region) ORDER BY o, l, id LIMIT 27")(lambda t: engine(t).graph_get("p", 27, 100)[0].select("id"))
+query("tool_document_read", "SELECT substr(text, 1, 40) AS content, length(text) > 40 AS truncated FROM documents WHERE doc_id = 5")(lambda t: engine(t).document_read("", "documents/5.md", 40).select("content", "truncated"))
+query("tool_project_search", f"SELECT source AS pack_id, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round({_score_sql('lower(text)', ['licensed'])}, 6) DESC, doc_id) AS place FROM documents WHERE contains(lower(text), 'licensed')) WHERE place <= 3")(
+    lambda t: replace(engine(t), chunks=None).project_search("", "licensed").select("pack_id", F.regexp_extract("ref", "([0-9]+)", 1).cast("long").alias("doc_id"), big(F.col("place")).alias("place"))
+)
