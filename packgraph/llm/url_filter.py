@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from packgraph.llm.scratch import Scratch, plain
 
 FOREVER = "9999-12-31 00:00:00"
-CAPTURES = 1000  # of a pattern and list that go through one order, or as many as there are intervals if these are more
+CAPTURES = 256  # of a pattern and list that go through one order, or as many as there are intervals if these are more
 
 
 def host(url: Column) -> Column:
