@@ -148,8 +148,27 @@ def pack_quality(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, cap: i
 
 
 def module_kind(workset: Column) -> Column:
-    """What a workset name says: a user's module, a shared one, or none."""
-    return F.when(workset.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[A-Z]+"), "module").when(workset.rlike("(?i)shared|grid|level"), "shared").otherwise("none")
+    """What a workset's name says: a module, work on the site, neither, or nothing."""
+    site = workset.startswith("현장공사분-") | (workset == "분리발주공사")
+    return F.when(F.coalesce(workset, F.lit("")) == "", "missing_workset").when(workset.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[A-Z]+"), "module").when(site, "site_work").otherwise("non_module_workset")
+
+
+def ifc_family(object_type: Column, name: Column) -> Column:
+    """family and type of an element: the first and last part of its object type, or else its name, around colons."""
+    source = F.coalesce(F.nullif(object_type, F.lit("")), F.nullif(name, F.lit("")))
+    parts = F.split(source, ":")
+    return F.struct(F.when(F.size(parts) >= 2, F.nullif(F.get(parts, F.lit(0)), F.lit(""))).alias("family"), F.nullif(F.element_at(parts, -1), F.lit("")).alias("type"))
+
+
+def clean_material(value: Column) -> Column:
+    """A material's name without marks; null for empty ones and dashes."""
+    bare = F.trim(F.regexp_replace(value, "[#;]", ""))
+    return F.when(F.trim(value) != "-", F.nullif(bare, F.lit("")))
+
+
+def is_concrete(*texts: Column) -> Column:
+    low = F.lower(F.concat_ws(" ", *texts))
+    return F.contains(low, F.lit("콘크리트")) | F.contains(low, F.lit("concrete"))
 
 
 def storey_groups(elements: DataFrame, keys: list[str]) -> DataFrame:

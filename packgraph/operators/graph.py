@@ -95,9 +95,13 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def merge_packs(packs: dict[str, DataFrame]) -> DataFrame:
-    """Nodes of several packs under ids such as ``pack::id``."""
-    parts = [df.withColumn("pack_id", F.lit(p)).withColumn("id", F.concat_ws("::", F.lit(p), "id")) for p, df in packs.items()]
+def merge_packs(packs: dict[str, DataFrame], aliases: dict[str, str] | None = None) -> DataFrame:
+    """Nodes of several packs under ids such as ``pack::id``, with the pack and the id they had. A pack that is an alias of
+    another one that is there, or of the same one as an earlier pack, is merged once."""
+    chosen: dict[str, str] = {}
+    for name in sorted(packs, key=lambda p: (aliases or {}).get(p, p) != p):  # packs under their own name first
+        chosen.setdefault((aliases or {}).get(name, name), name)
+    parts = [packs[n].withColumn("pack_id", F.lit(p)).withColumn("original_id", F.col("id")).withColumn("id", F.concat_ws("::", F.lit(p), "id")) for p, n in chosen.items()]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more, allowMissingColumns=True)

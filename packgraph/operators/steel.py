@@ -11,15 +11,38 @@ from pyspark.sql import functions as F
 from packgraph.operators import graph as G
 from packgraph.operators import rollup as R
 
-#: Profile groups by the beginning of a section's standard or name (fixed values).
-PROFILES = (("H", "H-beam"), ("I", "I-beam"), ("L", "angle"), ("C", "channel"), ("RHS", "hollow"), ("SHS", "hollow"), ("PL", "plate"), ("FB", "flat bar"), ("RB", "round bar"))
+#: Profile groups in the order in which they are tried: the standard as a whole, parts of the standard, beginnings of the
+#: name, and the group's Korean names, which searches use too (fixed values).
+PROFILES = (
+    ("C-Channel", ("Korea C-Channels",), (), (), ("씨찬넬", "씨잔넬")),
+    ("Channel", ("Korea Channels",), (), (), ("찬넬", "잔넬", "ㄷ형강")),
+    ("H-Beam", ("Korea H-Beam",), (), ("H ",), ("H형강", "에이치형강")),
+    ("Angle", (), ("Angle",), ("L ",), ("앵글", "ㄱ형강")),
+    ("Tube", (), ("Square", "Rectangular"), ("Q", "RHS", "SQ"), ("각관", "사각관")),
+    ("Plate", (), (), ("PL ",), ("플레이트", "철판", "판재")),
+)
+
+
+def profile_group(name: Column, standard: Column | None = None) -> Column:
+    """The first group that a section's standard or name says, else null."""
+    standard = F.coalesce(standard, F.lit("")) if standard is not None else F.lit("")
+    name = F.coalesce(name, F.lit(""))
+    out = F.lit(None).cast("string")
+    for group, whole, parts, begins, _ in reversed(PROFILES):
+        test = standard.isin(list(whole)) if whole else F.lit(False)
+        for x in parts:
+            test = test | F.contains(standard, F.lit(x))
+        for x in begins:
+            test = test | name.startswith(x)
+        out = F.when(test, group).otherwise(out)
+    return out
 
 
-def profile_group(name: Column) -> Column:
-    """The group of the longest beginning that fits, else other."""
-    out = F.lit("other")
-    for prefix, group in sorted(PROFILES, key=lambda p: len(p[0])):
-        out = F.when(F.upper(name).startswith(prefix), group).otherwise(out)
+def profile_names(group: Column) -> Column:
+    """The words by which a group is searched, as an array; empty without a group."""
+    out = F.array().cast("array<string>")
+    for name, *_, korean in PROFILES:
+        out = F.when(group == name, F.array(F.lit(name), *[F.lit(k) for k in korean])).otherwise(out)
     return out
 
 
@@ -27,7 +50,7 @@ def enriched_parts(parts: DataFrame, materials: DataFrame, sections: DataFrame)
     """Parts that have a module id and type, with names of their material and section."""
     known = parts.filter("module_id IS NOT NULL AND module_type IS NOT NULL")
     m = materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"))
-    s = sections.select(F.col("id").alias("section_id"), F.col("name").alias("section_name"), profile_group(F.col("name")).alias("profile_group"))
+    s = sections.select(F.col("id").alias("section_id"), F.col("name").alias("section_name"), profile_group(F.col("name"), F.col("standard") if "standard" in sections.columns else None).alias("profile_group"))
     return known.join(m, "material_id", "left").join(s, "section_id", "left")
 
 
@@ -68,7 +91,7 @@ def fasteners(patterns: DataFrame) -> DataFrame:
     as it has locations; patterns where both are known and differ are counted. patterns: kind, nx, ny, n_locations, ..."""
     grid = F.col("nx") * F.col("ny")
     pieces = F.when(F.col("kind") == "anchor", F.col("n_locations")).otherwise(F.coalesce(grid, F.col("n_locations")))
-    named = patterns.withColumn("spec", F.coalesce(F.col("description"), R.fastener_name(F.col("diameter_m"), F.col("length_m"))))
+    named = patterns.withColumn("spec", F.coalesce(F.col("description"), R.fastener_name(F.col("diameter_m"), F.col("length_m")), F.col("standard")))
     return named.groupBy("kind", "spec", "grade", "standard", "diameter_m", "length_m").agg(F.count(F.lit(1)).alias("patterns"), F.sum(pieces).alias("pieces"), F.count_if(grid != F.col("n_locations")).alias("mismatches"))
 
 

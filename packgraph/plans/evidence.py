@@ -17,6 +17,7 @@ from packgraph.operators import packs as P
 from packgraph.operators import rows as RW
 from packgraph.operators import rules as RU
 from packgraph.operators import search as H
+from packgraph.operators import steel as ST
 from packgraph.operators import suite as SU
 from packgraph.plans.registry import _EDGES, Tables, _score_sql, big, dbl, query, star_edges
 from packgraph.plans.tools import Engine
@@ -396,3 +397,19 @@ query("tool_document_read", "SELECT substr(text, 1, 40) AS content, length(text)
 query("tool_project_search", f"SELECT source AS pack_id, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round({_score_sql('lower(text)', ['licensed'])}, 6) DESC, doc_id) AS place FROM documents WHERE contains(lower(text), 'licensed')) WHERE place <= 3")(
     lambda t: replace(engine(t), chunks=None).project_search("", "licensed").select("pack_id", F.regexp_extract("ref", "([0-9]+)", 1).cast("long").alias("doc_id"), big(F.col("place")).alias("place"))
 )
+
+
+# --- sections and materials ----------------------------------------------------------------------------------------------------------
+
+query("profile_groups", """
+SELECT p_partkey, CASE WHEN p_size < 10 THEN 'C-Channel' WHEN p_size < 20 THEN 'H-Beam' WHEN p_size < 30 THEN 'Angle' WHEN p_size < 40 THEN 'Tube' END AS profile,
+  CASE WHEN p_size < 10 THEN 3 WHEN p_size < 20 THEN 3 WHEN p_size < 30 THEN 3 WHEN p_size < 40 THEN 3 ELSE 0 END AS names FROM part""")(
+    lambda t: t.part.select("p_partkey", ST.profile_group(F.when(F.col("p_size").between(10, 19), F.concat(F.lit("H "), "p_name")).when(F.col("p_size") >= 30, F.concat(F.when(F.col("p_size") < 40, "Q").otherwise("x"), "p_name")), F.when(F.col("p_size") < 10, "Korea C-Channels").when(F.col("p_size").between(20, 29), "Equal Angle 3")).alias("profile"))
+    .withColumn("names", F.size(ST.profile_names(F.col("profile"))))
+)
+query("ifc_families", "SELECT p_partkey, p_brand AS family, p_name AS type, p_type AS material, contains(lower(p_type), 'concrete') AS concrete FROM part")(
+    lambda t: t.part.select("p_partkey", B.ifc_family(F.concat_ws(":", "p_brand", F.lit("x"), "p_name"), F.lit(None).cast("string")).alias("f"), B.clean_material(F.concat(F.lit("#"), "p_type", F.lit(" ;"))).alias("material"), B.is_concrete(F.col("p_type")).alias("concrete")).select("p_partkey", "f.*", "material", "concrete")
+)
+query("merge_aliases", "SELECT 'a::' || n_name AS id, n_name AS original_id FROM nation UNION ALL SELECT 'b::' || r_name, r_name FROM region")(
+    lambda t: G.merge_packs({"old": t.nation.select(F.col("n_name").alias("id")), "a": t.nation.select(F.col("n_name").alias("id")), "b": t.region.select(F.col("r_name").alias("id"))}, {"old": "a"}).select("id", "original_id")
+)

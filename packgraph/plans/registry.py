@@ -489,7 +489,7 @@ query("steel_modules", f"SELECT c_mktsegment AS module_type, c_custkey AS module
 query("steel_module_types", f"SELECT c_mktsegment AS module_type, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT c_custkey) AS modules FROM {_OWNED} GROUP BY 1")(
     lambda t: ST.module_types(ST.modules(ST.assemblies(steel_enriched(t)))).select("module_type", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules")
 )
-query("steel_breakdown", f"SELECT c_mktsegment AS module_type, CASE WHEN upper(p_brand) LIKE 'C%' THEN 'channel' ELSE 'other' END AS value, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY ALL")(
+query("steel_breakdown", f"SELECT c_mktsegment AS module_type, CASE WHEN p_brand LIKE 'Q%' OR p_brand LIKE 'RHS%' OR p_brand LIKE 'SQ%' THEN 'Tube' ELSE '(blank)' END AS value, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY ALL")(
     lambda t: ST.breakdown(steel_enriched(t), ["module_type"], "profile_group").select("module_type", "value", "n", dbl(F.col("weight_kg")).alias("weight_kg"))
 )
 query("steel_usage", f"SELECT p_brand AS section_name, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT c_custkey) AS modules FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY 1")(

@@ -54,5 +54,5 @@ def test_quality_and_groups(spark):
     r = bim.pack_quality(nodes, edges, spark.createDataFrame([("1",)], "node_id string"), cap=2).first()
     assert (r["nodes"], r["edges"], r["broken_edges"], r["nodes_without_evidence"], r["capped"]) == (2, 2, 1, 1, True)
     e = spark.createDataFrame([("1-05-ST", "IFCDOOR", "t"), ("Shared Grids", "IFCWALLSTANDARD", "u")], "workset string, ifc_type string, type_name string")
-    assert [x["k"] for x in e.select(bim.module_kind(F.col("workset")).alias("k")).collect()] == ["module", "shared"]
+    assert [x["k"] for x in e.select(bim.module_kind(F.col("workset")).alias("k")).collect()] == ["module", "non_module_workset"]
     assert {x["workset"]: x["doors"] for x in bim.storey_groups(e, ["workset"]).collect()} == {"1-05-ST": 1, "Shared Grids": 0}
