@@ -112,7 +112,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, l
     roots = scratch.put("roots", rows.select("node", F.col("node").alias("root")))
 
     fps = rows.select("node", "fp")
-    simhash = [lambda known, wave=wave: wave(fps.join(known, "node")) for wave in deletion_keys.waves(distance, "fp", True, (deletion_keys.FIRST,))]
+    simhash = [lambda known, wave=wave: wave(fps.join(known, "node")) for wave in deletion_keys.waves(distance, "fp", True, ())]
     unlike = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     alike = unlike <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6  # rounding up loses no pair
     check = _check(texts, rows.select("doc_id", "mark", "node"), scratch, width, least)

@@ -64,3 +64,27 @@ def test_waves_keep_a_large_cluster_out_of_later_indexes(spark, monkeypatch):
     fps = family(1500, 1, 4)
     simhash.linked(table(spark, fps), scratch.Scratch(spark, "t")).collect()
     assert sum(seen.values()) < 30 * len(fps)  # of 139 keys each, nearly all of which are shared
+
+
+@pytest.mark.parametrize("at_once", [2, 100_000])
+def test_components_of_chains_stars_and_circles(spark, monkeypatch, at_once):
+    from packgraph.llm import components as C
+
+    monkeypatch.setattr(C, "AT_ONCE", at_once)
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(r.randrange(3000, 3200), r.randrange(3000, 3200)) for _ in range(120)] + [(5, 5)]
+    r.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    s = scratch.Scratch(spark, "c")
+    got = {x["v"]: x["root"] for x in C.components(df, s, "c").collect()}
+    touched = sorted({v for a, b in edges if a != b for v in (a, b)})
+    want = components(touched, edges)
+    assert set(got) == set(touched) and len(set(got.values())) == len(set(want.values())) == len({(got[v], want[v]) for v in touched})
+    assert C.components(df.limit(0), s, "none") is None
+
+
+def test_stars_of_edges():
+    from packgraph.llm.components import stars_of
+
+    found = dict(stars_of(iter([(1, 2), (2, 3), (7, 8), (4, 4)])))
+    assert set(found) | set(found.values()) == {1, 2, 3, 7, 8} and len(set(found.values())) == 2
