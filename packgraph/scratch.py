@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,24 +27,26 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _delete(path: str) -> None:
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:  # the session has ended
+        return
+    try:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  leftovers are no reason to fail a finished job
+        pass
+
+
 class Scratch:
-    """Tables written below one fresh shared folder; what is left goes when Python ends."""
+    """Tables written below one fresh shared folder; what is left goes when Python ends, which alone is remembered of a Scratch
+    that is no longer used."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: dict[int, tuple[str, DataFrame]] = {}
-        atexit.register(self._delete, self.base)
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        if sc._jsc is None:  # the session has ended
-            return
-        try:
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  leftovers are no reason to fail a finished job
-            pass
+        atexit.register(_delete, self.base)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write df as a table and read it again with the schema it was written with."""
@@ -56,7 +59,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
-            self._delete(f"{self.base}/{name}")
+            _delete(f"{self.base}/{name}")
             self.names = {i: x for i, x in self.names.items() if x[0] != name}
 
     def drop_all(self, prefix: str) -> None:
