@@ -7,7 +7,8 @@ the first, small wave and is one root afterwards.
 Within a wave, a key whose rows outside its main root are few is joined directly. A crowded key is first held against a few
 of its own nodes, twice, which joins clusters with as many rows as they have members. What is still crowded then is a crowd
 of nodes that are mostly not linked: its rows are dealt to finer keys (``refine``), of which each linked pair still shares
-one, until no key is crowded. Nothing is capped or left out: a key that can't be refined further is joined directly.
+one, until no key is crowded. Finer keys may tell core rows from others, so that only pairs with a core row meet. Nothing is
+capped or left out: a key that can't be refined further is joined directly.
 """
 
 from __future__ import annotations
@@ -34,20 +35,25 @@ def joined(roots: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def _mixed(placed: DataFrame, few: int) -> DataFrame:
-    """Keys (kind, key) of placed rows that hold more than one root, with most (the root of most of their rows) and crowded
-    (more than ``few`` rows have another root)."""
-    sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("kind", "key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    return mixed.select("kind", "key", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n") > few).alias("crowded"))
-
-
-def _direct(placed: DataFrame, keys: DataFrame, with_payload, more: list[str], maybe: Column) -> DataFrame:
-    """Pairs of different roots within the keys: each row outside the main root against all others."""
+    """Keys (kind, key) of placed rows that hold more than one root and a core row, with most (the root of most of their rows)
+    and crowded (more than ``few`` rows have another root, or would meet core rows that do)."""
+    sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores"))
+    mixed = sizes.groupBy("kind", "key").agg(F.max(F.struct("n", "root", "cores")).alias("most"), F.sum("n").alias("n"), F.sum("cores").alias("cores"), F.count(F.lit(1)).alias("roots"))
+    out, out_core = F.col("n") - F.col("most.n"), F.col("cores") - F.col("most.cores")
+    crowded = (out_core > few) | (F.least(out - out_core, F.col("cores")) > few)
+    return mixed.filter("roots > 1 AND cores > 0").select("kind", "key", F.col("most.root").alias("most"), crowded.alias("crowded"))
+
+
+def _direct(placed: DataFrame, keys: DataFrame, with_payload, more: list[str], maybe: Column, all_core: bool) -> DataFrame:
+    """Pairs of different roots within the keys, one of them at least a core row: each row outside the main root against all others
+    if it is one, else against the core rows."""
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", *more)]
     outside = with_payload(placed.join(keys.select("kind", "key", "most"), ["kind", "key"]).filter("root <> most"))
+    met = F.lit(True) if all_core else F.explode(F.when(F.col("core"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
     # Of two rows that are both outside the main root, one order is enough.
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
-    pairs = outside.select("kind", "key", "most", *side("a")).join(with_payload(placed).select("kind", "key", *side("b")), ["kind", "key"])
+    own = outside.select("kind", "key", "most", met.alias("core"), *side("a"))
+    pairs = own.join(with_payload(placed).select("kind", "key", "core", *side("b")), ["kind", "key", *["core"] * (not all_core)])
     return pairs.filter(once & maybe).select("node_a", "node_b", "root_a", "root_b")
 
 
@@ -69,30 +75,42 @@ def link(
     payload: DataFrame | None = None,
     check: Callable[[DataFrame, str], DataFrame | None] | None = None,
     refine: Callable[[DataFrame, int], DataFrame] | None = None,
-    tag: str = "",
+    levels: int = LEVELS,
+    settles: bool = False,
+    prepare: Callable[[DataFrame, str], None] | None = None,
 ) -> DataFrame:
     """(node, root) of each node: equal roots are linked. roots: node and the root known so far, a table of ``scratch``, which is
     deleted when there are newer ones.
 
     Each wave makes rows of node, root, kind (int) and key (long) from roots. ``maybe`` is a condition on node_a and node_b
     and on the payload's columns with the same endings; ``check(pairs, name)`` gives those of the pairs (node_a, node_b,
-    root_a, root_b) that are linked, or None. ``refine(rows, level)`` deals rows (node, kind, key) to finer keys. ``tag`` tells the tables
-    of several calls with one scratch apart.
+    root_a, root_b) that are linked, or None. ``prepare(rows, name)`` sees the rows of each wave that share a key before that.
+
+    ``refine(rows, level)`` deals rows (node, kind, key) to finer keys, up to ``levels`` times. Its rows may have a boolean column
+    core: two rows then meet only if one of them is core. ``settles``: it deals all rows without regard to their keys, so that every
+    link among their nodes is found; in later waves these nodes meet only others.
     """
     more = [c for c in payload.columns if c != "node"] if payload is not None else []
     with_payload = lambda df: df.join(payload, "node") if more else df
+    all_of = lambda df: df if "core" in df.columns else df.withColumn("core", F.lit(True))
+    settled: DataFrame | None = None
     for w, wave in enumerate(waves):
         index = wave(roots)
         shared = index.groupBy("kind", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("kind", "key").hint("merge")
-        placed, level = scratch.put(f"placed-{tag}{w}-0", index.join(shared, ["kind", "key"])), 0
+        rows, all_core = index.join(shared, ["kind", "key"]), settled is None
+        if settled is not None:
+            rows = rows.join(settled.withColumn("settled", F.lit(True)), "node", "left").withColumn("core", F.col("settled").isNull()).drop("settled")
+        placed, level = scratch.put(f"placed-{w}-0", all_of(rows)), 0
+        if prepare is not None:
+            prepare(placed, str(w))
         while True:
-            name = f"{tag}{w}-{level}"
-            last = level >= TURNS and (refine is None or level - TURNS >= LEVELS)
+            name = f"{w}-{level}"
+            last = level >= TURNS and (refine is None or level - TURNS >= levels)
             mixed = scratch.put(f"mixed-{name}", _mixed(placed, FEW if level < TURNS else CROWD))
             if mixed.isEmpty():
                 scratch.drop(f"placed-{name}", f"mixed-{name}")
                 break
-            pairs = _direct(placed, mixed if last else mixed.filter("NOT crowded"), with_payload, more, maybe)
+            pairs = _direct(placed, mixed if last else mixed.filter("NOT crowded"), with_payload, more, maybe, all_core)
             crowded = mixed.filter("crowded")
             more_levels = not last and not crowded.isEmpty()
             if more_levels:
@@ -108,8 +126,14 @@ def link(
             if not more_levels:
                 break
             level += 1
-            rows = crowd.select("node", "kind", "key")
-            rows = refine(rows, level - TURNS) if refine is not None and level > TURNS else rows
-            placed = scratch.put(f"placed-{tag}{w}-{level}", rows.join(roots, "node"))
+            rows = crowd.select("node", "kind", "key", "core")
+            if refine is not None and level > TURNS:
+                if settles and level == TURNS + 1:
+                    nodes = crowd.select("node") if settled is None else crowd.select("node").unionByName(settled)
+                    settled = scratch.put(f"settled-{w}", nodes.distinct())
+                rows = refine(rows.drop("core"), level - TURNS)
+                all_core = "core" not in rows.columns
+                rows = all_of(rows)
+            placed = scratch.put(f"placed-{w}-{level}", rows.join(roots, "node"))
             scratch.drop(f"crowd-{name}")
     return roots

@@ -1,14 +1,15 @@
 """Near-duplicates by the similarity of whole texts: SimHash candidates first, then what SimHash can't reach.
 
-Texts are near copies if their sets of lower-case word shingles have a similarity (Jaccard) of ``least`` or more. Candidates
-are pairs whose fingerprints differ in at most ``distance`` bits, found by deletion-variant keys, which joins the closest
+Texts are near copies if their sets of lower-case word shingles have ``percent`` of their union in common or more. Candidates
+share a deletion-variant key of their fingerprints at ``distance`` bits, which joins the closest
 copies. Texts at 0.8 usually differ in 8 to 14 of 64 bits, out of reach of any key of useful length, so MinHash keys propose
 the rest: BANDS keys of ROWS minima each; texts at similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99993 at 0.8 and more above. Every
 link is decided from the two texts' whole shingle sets (as 64-bit hashes), so keys that meet by chance link nothing.
 
 All candidates go through ``linking``. Its joins leave out what can't be similar: each set has a sketch of bits, of which
 each shingle flips one. Two sketches differ in no more bits than the sets differ in shingles, and sets of n shingles together
-may differ in n * (1 - s) / (1 + s) at most. Only what is made of a text is written; texts are read again where pairs need them.
+may differ in n * (100 - percent) / (100 + percent) at most. Crowds under a key that are not linked get the finer keys of ``set_joins``.
+Texts are read once more for each wave of keys, for the sets of its candidates.
 
 Nulls: a null text counts as empty, and empty texts are alike; a text of fewer words than a shingle is one shingle. A null
 doc_id comes last. Rows that repeat doc_id and text are one node. An empty table gives an empty result.
@@ -20,18 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packgraph.llm import deletion_keys
 from packgraph.llm.linking import Wave, link
 from packgraph.llm.scratch import Scratch, mark, only, plain
-from packgraph.llm.shingles import BANDS, SKETCH, band_keys, fingerprint_of, set_of, shingle_hashes, shingle_set, similarity, sketch
+from packgraph.llm.set_joins import REFINED, Sets
+from packgraph.llm.shingles import BANDS, SKETCH, band_keys, fingerprint_of, set_of, shingle_hashes, sketch
 
-WIDTH, SIMILARITY, DISTANCE = 5, 0.8, 2
+WIDTH, PERCENT, DISTANCE = 5, 80, 2
 BAND_WAVES = (0, 2, BANDS)
-CACHED = 64  # shingle sets that a task keeps
-FEW_NODES = 1 << 18  # ids and marks that are broadcast, 6 MB; more of them are joined
 
 
 def _measured(width: int):
@@ -52,49 +52,6 @@ def _measured(width: int):
     return measured
 
 
-def _check(texts: DataFrame, rows: DataFrame, scratch: Scratch, width: int, least: float):
-    """Gives the pairs whose texts are similar, None if there are no pairs. Only the texts that a pair needs are moved. texts:
-    doc_id, mark, text; rows: doc_id, mark, node."""
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: bytes | None) -> np.ndarray:
-            if node not in sets:
-                if len(sets) >= CACHED:
-                    del sets[next(iter(sets))]
-                sets[node] = shingle_set(text or b"", width)
-            return sets[node]
-
-        for batch in batches:
-            a, b, root_a, root_b = (batch.column(i).to_pylist() for i in range(4))
-            texts_a, texts_b = (batch.column(i).cast(pa.binary()) for i in (4, 5))
-            near = [i for i in range(len(a)) if similarity(of(b[i], texts_b[i].as_py()), of(a[i], texts_a[i].as_py())) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([root_a[i] for i in near], pa.int64()), pa.array([root_b[i] for i in near], pa.int64())], ["root_a", "root_b"])
-
-    def check(pairs: DataFrame, name: str) -> DataFrame | None:
-        # One order for each pair, so that a pair that meets under many keys is decided once.
-        swap = F.col("node_a") > F.col("node_b")
-        at = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
-        once = pairs.select(at("node_a", "node_b"), at("node_b", "node_a"), at("root_a", "root_b"), at("root_b", "root_a")).dropDuplicates(["node_a", "node_b"])
-        once = scratch.put(f"pairs-{name}", once)
-        needed = once.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
-        needed = scratch.put(f"needed-{name}", rows.join(needed, "node").select(F.col("doc_id").alias("own"), F.col("mark").alias("own_mark"), "node"))
-        n = needed.count()
-        if not n:
-            return None
-        same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark"))
-        some = texts.join(F.broadcast(needed) if n <= FEW_NODES else needed, same).select("node", "text")
-        some = scratch.put(f"some-{name}", some.dropDuplicates(["node"]))  # a text that is in the table twice is needed once
-        a, b = (some.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-        both = once.join(a, "node_a").join(b, "node_b").select("node_a", "node_b", "root_a", "root_b", "text_a", "text_b")
-        found = scratch.put(f"links-{name}", both.mapInArrow(similar, "root_a long, root_b long").distinct())
-        scratch.drop(f"pairs-{name}", f"needed-{name}", f"some-{name}")
-        return found
-
-    return check
-
-
 def _band_waves(keys: DataFrame) -> list[Wave]:
     def wave(a: int, b: int) -> Wave:
         table = lambda: F.array(*[F.struct(F.lit(i).alias("kind"), F.get("keys", F.lit(i)).alias("key")) for i in range(a, b)])
@@ -103,27 +60,36 @@ def _band_waves(keys: DataFrame) -> list[Wave]:
     return [wave(a, b) for a, b in zip(BAND_WAVES, BAND_WAVES[1:])]
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
+def unlike(n: int = SKETCH) -> Column:
+    """How many bits of two sketches differ."""
+    return sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(n)), F.lit(0))
+
+
+def maybe_alike(percent: int) -> Column:
+    """False only for pairs whose sketches show that they are not alike."""
+    return unlike() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, percent: int = PERCENT) -> DataFrame:
     """doc_id, mark (a hash of the text), node and root of each different row; equal roots: linked by near copies."""
     scratch = Scratch(docs.sparkSession, "near")
     texts = plain(docs, doc_id="long", text="string").select("doc_id", mark().alias("mark"), "text")
     made = texts.mapInArrow(_measured(width), "doc_id long, mark long, fp long, keys array<long>, sketch array<long>, n long")
     rows = scratch.put("rows", made.dropDuplicates(["doc_id", "mark"]).withColumn("node", F.monotonically_increasing_id()))
     roots = scratch.put("roots", rows.select("node", F.col("node").alias("root")))
-
     fps = rows.select("node", "fp")
     simhash = [lambda known, wave=wave: wave(fps.join(known, "node")) for wave in deletion_keys.waves(distance, "fp", True, ())]
-    unlike = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    alike = unlike <= (F.col("n_a") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6  # rounding up loses no pair
-    check = _check(texts, rows.select("doc_id", "mark", "node"), scratch, width, least)
-    roots = link(roots, simhash, alike & (deletion_keys.apart("fp_a", "fp_b") <= distance), scratch, rows.select("node", "fp", "sketch", "n"), check, tag="fp-")
-    roots = link(roots, _band_waves(rows.select("node", "keys")), alike, scratch, rows.select("node", "sketch", "n"), check, tag="band-")
+    sets = Sets(texts, rows.select("doc_id", "mark", "node"), scratch, width, percent)
+    roots = link(
+        roots, [*simhash, *_band_waves(rows.select("node", "keys"))], maybe_alike(percent), scratch, rows.select("node", "sketch", "n"), sets.check,
+        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add,
+    )
     reached = scratch.put("reached", rows.select("doc_id", "mark", "node").join(roots, "node"))
     scratch.only(reached)
     return reached
 
 
-def keep(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float = SIMILARITY) -> DataFrame:
+def keep(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, percent: int = PERCENT) -> DataFrame:
     """The row of smallest doc_id of each component, with all its columns."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best")
-    return only(docs, near_copies(docs, width, distance, least).groupBy("root").agg(best).select("best.doc_id", "best.mark").distinct())
+    return only(docs, near_copies(docs, width, distance, percent).groupBy("root").agg(best).select("best.doc_id", "best.mark").distinct())

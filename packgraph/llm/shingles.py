@@ -66,14 +66,6 @@ def shingle_set(text: bytes, width: int = 5, piece: int = PIECE) -> np.ndarray:
     return set_of(shingle_hashes(text, width, piece))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two ordered sets; two empty sets are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def band_keys(hashes: np.ndarray) -> list[int]:
     """A signed long for each band, from the least of the hashes under each of BANDS * ROWS random orders."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))

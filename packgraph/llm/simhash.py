@@ -64,9 +64,9 @@ def report(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> Dat
     return rows.join(reached, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, least: float | None = None) -> DataFrame:
-    """The row of smallest doc_id of each component, with all its columns. With ``least``, texts are linked by that similarity
-    of their sets of shingles instead of their fingerprints' distance."""
-    if least is not None:
-        return near_dedup.keep(docs, width, distance, least)
+def keep(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, percent: int | None = None) -> DataFrame:
+    """The row of smallest doc_id of each component, with all its columns. With ``percent``, texts are linked by that similarity
+    of their sets of shingles, in hundredths, instead of their fingerprints' distance."""
+    if percent is not None:
+        return near_dedup.keep(docs, width, distance, percent)
     return only(docs, simhash_groups(docs, width, distance)[1].select("best.doc_id", "best.mark").distinct())

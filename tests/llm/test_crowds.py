@@ -88,3 +88,72 @@ def test_stars_of_edges():
 
     found = dict(stars_of(iter([(1, 2), (2, 3), (7, 8), (4, 4)])))
     assert set(found) | set(found.values()) == {1, 2, 3, 7, 8} and len(set(found.values())) == 2
+
+
+def sharing(n, shared=120, own=60, seed=5):
+    """Texts around one template, of which none is linked: two have half of their shingles in common or less."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    template = " ".join(word() for _ in range(shared))
+    return [(i, template + " " + " ".join(word() for _ in range(own))) for i in range(n)]
+
+
+def test_a_template_is_no_square_of_pairs(spark, monkeypatch):
+    """Twice the texts make about twice the pairs, not four times as many."""
+    from packgraph.llm import near_dedup
+    from test_small import table as texts
+
+    monkeypatch.setattr(linking, "CROWD", 32)
+    seen, direct = [], linking._direct
+
+    def counted(placed, keys, with_payload, more, maybe, all_core):
+        seen.append(direct(placed, keys, lambda df: df, [], linking.F.lit(True), all_core).count())
+        return direct(placed, keys, with_payload, more, maybe, all_core)
+
+    monkeypatch.setattr(linking, "_direct", counted)
+    pairs = {}
+    for n in (150, 300):
+        seen.clear()
+        got = near_dedup.near_copies(texts(spark, sharing(n))).collect()
+        assert len({r["root"] for r in got}) == n
+        pairs[n] = sum(seen)
+    assert pairs[300] < 3 * pairs[150] + 500 and pairs[300] < 100 * 300
+
+
+def test_links_within_crowds_of_templates_are_found(spark, monkeypatch):
+    """Near copies hidden among texts of one template, which must come from the finer keys: brute force has the same links."""
+    from packgraph.llm import near_dedup
+    from test_near_dedup import brute, edited
+    from test_small import table as texts
+
+    monkeypatch.setattr(linking, "CROWD", 8)
+    rows = sharing(90)
+    rows += [(1000 + i, edited(t, 1 + i % 9, i)) for i, t in rows[:40]] + [(2000 + i, t + f" more{i}") for i, t in rows[20:50]]
+    comp = brute(rows)
+    got = {r["doc_id"]: r["root"] for r in near_dedup.near_copies(texts(spark, rows)).collect()}
+    assert len(set(got.values())) == len(set(comp.values())) == len({(got[d], comp[i]) for i, (d, _) in enumerate(rows)}) < len(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_prefixes_of_alike_sets_meet(percent):
+    """One of the common first shingles is in the core of the smaller set, whatever the order and beside a common key."""
+    from packgraph.llm import set_joins
+
+    r, g = random.Random(percent), np.random.default_rng(percent)
+    counts = g.integers(0, 5, 1 << set_joins.BUCKET_BITS).astype(np.uint32) + 2
+    met = 0
+    for _ in range(3000):
+        n = r.randint(1, 60)
+        pool = [r.getrandbits(64) for _ in range(2 * n)]
+        a, b = sorted(pool[: n + r.randint(0, n // 4)]), sorted(pool[r.randint(0, n // 4) : n])
+        if not b or not set_joins.at_least(len({*a} & {*b}), len(a), len(b), percent):
+            continue
+        met += 1
+        small, large = sorted((a, b), key=len)
+        for key in (0, min({*a} & {*b})):
+            if key and len({*a} & {*b}) == 1:
+                continue
+            x, core = set_joins.prefix(np.array(small, np.uint64), key, counts, percent)
+            y, _ = set_joins.prefix(np.array(large, np.uint64), key, counts, percent)
+            assert {*x[core].tolist()} & {*y.tolist()}
+    assert met > 100

@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from compare import DATA
 from packgraph.llm import near_dedup
+from packgraph.llm import shingles as shingles_of
 from test_small import ROWS, WORDS, components, prose, table, wide
 
 
@@ -43,14 +44,14 @@ def copies():
 @pytest.mark.parametrize("piece", [5, 100, 1 << 20])
 def test_shingle_sets_whatever_the_piece(piece):
     for _, t in ROWS:
-        assert len(near_dedup.shingle_set((t or "").encode(), piece=piece)) == len(shingles(t))
+        assert len(shingles_of.shingle_set((t or "").encode(), piece=piece)) == len(shingles(t))
 
 
 def test_sketches_differ_no_more_than_the_sets():
     texts = [t for _, t in copies()]
     for a, b in itertools.combinations(texts[::7], 2):
-        x, y = (near_dedup.shingle_set(t.encode()) for t in (a, b))
-        apart = sum(((p ^ q) % (1 << 64)).bit_count() for p, q in zip(near_dedup.sketch(x), near_dedup.sketch(y)))
+        x, y = (shingles_of.shingle_set(t.encode()) for t in (a, b))
+        apart = sum(((p ^ q) % (1 << 64)).bit_count() for p, q in zip(shingles_of.sketch(x), shingles_of.sketch(y)))
         assert apart <= len(shingles(a) ^ shingles(b))
 
 
