@@ -33,7 +33,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts linked by a similarity of 0.8 or more on five-word shingles."""
-    return simhash.keep(docs, width=5, distance=2, least=0.8)
+    return simhash.keep(docs, width=5, distance=2, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
