@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packgraph.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality_cnn, quality_rules, sharding, simhash, url_filter, vector_codes, whitening
+from packgraph.llm import byte_bpe, chat_format, exact_dedup, line_dedup, minhash, packing, quality_cnn, quality_rules, sharding, simhash, url_filter, vector_codes, whitening
 
 ODD = "\\### Assistant: </turn> ok"
 
@@ -67,12 +67,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_url_filter, op3_packing, op4_sharding, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_quality_cnn, op9_line_dedup, op10_exact_dedup, op11_vector_codes, op13_whitening)
+    for f in (op1_chat_format, op2_url_filter, op3_packing, op4_sharding, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_quality_cnn, op9_line_dedup, op10_exact_dedup, op11_vector_codes, op12_minhash, op13_whitening)
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat_format.SQL, "op2_url_filter": url_filter.SQL, "op9_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": chat_format.SQL, "op2_url_filter": url_filter.SQL, "op9_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.SQL, "op12_minhash": minhash.SQL}
