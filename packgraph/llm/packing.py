@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.llm.scratch import Scratch, binned, numbered, plain
+from packgraph.llm.scratch import Scratch, numbered, plain
 
 BUCKETS, BUDGET, CELLS = 16, 1 << 18, 1 << 16
 
@@ -82,7 +82,7 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, cells:
     else:
         sized = plain(docs, doc_id="long", **{length: "long"}).select("doc_id", F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
     scratch = Scratch(docs.sparkSession, "packing")
-    lengths = scratch.put("lengths", binned(sized, ["doc_id", "n_tokens"]))
+    lengths = scratch.put("lengths", sized)
     found = lengths.groupBy(cell(F.col("n_tokens"), cells).alias("cell")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
     ends = boundaries([(r["top"], r["n"], r["total"]) for r in sorted(found.collect(), key=lambda r: r["cell"])], buckets)
     bucket = sum([(F.col("n_tokens") > end).cast("int") for end in ends[:-1]], F.lit(0))

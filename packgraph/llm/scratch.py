@@ -8,35 +8,36 @@ from pyspark.sql.window import Window
 
 from packgraph.scratch import Scratch, shared_root
 
-__all__ = ["Scratch", "binned", "mark", "numbered", "only", "plain", "shared_root", "with_texts"]
+__all__ = ["Scratch", "mark", "numbered", "only", "plain", "shared_root", "with_texts"]
 
 #: Bins of a numbered group: each bin is one sort, so a group of n rows is numbered in pieces of about n / BINS.
 BINS = 1024
+REPEATS = 1 << 16  # rows alike in all columns that one task writes
 OFFSETS = 1 << 20  # counts that are broadcast, about 30 MB; more of them are joined
 
 
-def binned(df: DataFrame, order: list[str], bins: int = BINS) -> DataFrame:
-    """df with a bin for each row, for ``numbered``. The partition counts too, so that rows alike in all columns, however many,
-    do not meet in one bin; the result is to be written before it is used, since only then it stays as it is."""
-    return df.withColumn("__bin", F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(bins)).cast("int"))
-
-
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, scratch: Scratch) -> DataFrame:
-    """Number the rows of each group 0, 1, 2 ... without bringing a group into one task.
+    """Number the rows of each group 0, 1, 2 ... without bringing a group into one task, the same under any partitioning.
 
-    df comes from a written table of ``binned`` rows. Bins are sorted on their own, and the counts of (group, bin) become
-    offsets. Rows alike in every order column are numbered in any order.
+    Rows alike in all columns are counted as one row first. A row's bin comes from the hash of its order columns, which must tell
+    rows apart that are not alike. Bins are sorted on their own, and the counts of (group, bin) become offsets. At last the rows
+    that were counted as one take numbers in a row, many of them in several tasks.
     """
-    local = df.withColumn("__at", F.row_number().over(Window.partitionBy(*group, "__bin").orderBy(*order)).cast("long") - 1)
-    sizes = df.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(BINS)).cast("int"))
+    counted = scratch.put(f"counted-{out}", counted)
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = counted.withColumn("__at", before(Window.partitionBy(*group, "__bin").orderBy(*order)))
+    sizes = counted.groupBy(*group, "__bin").agg(F.sum("__n").alias("__n"))
+    offsets = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bin").alias("__b"), before(Window.partitionBy(*group).orderBy("__bin")).alias("__off"))
     offsets = scratch.put(f"offsets-{out}", offsets)
     on: Column = F.col("__bin") == F.col("__b")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = local.join(F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets, on)
-    return joined.withColumn(out, F.col("__at") + F.col("__off")).drop("__bin", "__at", "__b", "__off", *[f"__g{i}" for i in range(len(group))])
+    placed = local.join(F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets, on).withColumn("__at", F.col("__at") + F.col("__off")).select(*df.columns, "__at", "__n")
+    many = placed.filter(F.col("__n") > REPEATS).withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__n") - 1, F.lit(REPEATS).cast("long"))))
+    many = many.repartition("__at", "__from").select(*df.columns, (F.col("__at") + F.col("__from")).alias("__at"), F.least(F.lit(REPEATS), F.col("__n") - F.col("__from")).alias("__n"))
+    each = placed.filter(F.col("__n") <= REPEATS).unionByName(many)
+    return each.select(*df.columns, F.explode(F.sequence(F.col("__at"), F.col("__at") + F.col("__n") - 1)).alias(out))
 
 
 def plain(df: DataFrame, **wanted: str) -> DataFrame:

@@ -5,10 +5,10 @@ import time
 import pytest
 
 import corpus_pipeline
-from packgraph.llm import byte_bpe, chat_format, line_dedup, quality_cnn, quality_rules, sharding, simhash, url_filter
+from packgraph.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality_cnn, quality_rules, sharding, simhash, url_filter
 from test_small import ROWS, table, wide
 
-EXTRA = ("rid", "mark", "fp", "shard", "slot", "n_words", "score", "kept", "n_lines", "gone", "host", "pattern", "t", "leaf", "turns", "__bin", "h1", "n_tokens")
+EXTRA = ("rid", "mark", "fp", "shard", "slot", "n_words", "score", "kept", "n_lines", "gone", "host", "pattern", "t", "leaf", "turns", "__bin", "__n", "h1", "n_tokens", "bucket", "cell", "block", "name", "n_blocks", "component_id")
 
 
 def odd(spark, rows=ROWS):
@@ -25,17 +25,29 @@ def digest(rows):
     return sorted((tuple(r) for r in rows.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["shards", "bpe", "rules", "lines", "simhash"])
+@pytest.mark.parametrize("name", ["shards", "packing", "bpe", "rules", "lines", "simhash", "simhash-report", "exact"])
 def test_clashing_columns_change_nothing(spark, name):
     import public_tokenizers as P
 
     run = {
-        "shards": lambda t: sharding.shards(t).drop("slot"), "bpe": lambda t: byte_bpe.byte_bpe(t, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+        "shards": lambda t: sharding.shards(t), "bpe": lambda t: byte_bpe.byte_bpe(t, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
         "rules": lambda t: quality_rules.quality_rules(t, labels(spark)), "lines": line_dedup.report, "simhash": simhash.fingerprints,
+        "packing": packing.packed, "simhash-report": simhash.report, "exact": exact_dedup.exact_dedup,
     }[name]
     assert digest(run(odd(spark))) == digest(run(table(spark)))
 
 
+@pytest.mark.parametrize("run", [packing.packed, sharding.shards])
+def test_numbers_are_the_same_under_any_partitioning(spark, monkeypatch, run):
+    from packgraph.llm import scratch
+
+    monkeypatch.setattr(scratch, "REPEATS", 7)  # so that some rows alike are dealt to several tasks
+    rows = [*ROWS, *[(i, "t" * (i % 90)) for i in range(1500)], *[(3000, "again")] * 40]
+    found = [digest(run(table(spark, rows).repartition(n))) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert digest(run(table(spark, rows[::-1]).coalesce(2))) == found[0]
+
+
 def test_stages_of_quality_keep_clashing_columns(spark):
     net = 0.9
     for kept in (quality_cnn.keep(odd(spark), labels(spark), net), quality_rules.keep(wide(spark), labels(spark))):
