@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from packgraph.functions.scalars import collapse
 
 #: Words that say what kind of file a pack is, not what project it is of (fixed values).
-PACK_WORDS = ("BM25", "Evidence", "Pack", "LocalCrab", "OpenCrab", "IFC", "Workset", "Module")
+PACK_WORDS = ("BM25", "Evidence", "Pack", "IFC", "Workset", "Module")
 #: Summary fields that hold a project's name, in order (fixed values).
 NAME_FIELDS = ("project_name", "projectName", "model_name", "modelName", "building_name", "buildingName")
 #: Keywords of a question and the search words that they stand for (fixed values).
@@ -45,9 +45,9 @@ def file_parts(name: Column) -> Column:
     return F.struct(at(0).alias("scope"), at(1).alias("category"), title.alias("title"))
 
 
-def project_name(title: Column, named: Sequence[Column] = ()) -> Column:
-    """The first name that is given, else the title without the words of its kind, else ``Project``."""
-    bare = F.regexp_replace(title, rf"(?i)\b(?:{'|'.join(PACK_WORDS)})\b", " ")
+def project_name(title: Column, named: Sequence[Column] = (), words: Sequence[str] = ()) -> Column:
+    """The first name that is given, else the title without the words of its kind and those of the caller, else ``Project``."""
+    bare = F.regexp_replace(title, rf"(?i)\b(?:{'|'.join(re.escape(w) for w in (*PACK_WORDS, *words))})\b", " ")
     bare = F.nullif(collapse(F.replace(bare, F.lit(".zip"), F.lit(""))), F.lit(""))
     return F.coalesce(*[F.nullif(n, F.lit("")) for n in named], bare, F.lit("Project"))
 

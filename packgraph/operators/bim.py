@@ -38,7 +38,7 @@ def _element_text() -> list[Column]:
 
 
 def material_facts(materials: DataFrame) -> DataFrame:
-    c = RU.classified("material", F.regexp_replace("name", "^#+", ""), F.col("material_class"))
+    c = RU.material_kind(F.col("name"), F.col("material_class"))
     return materials.withColumn("c", c).select(short_id(F.lit("material"), F.col("material_id")).alias("fact_id"), "material_id", "name", F.col("c.label").alias("label"), F.col("c.confidence").alias("confidence"))
 
 
@@ -93,10 +93,15 @@ def build_derived(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     eight kinds of facts, a decision for each raw row that is classified, and the coverage of each of these rows."""
     spark = raw["elements"].sparkSession
     raw = {**{k: spark.createDataFrame([], s) for k, s in OPTIONAL.items()}, **raw}
+    if "record_type" not in raw["quantities"].columns:
+        raw["quantities"] = raw["quantities"].withColumn("record_type", F.lit(None).cast("string"))
+    cells = raw["schedule_cells"]
+    if "schedule_name" not in cells.columns:
+        cells = cells.join(raw["schedules"].select("schedule_id", F.col("name").alias("schedule_name")), "schedule_id", "left")
     facts = quantity_facts(raw["quantities"], raw["elements"])
     verdicts = {
-        "elements": ("element_id", RU.classified("element", *_element_text())), "materials": ("material_id", RU.classified("material", F.regexp_replace("name", "^#+", ""), F.col("material_class"))),
-        "quantities": ("quantity_id", RU.classified("quantity", F.col("parameter"))), "sheets": ("sheet_id", RU.classified("sheet", F.col("sheet_number"), F.col("name"))), "schedules": ("schedule_id", RU.classified("schedule", F.col("name"), F.col("fields"))),
+        "elements": ("element_id", RU.classified("element", *_element_text())), "materials": ("material_id", RU.material_kind(F.col("name"), F.col("material_class"))),
+        "quantities": ("quantity_id", RU.quantity_kind(F.col("record_type"), F.col("parameter"))), "sheets": ("sheet_id", RU.classified("sheet", F.col("sheet_number"), F.col("name"))), "schedules": ("schedule_id", RU.classified("schedule", F.col("name"), F.col("fields"))),
     }
     decisions, keys = None, None
     for name, (key, verdict) in verdicts.items():
@@ -109,7 +114,7 @@ def build_derived(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     evidence = SU.entity_evidence(raw["drawing_entities"]).select("derived_id", "evidence_type", "text", "importance", "confidence").unionByName(SU.export_evidence(raw["sheet_pdfs"], "sheet_pdfs").select("derived_id", "evidence_type", "text", "importance", "confidence"))
     return {
         "bim_objects": bim_objects(raw["elements"]), "material_facts": materials, "quantity_facts": facts, "drawing_documents": sheets, "drawing_evidence": evidence, "schedule_tables": tables,
-        "schedule_rows": D.schedule_rows(raw["schedule_cells"], "schedule_id", "row", "column", "text"), "relationships": relationships(raw["graph_edges"], raw["elements"].select(F.col("element_id").cast("string").alias("id"))),
+        "schedule_rows": D.schedule_rows(cells, "schedule_id", "row", "column", "text", "schedule_name"), "relationships": relationships(raw["graph_edges"], raw["elements"].select(F.col("element_id").cast("string").alias("id"))),
         "classification_decisions": decisions, "source_coverage": D.coverage(keys, "key", judged, "judged", made, "made"),
     }
 
@@ -150,7 +155,7 @@ def pack_quality(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, cap: i
 def module_kind(workset: Column) -> Column:
     """What a workset's name says: a module, work on the site, neither, or nothing."""
     site = workset.startswith("현장공사분-") | (workset == "분리발주공사")
-    return F.when(F.coalesce(workset, F.lit("")) == "", "missing_workset").when(workset.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[A-Z]+"), "module").when(site, "site_work").otherwise("non_module_workset")
+    return F.when(F.coalesce(workset, F.lit("")) == "", "missing_workset").when(workset.rlike(r"^[12]-[0-9]{2}-[A-Z]+$"), "module").when(site, "site_work").otherwise("non_module_workset")
 
 
 def ifc_family(object_type: Column, name: Column) -> Column:

@@ -52,11 +52,15 @@ def decisions(rows: DataFrame, source: str, key: str, text: Column, rules: Seque
     return c.select("source_file", "source_id", "c.label", "c.rule", "c.confidence", (F.col("c.confidence") < REVIEW_BELOW).alias("review_required"))
 
 
-def schedule_rows(cells: DataFrame, schedule: str, row: str, column: str, text: str) -> DataFrame:
-    """Cells of a row joined in column order; the first row is the title, the second the header, the rest are data."""
+def schedule_rows(cells: DataFrame, schedule: str, row: str, column: str, text: str, name: str | None = None) -> DataFrame:
+    """Cells of a row joined in column order, and the row's role: schedule_title if its first cell in row 0 is the schedule's name
+    (the column ``name``), else column_header for rows 0 and 1, else data_row."""
     parts = F.array_sort(F.collect_list(F.struct(column, F.col(text).alias("t"))))
-    rows = cells.groupBy(schedule, row).agg(F.array_join(F.transform(parts, lambda s: s["t"]), " | ").alias("row_text"), F.count(F.lit(1)).alias("n_cells"))
-    return rows.withColumn("role", F.when(F.col(row) == 0, "title").when(F.col(row) == 1, "header").otherwise("data"))
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    title = (F.col(row) == 0) & (F.col(column) == 0) & (said(text) == said(name)) if name else F.lit(False)
+    rows = cells.groupBy(schedule, row).agg(F.array_join(F.transform(parts, lambda s: s["t"]), " | ").alias("row_text"), F.count(F.lit(1)).alias("n_cells"), F.coalesce(F.bool_or(title), F.lit(False)).alias("titled"))
+    role = F.when(F.col("titled"), "schedule_title").when(F.coalesce(F.col(row), F.lit(0)) <= 1, "column_header").otherwise("data_row")
+    return rows.withColumn("role", role).drop("titled")
 
 
 def carried_headers(cells: DataFrame, schedule: str, row: str, is_header: Column, value: Column) -> DataFrame:

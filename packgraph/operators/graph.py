@@ -13,6 +13,8 @@ from packgraph.operators.numbering import numbered
 from packgraph.scratch import Scratch
 
 
+MOST_PACKS = 1 << 16  # that share a budget; the shares are broadcast, 2 MB
+
 def dedupe_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """One row per id: the last row's content at the first row's place; rows without an id are left out."""
     rest = [c for c in nodes.columns if c not in ("id", order)]
@@ -120,7 +122,9 @@ def budget(rows: DataFrame, pack: str, order: list[str], total: int, packs: int)
     Packs are gone through by rising number of rows, each with an even share, rounded up, of what is left for it and those
     after it, so slots that a small pack leaves unused go to the others.
     """
-    sizes = [(r[pack], r["n"]) for r in rows.groupBy(pack).agg(F.count(F.lit(1)).alias("n")).collect()]  # one row for each pack
+    sizes = [(r[pack], r["n"]) for r in rows.groupBy(pack).agg(F.count(F.lit(1)).alias("n")).limit(MOST_PACKS + 1).collect()]
+    if len(sizes) > MOST_PACKS:
+        raise ValueError(f"a budget is shared among {MOST_PACKS} packs at most")
     left, open_, shares = max(0, total), max(packs, len(sizes)), []
     for name, n in sorted(sizes, key=lambda x: (x[1], str(x[0]))):
         share = min(n, -(-left // open_))
@@ -148,7 +152,7 @@ def visible_nodes(ranked: DataFrame, limit: int, min_degree: int = 0, hidden_typ
         has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(search.strip().lower())), F.lit(False))
         rest = rest.filter(has("id") | has("label"))
     room = max(0, limit - must.count())
-    some = rest.orderBy(F.col("degree").desc(), "id").limit(room + 1)
+    some = Scratch(ranked.sparkSession, "visible").put("some", rest.orderBy(F.col("degree").desc(), "id").limit(room + 1))
     capped = some.count() > room
     shown = some.orderBy(F.col("degree").desc(), "id").limit(room)
     return must.withColumn("forced", F.lit(True)).unionByName(shown.withColumn("forced", F.lit(False))).withColumn("capped", F.lit(capped))
@@ -200,19 +204,53 @@ def scaffold(rows: DataFrame, dims: Sequence[str], key: str, dataset: str) -> tu
     return nodes, edges
 
 
-def tree_filter(tree: DataFrame, matches: DataFrame, depth: int = 32) -> DataFrame:
-    """Rows of a tree (id, parent) that match or have a match below them, with matched: matches are walked up to their roots,
-    at most ``depth`` levels; circles end at nodes that are already kept."""
+def ancestors(tree: DataFrame, start: DataFrame) -> DataFrame:
+    """The ids (column id) of start and of everything above it in a tree (id, parent), at any depth and with circles.
+
+    Pointers are doubled: a round adds those 2^k levels above all that is kept, so rounds grow with the logarithm of the depth. As
+    soon as a round adds nothing, nothing is missing, which also ends circles.
+    """
     scratch = Scratch(tree.sparkSession, "tree")
-    frontier = scratch.put("level-0", matches.select("id").distinct())
-    kept = frontier
-    for level in range(1, depth + 1):
-        above = tree.join(frontier, "id", "left_semi").select(F.col("parent").alias("id")).filter("id IS NOT NULL").distinct()
-        frontier = scratch.put(f"level-{level}", above.join(kept, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        kept = kept.unionByName(frontier)
-    found = tree.join(kept, "id", "left_semi")
+    kept = scratch.put("kept-0", start.select("id").filter("id IS NOT NULL").distinct())
+    jump = scratch.put("jump-0", tree.select("id", F.col("parent").alias("up")).filter("id IS NOT NULL AND up IS NOT NULL").distinct())
+    level = 0
+    while True:
+        level += 1
+        above = jump.join(kept, "id", "left_semi").select(F.col("up").alias("id")).distinct()
+        new = scratch.put(f"new-{level}", above.join(kept, "id", "left_anti"))
+        if new.isEmpty():
+            return kept
+        kept = scratch.put(f"kept-{level}", kept.unionByName(new))
+        step = jump.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        jump = scratch.put(f"jump-{level}", jump.join(step, "up").select("id", F.col("next").alias("up")).distinct())
+        scratch.drop(f"new-{level}", f"kept-{level - 1}", f"jump-{level - 1}")
+
+
+def nearest_above(tree: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """id and, in a column for each kind, the nearest node of that kind at or above it. tree: id, parent (null at the top), kind.
+
+    Pointers are doubled, and each round a node takes what its pointer's end has found; so rounds grow with the logarithm of the
+    depth, and no pair of node and ancestor is made. Circles end when pointers have gone over as many nodes as there are.
+    """
+    scratch = Scratch(tree.sparkSession, "above")
+    found = [F.when(F.col("kind") == k, F.col("id")).alias(k) for k in kinds]
+    state = scratch.put("state-0", tree.filter("id IS NOT NULL").select("id", F.col("parent").alias("__up"), *found))
+    n, level = state.count(), 0
+    missing = F.lit(False)
+    for k in kinds:
+        missing = missing | F.col(k).isNull()
+    while 1 << level <= n and not state.filter(F.col("__up").isNotNull() & missing).isEmpty():
+        ends = state.select(F.col("id").alias("__up"), F.col("__up").alias("__next"), *[F.col(k).alias(f"__{k}") for k in kinds])
+        step = state.join(ends, "__up", "left").select("id", F.col("__next").alias("__up"), *[F.coalesce(F.col(k), F.col(f"__{k}")).alias(k) for k in kinds])
+        level += 1
+        state = scratch.put(f"state-{level}", step)
+        scratch.drop(f"state-{level - 1}")
+    return state.drop("__up")
+
+
+def tree_filter(tree: DataFrame, matches: DataFrame) -> DataFrame:
+    """Rows of a tree (id, parent) that match or have a match below them, however far, with matched."""
+    found = tree.join(ancestors(tree, matches), "id", "left_semi")
     return found.join(matches.select("id").distinct().withColumn("matched", F.lit(True)), "id", "left").fillna({"matched": False})
 
 

@@ -53,7 +53,7 @@ ELEMENT = (
     Group("unclassified_bim_object", "medium", 0.5, ("autodesk.revit.db",), decision="auxiliary"),
 )
 MATERIAL = (
-    Group("default_or_hidden", "exclude_candidate", 0.9, ("hidden",), r"^default(?: wall)?\s*$", decision="exclude"),
+    Group("default_or_hidden", "exclude_candidate", 0.9, ("hidden",), decision="exclude"),
     Group("glass", "high", 0.74, ("glass", "유리")),
     Group("metal", "high", 0.74, ("metal", "steel", "al", "철", "스틸", "알루미늄", "금속", "데크", "루버", "강판", "함석", "srt")),
     Group("concrete_mortar_masonry", "high", 0.74, ("concrete", "mortar", "masonry", "콘크리트", "몰탈", "모르타르", "시멘트", "벽돌")),
@@ -63,6 +63,8 @@ MATERIAL = (
     Group("tile_stone_floor_finish", "high", 0.74, ("tile", "stone", "타일", "석재", "대리석", "화강석", "테라조", "강마루")),
     Group("plastic_product", "high", 0.74, ("plastic", "pvc", "abs", "합성수지", "시스템욕실", "가구")),
 )
+#: Names of materials that stand for none, whatever their class (fixed values).
+DEFAULT_MATERIALS = ("hidden", "default wall", "default")
 QUANTITY = (
     Group("linear_dimension", "medium", 0.7, ("길이", "length", "폭", "width", "높이", "height", "offset", "간격띄우기")),
     Group("area_perimeter", "high", 0.7, ("면적", "area", "둘레", "perimeter")),
@@ -116,6 +118,14 @@ def classified(kind: str, *parts: Column) -> Column:
     return out
 
 
+def material_kind(name: Column, category: Column) -> Column:
+    """As classified(), of a material's name without leading marks and its class; a default name decides alone."""
+    bare = F.regexp_replace(F.coalesce(name, F.lit("")), "^#+", "")
+    g = MATERIAL[0]
+    own = F.struct(F.lit(g.label).alias("label"), F.lit(g.importance).alias("importance"), F.lit(g.confidence).alias("confidence"), F.lit(g.decision).alias("decision"))
+    return F.when(F.lower(bare).isin(*DEFAULT_MATERIALS), own).otherwise(classified("material", bare, category))
+
+
 def quantity_kind(record_type: Column, parameter: Column) -> Column:
     """As classified(), but element-material quantities are areas and volumes by their record type."""
     own = F.struct(F.lit("material_area_volume").alias("label"), F.lit("high").alias("importance"), F.lit(0.95).alias("confidence"), F.lit("keep").alias("decision"))

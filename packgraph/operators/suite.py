@@ -163,9 +163,17 @@ def suite(rows: DataFrame, source_file: str, split: str, order: Sequence[str], m
     return placed.withColumn("pack_id", pack).drop("__split")
 
 
+def digest(columns: Sequence[str]) -> Column:
+    """An aggregate: a checksum of a table's rows in any order. Rows' hashes are added up, so that equal rows don't cancel; nulls
+    and where they stand count."""
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in columns])
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), nulls, *columns).cast("decimal(38,0)"))
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(1).cast("string"), total(2).cast("string")), 256)
+
+
 def manifest(placed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """pack_id, rows and digest of each pack; the digest is the same whatever the order of rows."""
-    return placed.groupBy("pack_id").agg(F.count(F.lit(1)).alias("rows"), F.lower(F.hex(F.bit_xor(F.xxhash64(*columns)))).alias("digest"))
+    """pack_id, rows and digest of each pack; the digest is the same whatever the order of rows, and tells repeated rows."""
+    return placed.groupBy("pack_id").agg(F.count(F.lit(1)).alias("rows"), digest(columns).alias("digest"))
 
 
 def write_suite(placed: DataFrame, path: str) -> None:

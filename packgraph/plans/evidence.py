@@ -29,7 +29,7 @@ query("name_file_parts", "SELECT p_partkey, p_brand AS scope, p_type AS category
     lambda t: t.part.select("p_partkey", X.file_parts(F.concat(F.concat_ws("__", "p_brand", "p_type", "p_name"), F.lit(".zip"))).alias("f")).select("p_partkey", "f.*")
 )
 query("name_project", "SELECT p_partkey, trim(regexp_replace(p_name || ' x', '\\s+', ' ', 'g')) AS name FROM part")(
-    lambda t: t.part.select("p_partkey", X.project_name(F.concat(F.lit("OpenCrab "), "p_name", F.lit(" Evidence pack x.zip"))).alias("name"))
+    lambda t: t.part.select("p_partkey", X.project_name(F.concat(F.lit("Atlas "), "p_name", F.lit(" Evidence pack x.zip")), words=["Atlas"]).alias("name"))
 )
 query("name_project_stated", "SELECT p_partkey, p_brand AS name FROM part")(lambda t: t.part.select("p_partkey", X.project_name(F.col("p_name"), [F.lit(""), F.col("p_brand")]).alias("name")))
 query("name_file", "SELECT p_partkey, regexp_replace(regexp_replace(p_name || '/' || p_brand, '[^0-9A-Za-z._-]+', '_', 'g'), '^[._]+|_+$', '', 'g') AS name FROM part")(

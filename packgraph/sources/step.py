@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: An instance, one argument at the top level of a list, and a reference (fixed values).
 INSTANCE = r"(?s)^\s*#([0-9]+)\s*=\s*([A-Z0-9_]+)\s*\((.*)\)\s*$"
-STATEMENT = r"((?:'[^']*+'|[^';]++)++);"  # up to a semicolon outside quotes
 DEPTH = 8  # of nested lists
 _nested = r"\((?:[^()']++|'[^']*+')*+\)"
 for _ in range(DEPTH - 1):
@@ -16,20 +21,66 @@ ARGUMENT = rf"((?:'[^']*+'|{_nested}|[^,'()]++)++)(?:,|$)"
 REFERENCE = r"#([0-9]+)"
 
 
-def instances(spark: SparkSession, path: str) -> DataFrame:
-    """id, type, args (strings, nested lists as they are) and refs of each instance, over however many lines it goes.
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each piece, within its block of a file: whether the quotes before it are odd, whether its own are, and how many statements
+    have ended before it if the block begins outside quotes, or inside."""
+    block, before, ends = None, 0, [0, 0]
+    for batch in batches:
+        own = pc.count_substring(batch.column(0), "'").to_numpy(zero_copy_only=False).astype(np.int64) % 2
+        keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        odd, counts = np.zeros(len(keys), np.int64), np.zeros((2, len(keys)), np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if keys[a] != block:
+                block, before, ends = keys[a], 0, [0, 0]
+            after = (before + np.cumsum(own[a:b])) % 2
+            odd[a:b] = np.concatenate(([before], after[:-1]))
+            for start in (0, 1):
+                done = np.cumsum(after == start)
+                counts[start, a:b] = ends[start] + np.concatenate(([0], done[:-1]))
+                ends[start] += int(done[-1])
+            before = int(after[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd), pa.array(own), pa.array(counts[0]), pa.array(counts[1])], ["value", "file", "block", "at", "before", "own", "ends_0", "ends_1"])
+
 
-    A file is cut where a line ends with a semicolon, which is where one instance ends and the next begins; such a piece is
-    then cut at semicolons outside quotes. A quoted semicolon at the end of a line would need a line break inside a string,
-    which the format does not allow.
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """file and text of each statement, up to a semicolon outside quotes; lines and their ends don't matter.
+
+    Files are read in byte ranges, cut at semicolons. A range doesn't know whether it begins inside a string, so it counts for
+    both cases; the quotes of the ranges before it decide. Only pieces of strings that hold semicolons are brought together.
     """
-    pieces = spark.read.option("lineSep", ";\n").text(path).select(F.concat(F.regexp_replace("value", r"\r?\n", " "), F.lit(";")).alias("piece"))
-    lines = pieces.select(F.explode(F.regexp_extract_all("piece", F.lit(STATEMENT), F.lit(1))).alias("line")).filter(F.col("line").rlike(INSTANCE))
+    read = spark.read.option("lineSep", ";").text(path)
+    pieces = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    states = pieces.mapInArrow(_states, "value string, file string, block long, at long, before long, own long, ends_0 long, ends_1 long")
+    after = F.pmod(F.col("before") + F.col("own"), F.lit(2))
+    blocks = states.groupBy("file", "block").agg(F.sum("own").alias("quotes"), F.count_if(after == 0).alias("n_0"), F.count_if(after == 1).alias("n_1"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not pieces
+    blocks = blocks.withColumn("start", F.pmod(F.coalesce(F.sum("quotes").over(earlier), F.lit(0)), F.lit(2)))
+    n = F.when(F.col("start") == 0, F.col("n_0")).otherwise(F.col("n_1"))
+    blocks = blocks.withColumn("first", F.coalesce(F.sum(n).over(earlier), F.lit(0))).select("file", "block", "start", "first")
+    placed = states.join(blocks, ["file", "block"])
+    number = F.col("first") + F.when(F.col("start") == 0, F.col("ends_0")).otherwise(F.col("ends_1"))
+    inside = F.pmod(F.col("start") + F.col("before"), F.lit(2)) + F.col("own") > 0
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    cut = placed.filter(inside).groupBy("file", number.alias("number")).agg(F.array_join(F.transform(parts, lambda p: p["value"]), ";").alias("text"))
+    return placed.filter(~inside).select("file", F.col("value").alias("text")).unionByName(cut.select("file", "text"))
+
+
+def parsed(statements: DataFrame) -> DataFrame:
+    """id, type, args (strings, nested lists as they are) and refs of the statements (column text) that are instances."""
+    lines = statements.select(F.trim(F.regexp_replace("text", r"[\r\n]+", " ")).alias("line")).filter(F.col("line").rlike(INSTANCE))
     raw = F.regexp_extract("line", INSTANCE, 3)
     unquoted = F.regexp_replace(raw, r"'[^']*+'", "")
     return lines.select(F.regexp_extract("line", INSTANCE, 1).cast("long").alias("id"), F.regexp_extract("line", INSTANCE, 2).alias("type"), F.transform(F.regexp_extract_all(raw, F.lit(ARGUMENT), F.lit(1)), lambda x: F.trim(x)).alias("args"), F.transform(F.regexp_extract_all(unquoted, F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long")).alias("refs"))
 
 
+def instances(spark: SparkSession, path: str) -> DataFrame:
+    """id, type, args and refs of each instance of STEP files, over however many lines it goes and over many tasks."""
+    return parsed(statements(spark, path))
+
+
 def decoded(text: Column) -> Column:
     """A quoted string with doubled quotes and ``\\X2\\hex\\X0\\`` runs (UTF-16, big-endian) resolved."""
     inner = F.replace(F.regexp_replace(text, r"^'|'$", ""), F.lit("''"), F.lit("'"))
@@ -45,11 +96,32 @@ def scalar(text: Column) -> Column:
     return F.when(value.isin("$", "*"), F.lit(None)).when(value == ".T.", "true").when(value == ".F.", "false").when(value.startswith("'"), decoded(value)).otherwise(value)
 
 
+def arg(i: int) -> Column:
+    return F.get("args", F.lit(i))
+
+
+def references(c: Column) -> Column:
+    """The ids of a list of references."""
+    return F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long"))
+
+
+def reference(c: Column) -> Column:
+    """The first id that is referred to."""
+    return F.regexp_extract(c, REFERENCE, 1).try_cast("long")
+
+
+def set_values(rows: DataFrame) -> DataFrame:
+    """set_id, pset, key and value of the single values in IfcPropertySet instances."""
+    single = rows.filter("type = 'IFCPROPERTYSINGLEVALUE'").select(F.col("id").alias("prop"), scalar(arg(0)).alias("key"), scalar(arg(2)).alias("value"))
+    sets = rows.filter("type = 'IFCPROPERTYSET'").select(F.col("id").alias("set_id"), scalar(arg(2)).alias("pset"), F.explode(references(arg(4))).alias("prop"))
+    return sets.join(single, "prop").select("set_id", "pset", "key", "value")
+
+
+def set_links(rows: DataFrame) -> DataFrame:
+    """element and set_id of IfcRelDefinesByProperties instances."""
+    return rows.filter("type = 'IFCRELDEFINESBYPROPERTIES'").select(F.explode(references(arg(4))).alias("element"), reference(arg(5)).alias("set_id"))
+
+
 def property_sets(rows: DataFrame) -> DataFrame:
     """element, pset, key and value of IfcRelDefinesByProperties, IfcPropertySet and IfcPropertySingleValue."""
-    arg = lambda i: F.get("args", F.lit(i))
-    ref = lambda c: F.regexp_extract(c, REFERENCE, 1).try_cast("long")
-    single = rows.filter("type = 'IFCPROPERTYSINGLEVALUE'").select(F.col("id").alias("prop"), scalar(arg(0)).alias("key"), scalar(arg(2)).alias("value"))
-    sets = rows.filter("type = 'IFCPROPERTYSET'").select(F.col("id").alias("set_id"), scalar(arg(2)).alias("pset"), F.explode(F.transform(F.regexp_extract_all(arg(4), F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long"))).alias("prop"))
-    links = rows.filter("type = 'IFCRELDEFINESBYPROPERTIES'").select(F.explode(F.transform(F.regexp_extract_all(arg(4), F.lit(REFERENCE), F.lit(1)), lambda x: x.cast("long"))).alias("element"), ref(arg(5)).alias("set_id"))
-    return links.join(sets, "set_id").join(single, "prop").select("element", "pset", "key", "value")
+    return set_links(rows).join(set_values(rows), "set_id").select("element", "pset", "key", "value")

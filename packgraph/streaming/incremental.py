@@ -15,7 +15,9 @@ def index_new_files(spark: SparkSession, folder: str, schema: str, index: str, c
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").partitionBy(partition, "source_file").option("partitionOverwriteMode", "dynamic").parquet(index)
 
-    rows = spark.readStream.schema(schema).json(folder).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    path = F.input_file_name()
+    named = F.concat(F.element_at(F.split(path, "/"), -1), F.lit("-"), F.lower(F.hex(F.xxhash64(path))))  # files of one name in two folders are two
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(folder).withColumn("source_file", named)
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

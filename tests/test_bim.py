@@ -26,7 +26,7 @@ def test_derived_tables(raw):
     facts = {r["quantity_id"]: r for r in out["quantity_facts"].collect()}
     assert abs(facts[1]["area_m2"] - 0.9290304) < 1e-9 and facts[1]["measure"] == "area" and facts[1]["category"] == "Structural Columns"
     assert facts[2]["measure"] == "volume" and facts[2]["category"] is None
-    assert {r["row"]: (r["row_text"], r["role"]) for r in out["schedule_rows"].collect()} == {0: ("Doors", "title"), 1: ("No | Name", "header"), 2: ("1 | D1", "data")}
+    assert {r["row"]: (r["row_text"], r["role"]) for r in out["schedule_rows"].collect()} == {0: ("Doors", "column_header"), 1: ("No | Name", "column_header"), 2: ("1 | D1", "data_row")}
     assert {r["target"]: r["resolved"] for r in out["relationships"].collect()} == {"2": True, "3": False}
     decided = {(r["source_file"], r["source_id"]): r["review_required"] for r in out["classification_decisions"].collect()}
     assert decided == {("elements.jsonl", "1"): False, ("elements.jsonl", "2"): True, ("materials.jsonl", "7"): False, ("quantities.jsonl", "1"): False, ("quantities.jsonl", "2"): False}
@@ -35,6 +35,16 @@ def test_derived_tables(raw):
     assert len(out) == 10 and out["drawing_evidence"].count() == 0
 
 
+def test_materials_and_quantities_by_name_and_type(spark, raw):
+    names = [("Default", "Generic"), ("##Default Wall", "wall"), ("DEFAULT", None), ("Default Wall 2", "x"), ("Glass", "Hidden line"), ("Clear glass", None), (None, None)]
+    rows = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "material_id long, name string, material_class string")
+    got = [r["label"] for r in bim.material_facts(rows).orderBy("material_id").collect()]
+    assert got == ["default_or_hidden"] * 3 + ["metal", "default_or_hidden", "glass", "unclassified_material"]
+    quantities = raw["quantities"].withColumn("record_type", F.when(F.col("quantity_id") == 1, "element_material_quantity"))
+    decided = {r["source_id"]: r["label"] for r in bim.build_derived({**raw, "quantities": quantities})["classification_decisions"].filter("source_file = 'quantities.jsonl'").collect()}
+    assert decided == {"1": "material_area_volume", "2": "volume"}
+
+
 def test_drawings_and_schedules(spark, raw):
     more = {
         "sheets": spark.createDataFrame([(3, "A-101", "1F Floor Plan"), (4, "A-000", "표지")], "sheet_id long, sheet_number string, name string"), "schedules": spark.createDataFrame([(5, "Door finish", "No")], "schedule_id long, name string, fields string"),
@@ -43,6 +53,8 @@ def test_drawings_and_schedules(spark, raw):
     }
     out = bim.build_derived({**raw, **more})
     assert {r["sheet_id"]: r["drawing_category"] for r in out["drawing_documents"].collect()} == {3: "core_drawing_sheet", 4: "document_admin_sheet"}
+    named = {**raw, "schedules": spark.createDataFrame([(5, "Doors", "No")], "schedule_id long, name string, fields string")}
+    assert [r["role"] for r in bim.build_derived(named)["schedule_rows"].orderBy("row").collect()] == ["schedule_title", "column_header", "data_row"]
     assert [(r["schedule_category"], r["rows"], r["cells"]) for r in out["schedule_tables"].collect()] == [("finish_schedule", 3, 5)]
     assert {(r["derived_id"], r["importance"]) for r in out["drawing_evidence"].collect()} == {("drawing_evidence:drawing_entities:k1", "medium"), ("drawing_evidence:sheet_pdfs:n1", "high")}
     assert len({r["counter"] for r in bim.project_profile({**raw, **more}).collect()}) == 14
