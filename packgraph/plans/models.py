@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packgraph.operators import ifc as I
+from packgraph.operators import steel_package as SP
 from packgraph.plans.registry import Tables, big, query
+from packgraph.sources import steel_xml as X
 from packgraph.sources import step
 
 _SEGMENTS = {"AUTOMOBILE": "IFCWALL", "BUILDING": "IFCDOOR", "FURNITURE": "IFCWINDOW", "HOUSEHOLD": "IFCSLAB", "MACHINERY": "IFCBEAM"}
@@ -56,7 +58,7 @@ def statements(t: Tables) -> DataFrame:
             *_with_property(customer + 2, customer, "Identity Data", "Workset", workset),
         )).alias("text")),
         t.orders.select(F.explode(F.array(
-            _stated(order, "IFCRAILING", "'g'", "$", _quoted(F.col("o_clerk")), "$", _quoted(F.concat(F.lit("Order:"), "o_orderpriority")), "$", "$", _quoted(F.col("o_orderkey"))), below(order + 1, big(F.col("o_custkey") * 10 + 1_000_000_000), order),
+            _stated(order, "IFCRAILING", "'g'", "$", _quoted(F.col("o_orderkey")), "$", _quoted(F.concat(F.lit("Order:"), "o_orderpriority")), "$", "$", _quoted(F.col("o_orderkey"))), below(order + 1, big(F.col("o_custkey") * 10 + 1_000_000_000), order),
             *_with_property(order + 2, order, "Other", "Host Id", F.concat(F.lit("C"), F.col("o_custkey").cast("string"))), *_with_property(order + 5, order, "Identity Data", "Workset", status),
         )).alias("text")),
     ]
@@ -106,3 +108,71 @@ query("ifc_edges", f"""WITH {_E} SELECT DISTINCT * FROM (
 query("ifc_hosts", f"SELECT o_orderkey * 10 + {_ORDER} AS element, 'C' || o_custkey AS host_tag, NULL::VARCHAR AS host, {_KIND} AS host_category, 'Segment' AS host_family, c_mktsegment AS host_type_name FROM orders JOIN customer ON o_custkey = c_custkey")(
     lambda t: I.hosts(_model(t).elements)
 )
+
+# --- a steel model: parts as single parts, brands as sections and their number's rest as materials, suppliers as bolt patterns -----------------
+
+
+def _tag(name: str, kind: str, value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f'<{name} {kind}="'), value.cast("string"), F.lit('"/>')), F.lit(""))
+
+
+def _held(name: str | Column, value: Column) -> Column:
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.concat(F.lit("<"), name, F.lit('><Object class="Ref"><m_nID long="'), value.cast("string"), F.lit('"/></Object></'), name, F.lit(">"))
+
+
+def _object(kind: str, *parts: Column) -> Column:
+    return F.concat(F.lit(f'<Object class="{kind}">'), *parts, F.lit("</Object>"))
+
+
+def steel_objects(t: Tables) -> DataFrame:
+    """The outermost objects of a model whose parts name materials and sections that come later or not at all."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
+    key = F.col("p_partkey")
+    parts = _object(
+        "CGREXBeam", _tag("m_nID", "long", key), _tag("m_strName", "string", F.col("p_name")), _tag("m_strRole", "string", F.col("p_type")), _tag("m_UserAttributes_0", "string", F.concat(F.lit("M-"), (key % 23).cast("string"))),
+        _tag("m_UserAttributes_1", "string", F.when(F.col("p_size") > 2, F.concat(F.lit("T-"), (key % 23 % 4).cast("string")))), _tag("m_bIsMainPart", "long", F.when(key % 5 == 0, 1).otherwise(0)), _held("m_pMainPartEx", key - key % 5),
+        _held("m_pMaterial", number("p_brand") % 5), _held("m_pSectionStart", number("p_brand")), _tag("m_ExactWeight", "double", F.col("p_size")),
+    )
+    bolts = _object("CGREXBoltPattern", _tag("m_nNumberOnX", "long", F.col("s_nationkey") % 4 + 1), _tag("m_nNumberOnY", "long", F.lit(2)), _tag("m_dfDiameter", "double", F.lit(0.016)), _tag("m_dfLength", "double", F.lit(0.06)), _tag("m_tabConnectedObjects_SIZE", "long", F.lit(1)), _held("m_tabConnectedObjects_0", F.col("s_suppkey") * 3))
+    named = lambda kind, i, name: _object(kind, _tag("m_nID", "long", i), _tag("m_strName", "string", name))
+    rows = [
+        t.part.select(parts.alias("text"), big(key).alias("at")), t.supplier.select(bolts.alias("text"), big(F.col("s_suppkey") + 10**9).alias("at")),
+        t.part.select((number("p_brand") % 5).alias("m")).distinct().filter("m <> 3").select(named("CGREXMaterial", F.col("m"), F.concat(F.lit("Grade "), F.col("m").cast("string"))).alias("text"), (F.col("m") + 2 * 10**9).alias("at")),
+        t.part.select("p_brand").distinct().select(named("CGREXSection", number("p_brand"), F.col("p_brand")).alias("text"), (number("p_brand") + 3 * 10**9).alias("at")),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.select(X.class_of("text").alias("class"), "text", F.lit(0).cast("long").alias("block"), "at")
+
+
+_PARTS = """p AS (SELECT p_partkey, 'M-' || p_partkey % 23 AS module_id, 'T-' || p_partkey % 23 % 4 AS module_type, 'as:assembly:' || (p_partkey - p_partkey % 5) AS assembly_id, p_partkey % 5 = 0 AS is_main, p_size, p_type,
+  CASE WHEN b % 5 <> 3 THEN 'Grade ' || b % 5 END AS material_name, p_brand AS section_name, b % 5 AS material_ref FROM (SELECT *, regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS b FROM part) WHERE p_size > 2)"""
+
+query("steel_xml_parts", f"WITH {_PARTS} SELECT p_partkey AS source_id, module_id, module_type, assembly_id, is_main, p_type AS role, material_name, section_name, p_size::DOUBLE AS weight_kg FROM p")(
+    lambda t: SP.package(steel_objects(t))["single_parts"].select("source_id", "module_id", "module_type", "assembly_id", "is_main", "role", "material_name", "section_name", "weight_kg")
+)
+query("steel_xml_assemblies", f"""WITH {_PARTS} SELECT assembly_id, arg_min(p_type, CASE WHEN is_main THEN 0 ELSE p_partkey END) AS assembly_role, max(CASE WHEN is_main THEN 'as:single_part:' || p_partkey END) AS main_single_part_id,
+  count(*) AS parts, sum(p_size)::DOUBLE AS weight_kg, coalesce(sum(p_size) FILTER (is_main), 0)::DOUBLE AS main_weight_kg FROM p GROUP BY 1""")(
+    lambda t: SP.package(steel_objects(t))["assemblies"].select("assembly_id", "assembly_role", "main_single_part_id", "parts", F.col("weight_kg").cast("double").alias("weight_kg"), F.col("main_weight_kg").cast("double").alias("main_weight_kg"))
+)
+query("steel_xml_modules", f"WITH {_PARTS} SELECT module_id, min(module_type) AS module_type, count(DISTINCT assembly_id) AS assemblies, count(*) AS parts, count(*) FILTER (is_main) AS main_parts, sum(p_size)::DOUBLE AS weight_kg FROM p GROUP BY 1")(
+    lambda t: SP.package(steel_objects(t))["modules"].select("module_id", "module_type", "assemblies", "parts", "main_parts", F.col("weight_kg").cast("double").alias("weight_kg"))
+)
+query("steel_xml_module_types", f"WITH {_PARTS} SELECT module_type, count(DISTINCT module_id) AS modules, count(DISTINCT assembly_id) AS assemblies, count(*) AS parts, sum(p_size)::DOUBLE AS weight_kg FROM p GROUP BY 1")(
+    lambda t: SP.package(steel_objects(t))["module_types"].select("module_type", "modules", "assemblies", "parts", F.col("weight_kg").cast("double").alias("weight_kg"))
+)
+query("steel_xml_fastener_patterns", f"""WITH {_PARTS} SELECT 'view:fastener_pattern:bolt:' || row_number() OVER (ORDER BY s_suppkey) AS id, (s_nationkey % 4 + 1) * 2 AS quantity, 'M16x60' AS description, coalesce(module_id, '') AS modules
+  FROM supplier LEFT JOIN p ON p_partkey = s_suppkey * 3""")(
+    lambda t: SP.package(steel_objects(t))["fastener_patterns"].select("id", "quantity", "description", F.array_join("module_ids", ",").alias("modules"))
+)
+query("steel_xml_unresolved", """SELECT 'material' AS kind, 3 AS id, count(*) AS n FROM part WHERE regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT % 5 = 3 HAVING count(*) > 0
+  UNION ALL SELECT 'part', s_suppkey * 3, count(*) FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT p_partkey FROM part) GROUP BY s_suppkey""")(lambda t: SP.package(steel_objects(t))["unresolved"])
+query("steel_xml_edges", f"""WITH {_PARTS} SELECT DISTINCT * FROM (
+  SELECT 'as:module_type:' || module_type AS source, 'has_module' AS relation, 'as:module:' || module_id AS target FROM p UNION ALL SELECT 'as:module:' || module_id, 'has_assembly', assembly_id FROM p
+  UNION ALL SELECT assembly_id, 'has_single_part', 'as:single_part:' || p_partkey FROM p UNION ALL SELECT 'as:single_part:' || p_partkey, 'part_of_assembly', assembly_id FROM p
+  UNION ALL SELECT 'as:single_part:' || p_partkey, 'belongs_to_module', 'as:module:' || module_id FROM p UNION ALL SELECT 'as:single_part:' || p_partkey, 'has_material', 'as:material:' || material_ref FROM p
+  UNION ALL SELECT 'as:single_part:' || p_partkey, 'has_section', 'as:section:' || regexp_extract(section_name, '([0-9]+)$', 1) FROM p UNION ALL SELECT assembly_id, 'has_main_part', 'as:single_part:' || p_partkey FROM p WHERE is_main)""")(
+    lambda t: SP.package(steel_objects(t))["edges"]
+)
