@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packgraph.functions import exact as X
 from packgraph.functions.scalars import DECIMAL, half_even, natural_key
 from packgraph.operators.fields import Field, Resolver
 from packgraph.operators.where import InvalidQuery, compile_where
@@ -68,30 +69,45 @@ def metric_column(agg: str, f: Field | None, ord_: Column | None) -> Column:
     return F.transform(keyed, lambda s: s["v"])
 
 
-def aggregate(df: DataFrame, where: Any = None, group_by: Sequence[str] = (), metrics: Sequence[dict[str, Any]] | None = None, properties: str | None = None, order: Column | None = None, skipped: bool = False) -> DataFrame:
+def aggregate(df: DataFrame, where: Any = None, group_by: Sequence[str] = (), metrics: Sequence[dict[str, Any]] | None = None, properties: str | None = None, order: Column | None = None, skipped: bool = False, exact: bool = False) -> DataFrame:
     """filter, group, aggregate. ``order``: the scan order, for first, collect_list and representatives of groups.
 
     Typed group columns are grouped as they are, so partial aggregation runs before the shuffle; properties are grouped by
     a canonical key and shown as first seen. ``skipped`` adds, for each numeric metric, how many present values were no
-    numbers. A global aggregate of nothing is one row, a grouped one none.
+    numbers. ``exact``: sums and averages are text and hold numbers of any size. A global aggregate of nothing is one row, a
+    grouped one none.
     """
     resolve = Resolver(df, properties)
     wanted = parse_metrics(metrics)
     rows = df.filter(compile_where(where, resolve)) if where else df
-    columns = [metric_column(agg, resolve(f) if f else None, order).alias(n) for agg, f, n in wanted]
+    apart = [(agg, f"__limbs_{n}", n) for agg, _, n in wanted if exact and agg in ("sum", "avg")]
+    for agg, f, n in wanted:
+        if exact and agg in ("sum", "avg"):
+            x = resolve(f)
+            rows = X.with_limbs(rows, F.when(x.flag.isNull(), x.value), f"__limbs_{n}")
+    columns = [metric_column(agg, resolve(f) if f else None, order).alias(n) for agg, f, n in wanted if not any(n == e for *_, e in apart)]
+    columns += [c for _, limbs, n in apart for c in (X.sums(limbs).alias(f"__sum_{n}"), F.count(limbs).alias(f"__n_{n}"))]
+
+    def finished(out: DataFrame) -> DataFrame:
+        for agg, _, n in apart:
+            out = X.shown(out, f"__sum_{n}", n, f"__n_{n}" if agg == "avg" else None)
+        names = [n for _, _, n in wanted]
+        return out.select(*[F.col(f"`{c}`") for c in (*[c for c in out.columns if c not in names and not c.startswith("__")][: len(group_by)], *names, *[c for c in out.columns if c.endswith("_skipped") and c not in names])]) if apart else out
+
     if skipped:
         for agg, f, n in wanted:
             if agg in ("sum", "avg", "min", "max"):
                 x = resolve(f)
-                columns.append(F.count_if(x.value.isNotNull() & x.num.isNull()).alias(f"{n}_skipped"))
+                known = F.col(f"__limbs_{n}").isNotNull() if exact and agg in ("sum", "avg") else x.num.isNotNull()
+                columns.append(F.count_if(x.value.isNotNull() & ~known).alias(f"{n}_skipped"))
     if not group_by:
-        return rows.agg(*columns)
+        return finished(rows.agg(*columns))
     native = [(g, f) for g in group_by if (f := resolve(g)).native is not None]
     dynamic = [(g, f) for g in group_by if (f := resolve(g)).native is None]
     keys = [f.native.alias(g) for g, f in native] + [group_key(f).alias(f"__k_{g}") for g, f in dynamic]
     shown = [metric_column("first", f, order).alias(g) for g, f in dynamic]
     out = rows.groupBy(*keys).agg(*shown, *columns)
-    return out.select(*[F.col(f"`{g}`") for g in group_by], *[F.col(f"`{c}`") for c in out.columns if c not in group_by and not c.startswith("__k_")])
+    return finished(out.select(*[F.col(f"`{g}`") for g in group_by], *[F.col(f"`{c}`") for c in out.columns if c not in group_by and not c.startswith("__k_")]))
 
 
 def distinct_values(df: DataFrame, field: str, where: Any = None, properties: str | None = None) -> DataFrame:
