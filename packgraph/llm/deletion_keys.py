@@ -63,15 +63,19 @@ def _table(masks: list[int], first: int = 0) -> Column:
     return F.array(*[F.struct(F.lit(first + i).alias("kind"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)])
 
 
-def waves(distance: int, fp: str = "node", equal: bool = False, sizes: tuple[int, ...] = (FIRST, SECOND)) -> list[Wave]:
-    """The kinds of keys in a fixed shuffled order, few of them in the first waves; ``fp`` is the fingerprint's column. ``equal``:
-    fingerprints may repeat, so the first kind is the whole of one."""
+def kinds(distance: int, equal: bool = False) -> list[int]:
+    """The masks in a fixed shuffled order. ``equal``: fingerprints may repeat, so the first kind is the whole of one."""
     found = masks(distance)
-    found = [-1] * equal + [found[i] for i in np.random.default_rng(distance).permutation(len(found))]
+    return [-1] * equal + [found[i] for i in np.random.default_rng(distance).permutation(len(found))]
+
+
+def waves(distance: int, sizes: tuple[int, ...] = (FIRST, SECOND)) -> list[Wave]:
+    """The kinds of keys, few of them in the first waves."""
+    found = kinds(distance)
 
     def wave(a: int, b: int) -> Wave:
         def index(rows: DataFrame) -> DataFrame:
-            return spread(rows).select("*", F.explode(_table(found[a:b], a)).alias("k")).select("node", "root", "k.kind", F.col(fp).bitwiseAND(F.col("k.mask")).alias("key"))
+            return spread(rows).select("*", F.explode(_table(found[a:b], a)).alias("k")).select("node", "root", "k.kind", F.col("node").bitwiseAND(F.col("k.mask")).alias("key"))
 
         return index
 

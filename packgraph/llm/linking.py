@@ -57,10 +57,10 @@ def _direct(placed: DataFrame, keys: DataFrame, with_payload, more: list[str], m
     return pairs.filter(once & maybe).select("node_a", "node_b", "root_a", "root_b")
 
 
-def _star(crowd: DataFrame, more: list[str], maybe: Column, salt: int) -> DataFrame:
-    """Pairs of a crowded key's rows and its leaders, drawn at random, one of them from the main root."""
+def _star(crowd: DataFrame, more: list[str], maybe: Column, salt: int, n: int) -> DataFrame:
+    """Pairs of a crowded key's rows and its n leaders, drawn at random, one of them from the main root."""
     draw = lambda i: F.struct(F.xxhash64(F.lit(salt + i), "node").alias("draw"), "node", "root", *more)
-    drawn = [F.min(draw(i)) for i in range(LEADERS - 1)] + [F.min(F.when(F.col("root") == F.col("most"), draw(LEADERS)))]
+    drawn = [F.min(draw(i)) for i in range(n - 1)] + [F.min(F.when(F.col("root") == F.col("most"), draw(n)))]
     leaders = crowd.groupBy("kind", "key").agg(F.array(*drawn).alias("leaders"))
     met = crowd.join(leaders, ["kind", "key"]).select(*[F.col(c).alias(f"{c}_a") for c in ("node", "root", *more)], F.explode("leaders").alias("l"))
     pairs = met.select(*[f"{c}_a" for c in ("node", "root", *more)], *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "root", *more)])
@@ -78,6 +78,7 @@ def link(
     levels: int = LEVELS,
     settles: bool = False,
     prepare: Callable[[DataFrame, str], None] | None = None,
+    leaders: int = LEADERS,
 ) -> DataFrame:
     """(node, root) of each node: equal roots are linked. roots: node and the root known so far, a table of ``scratch``, which is
     deleted when there are newer ones.
@@ -115,7 +116,7 @@ def link(
             more_levels = not last and not crowded.isEmpty()
             if more_levels:
                 crowd = scratch.put(f"crowd-{name}", placed.join(crowded.select("kind", "key", "most"), ["kind", "key"]))
-                pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level))
+                pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level, leaders))
             links = check(pairs, name) if check else pairs
             step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}")
             if step is not None:

@@ -95,7 +95,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     likely = _likely(nodes, percent)
     roots = link(
         roots, _band_waves(nodes.select("node", "registers")), maybe_alike(percent), scratch, nodes.select("node", "sketch", "n"), lambda pairs, name: sets.check(pairs, name, likely),
-        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add,
+        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add, leaders=2,
     )
     placed = scratch.put("placed", nodes.select("same", "weight", "best", "node").join(roots, "node"))
     least = placed.groupBy("root").agg(F.min("best").alias("least"))

@@ -31,7 +31,7 @@ from packgraph.llm.set_joins import REFINED, Sets
 from packgraph.llm.shingles import BANDS, SKETCH, band_keys, fingerprint_of, set_of, shingle_hashes, sketch
 
 WIDTH, PERCENT, DISTANCE = 5, 80, 2
-BAND_WAVES = (0, 2, BANDS)
+FIRST_MASKS, FIRST_BANDS = 6, 2  # kinds of keys in the first wave
 
 
 def _measured(width: int):
@@ -52,12 +52,16 @@ def _measured(width: int):
     return measured
 
 
-def _band_waves(keys: DataFrame) -> list[Wave]:
-    def wave(a: int, b: int) -> Wave:
-        table = lambda: F.array(*[F.struct(F.lit(i).alias("kind"), F.get("keys", F.lit(i)).alias("key")) for i in range(a, b)])
-        return lambda roots: deletion_keys.spread(keys.join(roots, "node")).select("node", "root", F.explode(table()).alias("k")).select("node", "root", "k.*")
+def _waves(rows: DataFrame, distance: int) -> list[Wave]:
+    """A few kinds of keys of either sort first, which contract the clusters, then all others. rows: node, fp, keys."""
+    masks = deletion_keys.kinds(distance, True)
 
-    return [wave(a, b) for a, b in zip(BAND_WAVES, BAND_WAVES[1:])]
+    def wave(first: int, last: int, a: int, b: int) -> Wave:
+        key = lambda i, c: F.struct(F.lit(i).alias("kind"), c.alias("key"))
+        made = [key(i, F.col("fp").bitwiseAND(F.lit(masks[i]).cast("long"))) for i in range(first, last)] + [key(len(masks) + i, F.get("keys", F.lit(i))) for i in range(a, b)]
+        return lambda roots: deletion_keys.spread(rows.join(roots, "node")).select("node", "root", F.explode(F.array(*made)).alias("k")).select("node", "root", "k.*")
+
+    return [wave(0, FIRST_MASKS, 0, FIRST_BANDS), wave(FIRST_MASKS, len(masks), FIRST_BANDS, BANDS)]
 
 
 def unlike(n: int = SKETCH) -> Column:
@@ -77,12 +81,10 @@ def near_copies(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, p
     made = texts.mapInArrow(_measured(width), "doc_id long, mark long, fp long, keys array<long>, sketch array<long>, n long")
     rows = scratch.put("rows", made.dropDuplicates(["doc_id", "mark"]).withColumn("node", F.monotonically_increasing_id()))
     roots = scratch.put("roots", rows.select("node", F.col("node").alias("root")))
-    fps = rows.select("node", "fp")
-    simhash = [lambda known, wave=wave: wave(fps.join(known, "node")) for wave in deletion_keys.waves(distance, "fp", True, ())]
     sets = Sets(texts, rows.select("doc_id", "mark", "node"), scratch, width, percent)
     roots = link(
-        roots, [*simhash, *_band_waves(rows.select("node", "keys"))], maybe_alike(percent), scratch, rows.select("node", "sketch", "n"), sets.check,
-        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add,
+        roots, _waves(rows.select("node", "fp", "keys"), distance), maybe_alike(percent), scratch, rows.select("node", "sketch", "n"), sets.check,
+        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add, leaders=2,
     )
     reached = scratch.put("reached", rows.select("doc_id", "mark", "node").join(roots, "node"))
     scratch.only(reached)
