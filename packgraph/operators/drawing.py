@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import dimension_mm, orientation, room_tag
 from packgraph.functions.texts import short_number
+from packgraph.scratch import Scratch
 
 #: Entity types that hold text (fixed values).
 TEXT_TYPES = ("TEXT", "MTEXT", "DIMENSION", "LAYER")
@@ -103,3 +104,42 @@ def rectangle(rows: DataFrame, keys: list[str]) -> DataFrame:
     both = F.col("w").isNotNull() & F.col("h").isNotNull()
     area = F.when(both, F.col("w") * F.col("h")).otherwise(F.col("d1") * F.col("d2"))
     return sides.select(*keys, F.round(area / 1_000_000, 4).alias("area_m2"), F.when(both, "directions").when(F.col("d2").isNotNull(), "confidence").alias("method"))
+
+
+def nearby_labels(boxes: DataFrame, labels: DataFrame, sheet: list[str], radius: float, most: int = 5, crowd: int = 4096) -> DataFrame:
+    """Each box with its nearest labels: the columns of sheet, box_id, label_id, distance and place (from 1, at most ``most``).
+
+    boxes: sheet, box_id, x, y; labels: sheet, label_id, x, y; x and y are centres. A plane is cut into cells as wide as the radius, a box looks into
+    its own cell and the eight around it, so no product of a sheet is made. Cells with over ``crowd`` labels are cut on into quarters, again and
+    again, down to a 64th of their width; there, each box reads only the quarters that its circle can touch.
+    """
+    levels = 6
+    cell = lambda c, width: F.floor(F.col(c) / F.lit(width))
+    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    labels = labels.filter(whole("x") & whole("y")).select(*sheet, "label_id", F.col("x").cast("double").alias("lx"), F.col("y").cast("double").alias("ly"))
+    boxes = boxes.filter(whole("x") & whole("y")).select(*sheet, "box_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    scratch = Scratch(boxes.sparkSession, "nearby")
+    labels = scratch.put("labels", labels)
+    rest, found = labels, None
+    for level in range(levels + 1):
+        width = radius / (1 << level)
+        placed = rest.withColumns({"cx": cell("lx", width), "cy": cell("ly", width)})
+        last = level == levels
+        if not last:
+            full = scratch.put(f"full-{level}", placed.groupBy(*sheet, "cx", "cy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).drop("n"))
+            last = full.isEmpty()
+        here = placed if last else placed.join(full, [*sheet, "cx", "cy"], "left_anti")
+        reach = 1 << level
+        near = lambda c: F.explode(F.sequence(cell(c, width) - reach, cell(c, width) + reach))  # noqa: B023, E731
+        # Of the cells in the square around a box, those whose nearest corner is within the radius.
+        gap = lambda c, k: F.greatest(F.col(k) * width - F.col(c), F.col(c) - (F.col(k) + 1) * width, F.lit(0.0))  # noqa: B023, E731
+        looked = boxes.withColumn("cx", near("x")).withColumn("cy", near("y")).filter(F.hypot(gap("x", "cx"), gap("y", "cy")) <= radius)
+        used = here.select(*sheet, "cx", "cy").distinct()
+        met = looked.join(used, [*sheet, "cx", "cy"], "left_semi").join(here, [*sheet, "cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))).filter(F.col("distance") <= radius)
+        met = met.select(*sheet, "box_id", "label_id", "distance")
+        found = met if found is None else found.unionByName(met)
+        if last:
+            break
+        rest = scratch.put(f"rest-{level}", placed.join(full, [*sheet, "cx", "cy"], "left_semi").drop("cx", "cy"))
+    place = F.row_number().over(Window.partitionBy(*sheet, "box_id").orderBy("distance", "label_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= most)

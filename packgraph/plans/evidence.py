@@ -45,9 +45,6 @@ _RANGE = "lpad(CAST(({0}) AS VARCHAR), CAST(greatest(3, length(CAST(({0}) AS VAR
 query("mark_ranges", f"SELECT c_custkey, CASE WHEN c_custkey < 1 THEN 'other' ELSE {_RANGE.format('(c_custkey - 1) // 20 * 20 + 1')} || '-' || {_RANGE.format('(c_custkey - 1) // 20 * 20 + 20')} END AS mark_range FROM customer")(
     lambda t: t.customer.select("c_custkey", X.number_range(F.concat(F.lit("B"), F.col("c_custkey").cast("string"))).alias("mark_range"))
 )
-query("hangul_terms", "SELECT * FROM (VALUES ('모듈'), ('설명'), ('듈리'), ('리스'), ('스트'), ('list2')) v(term)")(
-    lambda t: t.spark.createDataFrame([(x,) for x in H.query_terms("모듈 설명 모듈리스트 please the list2")], "term string")
-)
 query("question_floors", "SELECT n_nationkey, n_nationkey AS floor, n_nationkey || '-05-ST' AS module FROM nation")(
     lambda t: t.nation.select("n_nationkey", F.concat(F.lit("weight of "), F.col("n_nationkey").cast("string"), F.lit("-05-st on floor "), F.col("n_nationkey").cast("string"), F.lit(" 층?")).alias("q"))
     .select("n_nationkey", big(F.get(X.floors(F.regexp_replace("q", "on floor ", "")), F.lit(0))).alias("floor"), F.get(X.module_ids(F.col("q")), F.lit(0)).alias("module"))
@@ -376,11 +373,11 @@ def elements(t: Tables) -> Engine:
 query("tool_project_modules", "SELECT p_size || '-05-ST' AS module_id, 'module_type' AS sources, count(*) AS n FROM part GROUP BY 1")(lambda t: elements(t).list_project_modules("p").withColumn("sources", F.array_join("sources", ",")))
 query("tool_module_elements", "SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 7")(lambda t: elements(t).list_module_elements("p", "7-05-ST", fields=["id"]))
 query("tool_quantity_by_module", "SELECT p_size || '-05-ST' AS module_type, sum(p_size)::DOUBLE AS total, count(*) AS n FROM part GROUP BY p_size")(lambda t: elements(t).aggregate_quantity_by_module("p").select("module_type", dbl(F.col("total")).alias("total"), "n"))
-query("tool_quantity_evidence", "SELECT p_brand AS unit, sum(p_size)::DOUBLE AS quantity_sum, count(*) AS row_count FROM part WHERE contains(p_type, 'STEEL') GROUP BY 1")(
-    lambda t: elements(t).query_quantity_evidence("p", include_item_regex="STEEL", group_by=["unit"]).select("unit", dbl(F.col("quantity_sum")).alias("quantity_sum"), "row_count")
+query("tool_quantity_evidence", "SELECT p_brand AS unit, sum(p_size)::DOUBLE AS quantity_sum, count(*) AS row_count FROM part WHERE contains(p_type, 'SMALL') GROUP BY 1")(
+    lambda t: elements(t).query_quantity_evidence("p", include_item_regex="SMALL", group_by=["unit"]).select("unit", dbl(F.col("quantity_sum")).alias("quantity_sum"), "row_count")
 )
-query("tool_filtered_nodes", "SELECT 'part:' || p_partkey AS id, p_size::VARCHAR AS quantity FROM part WHERE p_size >= 20 AND p_type LIKE '%STEEL%'")(
-    lambda t: elements(t).filtered_search_nodes("p", "element", {"quantity__gte": 20, "item_name__contains": "steel"}, ["id", "quantity"], limit=None).rows
+query("tool_filtered_nodes", "SELECT 'part:' || p_partkey AS id, p_size::VARCHAR AS quantity FROM part WHERE p_size >= 20 AND p_type LIKE '%SMALL%'")(
+    lambda t: elements(t).filtered_search_nodes("p", "element", {"quantity__gte": 20, "item_name__contains": "small"}, ["id", "quantity"], limit=None).rows
 )
 query("tool_distinct_values", "SELECT DISTINCT p_brand AS value FROM part")(lambda t: elements(t).distinct_property_values("p", "unit").select("value"))
 query("tool_entity_search", "SELECT vec_id AS ord FROM embeddings WHERE label % 2 = 0 AND contains('l' || label, '4')")(lambda t: elements(t).dxf_entity_search("p", entity_type=["text"], layer="4", limit=1 << 30).select("ord"))

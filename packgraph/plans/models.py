@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packgraph.operators import aggregate as A
+from packgraph.operators import drawing as DR
 from packgraph.operators import ifc as I
 from packgraph.operators import steel_package as SP
 from packgraph.plans.registry import Tables, big, query
 from packgraph.sources import steel_xml as X
+from packgraph.scratch import Scratch
 from packgraph.sources import step
+from packgraph.sources.index import Index, Version
 
 _SEGMENTS = {"AUTOMOBILE": "IFCWALL", "BUILDING": "IFCDOOR", "FURNITURE": "IFCWINDOW", "HOUSEHOLD": "IFCSLAB", "MACHINERY": "IFCBEAM"}
 _ORDER = 1_000_000_000_000
@@ -176,3 +180,39 @@ query("steel_xml_edges", f"""WITH {_PARTS} SELECT DISTINCT * FROM (
   UNION ALL SELECT 'as:single_part:' || p_partkey, 'has_section', 'as:section:' || regexp_extract(section_name, '([0-9]+)$', 1) FROM p UNION ALL SELECT assembly_id, 'has_main_part', 'as:single_part:' || p_partkey FROM p WHERE is_main)""")(
     lambda t: SP.package(steel_objects(t))["edges"]
 )
+
+
+# --- a versioned index, labels near boxes and exact sums ---------------------------------------------------------------------------
+
+
+def _publication(t: Tables, nations: DataFrame, body: Column) -> dict[str, DataFrame]:
+    own = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = t.orders.join(own, F.col("o_custkey") == F.col("c_custkey"))
+    pack = F.col("n_name").alias("pack_id")
+    return {
+        "packs": nations.select(pack, "n_regionkey"), "documents": own.select(pack, F.col("c_name").alias("path"), body.alias("body")), "nodes": own.select(pack, F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("label")),
+        "edges": orders.select(pack, F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source"), F.col("o_orderstatus").alias("target")),
+    }
+
+
+def _published(t: Tables) -> Version:
+    """All nations are published, then those of one region again with other documents."""
+    index = Index(t.spark, Scratch(t.spark, "index").base)
+    index.publish(_publication(t, t.nation, F.col("c_mktsegment")))
+    return index.publish(_publication(t, t.nation.join(t.region.filter("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi"), F.lower("c_mktsegment")))
+
+
+query("index_documents", "SELECT n_name AS pack_id, c_name AS path, CASE WHEN r_name = 'ASIA' THEN lower(c_mktsegment) ELSE c_mktsegment END AS body FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(
+    lambda t: _published(t).table("documents").select("pack_id", "path", "body")
+)
+query("index_edges", "SELECT n_name AS pack_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(lambda t: _published(t).table("edges").groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")))
+
+_POINTS = "p AS (SELECT vec_id, label AS sheet, 100 * CAST(embedding[1] AS DOUBLE) AS x, 100 * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+query("nearby_labels", f"""WITH {_POINTS} SELECT sheet, box_id, label_id, distance, place FROM (
+  SELECT a.sheet, a.vec_id AS box_id, b.vec_id AS label_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, row_number() OVER (PARTITION BY a.sheet, a.vec_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.vec_id) AS place
+  FROM p AS a JOIN p AS b ON a.sheet = b.sheet AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 6) WHERE place <= 4""")(
+    lambda t: DR.nearby_labels(*[t.embeddings.select(F.col("label").alias("sheet"), F.col("vec_id").alias(k), (F.get("embedding", F.lit(0)).cast("double") * 100).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 100).alias("y")) for k in ("box_id", "label_id")], ["sheet"], 6.0, 4)
+)
+query("agg_exact", "SELECT o_orderstatus, CAST(sum(o_orderkey::HUGEINT * 1000000000000000000) AS VARCHAR) || repeat('0', 22) AS total FROM orders GROUP BY 1")(
+    lambda t: A.aggregate(t.orders.withColumn("q", F.concat(F.col("o_orderkey").cast("string"), F.lit("e40"))), None, ["o_orderstatus"], [{"agg": "sum", "field": "q", "as": "total"}], exact=True)
+)
