@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from packgraph.operators import aggregate as A
 from packgraph.operators import drawing as DR
 from packgraph.operators import ifc as I
+from packgraph.operators import pack_suite as PS
 from packgraph.operators import steel_package as SP
 from packgraph.plans.registry import Tables, big, query
 from packgraph.sources import steel_xml as X
@@ -216,3 +217,16 @@ query("nearby_labels", f"""WITH {_POINTS} SELECT sheet, box_id, label_id, distan
 query("agg_exact", "SELECT o_orderstatus, CAST(sum(o_orderkey::HUGEINT * 1000000000000000000) AS VARCHAR) || repeat('0', 22) AS total FROM orders GROUP BY 1")(
     lambda t: A.aggregate(t.orders.withColumn("q", F.concat(F.col("o_orderkey").cast("string"), F.lit("e40"))), None, ["o_orderstatus"], [{"agg": "sum", "field": "q", "as": "total"}], exact=True)
 )
+
+
+def _customer_packs(t: Tables) -> dict[str, DataFrame]:
+    return PS.members(t.customer, "facts.jsonl", "c_mktsegment", ["c_custkey"], ["c_custkey"], 64)
+
+
+_SHARDS = """WITH s AS (SELECT c_mktsegment, count(*) AS n, ceil(count(*) / 64.0) AS slices FROM customer GROUP BY 1),
+b AS (SELECT c_mktsegment, coalesce(sum(slices) OVER (ORDER BY n DESC, c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+p AS (SELECT c_custkey, 'facts-' || lpad(CAST(CAST(start + (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 64 AS INTEGER) AS VARCHAR), 4, '0') || '-' || c_mktsegment AS pack_id FROM customer JOIN b USING (c_mktsegment))"""
+query("suite_catalogue", f"""{_SHARDS} SELECT pack_id, member, CAST(CASE member WHEN 'edges' THEN 2 * n WHEN 'nodes' THEN n + 1 ELSE n END AS BIGINT) AS rows FROM (SELECT pack_id, count(*) AS n FROM p GROUP BY 1), (VALUES ('rows'), ('chunks'), ('nodes'), ('edges')) m(member)""")(
+    lambda t: PS.catalogue(_customer_packs(t)).select("pack_id", "member", "rows")
+)
+query("suite_quality", f"{_SHARDS} SELECT pack_id, count(*) AS rows, 0 AS empty_chunks, 0 AS repeated_nodes, 0 AS unknown_ends, true AS whole FROM p GROUP BY 1")(lambda t: PS.quality(_customer_packs(t)))
