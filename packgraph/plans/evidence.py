@@ -410,3 +410,11 @@ query("ifc_families", "SELECT p_partkey, p_brand AS family, p_name AS type, p_ty
 query("merge_aliases", "SELECT 'a::' || n_name AS id, n_name AS original_id FROM nation UNION ALL SELECT 'b::' || r_name, r_name FROM region")(
     lambda t: G.merge_packs({"old": t.nation.select(F.col("n_name").alias("id")), "a": t.nation.select(F.col("n_name").alias("id")), "b": t.region.select(F.col("r_name").alias("id"))}, {"old": "a"}).select("id", "original_id")
 )
+
+query("tool_node_list", "SELECT 'nation:' || n_nationkey AS id, n_name AS label FROM nation")(lambda t: engine(t).node_list("p", "Nation", 1 << 30).select("id", "label"))
+query("tool_relation_type_list", "SELECT 'has_nation' AS key, count(*) AS n FROM nation")(lambda t: engine(t).relation_type_list("p"))
+query("tool_aggregate_nodes", "SELECT p_brand AS unit, sum(p_size)::DOUBLE AS quantity, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1")(
+    lambda t: elements(t).aggregate_nodes("p", "Element", {"quantity__gt": 10}, ["unit"], [{"agg": "sum", "field": "quantity", "as": "quantity"}, {"agg": "count", "as": "n"}], limit=None).rows.select("unit", dbl(F.col("quantity")).alias("quantity"), "n")
+)
+query("tool_dxf_layer_summary", "SELECT 'L' || label AS layer, count(*) AS n FROM embeddings GROUP BY 1")(lambda t: elements(t).dxf_layer_summary("p").select("layer", "n"))
+query("tool_pack_list", "SELECT DISTINCT source AS pack_id, source AS title FROM documents")(lambda t: engine(t).pack_list().select("pack_id", "title"))
