@@ -12,8 +12,9 @@ from packgraph.operators import aggregate as A
 from packgraph.operators import drawing as DR
 from packgraph.operators import ifc as I
 from packgraph.operators import pack_suite as PS
+from packgraph.operators import postings as PO
 from packgraph.operators import steel_package as SP
-from packgraph.plans.registry import Tables, big, query
+from packgraph.plans.registry import _TERMS, Tables, _score_sql, big, query
 from packgraph.sources import steel_xml as X
 from packgraph.scratch import Scratch
 from packgraph.sources import step
@@ -230,3 +231,16 @@ query("suite_catalogue", f"""{_SHARDS} SELECT pack_id, member, CAST(CASE member
     lambda t: PS.catalogue(_customer_packs(t)).select("pack_id", "member", "rows")
 )
 query("suite_quality", f"{_SHARDS} SELECT pack_id, count(*) AS rows, 0 AS empty_chunks, 0 AS repeated_nodes, 0 AS unknown_ends, true AS whole FROM p GROUP BY 1")(lambda t: PS.quality(_customer_packs(t)))
+
+
+def _indexed(t: Tables) -> str:
+    path = Scratch(t.spark, "postings").base
+    PO.write(PO.postings(t.documents, ["source", "doc_id"], "text"), path)
+    return path
+
+
+_WORDS = "the apache license and garantie 2.0"
+query("search_postings", f"SELECT doc_id, round({_score_sql('lower(text)', _TERMS)}, 3) AS score FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{x}')" for x in _TERMS))(
+    lambda t: PO.search(t.spark, _indexed(t), _WORDS).select("doc_id", F.round("score", 3).alias("score"))
+)
+query("postings_runs", "SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+')) AS run FROM documents) GROUP BY 1")(lambda t: PO.postings(t.documents, ["doc_id"], "text").groupBy("run").agg(F.sum("n").alias("n")))
