@@ -45,8 +45,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vertex of a task's edges with the root of its component, the roots too."""
+    found = dict(stars_of(e for batch in batches for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+    found |= {c: c for c in found.values()}
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["v", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, few: int = 0) -> DataFrame | None:
     """(v, root) for every vertex of ``edges`` (columns a, b, both long): root is one vertex of v's component. None: no edges.
+    As soon as no more than ``few`` edges are left, one task solves them.
 
     In each round tasks first turn their own edges into stars. Then every vertex moves to the neighbour, or itself, that comes
     first, centres of stars before other vertices and each kind in the round's own random order, and edges are redrawn between
@@ -59,6 +67,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | Non
     turn = 0
     while not left.isEmpty():
         turn += 1
+        if few and left.limit(few + 1).count() <= few:
+            solved = left.coalesce(1).mapInArrow(_solved, "v long, root long")
+            if roots is not None:
+                solved = roots.join(solved.select(F.col("v").alias("root"), F.col("root").alias("p")), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+            return scratch.put(f"{name}-roots-{turn}", solved)
         stars = scratch.put(f"{name}-stars-{turn}", left.mapInArrow(_stars, "a long, b long"))
         draw = lambda v, other: F.struct(F.lit(other).alias("other"), F.xxhash64(F.lit(turn), F.col(v)).alias("o"), F.col(v).alias("v"))  # noqa: E731, B023
         ends = stars.select(F.explode(F.array(F.struct(F.col("a").alias("v"), draw("b", 1).alias("to"), F.lit(True).alias("leaf")), F.struct(F.col("b").alias("v"), draw("a", 2).alias("to"), F.lit(False).alias("leaf")))).alias("e")).select("e.*")

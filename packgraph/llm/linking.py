@@ -79,6 +79,7 @@ def link(
     settles: bool = False,
     prepare: Callable[[DataFrame, str], None] | None = None,
     leaders: int = LEADERS,
+    few_links: int = 0,
 ) -> DataFrame:
     """(node, root) of each node: equal roots are linked. roots: node and the root known so far, a table of ``scratch``, which is
     deleted when there are newer ones.
@@ -118,7 +119,7 @@ def link(
                 crowd = scratch.put(f"crowd-{name}", placed.join(crowded.select("kind", "key", "most"), ["kind", "key"]))
                 pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level, leaders))
             links = check(pairs, name) if check else pairs
-            step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}")
+            step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}", few_links)
             if step is not None:
                 before, roots = roots, scratch.put(f"roots-{name}", joined(roots, step))
                 scratch.forget(before)

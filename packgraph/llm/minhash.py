@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packgraph.llm.components import AT_ONCE
 from packgraph.llm.deletion_keys import spread
 from packgraph.llm.linking import Wave, link
 from packgraph.llm.near_dedup import maybe_alike
@@ -34,7 +35,7 @@ from packgraph.llm.vectors import joined_by
 
 WIDTH, PERCENT = 4, 80
 SLACK = 20  # hundredths
-WAVES = (0, 2, BANDS)
+WAVES = (0, 3, 10, BANDS)  # clusters are contracted by the first bands
 
 
 def _measured(width: int):
@@ -95,7 +96,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     likely = _likely(nodes, percent)
     roots = link(
         roots, _band_waves(nodes.select("node", "registers")), maybe_alike(percent), scratch, nodes.select("node", "sketch", "n"), lambda pairs, name: sets.check(pairs, name, likely),
-        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add, leaders=2,
+        refine=sets.refine, levels=REFINED, settles=True, prepare=sets.add, leaders=2, few_links=AT_ONCE,
     )
     placed = scratch.put("placed", nodes.select("same", "weight", "best", "node").join(roots, "node"))
     least = placed.groupBy("root").agg(F.min("best").alias("least"))

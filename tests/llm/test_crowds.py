@@ -76,10 +76,11 @@ def test_components_of_chains_stars_and_circles(spark, monkeypatch, at_once):
     r.shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     s = scratch.Scratch(spark, "c")
-    got = {x["v"]: x["root"] for x in C.components(df, s, "c").collect()}
     touched = sorted({v for a, b in edges if a != b for v in (a, b)})
     want = components(touched, edges)
-    assert set(got) == set(touched) and len(set(got.values())) == len(set(want.values())) == len({(got[v], want[v]) for v in touched})
+    for few in (0, 60, 100_000):
+        got = {x["v"]: x["root"] for x in C.components(df, s, f"c{few}", few).collect()}
+        assert set(got) == set(touched) and len(set(got.values())) == len(set(want.values())) == len({(got[v], want[v]) for v in touched})
     assert C.components(df.limit(0), s, "none") is None
 
 
