@@ -371,7 +371,7 @@ def elements(t: Tables) -> Engine:
 
 
 query("tool_project_modules", "SELECT p_size || '-05-ST' AS module_id, 'module_type' AS sources, count(*) AS n FROM part GROUP BY 1")(lambda t: elements(t).list_project_modules("p").withColumn("sources", F.array_join("sources", ",")))
-query("tool_module_elements", "SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 7")(lambda t: elements(t).list_module_elements("p", "7-05-ST", fields=["id"]))
+query("tool_module_elements", "SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 7")(lambda t: elements(t).list_module_elements("p", "7-05-ST", fields=["id"], limit=None))
 query("tool_quantity_by_module", "SELECT p_size || '-05-ST' AS module_type, sum(p_size)::DOUBLE AS total, count(*) AS n FROM part GROUP BY p_size")(lambda t: elements(t).aggregate_quantity_by_module("p").select("module_type", dbl(F.col("total")).alias("total"), "n"))
 query("tool_quantity_evidence", "SELECT p_brand AS unit, sum(p_size)::DOUBLE AS quantity_sum, count(*) AS row_count FROM part WHERE contains(p_type, 'SMALL') GROUP BY 1")(
     lambda t: elements(t).query_quantity_evidence("p", include_item_regex="SMALL", group_by=["unit"]).select("unit", dbl(F.col("quantity_sum")).alias("quantity_sum"), "row_count")

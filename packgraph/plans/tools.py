@@ -267,8 +267,8 @@ class Engine:
         named = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("source"), r(f).value.alias("module_id")) for f in MODULE_FIELDS])).alias("m")).select("m.*")
         return named.filter(F.col("module_id").rlike(f"^(?:{module_pattern})$")).groupBy("module_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count(F.lit(1)).alias("n")).orderBy(S.natural_key(F.col("module_id")))
 
-    def list_module_elements(self, pack_id, module_id: str, category: str = "", fields: Sequence[str] = ("id", "label", "type"), limit: int = 5000) -> DataFrame:
-        """Sorted before projection, so the order needs no field of the result."""
+    def list_module_elements(self, pack_id, module_id: str, category: str = "", fields: Sequence[str] = ("id", "label", "type"), limit: int | None = 5000) -> DataFrame:
+        """Sorted before projection, so the order needs no field of the result; all of them without a limit."""
         where: dict[str, Any] = {"$or": [{f: module_id} for f in MODULE_FIELDS]}
         rows = self._nodes(pack_id, None, {"$and": [where, *([{"category": category}] if category else [])]})
         return O.project(O.page(rows, {"field": "source_element_id", "natural": True}, limit, 0, ["ord"], "properties"), fields, "properties")

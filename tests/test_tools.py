@@ -146,3 +146,11 @@ def test_catalogue_of_tools(spark, engine):
 def test_drawing_text_of_chunks(engine):
     found = engine.drawing_text_search("p", "c").collect()
     assert {r["kind"] for r in found} <= {"chunk", "entity"}
+
+
+def test_module_elements_query_has_no_limit(spark, tmp_path):
+    from packgraph.plans.catalogue import QUERIES
+
+    spark.range(5100).selectExpr("id AS p_partkey", "'n' AS p_name", "'t' AS p_type", "'b' AS p_brand", "7 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, [0.0] * 4, 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["tool_module_elements"](spark, str(tmp_path)).count() == 5100
