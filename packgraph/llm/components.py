@@ -78,12 +78,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str, few: int = 0) -> D
         best = ends.groupBy("v").agg(F.min("to").alias("to"), F.min("leaf").alias("leaf"))
         own = F.struct(F.when(F.col("leaf"), 2).otherwise(1).alias("other"), F.xxhash64(F.lit(turn), F.col("v")).alias("o"), F.col("v"))
         moved = scratch.put(f"{name}-moved-{turn}", best.select("v", F.least("to", own)["v"].alias("p")))
-        to = lambda c: moved.select(F.col("v").alias(c), F.col("p").alias(f"p{c}"))  # noqa: E731, B023
+        moves = moved.hint("merge") if few else moved  # more than few, and small in a file: not to be broadcast
+        to = lambda c: moves.select(F.col("v").alias(c), F.col("p").alias(f"p{c}"))  # noqa: E731, B023
         redrawn = stars.join(to("a"), "a").join(to("b"), "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         if roots is None:
             roots = moved.select("v", F.col("p").alias("root"))
         else:
-            step = roots.join(moved.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+            step = roots.join(moves.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
             roots = scratch.put(f"{name}-roots-{turn}", step)
             scratch.drop(f"{name}-roots-{turn - 1}")
         left = scratch.put(f"{name}-edges-{turn}", redrawn)

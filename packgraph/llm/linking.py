@@ -4,8 +4,9 @@ Kinds of keys are gone through in waves. After each wave the nodes that it links
 wave's index takes only keys under which there is still more than one root: a large cluster meets under all of its keys in
 the first, small wave and is one root afterwards.
 
-Within a wave, a key whose rows outside its main root are few is joined directly. A crowded key is first held against a few
-of its own nodes, twice, which joins clusters with as many rows as they have members. What is still crowded then is a crowd
+Within a wave, a key whose rows outside its main root are few is joined directly. Of a crowded key the rows outside the main root
+are first held against a few of its own nodes, twice, which joins clusters with as many rows as they have members; a
+cluster that is known already is held against nothing again. What is still crowded then is a crowd
 of nodes that are mostly not linked: its rows are dealt to finer keys (``refine``), of which each linked pair still shares
 one, until no key is crowded. Finer keys may tell core rows from others, so that only pairs with a core row meet. Nothing is
 capped or left out: a key that can't be refined further is joined directly.
@@ -18,12 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packgraph.llm.components import components
+from packgraph.llm.components import AT_ONCE, components
 from packgraph.llm.scratch import Scratch
 
 FEW, CROWD = 8, 256  # rows outside the main root that are joined directly, before and after a key's leaders were tried
 LEADERS, TURNS = 4, 2
 LEVELS = 8  # of finer keys
+MANY = 1 << 18  # nodes of which no table is broadcast: ids take so little room in files that the planner would send millions
 
 Wave = Callable[[DataFrame], DataFrame]
 
@@ -44,25 +46,24 @@ def _mixed(placed: DataFrame, few: int) -> DataFrame:
     return mixed.filter("roots > 1 AND cores > 0").select("kind", "key", F.col("most.root").alias("most"), crowded.alias("crowded"))
 
 
-def _direct(placed: DataFrame, keys: DataFrame, with_payload, more: list[str], maybe: Column, all_core: bool) -> DataFrame:
-    """Pairs of different roots within the keys, one of them at least a core row: each row outside the main root against all others
-    if it is one, else against the core rows."""
+def _direct(outside: DataFrame, placed: DataFrame, with_payload, more: list[str], maybe: Column, all_core: bool) -> DataFrame:
+    """Pairs of different roots within the keys of ``outside``, one of them at least a core row: each of these rows, which are outside
+    their key's main root (most), against all placed ones if it is one, else against the core rows."""
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", *more)]
-    outside = with_payload(placed.join(keys.select("kind", "key", "most"), ["kind", "key"]).filter("root <> most"))
     met = F.lit(True) if all_core else F.explode(F.when(F.col("core"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
     # Of two rows that are both outside the main root, one order is enough.
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
-    own = outside.select("kind", "key", "most", met.alias("core"), *side("a"))
+    own = with_payload(outside).select("kind", "key", "most", met.alias("core"), *side("a"))
     pairs = own.join(with_payload(placed).select("kind", "key", "core", *side("b")), ["kind", "key", *["core"] * (not all_core)])
     return pairs.filter(once & maybe).select("node_a", "node_b", "root_a", "root_b")
 
 
 def _star(crowd: DataFrame, more: list[str], maybe: Column, salt: int, n: int) -> DataFrame:
-    """Pairs of a crowded key's rows and its n leaders, drawn at random, one of them from the main root."""
+    """Pairs of a crowded key's core rows outside the main root and its n leaders, drawn at random, one of them from that root."""
     draw = lambda i: F.struct(F.xxhash64(F.lit(salt + i), "node").alias("draw"), "node", "root", *more)
     drawn = [F.min(draw(i)) for i in range(n - 1)] + [F.min(F.when(F.col("root") == F.col("most"), draw(n)))]
     leaders = crowd.groupBy("kind", "key").agg(F.array(*drawn).alias("leaders"))
-    met = crowd.join(leaders, ["kind", "key"]).select(*[F.col(c).alias(f"{c}_a") for c in ("node", "root", *more)], F.explode("leaders").alias("l"))
+    met = crowd.filter("core AND root <> most").join(leaders, ["kind", "key"]).select(*[F.col(c).alias(f"{c}_a") for c in ("node", "root", *more)], F.explode("leaders").alias("l"))
     pairs = met.select(*[f"{c}_a" for c in ("node", "root", *more)], *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "root", *more)])
     return pairs.filter((F.col("root_a") != F.col("root_b")) & maybe).select("node_a", "node_b", "root_a", "root_b")
 
@@ -79,7 +80,7 @@ def link(
     settles: bool = False,
     prepare: Callable[[DataFrame, str], None] | None = None,
     leaders: int = LEADERS,
-    few_links: int = 0,
+    few_links: int = AT_ONCE,
 ) -> DataFrame:
     """(node, root) of each node: equal roots are linked. roots: node and the root known so far, a table of ``scratch``, which is
     deleted when there are newer ones.
@@ -95,33 +96,40 @@ def link(
     more = [c for c in payload.columns if c != "node"] if payload is not None else []
     with_payload = lambda df: df.join(payload, "node") if more else df
     all_of = lambda df: df if "core" in df.columns else df.withColumn("core", F.lit(True))
+    many = roots.count() > MANY
+    whole = lambda df: df.hint("merge") if many else df
     settled: DataFrame | None = None
     for w, wave in enumerate(waves):
-        index = wave(roots)
-        shared = index.groupBy("kind", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("kind", "key").hint("merge")
+        index = wave(whole(roots))
+        shared = index.groupBy("kind", "key").agg(F.min("root").alias("most"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("most <> hi").drop("hi").hint("merge")
         rows, all_core = index.join(shared, ["kind", "key"]), settled is None
         if settled is not None:
-            rows = rows.join(settled.withColumn("settled", F.lit(True)), "node", "left").withColumn("core", F.col("settled").isNull()).drop("settled")
+            rows = rows.join(whole(settled.withColumn("settled", F.lit(True))), "node", "left").withColumn("core", F.col("settled").isNull()).drop("settled")
         placed, level = scratch.put(f"placed-{w}-0", all_of(rows)), 0
         if prepare is not None:
             prepare(placed, str(w))
         while True:
             name = f"{w}-{level}"
             last = level >= TURNS and (refine is None or level - TURNS >= levels)
-            mixed = scratch.put(f"mixed-{name}", _mixed(placed, FEW if level < TURNS else CROWD))
-            if mixed.isEmpty():
+            # A key of few rows has few outside any root, so only larger ones are looked at for the main one.
+            larger = placed if level else placed.filter(F.col("n") > FEW + 1)
+            mixed = scratch.put(f"mixed-{name}", _mixed(larger, FEW if level < TURNS else CROWD))
+            if mixed.isEmpty() and (level or placed.isEmpty()):
                 scratch.drop(f"placed-{name}", f"mixed-{name}")
                 break
-            pairs = _direct(placed, mixed if last else mixed.filter("NOT crowded"), with_payload, more, maybe, all_core)
+            direct = mixed if last else mixed.filter("NOT crowded")
+            outside = larger.drop("most", "n").join(direct.select("kind", "key", "most"), ["kind", "key"])
+            outside = outside if level else outside.unionByName(placed.filter(F.col("n") <= FEW + 1).drop("n"))
+            pairs = _direct(outside.filter("root <> most"), placed.drop("most", "n"), with_payload, more, maybe, all_core)
             crowded = mixed.filter("crowded")
             more_levels = not last and not crowded.isEmpty()
             if more_levels:
-                crowd = scratch.put(f"crowd-{name}", placed.join(crowded.select("kind", "key", "most"), ["kind", "key"]))
+                crowd = scratch.put(f"crowd-{name}", larger.drop("most", "n").join(crowded.select("kind", "key", "most"), ["kind", "key"]))
                 pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level, leaders))
             links = check(pairs, name) if check else pairs
             step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}", few_links)
             if step is not None:
-                before, roots = roots, scratch.put(f"roots-{name}", joined(roots, step))
+                before, roots = roots, scratch.put(f"roots-{name}", joined(roots, whole(step)))
                 scratch.forget(before)
             scratch.drop_all(f"step-{name}-")
             scratch.drop(f"links-{name}", f"placed-{name}", f"mixed-{name}")
@@ -136,6 +144,6 @@ def link(
                 rows = refine(rows.drop("core"), level - TURNS)
                 all_core = "core" not in rows.columns
                 rows = all_of(rows)
-            placed = scratch.put(f"placed-{w}-{level}", rows.join(roots, "node"))
+            placed = scratch.put(f"placed-{w}-{level}", rows.join(whole(roots), "node"))
             scratch.drop(f"crowd-{name}")
-    return roots
+    return whole(roots)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from packgraph.llm import linking, scratch, simhash
 from test_small import components
@@ -158,3 +159,22 @@ def test_prefixes_of_alike_sets_meet(percent):
             y, _ = set_joins.prefix(np.array(large, np.uint64), key, counts, percent)
             assert {*x[core].tolist()} & {*y.tolist()}
     assert met > 100
+
+
+def test_a_known_cluster_is_held_against_no_leader(spark):
+    rows = [(i, 1, 0, 7, True, 1) for i in range(50)] + [(100 + i, 100 + i, 0, 7, i < 5, 1) for i in range(10)]
+    crowd = spark.createDataFrame(rows, "node long, root long, kind int, key long, core boolean, most long")
+    pairs = linking._star(crowd, [], F.lit(True), 0, 2).collect()
+    assert {p["node_a"] for p in pairs} == set(range(100, 105)) and len(pairs) <= 10
+
+
+def test_tables_of_many_nodes_are_not_broadcast_and_few_links_take_one_task(spark, monkeypatch):
+    monkeypatch.setattr(linking, "MANY", 10)
+    written = []
+    put = scratch.Scratch.put
+    monkeypatch.setattr(scratch.Scratch, "put", lambda self, name, df: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or put(self, name, df))
+    fps = family(60, 1, 4)
+    got = simhash.linked(table(spark, fps), scratch.Scratch(spark, "t"))
+    assert "SortMergeJoin" in got.join(got.limit(3).select("fp"), "fp")._jdf.queryExecution().toString()
+    assert not any("-stars-" in name for name, _ in written)
+    assert all("strategy=merge" in plan for name, plan in written if name.startswith("roots-"))
