@@ -7,7 +7,7 @@ holds.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,18 +77,23 @@ def properties(rows: DataFrame) -> DataFrame:
     return both.groupBy("element", "pset", "key").agg(F.max_by("value", "rank").alias("value"))  # a style's value replaces an equal name
 
 
-def elements(rows: DataFrame, props: DataFrame) -> DataFrame:
-    """One row for each element with its place, module, type, properties (as maps by property set), quantities and host. props: as
-    ``properties`` gives them."""
-    of = lambda pset, key: F.max(F.when((F.col("pset") == pset) & (F.col("key") == key), F.col("value")))
+def _maps(props: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The properties of each element as maps by property set, and its quantities as a map."""
     sets = props.groupBy("element", "pset").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values"))
-    maps = sets.groupBy("element").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pset", F.col("values"))), lambda a, b: F.when(a["pset"] < b["pset"], -1).when(a["pset"] > b["pset"], 1).otherwise(0))).alias("properties"))
+    named = sets.groupBy("element").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pset", F.col("values"))), lambda a, b: F.when(a["pset"] < b["pset"], -1).when(a["pset"] > b["pset"], 1).otherwise(0))).alias("properties"))
     measured = props.filter(F.col("pset").isin(*QUANTITY_SETS) & F.lower("key").isin(*QUANTITY_KEYS)).groupBy("element", "key").agg(F.max_by("value", "pset").alias("value"))
     quantities = measured.groupBy("element").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("quantities"))
+    return named, quantities
+
+
+def elements(rows: DataFrame, props: DataFrame, maps: bool = True) -> DataFrame:
+    """One row for each element with its place, module, type, properties (as maps by property set), quantities and host. props: as
+    ``properties`` gives them. Without ``maps``, properties and quantities are left out, which need three groupings of all values."""
+    of = lambda pset, key: F.max(F.when((F.col("pset") == pset) & (F.col("key") == key), F.col("value")))
     facts = props.groupBy("element").agg(of("Identity Data", "Workset").alias("workset"), of("Other", "Host Id").alias("host_tag"), of("Constraints", "Host").alias("host"), F.count(F.lit(1)).alias("n_properties"))
     made = rows.filter(F.col("type").isin(*CATEGORIES)).select(F.col("id").alias("element"), F.col("type").alias("ifc_type"), scalar(arg(0)).alias("guid"), scalar(arg(2)).alias("name"), scalar(arg(4)).alias("object_type"), scalar(arg(7)).alias("tag"))
     category = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])[F.col("ifc_type")]
-    for more in (facts, maps, quantities):
+    for more in (facts, *(_maps(props) if maps else ())):
         made = made.join(more, "element", "left")
     place = spatial(rows).select(F.col("id").alias("element"), "storey", "building")
     named = storeys(rows).select(F.col("id").alias("storey"), F.col("name").alias("storey_name"))
@@ -97,11 +102,13 @@ def elements(rows: DataFrame, props: DataFrame) -> DataFrame:
     f = ifc_family(F.col("object_type"), F.col("name"))
     module = F.coalesce(F.nullif("workset", F.lit("")), F.lit(UNASSIGNED))
     host = lambda c: F.when(~F.coalesce(F.col(c), F.lit("")).isin("", "-"), F.col(c))
+    empty = {"properties": "map<string, map<string, string>>", "quantities": "map<string, string>"} if maps else {}
+    held = [F.coalesce(c, F.expr(f"CAST(map() AS {t})")).alias(c) for c, t in empty.items()]
     return found.select(
         F.concat(F.lit("ifc:element:"), F.col("element").cast("string")).alias("id"), "element", "guid", "tag", "ifc_type", category.alias("category"), "name", f["family"].alias("family"), f["type"].alias("type_name"), "object_type",
         F.col("storey_name").alias("storey"), F.concat(F.lit("ifc:storey:"), F.col("storey").cast("string")).alias("storey_id"), F.col("building_name").alias("building"), module.alias("module_id"),
         F.when(module == UNASSIGNED, "missing_workset").otherwise("Workset").alias("module_source"), module_kind(F.col("workset")).alias("module_kind"), F.coalesce("n_properties", F.lit(0)).alias("n_properties"),
-        F.coalesce("properties", F.expr("CAST(map() AS map<string, map<string, string>>)")).alias("properties"), F.coalesce("quantities", F.expr("CAST(map() AS map<string, string>)")).alias("quantities"), host("host_tag").alias("host_tag"), host("host").alias("host"),
+        *held, host("host_tag").alias("host_tag"), host("host").alias("host"),
     )
 
 
@@ -157,13 +164,25 @@ def edges(found: DataFrame, project: str) -> DataFrame:
     return each.filter("source IS NOT NULL AND target IS NOT NULL").distinct()
 
 
-@dataclass(frozen=True)
 class Model:
-    """The tables of one model. ``elements`` is meant to be written once before groups are made of it."""
+    """The tables of one model's instances. The instances are written once, since each table goes over them several times, and each
+    table when it is first asked for. ``maps``: as ``elements`` takes it."""
+
+    def __init__(self, rows: DataFrame, maps: bool = True):
+        self._maps, self._scratch = maps, Scratch(rows.sparkSession, "ifc")
+        self._rows = self._scratch.put("instances", rows.select("id", "type", "args"))
+
+    @cached_property
+    def properties(self) -> DataFrame:
+        return self._scratch.put("properties", properties(self._rows))
+
+    @cached_property
+    def elements(self) -> DataFrame:
+        return self._scratch.put("elements", elements(self._rows, self.properties, self._maps))
 
-    elements: DataFrame
-    properties: DataFrame
-    storeys: DataFrame
+    @cached_property
+    def storeys(self) -> DataFrame:
+        return storeys(self._rows)
 
     def summary(self) -> DataFrame:
         """One row: elements in all, of users, with and without a workset, modules, sites and other worksets."""
@@ -176,9 +195,5 @@ class Model:
         )
 
 
-def model(rows: DataFrame) -> Model:
-    """The tables of instances that were read once: they are written, since each table goes over them several times."""
-    scratch = Scratch(rows.sparkSession, "ifc")
-    kept = scratch.put("instances", rows.select("id", "type", "args"))
-    props = scratch.put("properties", properties(kept))
-    return Model(scratch.put("elements", elements(kept, props)), props, storeys(kept))
+def model(rows: DataFrame, maps: bool = True) -> Model:
+    return Model(rows, maps)

@@ -19,7 +19,7 @@ from packgraph.operators import rules as RU
 from packgraph.operators import search as H
 from packgraph.operators import steel as ST
 from packgraph.operators import suite as SU
-from packgraph.plans.registry import _EDGES, Tables, _score_sql, big, dbl, query, star_edges
+from packgraph.plans.registry import _EDGES, Tables, _score_sql, big, dbl, query, spread, star_edges
 from packgraph.plans.tools import Engine
 from packgraph.sources import packs as SP
 
@@ -58,7 +58,7 @@ def module_documents(t: Tables) -> DataFrame:
     """A document for each customer as a module, one for each segment's fasteners and one index of section weights."""
     lines = lambda *parts: F.concat_ws("\n", *parts)
     text = lambda c: F.col(c).cast("string")
-    modules = t.customer.select(
+    modules = spread(t.customer, "c_custkey").select(
         F.lit("p").alias("pack_id"), F.concat(F.lit(L.MODULES), text("c_custkey"), F.lit("-05-ST.md")).alias("path"),
         lines(F.concat(F.lit("# Module "), "c_name"), F.concat(F.lit("**요약**: "), "c_mktsegment"), F.lit("## Summary"), F.lit("| 항목 | 값 |"), F.lit("| --- | --- |"), F.concat(F.lit("| 객체 수 | "), text("c_nationkey"), F.lit(" |")), F.lit("## More"), F.concat(F.lit("assembly count: "), text("c_custkey")), F.lit("total_weight_kg: 1,250.5")).alias("body"),
     )

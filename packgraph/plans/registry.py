@@ -59,6 +59,11 @@ def dbl(c: Column) -> Column:
     return c.cast("double")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all shuffle partitions: a file of small rows is read by few tasks, too few where each row becomes texts that are parsed."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # --- filters -----------------------------------------------------------------------------------------------------------
 
 LINE = ("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")

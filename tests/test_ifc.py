@@ -83,3 +83,22 @@ def test_a_tree_of_any_depth(spark):
     kinds = tree.selectExpr("id", "parent", "CASE id WHEN '7' THEN 'low' WHEN '0' THEN 'top' END AS kind")
     got = {r["id"]: (r["low"], r["top"]) for r in graph.nearest_above(kinds, ["low", "top"]).collect()}
     assert got["9999"] == ("7", "0") and got["7"] == ("7", "0") and got["6"] == (None, "0") and got["a"] == got["x"] == (None, None)
+
+
+def test_rows_that_become_texts_are_dealt_to_many_tasks(spark, tmp_path):
+    from packgraph.plans import evidence, models
+    from packgraph.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.orders.rdd.getNumPartitions() == 1
+    for df in (models.statements(t), models.steel_objects(t), evidence.module_documents(t)):
+        assert df.rdd.getNumPartitions() >= 4  # shuffle partitions of this session
+
+
+def test_tables_of_a_model_are_made_when_they_are_asked_for(spark):
+    from packgraph.plans import models
+    from packgraph.plans.registry import Tables
+
+    made = models._model(Tables(spark, "/root/testdata/sf0.001"))
+    assert {n for n, _ in made._scratch.names.values()} == {"instances"}
+    assert made.properties.count() and "elements" not in {n for n, _ in made._scratch.names.values()}
