@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from packgraph.scratch import Scratch, shared_root
 
-__all__ = ["Scratch", "mark", "numbered", "only", "plain", "shared_root", "with_texts"]
+__all__ = ["Scratch", "binned", "mark", "numbered", "only", "plain", "shared_root", "with_texts"]
 
 #: Bins of a numbered group: each bin is one sort, so a group of n rows is numbered in pieces of about n / BINS.
 BINS = 1024
@@ -16,6 +16,11 @@ REPEATS = 1 << 16  # rows alike in all columns that one task writes
 OFFSETS = 1 << 20  # counts that are broadcast, about 30 MB; more of them are joined
 
 
+def binned(df: DataFrame, order: list[str], bins: int = BINS) -> DataFrame:
+    """df with the bin (column __bin) of each row by the hash of its order columns."""
+    return df.withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, scratch: Scratch) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... without bringing a group into one task, the same under any partitioning.
 
@@ -23,7 +28,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, scratc
     rows apart that are not alike. Bins are sorted on their own, and the counts of (group, bin) become offsets. At last the rows
     that were counted as one take numbers in a row, many of them in several tasks.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(BINS)).cast("int"))
+    counted = binned(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")), order)
     counted = scratch.put(f"counted-{out}", counted)
     before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = counted.withColumn("__at", before(Window.partitionBy(*group, "__bin").orderBy(*order)))
