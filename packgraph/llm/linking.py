@@ -120,7 +120,8 @@ def link(
             direct = mixed if last else mixed.filter("NOT crowded")
             outside = larger.drop("most", "n").join(direct.select("kind", "key", "most"), ["kind", "key"])
             outside = outside if level else outside.unionByName(placed.filter(F.col("n") <= FEW + 1).drop("n"))
-            pairs = _direct(outside.filter("root <> most"), placed.drop("most", "n"), with_payload, more, maybe, all_core)
+            # All rows of these keys and no others: those of crowded keys, which are most, take no payload along here.
+            pairs = _direct(outside.filter("root <> most"), outside.drop("most"), with_payload, more, maybe, all_core)
             crowded = mixed.filter("crowded")
             more_levels = not last and not crowded.isEmpty()
             if more_levels:

@@ -178,3 +178,14 @@ def test_tables_of_many_nodes_are_not_broadcast_and_few_links_take_one_task(spar
     assert "SortMergeJoin" in got.join(got.limit(3).select("fp"), "fp")._jdf.queryExecution().toString()
     assert not any("-stars-" in name for name, _ in written)
     assert all("strategy=merge" in plan for name, plan in written if name.startswith("roots-"))
+
+
+def test_rows_of_crowded_keys_take_no_payload_to_direct_pairs(spark, monkeypatch):
+    seen, direct = [], linking._direct
+    monkeypatch.setattr(linking, "_direct", lambda outside, placed, *rest: seen.append(placed.count()) or direct(outside, placed, *rest))
+    s, nodes = scratch.Scratch(spark, "t"), spark.range(200).select(F.col("id").alias("node"))
+    roots, payload = s.put("roots", nodes.withColumn("root", F.col("node"))), s.put("payload", nodes.withColumn("x", F.lit(1)))
+    key = lambda rows, kind, k: rows.select("node", "root", F.lit(kind).alias("kind"), k.cast("long").alias("key"))
+    wave = lambda r: key(r, 0, F.lit(7)).unionByName(key(r.filter("node < 20"), 1, F.floor(F.col("node") / 2)))
+    assert linking.link(roots, [wave], F.lit(True), s, payload).select("root").distinct().count() == 1
+    assert seen[0] == 20
