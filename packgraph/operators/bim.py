@@ -10,6 +10,7 @@ from packgraph.operators import derive as D
 from packgraph.operators import join as J
 from packgraph.operators import rules as RU
 from packgraph.operators import suite as SU
+from packgraph.operators.dealing import distinct
 
 #: Columns that name where a row comes from, in the order they are shown (fixed values).
 REFERENCE_FIELDS = ("element_id", "unique_id", "ifc_guid", "sheet_id", "sheet_number", "view_id", "view_name", "schedule_id", "schedule_name", "section", "row", "column", "page", "dxf_file_name", "entity_key", "handle", "entity_type")
@@ -138,18 +139,20 @@ def project_profile(raw: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def pack_quality(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, cap: int = 50_000) -> DataFrame:
+def pack_quality(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, cap: int = 50_000, tasks: int | None = None) -> DataFrame:
     """One row: nodes, edges, edges with an unknown end, nodes without evidence, the largest relation and whether it stands at
-    the exporter's cap."""
+    the exporter's cap. ``tasks``: that find the different edges with an unknown end."""
     ids = nodes.select("id").distinct()
-    broken = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").select("id").unionByName(edges.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").select("id")).distinct()
+    known = lambda c: ids.select(F.col("id").alias(c), F.lit(True).alias(f"__{c}"))
+    ends = edges.select("id", "source", "target").join(known("source"), "source", "left").join(known("target"), "target", "left")
+    broken = distinct(ends.filter("__source IS NULL OR __target IS NULL").select("id"), tasks)
     bare = ids.join(evidence.select(F.col("node_id").alias("id")).distinct(), "id", "left_anti")
-    largest = edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest_relation"))
+    sizes = edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_relation"))
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
     out = one(nodes, "nodes")
-    for more in (one(edges, "edges"), one(broken, "broken_edges"), one(bare, "nodes_without_evidence"), largest):
+    for more in (sizes, one(broken, "broken_edges"), one(bare, "nodes_without_evidence")):
         out = out.join(F.broadcast(more), F.lit(True))  # single rows
-    return out.withColumn("capped", F.col("largest_relation") >= cap)
+    return out.select("nodes", "edges", "broken_edges", "nodes_without_evidence", "largest_relation", (F.col("largest_relation") >= cap).alias("capped"))
 
 
 def module_kind(workset: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packgraph.functions.scalars import edge_id
+from packgraph.operators.dealing import distinct
 from packgraph.operators.numbering import numbered
 from packgraph.scratch import Scratch
 
@@ -43,11 +44,11 @@ def union_edges(explicit: DataFrame | None, inferred: Sequence[DataFrame], once:
     return out if explicit is None else explicit.select(*triple).distinct().unionByName(out.join(explicit, triple, "left_anti").select(*triple))
 
 
-def keyed_edges(df: DataFrame, source: tuple[str, str], target: tuple[str, str], relation: str, unique: bool = False) -> DataFrame:
+def keyed_edges(df: DataFrame, source: tuple[str, str], target: tuple[str, str], relation: str, unique: bool = False, tasks: int | None = None) -> DataFrame:
     """Edges between ids such as ``order:7`` that two key columns (kind, column) imply, each once. Repeats are found on the keys
-    themselves, before any id is made; ``unique``: there are none, since a key of the table is among the two."""
+    themselves, before any id is made, in so many ``tasks``; ``unique``: there are none, since a key of the table is among the two."""
     pairs = df.select(F.col(source[1]).alias("a"), F.col(target[1]).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    return edges_from(pairs if unique else pairs.distinct(), node_key(source[0], "a"), node_key(target[0], "b"), relation)
+    return edges_from(pairs if unique else distinct(pairs, tasks), node_key(source[0], "a"), node_key(target[0], "b"), relation)
 
 
 def with_ids(edges: DataFrame, pack: str) -> DataFrame:
@@ -254,21 +255,21 @@ def tree_filter(tree: DataFrame, matches: DataFrame) -> DataFrame:
     return found.join(matches.select("id").distinct().withColumn("matched", F.lit(True)), "id", "left").fillna({"matched": False})
 
 
-def merge_local(parts: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+def merge_local(parts: Sequence[tuple[DataFrame, DataFrame]], tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of several loaded graphs as one: a node of a later part does not replace one of an earlier, ends without
     a node become placeholders until a part has the real one, edges count once by source, relation and target, and a node's
-    size comes from its degree (4 to 24)."""
+    size comes from its degree (4 to 24). ``tasks``: that find the different edges."""
     nodes, edges = None, None
     for i, (n, e) in enumerate(parts):
         n = n.select("id", "label", "type", F.lit(i).alias("part"), F.lit(False).alias("placeholder"))
         nodes = n if nodes is None else nodes.unionByName(n)
         e = e.select("source", "relation", "target")
         edges = e if edges is None else edges.unionByName(e)
-    edges = edges.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct()
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    stubs = ends.select("id", F.col("id").alias("label"), F.lit("Element").alias("type"), F.lit(len(parts)).alias("part"), F.lit(True).alias("placeholder"))
+    edges = edges.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target")
+    edges = distinct(edges, tasks)
+    # Every end is a placeholder with its degree, which a node of the same id takes over.
+    stubs = degrees(edges).select("id", F.col("id").alias("label"), F.lit("Element").alias("type"), F.lit(len(parts)).alias("part"), F.lit(True).alias("placeholder"), "degree")
+    every = nodes.withColumn("degree", F.lit(0).cast("long")).unionByName(stubs).filter("id IS NOT NULL")
     best = F.min(F.struct("placeholder", "part", "label", "type")).alias("m")
-    whole = nodes.unionByName(stubs).filter("id IS NOT NULL").groupBy("id").agg(best).select("id", "m.label", "m.type", "m.placeholder")
-    degree = degrees(edges).select("id", "degree")
-    sized = whole.join(degree, "id", "left").fillna({"degree": 0})
+    sized = every.groupBy("id").agg(best, F.sum("degree").alias("degree")).select("id", "m.label", "m.type", "m.placeholder", "degree")
     return sized.withColumn("size", F.least(F.lit(24), 4 + F.col("degree"))), edges

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packgraph.operators import graph as G
 from packgraph.operators import rollup as R
+from packgraph.operators.dealing import dealt, distinct
 
 #: Profile groups in the order in which they are tried: the standard as a whole, parts of the standard, beginnings of the
 #: name, and the group's Korean names, which searches use too (fixed values).
@@ -46,26 +47,29 @@ def profile_names(group: Column) -> Column:
     return out
 
 
-def enriched_parts(parts: DataFrame, materials: DataFrame, sections: DataFrame) -> DataFrame:
-    """Parts that have a module id and type, with names of their material and section."""
+def enriched_parts(parts: DataFrame, materials: DataFrame, sections: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Parts that have a module id and type, with names of their material and section, which so many ``tasks`` look up."""
     known = parts.filter("module_id IS NOT NULL AND module_type IS NOT NULL")
     m = materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"))
     s = sections.select(F.col("id").alias("section_id"), F.col("name").alias("section_name"), profile_group(F.col("name"), F.col("standard") if "standard" in sections.columns else None).alias("profile_group"))
-    return known.join(m, "material_id", "left").join(s, "section_id", "left")
+    return dealt(known.join(m, "material_id", "left"), tasks, "section_id").join(dealt(s, tasks, "section_id"), "section_id", "left")
 
 
 def _sums() -> dict[str, Column]:
     return {"weight_kg": F.col("weight_kg").cast("decimal(28,6)"), "length_m": F.col("length_m").cast("decimal(28,6)")}
 
 
-def assemblies(parts: DataFrame) -> DataFrame:
-    """One row per assembly: counts and sums, main and attached weight, and what is attached."""
+def assemblies(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per assembly: counts and sums, main and attached weight, and what is attached. ``tasks``: that group the parts."""
     main = F.coalesce("is_main", F.lit(False))
     keys = ["module_type", "module_id", "assembly_id"]
-    attached = parts.filter(~main).groupBy(*keys, "role", "material_name", "section_name").agg(F.count(F.lit(1)).alias("n"), F.sum(_sums()["weight_kg"]).alias("kg"))
-    lists = attached.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("role", "material_name", "section_name", "n", "kg"))).alias("attached"))
-    total = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in _sums().items()], F.sum(F.when(main, _sums()["weight_kg"]).otherwise(0)).alias("main_kg"), F.sum(F.when(~main, _sums()["weight_kg"]).otherwise(0)).alias("attached_kg"))
-    return total.join(lists, keys, "left")
+    alike = dealt(parts, tasks, *keys).groupBy(*keys, main.alias("main"), "role", "material_name", "section_name").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in _sums().items()])
+    kg, item = F.col("weight_kg"), F.struct("role", "material_name", "section_name", "n", F.col("weight_kg").alias("kg"))
+    lists = F.array_sort(F.collect_list(F.when(~F.col("main"), item)))
+    sums = [F.sum(n).alias(n) for n in _sums()]
+    weights = [F.sum(F.when(m, kg).otherwise(0)).alias(n) for n, m in (("main_kg", F.col("main")), ("attached_kg", ~F.col("main")))]
+    found = alike.groupBy(*keys).agg(F.sum("n").alias("n"), *sums, *weights, lists.alias("attached"))
+    return found.withColumn("attached", F.when(F.size("attached") > 0, F.col("attached")))
 
 
 def modules(by_assembly: DataFrame) -> DataFrame:
@@ -102,13 +106,12 @@ def model_totals(parts: DataFrame) -> DataFrame:
     return parts.agg(F.count(F.lit(1)).alias("n"), F.sum(_sums()["weight_kg"]).alias("weight_kg"), F.countDistinct("module_type", "module_id").alias("modules"), *ends, *lacks.values())
 
 
-def hierarchy_edges(parts: DataFrame) -> DataFrame:
-    """module type, module, assembly, part, and the parts' materials and sections."""
-    kind = lambda k, c: G.node_key(k, c)
-    return G.union_edges(None, [
-        G.edges_from(parts, kind("module_type", "module_type"), kind("module", "module_id"), "has_module"),
-        G.edges_from(parts, kind("module", "module_id"), kind("assembly", "assembly_id"), "has_assembly"),
-        G.edges_from(parts, kind("assembly", "assembly_id"), kind("part", "id"), "has_single_part"),
-        G.edges_from(parts, kind("part", "id"), kind("material", "material_id"), "uses_material"),
-        G.edges_from(parts, kind("part", "id"), kind("section", "section_id"), "uses_section"),
-    ])
+def hierarchy_edges(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """module type, module, assembly, part, and the parts' materials and sections, each once: made in one pass over the parts, and
+    repeats are found by so many ``tasks``."""
+    made = [
+        (("module_type", "module_type"), ("module", "module_id"), "has_module"), (("module", "module_id"), ("assembly", "assembly_id"), "has_assembly"), (("assembly", "assembly_id"), ("part", "id"), "has_single_part"),
+        (("part", "id"), ("material", "material_id"), "uses_material"), (("part", "id"), ("section", "section_id"), "uses_section"),
+    ]
+    each = parts.select(F.explode(F.array(*[F.struct(G.node_key(*a).alias("source"), F.lit(r).alias("relation"), G.node_key(*b).alias("target")) for a, b, r in made])).alias("e")).select("e.*")
+    return distinct(each.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").select("source", "target", "relation"), tasks)

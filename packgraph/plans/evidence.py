@@ -19,6 +19,7 @@ from packgraph.operators import rules as RU
 from packgraph.operators import search as H
 from packgraph.operators import steel as ST
 from packgraph.operators import suite as SU
+from packgraph.operators.dealing import tasks_for
 from packgraph.plans.registry import _EDGES, Tables, _score_sql, big, dbl, query, spread, star_edges
 from packgraph.plans.tools import Engine
 from packgraph.sources import packs as SP
@@ -278,7 +279,7 @@ def _tree(t: Tables) -> DataFrame:
 query("local_merge", f"""
 WITH {_EDGES}, ends AS (SELECT source AS id FROM e UNION ALL SELECT target FROM e)
 SELECT id, coalesce('N ' || n_name, id) AS label, n_name IS NULL AS placeholder, least(24, 4 + count(*)) AS size FROM ends LEFT JOIN nation ON id = 'nation:' || n_nationkey GROUP BY ALL""")(
-    lambda t: G.merge_local([(t.nation.limit(0).select(F.lit("x").alias("id"), F.lit("x").alias("label"), F.lit("x").alias("type")), star_edges(t)), (t.nation.select(G.node_key("nation", "n_nationkey").alias("id"), F.concat(F.lit("N "), "n_name").alias("label"), F.lit("Nation").alias("type")), star_edges(t))])[0].select("id", "label", "placeholder", "size")
+    lambda t: G.merge_local([(t.nation.limit(0).select(F.lit("x").alias("id"), F.lit("x").alias("label"), F.lit("x").alias("type")), star_edges(t)), (t.nation.select(G.node_key("nation", "n_nationkey").alias("id"), F.concat(F.lit("N "), "n_name").alias("label"), F.lit("Nation").alias("type")), star_edges(t))], tasks_for(t.lineitem, 3))[0].select("id", "label", "placeholder", "size")
 )
 
 # --- tools --------------------------------------------------------------------------------------------------------------------

@@ -23,6 +23,7 @@ from packgraph.operators import profile as P
 from packgraph.operators import rollup as R
 from packgraph.operators import search as H
 from packgraph.operators import steel as ST
+from packgraph.operators.dealing import tasks_for
 from packgraph.operators.fields import Resolver
 from packgraph.operators.where import filter_rows
 from packgraph.sources import ingest
@@ -192,7 +193,7 @@ query("evidence_fallback", "SELECT n_name FROM nation")(lambda t: J.evidence_fir
 
 def star_edges(t: Tables) -> DataFrame:
     return G.union_edges(None, [
-        G.keyed_edges(t.lineitem, ("order", "l_orderkey"), ("part", "l_partkey"), "has_part"),
+        G.keyed_edges(t.lineitem, ("order", "l_orderkey"), ("part", "l_partkey"), "has_part", tasks=tasks_for(t.lineitem)),
         G.keyed_edges(t.orders, ("customer", "o_custkey"), ("order", "o_orderkey"), "has_order", unique=True),
         G.keyed_edges(t.customer, ("nation", "c_nationkey"), ("customer", "c_custkey"), "has_customer", unique=True),
         G.keyed_edges(t.supplier, ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "has_supplier", unique=True),
@@ -304,7 +305,9 @@ _MONEY = "CAST(l_extendedprice AS DECIMAL(18,2))"
 
 
 def parts_with_owners(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    n = tasks_for(t.lineitem)
+    lines, orders = t.lineitem.repartition(n, "l_orderkey"), t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).repartition(n, "o_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 _OWNED = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
@@ -341,7 +344,7 @@ SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SE
 def _quality(t: Tables) -> DataFrame:
     nodes = t.nation.select(G.node_key("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name")).unionByName(t.region.select(G.node_key("region", "r_regionkey").alias("id"), F.col("r_name").alias("name")))
     edges = star_edges(t).withColumn("id", F.concat_ws(">", "source", "relation", "target"))
-    return B.pack_quality(nodes, edges, nodes.filter("name NOT LIKE '%A%'").select(F.col("id").alias("node_id"))).drop("capped")
+    return B.pack_quality(nodes, edges, nodes.filter("name NOT LIKE '%A%'").select(F.col("id").alias("node_id")), tasks=tasks_for(t.lineitem)).drop("capped")
 
 
 # --- derivations ---------------------------------------------------------------------------------------------------------------
@@ -477,7 +480,7 @@ def steel_parts(t: Tables) -> DataFrame:
 
 
 def steel_enriched(t: Tables) -> DataFrame:
-    return ST.enriched_parts(steel_parts(t), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")))
+    return ST.enriched_parts(steel_parts(t), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")), tasks_for(t.lineitem))
 
 
 _W = "CAST(l_extendedprice AS DECIMAL(28,6))"
@@ -486,13 +489,13 @@ SELECT c_mktsegment AS module_type, c_custkey AS module_id, o_orderkey AS assemb
   CAST(sum(CASE WHEN l_linenumber = 1 THEN {_W} ELSE 0 END) AS DOUBLE) AS main_kg, CAST(sum(CASE WHEN l_linenumber <> 1 THEN {_W} ELSE 0 END) AS DOUBLE) AS attached_kg,
   count(DISTINCT CASE WHEN l_linenumber <> 1 THEN l_returnflag || '|' || l_suppkey || '|' || p_brand END) AS n_attached
 FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY ALL""")(
-    lambda t: ST.assemblies(steel_enriched(t)).select("module_type", "module_id", "assembly_id", "n", dbl(F.col("weight_kg")).alias("weight_kg"), dbl(F.col("main_kg")).alias("main_kg"), dbl(F.col("attached_kg")).alias("attached_kg"), big(F.coalesce(F.size(F.coalesce("attached", F.array())), F.lit(0))).alias("n_attached"))
+    lambda t: ST.assemblies(steel_enriched(t), tasks_for(t.lineitem)).select("module_type", "module_id", "assembly_id", "n", dbl(F.col("weight_kg")).alias("weight_kg"), dbl(F.col("main_kg")).alias("main_kg"), dbl(F.col("attached_kg")).alias("attached_kg"), big(F.coalesce(F.size(F.coalesce("attached", F.array())), F.lit(0))).alias("n_attached"))
 )
 query("steel_modules", f"SELECT c_mktsegment AS module_type, c_custkey AS module_id, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT o_orderkey) AS assemblies FROM {_OWNED} GROUP BY ALL")(
-    lambda t: ST.modules(ST.assemblies(steel_enriched(t))).select("module_type", "module_id", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "assemblies")
+    lambda t: ST.modules(ST.assemblies(steel_enriched(t), tasks_for(t.lineitem))).select("module_type", "module_id", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "assemblies")
 )
 query("steel_module_types", f"SELECT c_mktsegment AS module_type, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg, count(DISTINCT c_custkey) AS modules FROM {_OWNED} GROUP BY 1")(
-    lambda t: ST.module_types(ST.modules(ST.assemblies(steel_enriched(t)))).select("module_type", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules")
+    lambda t: ST.module_types(ST.modules(ST.assemblies(steel_enriched(t), tasks_for(t.lineitem)))).select("module_type", "n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules")
 )
 query("steel_breakdown", f"SELECT c_mktsegment AS module_type, CASE WHEN p_brand LIKE 'Q%' OR p_brand LIKE 'RHS%' OR p_brand LIKE 'SQ%' THEN 'Tube' ELSE '(blank)' END AS value, count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weight_kg FROM {_OWNED} JOIN part ON l_partkey = p_partkey GROUP BY ALL")(
     lambda t: ST.breakdown(steel_enriched(t), ["module_type"], "profile_group").select("module_type", "value", "n", dbl(F.col("weight_kg")).alias("weight_kg"))
@@ -508,5 +511,5 @@ query("steel_totals", f"SELECT count(*) AS n, CAST(sum({_W}) AS DOUBLE) AS weigh
     lambda t: ST.model_totals(steel_enriched(t)).select("n", dbl(F.col("weight_kg")).alias("weight_kg"), "modules", "min_x", "max_z", "no_material_id")
 )
 query("steel_edges", f"SELECT relation, count(*) AS n FROM (SELECT DISTINCT 'has_module' AS relation, c_mktsegment || '>' || c_custkey AS k FROM {_OWNED} UNION SELECT 'has_assembly', c_custkey || '>' || o_orderkey FROM {_OWNED} UNION SELECT 'has_single_part', o_orderkey || '>' || l_linenumber FROM {_OWNED} UNION SELECT 'uses_material', l_orderkey || '-' || l_linenumber || '>' || l_suppkey FROM lineitem UNION SELECT 'uses_section', l_orderkey || '-' || l_linenumber || '>' || l_partkey FROM lineitem) GROUP BY 1")(
-    lambda t: ST.hierarchy_edges(steel_parts(t)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    lambda t: ST.hierarchy_edges(steel_parts(t), tasks_for(t.lineitem, 5)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 )
