@@ -6,12 +6,13 @@ forward: they are ids that are joined, and those without an object are reported.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packgraph.operators import steel as ST
+from packgraph.operators.dealing import dealt, distinct, tasks_for
 from packgraph.operators.numbering import numbered
 from packgraph.operators.suite import object_id, view_id
 from packgraph.scratch import Scratch
@@ -89,13 +90,13 @@ def _totals() -> list[Column]:
     return [F.count(F.lit(1)).alias("parts"), F.count_if(main).alias("main_parts"), F.count_if(~main).alias("attached_parts"), _total("weight_kg").alias("weight_kg"), F.coalesce(_total("length_m"), F.lit(0)).alias("length_m")]
 
 
-def assemblies(parts: DataFrame) -> DataFrame:
-    """One row for each assembly: its main part (the first one, or else the first part), modules, types and sums."""
+def assemblies(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row for each assembly: its main part (the first one, or else the first part), modules, types and sums. ``tasks``: that group the parts."""
     facts = F.struct("id", "is_main", "mark", "role", "category", "name", "single_part_mark", "material_name", "section_name", F.col("weight_kg").alias("kg"))
     first = F.min_by(facts, F.struct((~F.col("is_main")).alias("rest"), "block", "at"))
     only = lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))
     sums = [F.coalesce(F.sum(F.when(F.col("is_main") == m, F.col("weight_kg").cast("decimal(28,6)"))), F.lit(0)).alias(n) for n, m in (("main_weight_kg", True), ("attached_weight_kg", False))]
-    rows = parts.groupBy("assembly_id").agg(first.alias("m"), F.array_sort(F.collect_set("module_id")).alias("module_ids"), F.array_sort(F.collect_set("module_type")).alias("module_types"), *_totals(), *sums)
+    rows = dealt(parts, tasks, "assembly_id").groupBy("assembly_id").agg(first.alias("m"), F.array_sort(F.collect_set("module_id")).alias("module_ids"), F.array_sort(F.collect_set("module_type")).alias("module_types"), *_totals(), *sums)
     main = F.when(F.col("m.is_main"), F.col("m.id"))
     return rows.select("assembly_id", F.col("m.mark").alias("assembly_mark"), F.col("m.role").alias("assembly_role"), main.alias("main_single_part_id"), F.col("m.name").alias("main_part_name"), F.col("m.section_name").alias("main_section"), only(F.col("module_ids")).alias("module_id"), "module_ids", only(F.col("module_types")).alias("module_type"), "module_types", "parts", "main_parts", "attached_parts", "weight_kg", "main_weight_kg", "attached_weight_kg", "length_m")
 
@@ -153,8 +154,8 @@ def fastener_specs(objects: DataFrame, patterns: DataFrame) -> DataFrame:
     return single.unionByName(made)
 
 
-def edges(parts: DataFrame, built: DataFrame) -> DataFrame:
-    """source, relation and target of the hierarchy and of what parts are made of, each once."""
+def edges(parts: DataFrame, built: DataFrame, tasks: int | None = None) -> DataFrame:
+    """source, relation and target of the hierarchy and of what parts are made of, each once. ``tasks``: that find repeats."""
     module, kind = object_id("module", F.col("module_id")), object_id("module_type", F.col("module_type"))
     made = [
         (kind, "has_module", module), (module, "has_assembly", F.col("assembly_id")), (F.col("assembly_id"), "has_single_part", F.col("id")), (F.col("id"), "part_of_assembly", F.col("assembly_id")),
@@ -162,40 +163,64 @@ def edges(parts: DataFrame, built: DataFrame) -> DataFrame:
     ]
     each = parts.select(F.explode(F.array(*[F.struct(a.alias("source"), F.lit(r).alias("relation"), b.alias("target")) for a, r, b in made])).alias("e")).select("e.*")
     main = built.filter("main_single_part_id IS NOT NULL").select(F.col("assembly_id").alias("source"), F.lit("has_main_part").alias("relation"), F.col("main_single_part_id").alias("target"))
-    return each.filter("source IS NOT NULL AND target IS NOT NULL").unionByName(main).distinct()
+    return distinct(each.filter("source IS NOT NULL AND target IS NOT NULL").unionByName(main), tasks)
 
 
 def _view(rows: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return rows.select(view_id(name, *[F.col(k) for k in keys]).alias("view_id"), "*")
 
 
-def views(parts: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Seven views for users: modules, assemblies, assemblies by mark, profiles and materials of modules, fasteners, and the words by which
-    profiles are searched."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit("(blank)")).alias(c)
-    marks = t["assemblies"].select(F.explode("module_ids").alias("module_id"), blank("assembly_mark"), "assembly_role", "parts", F.col("weight_kg"))
-    by_mark = marks.groupBy("module_id", "assembly_mark").agg(F.min("assembly_role").alias("assembly_role"), F.count(F.lit(1)).alias("assemblies"), F.sum("parts").alias("parts"), F.sum("weight_kg").alias("weight_kg"))
-    profiles = parts.groupBy("module_id", blank("profile_group"), blank("section_name")).agg(*_totals())
-    return {
-        "module_user_view": _view(t["modules"], "module", ["module_id"]), "assembly_user_view": _view(t["assemblies"], "assembly", ["assembly_id"]), "assembly_mark_summary_view": _view(by_mark, "assembly_mark", ["module_id", "assembly_mark"]),
-        "module_profile_summary_view": _view(profiles, "module_profile", ["module_id", "profile_group", "section_name"]), "module_material_summary_view": _view(parts.groupBy("module_id", blank("material_name")).agg(*_totals()), "module_material", ["module_id", "material_name"]),
-        "model_fastener_user_view": _view(t["fastener_specs"], "fastener", ["kind", "description", "grade", "standard"]),
-        "query_aliases": parts.filter("profile_group IS NOT NULL").select("profile_group").distinct().select("profile_group", ST.profile_names(F.col("profile_group")).alias("words")),
-    }
-
-
-def package(objects: DataFrame) -> dict[str, DataFrame]:
-    """The tables and views of a model by name. The objects' facts are written once, and everything else is made of them. Parts without a
-    module or type are counted in ``quality`` and left out of the others."""
-    scratch = Scratch(objects.sparkSession, "steel")
-    objects = scratch.put("objects", objects.select("class", "text", "block", "at"))
-    materials, sections = raw_materials(objects), raw_sections(objects)
-    every = scratch.put("parts", named_parts(raw_parts(objects), materials, sections))
-    parts = every.filter("module_id IS NOT NULL AND module_type IS NOT NULL")
-    patterns = scratch.put("patterns", fastener_patterns(objects, parts))
-    built = scratch.put("assemblies", assemblies(parts))
-    t = {
-        "materials": used(materials, parts, "material_ref", "material"), "sections": used(sections, parts, "section_ref", "section"), "single_parts": parts, "assemblies": built, "modules": modules(parts),
-        "module_types": module_types(parts), "fastener_patterns": patterns, "edges": edges(parts, built), "fastener_specs": fastener_specs(objects, patterns), "unresolved": unresolved(every, patterns), "quality": quality(every),
-    }
-    return t | views(parts, t)
+def _blank(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("(blank)")).alias(c)
+
+
+def _by_mark(built: DataFrame) -> DataFrame:
+    marks = built.select(F.explode("module_ids").alias("module_id"), _blank("assembly_mark"), "assembly_role", "parts", F.col("weight_kg"))
+    return marks.groupBy("module_id", "assembly_mark").agg(F.min("assembly_role").alias("assembly_role"), F.count(F.lit(1)).alias("assemblies"), F.sum("parts").alias("parts"), F.sum("weight_kg").alias("weight_kg"))
+
+
+#: The tables of a model, of its objects, all parts with their names (every), those with a module and type (single_parts) and one another,
+#: and its seven views for users: modules, assemblies, assemblies by mark, profiles and materials of modules, fasteners, and the words by
+#: which profiles are searched.
+TABLES: dict[str, Callable[[Package], DataFrame]] = {
+    "materials": lambda t: used(raw_materials(t.objects), t["single_parts"], "material_ref", "material"), "sections": lambda t: used(raw_sections(t.objects), t["single_parts"], "section_ref", "section"),
+    "single_parts": lambda t: t.every.filter("module_id IS NOT NULL AND module_type IS NOT NULL"), "assemblies": lambda t: t.put("assemblies", assemblies(t["single_parts"], tasks_for(t.every))),
+    "modules": lambda t: modules(t["single_parts"]), "module_types": lambda t: module_types(t["single_parts"]), "fastener_patterns": lambda t: t.put("patterns", fastener_patterns(t.objects, t["single_parts"])),
+    "edges": lambda t: edges(t["single_parts"], t["assemblies"], tasks_for(t.every, 8)), "fastener_specs": lambda t: fastener_specs(t.objects, t["fastener_patterns"]),
+    "unresolved": lambda t: unresolved(t.every, t["fastener_patterns"]), "quality": lambda t: quality(t.every),
+    "module_user_view": lambda t: _view(t["modules"], "module", ["module_id"]), "assembly_user_view": lambda t: _view(t["assemblies"], "assembly", ["assembly_id"]),
+    "assembly_mark_summary_view": lambda t: _view(_by_mark(t["assemblies"]), "assembly_mark", ["module_id", "assembly_mark"]),
+    "module_profile_summary_view": lambda t: _view(t["single_parts"].groupBy("module_id", _blank("profile_group"), _blank("section_name")).agg(*_totals()), "module_profile", ["module_id", "profile_group", "section_name"]),
+    "module_material_summary_view": lambda t: _view(t["single_parts"].groupBy("module_id", _blank("material_name")).agg(*_totals()), "module_material", ["module_id", "material_name"]),
+    "model_fastener_user_view": lambda t: _view(t["fastener_specs"], "fastener", ["kind", "description", "grade", "standard"]),
+    "query_aliases": lambda t: t["single_parts"].filter("profile_group IS NOT NULL").select("profile_group").distinct().select("profile_group", ST.profile_names(F.col("profile_group")).alias("words")),
+}
+
+
+class Package(Mapping[str, DataFrame]):
+    """The tables and views of a model by name. The objects and their parts' facts are written once; everything else is made of them when
+    it is first asked for."""
+
+    def __init__(self, objects: DataFrame):
+        self._scratch, self._made = Scratch(objects.sparkSession, "steel"), {}
+        self.objects = self.put("objects", objects.select("class", "text", "block", "at"))
+        self.every = self.put("parts", named_parts(raw_parts(self.objects), raw_materials(self.objects), raw_sections(self.objects)))
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        return self._scratch.put(name, df)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = TABLES[name](self)
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
+def package(objects: DataFrame) -> Package:
+    """The tables and views of a model. Parts without a module or type are counted in ``quality`` and left out of the others."""
+    return Package(objects)

@@ -159,3 +159,12 @@ def test_fasteners_and_views_are_those_of_plain_python(model):
     assert len(views) == 7 and all(t[v].count() for v in views)
     assert sum(r["parts"] for r in t["module_profile_summary_view"].collect()) == len(module) == sum(r["parts"] for r in t["module_material_summary_view"].collect())
     assert {r["profile_group"] for r in t["query_aliases"].collect()} >= {"Tube", "Channel"}
+
+
+def test_a_table_that_is_not_asked_for_is_not_made(spark, model, monkeypatch):
+    written, put = [], steel_package.Scratch.put
+    monkeypatch.setattr(steel_package.Scratch, "put", lambda self, name, df: written.append(name) or put(self, name, df))
+    t = steel_package.package(steel_xml.objects(spark, model[0]))
+    t["module_types"].collect()
+    assert [n for n in written if n != "pieces"] == ["objects", "parts"]
+    assert t["edges"].count() == model[2]["edges"].count() and written.count("assemblies") == 1 and "patterns" not in written
