@@ -10,6 +10,9 @@ cluster that is known already is held against nothing again. What is still crowd
 of nodes that are mostly not linked: its rows are dealt to finer keys (``refine``), of which each linked pair still shares
 one, until no key is crowded. Finer keys may tell core rows from others, so that only pairs with a core row meet. Nothing is
 capped or left out: a key that can't be refined further is joined directly.
+
+Most keys that are shared have two or three rows. Their counts alone tell these rows, so no join looks them up in the index, and
+the few larger keys are sent to it instead of shuffling it again.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from packgraph.llm.scratch import Scratch
 FEW, CROWD = 8, 256  # rows outside the main root that are joined directly, before and after a key's leaders were tried
 LEADERS, TURNS = 4, 2
 LEVELS = 8  # of finer keys
+FEW_KEYS = 1 << 16  # larger keys that are sent to the index, some 3 MB; more of them are joined
 MANY = 1 << 18  # nodes of which no table is broadcast: ids take so little room in files that the planner would send millions
 
 Wave = Callable[[DataFrame], DataFrame]
@@ -36,6 +40,26 @@ def joined(roots: DataFrame, step: DataFrame) -> DataFrame:
     return found.select("node", F.coalesce("next", "root").alias("root"))
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """Keys of more than one root: most (one of their roots), n and, if they have two or three rows, these rows' node and root."""
+    at = lambda f, x: F.struct(f("node").alias("node"), x.alias("root"))
+    third = lambda c, lo, hi: F.bit_xor(c).bitwiseXOR(lo).bitwiseXOR(hi)
+    lo, hi = (F.min("node"), F.min_by("root", "node")), (F.max("node"), F.max_by("root", "node"))
+    ends = [at(F.min, lo[1]), at(F.max, hi[1])]
+    n, between = F.count(F.lit(1)), F.struct(third("node", lo[0], hi[0]).alias("node"), third("root", lo[1], hi[1]).alias("root"))
+    known = F.when(n == 2, F.array(*ends)).when(n == 3, F.array(*ends, between))
+    keys = index.groupBy("kind", "key").agg(F.min("root").alias("most"), F.max("root").alias("hi"), n.alias("n"), known.alias("known"))
+    return keys.filter("most <> hi").drop("hi")
+
+
+def _placed(index: DataFrame, shared: DataFrame) -> DataFrame:
+    """The index rows (node, root, kind, key) of shared keys, with most and n."""
+    known = shared.filter("known IS NOT NULL").select(F.explode("known").alias("at"), "kind", "key", "most", "n").select("at.node", "at.root", "kind", "key", "most", "n")
+    more = shared.filter("known IS NULL").drop("known")
+    keys = more.limit(FEW_KEYS + 1).count()
+    return known.unionByName(index.join(F.broadcast(more) if keys <= FEW_KEYS else more.hint("merge"), ["kind", "key"])) if keys else known
+
+
 def _mixed(placed: DataFrame, few: int) -> DataFrame:
     """Keys (kind, key) of placed rows that hold more than one root and a core row, with most (the root of most of their rows)
     and crowded (more than ``few`` rows have another root, or would meet core rows that do)."""
@@ -101,11 +125,11 @@ def link(
     settled: DataFrame | None = None
     for w, wave in enumerate(waves):
         index = wave(whole(roots))
-        shared = index.groupBy("kind", "key").agg(F.min("root").alias("most"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("most <> hi").drop("hi").hint("merge")
-        rows, all_core = index.join(shared, ["kind", "key"]), settled is None
+        rows, all_core = _placed(index, scratch.put(f"shared-{w}", _shared(index))), settled is None
         if settled is not None:
             rows = rows.join(whole(settled.withColumn("settled", F.lit(True))), "node", "left").withColumn("core", F.col("settled").isNull()).drop("settled")
         placed, level = scratch.put(f"placed-{w}-0", all_of(rows)), 0
+        scratch.drop(f"shared-{w}")
         if prepare is not None:
             prepare(placed, str(w))
         while True:
@@ -117,15 +141,15 @@ def link(
             if mixed.isEmpty() and (level or placed.isEmpty()):
                 scratch.drop(f"placed-{name}", f"mixed-{name}")
                 break
-            direct = mixed if last else mixed.filter("NOT crowded")
-            outside = larger.drop("most", "n").join(direct.select("kind", "key", "most"), ["kind", "key"])
+            # Written, since direct pairs take these rows on both sides and crowds once more.
+            held = scratch.put(f"held-{name}", larger.drop("most", "n").join(mixed, ["kind", "key"]))
+            outside = (held if last else held.filter("NOT crowded")).drop("crowded")
             outside = outside if level else outside.unionByName(placed.filter(F.col("n") <= FEW + 1).drop("n"))
             # All rows of these keys and no others: those of crowded keys, which are most, take no payload along here.
             pairs = _direct(outside.filter("root <> most"), outside.drop("most"), with_payload, more, maybe, all_core)
-            crowded = mixed.filter("crowded")
-            more_levels = not last and not crowded.isEmpty()
+            more_levels = not last and not mixed.filter("crowded").isEmpty()
             if more_levels:
-                crowd = scratch.put(f"crowd-{name}", larger.drop("most", "n").join(crowded.select("kind", "key", "most"), ["kind", "key"]))
+                crowd = held.filter("crowded").drop("crowded")
                 pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level, leaders))
             links = check(pairs, name) if check else pairs
             step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}", few_links)
@@ -135,6 +159,7 @@ def link(
             scratch.drop_all(f"step-{name}-")
             scratch.drop(f"links-{name}", f"placed-{name}", f"mixed-{name}")
             if not more_levels:
+                scratch.drop(f"held-{name}")
                 break
             level += 1
             rows = crowd.select("node", "kind", "key", "core")
@@ -146,5 +171,5 @@ def link(
                 all_core = "core" not in rows.columns
                 rows = all_of(rows)
             placed = scratch.put(f"placed-{w}-{level}", rows.join(whole(roots), "node"))
-            scratch.drop(f"crowd-{name}")
+            scratch.drop(f"held-{name}")
     return whole(roots)

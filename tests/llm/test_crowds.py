@@ -189,3 +189,24 @@ def test_rows_of_crowded_keys_take_no_payload_to_direct_pairs(spark, monkeypatch
     wave = lambda r: key(r, 0, F.lit(7)).unionByName(key(r.filter("node < 20"), 1, F.floor(F.col("node") / 2)))
     assert linking.link(roots, [wave], F.lit(True), s, payload).select("root").distinct().count() == 1
     assert seen[0] == 20
+
+
+def test_rows_of_small_keys_come_from_their_counts(spark, monkeypatch):
+    """Keys of two and three rows are told by their counts, so the index is joined only for larger ones, and only if there are any."""
+    r = random.Random(4)
+    rows = [(node, r.randrange(3), kind, key) for kind in range(3) for key in range(200) for node in r.sample(range(-500, 500), r.randint(1, 3))]
+    index = spark.createDataFrame(rows, "node long, root long, kind int, key long")
+    s = scratch.Scratch(spark, "t")
+    many = {}
+    for row in rows:
+        many.setdefault(row[2:], []).append(row)
+    want = sorted(x for group in many.values() if len({g[1] for g in group}) > 1 for x in group)
+    placed = linking._placed(index, s.put("shared", linking._shared(index)))
+    assert sorted(tuple(q)[:4] for q in placed.select("node", "root", "kind", "key").collect()) == want and "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    crowd = [(i, i % 2, 9, 9) for i in range(40)]
+    both = index.unionByName(spark.createDataFrame(crowd, index.schema))
+    for few in (0, 10):
+        monkeypatch.setattr(linking, "FEW_KEYS", few)
+        placed = linking._placed(both, s.put(f"shared-{few}", linking._shared(both)))
+        got = placed.collect()
+        assert sorted(tuple(q[c] for c in ("node", "root", "kind", "key")) for q in got) == sorted(want + crowd) and {q["n"] for q in got} == {2, 3, 40}
