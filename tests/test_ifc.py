@@ -102,3 +102,20 @@ def test_tables_of_a_model_are_made_when_they_are_asked_for(spark):
     made = models._model(Tables(spark, "/root/testdata/sf0.001"))
     assert {n for n, _ in made._scratch.names.values()} == {"instances"}
     assert made.properties.count() and "elements" not in {n for n, _ in made._scratch.names.values()}
+
+
+def test_usual_statements_are_looked_at_once_and_odd_ones_read_alike(spark):
+    usual = "#7=IFCWALL('it''s',$,(#1,#2),IFCTEXT('a b'))"
+    odd = ["  #7 = IFCWALL ('it''s',$,(#1,#2),IFCTEXT('a b')) ", "#7\n=IFCWALL( 'it''s' ,$ , (#1,#2),\r\nIFCTEXT('a b'))"]
+    df = spark.createDataFrame([(x,) for x in [usual, *odd, "ENDSEC", "#8=", "#9=IFCWALL(", None]], "text string")
+    rows = step.parsed(df)
+    assert {(r["id"], r["type"], tuple(r["args"]), tuple(r["refs"])) for r in rows.collect()} == {(7, "IFCWALL", ("'it''s'", "$", "(#1,#2)", "IFCTEXT('a b')"), (1, 2))} and rows.count() == 3
+    # A filter by a match would be evaluated apart from the columns, and references went through a function for each.
+    plan = rows.select("id", "refs")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and "lambda" not in plan
+
+
+def test_values_of_all_forms(spark):
+    forms = {"'a'": "a", "''": "", "'it''s'": "it's", "$": None, "*": None, ".T.": "true", ".F.": "false", "1.5": "1.5", "IFCTEXT('a (b)')": "a (b)", "IFCTEXT('')": "", "IFCTEXT('it''s')": "it's", "IFCX(IFCY('q'))": "q", "IFCX($)": None, "IFCX(.T.)": "true", "IFCX(2.)": "2.", "'\\X2\\AC15\\X0\\!'": "강!", "IFCTEXT('\\X2\\AC15\\X0\\')": "강"}
+    df = spark.createDataFrame([(x,) for x in forms], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", step.scalar(df["t"]).alias("v")).collect()} == forms
