@@ -6,7 +6,7 @@ the first, small wave and is one root afterwards.
 
 Within a wave, a key whose rows outside its main root are few is joined directly. Of a crowded key the rows outside the main root
 are first held against a few of its own nodes, twice, which joins clusters with as many rows as they have members; a
-cluster that is known already is held against nothing again. What is still crowded then is a crowd
+cluster that is known already is held against nothing again. Only rows outside the main root are joined with their key and written. What is still crowded then is a crowd
 of nodes that are mostly not linked: its rows are dealt to finer keys (``refine``), of which each linked pair still shares
 one, until no key is crowded. Finer keys may tell core rows from others, so that only pairs with a core row meet. Nothing is
 capped or left out: a key that can't be refined further is joined directly.
@@ -60,14 +60,22 @@ def _placed(index: DataFrame, shared: DataFrame) -> DataFrame:
     return known.unionByName(index.join(F.broadcast(more) if keys <= FEW_KEYS else more.hint("merge"), ["kind", "key"])) if keys else known
 
 
-def _mixed(placed: DataFrame, few: int) -> DataFrame:
-    """Keys (kind, key) of placed rows that hold more than one root and a core row, with most (the root of most of their rows)
-    and crowded (more than ``few`` rows have another root, or would meet core rows that do)."""
-    sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores"))
-    mixed = sizes.groupBy("kind", "key").agg(F.max(F.struct("n", "root", "cores")).alias("most"), F.sum("n").alias("n"), F.sum("cores").alias("cores"), F.count(F.lit(1)).alias("roots"))
+def _draw(salt: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(salt), "node").alias("draw"), "node", "root")
+
+
+def _mixed(placed: DataFrame, few: int, salt: int, n: int) -> DataFrame:
+    """Keys (kind, key) of placed rows that hold more than one root and a core row, with most (the root of most of their rows),
+    crowded (more than ``few`` rows have another root, or would meet core rows that do) and n leaders (node and root), drawn at
+    random, one of them from that root."""
+    drawn = [F.min(_draw(salt + i)).alias(f"d{i}") for i in [*range(n - 1), n]]
+    sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores"), *drawn)
+    most = F.max(F.struct("n", "root", "cores", F.col(f"d{n}").alias("own"))).alias("most")
+    mixed = sizes.groupBy("kind", "key").agg(most, F.sum("n").alias("n"), F.sum("cores").alias("cores"), F.count(F.lit(1)).alias("roots"), *[F.min(f"d{i}").alias(f"d{i}") for i in range(n - 1)])
     out, out_core = F.col("n") - F.col("most.n"), F.col("cores") - F.col("most.cores")
     crowded = (out_core > few) | (F.least(out - out_core, F.col("cores")) > few)
-    return mixed.filter("roots > 1 AND cores > 0").select("kind", "key", F.col("most.root").alias("most"), crowded.alias("crowded"))
+    leaders = F.array(*[F.col(d) for d in [*[f"d{i}" for i in range(n - 1)], "most.own"]])
+    return mixed.filter("roots > 1 AND cores > 0").select("kind", "key", F.col("most.root").alias("most"), crowded.alias("crowded"), F.when(crowded, leaders).alias("leaders"))
 
 
 def _direct(outside: DataFrame, placed: DataFrame, with_payload, more: list[str], maybe: Column, all_core: bool) -> DataFrame:
@@ -82,14 +90,19 @@ def _direct(outside: DataFrame, placed: DataFrame, with_payload, more: list[str]
     return pairs.filter(once & maybe).select("node_a", "node_b", "root_a", "root_b")
 
 
-def _star(crowd: DataFrame, more: list[str], maybe: Column, salt: int, n: int) -> DataFrame:
-    """Pairs of a crowded key's core rows outside the main root and its n leaders, drawn at random, one of them from that root."""
-    draw = lambda i: F.struct(F.xxhash64(F.lit(salt + i), "node").alias("draw"), "node", "root", *more)
-    drawn = [F.min(draw(i)) for i in range(n - 1)] + [F.min(F.when(F.col("root") == F.col("most"), draw(n)))]
-    leaders = crowd.groupBy("kind", "key").agg(F.array(*drawn).alias("leaders"))
-    met = crowd.filter("core AND root <> most").join(leaders, ["kind", "key"]).select(*[F.col(c).alias(f"{c}_a") for c in ("node", "root", *more)], F.explode("leaders").alias("l"))
-    pairs = met.select(*[f"{c}_a" for c in ("node", "root", *more)], *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "root", *more)])
-    return pairs.filter((F.col("root_a") != F.col("root_b")) & maybe).select("node_a", "node_b", "root_a", "root_b")
+def _star(crowd: DataFrame, payload: DataFrame | list, maybe: Column, salt: int, n: int) -> DataFrame:
+    """Pairs of a crowded key's core rows outside the main root and its n leaders, which come with the rows (``_mixed``) or else are
+    drawn from them. payload: what ``maybe`` takes of each node, or nothing."""
+    if "leaders" not in crowd.columns:
+        drawn = [F.min(_draw(salt + i)) for i in range(n - 1)] + [F.min(F.when(F.col("root") == F.col("most"), _draw(salt + n)))]
+        crowd = crowd.join(crowd.groupBy("kind", "key").agg(F.array(*drawn).alias("leaders")), ["kind", "key"])
+    met = crowd.filter("core AND root <> most").select(F.col("node").alias("node_a"), F.col("root").alias("root_a"), F.explode("leaders").alias("l"))
+    pairs = met.select("node_a", F.col("l.node").alias("node_b"), "root_a", F.col("l.root").alias("root_b")).filter("root_a <> root_b")
+    if isinstance(payload, DataFrame):
+        pairs = pairs.distinct()  # many keys have the same leaders
+        for x in "ab":
+            pairs = pairs.join(payload.toDF(*[f"{c}_{x}" for c in payload.columns]), f"node_{x}")
+    return pairs.filter(maybe).select("node_a", "node_b", "root_a", "root_b")
 
 
 def link(
@@ -137,31 +150,34 @@ def link(
             last = level >= TURNS and (refine is None or level - TURNS >= levels)
             # A key of few rows has few outside any root, so only larger ones are looked at for the main one.
             larger = placed if level else placed.filter(F.col("n") > FEW + 1)
-            mixed = scratch.put(f"mixed-{name}", _mixed(larger, FEW if level < TURNS else CROWD))
+            mixed = scratch.put(f"mixed-{name}", _mixed(larger, FEW if level < TURNS else CROWD, 100 * level, leaders))
             if mixed.isEmpty() and (level or placed.isEmpty()):
                 scratch.drop(f"placed-{name}", f"mixed-{name}")
                 break
-            # Written, since direct pairs take these rows on both sides and crowds once more.
-            held = scratch.put(f"held-{name}", larger.drop("most", "n").join(mixed, ["kind", "key"]))
-            outside = (held if last else held.filter("NOT crowded")).drop("crowded")
-            outside = outside if level else outside.unionByName(placed.filter(F.col("n") <= FEW + 1).drop("n"))
-            # All rows of these keys and no others: those of crowded keys, which are most, take no payload along here.
-            pairs = _direct(outside.filter("root <> most"), outside.drop("most"), with_payload, more, maybe, all_core)
-            more_levels = not last and not mixed.filter("crowded").isEmpty()
+            # Most rows have their key's main root; they are not written again, and of crowded keys they take no payload along.
+            outside = scratch.put(f"outside-{name}", larger.drop("most", "n").join(mixed, ["kind", "key"]).filter("root <> most"))
+            own, crowd_keys = (outside if last else outside.filter("NOT crowded")).drop("crowded", "leaders"), mixed.filter("crowded")
+            met = larger.join(mixed if last else mixed.filter("NOT crowded"), ["kind", "key"], "left_semi") if more else placed
+            if not level:
+                small = placed.filter(F.col("n") <= FEW + 1)
+                own = own.unionByName(small.filter("root <> most").drop("n"))
+                met = met.unionByName(small) if more else met
+            pairs = _direct(own, met.drop("most", "n"), with_payload, more, maybe, all_core)
+            more_levels = not last and not crowd_keys.isEmpty()
             if more_levels:
-                crowd = held.filter("crowded").drop("crowded")
-                pairs = pairs.unionByName(_star(with_payload(crowd), more, maybe, 100 * level, leaders))
+                pairs = pairs.unionByName(_star(outside.filter("crowded"), payload if more else [], maybe, 100 * level, leaders))
             links = check(pairs, name) if check else pairs
             step = None if links is None else components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), scratch, f"step-{name}", few_links)
             if step is not None:
                 before, roots = roots, scratch.put(f"roots-{name}", joined(roots, whole(step)))
                 scratch.forget(before)
             scratch.drop_all(f"step-{name}-")
-            scratch.drop(f"links-{name}", f"placed-{name}", f"mixed-{name}")
+            scratch.drop(f"links-{name}", f"outside-{name}")
             if not more_levels:
-                scratch.drop(f"held-{name}")
+                scratch.drop(f"placed-{name}", f"mixed-{name}")
                 break
             level += 1
+            crowd = larger.select("node", "kind", "key", "core").join(crowd_keys, ["kind", "key"], "left_semi")
             rows = crowd.select("node", "kind", "key", "core")
             if refine is not None and level > TURNS:
                 if settles and level == TURNS + 1:
@@ -171,5 +187,5 @@ def link(
                 all_core = "core" not in rows.columns
                 rows = all_of(rows)
             placed = scratch.put(f"placed-{w}-{level}", rows.join(whole(roots), "node"))
-            scratch.drop(f"held-{name}")
+            scratch.drop(f"placed-{name}", f"mixed-{name}")
     return whole(roots)

@@ -210,3 +210,17 @@ def test_rows_of_small_keys_come_from_their_counts(spark, monkeypatch):
         placed = linking._placed(both, s.put(f"shared-{few}", linking._shared(both)))
         got = placed.collect()
         assert sorted(tuple(q[c] for c in ("node", "root", "kind", "key")) for q in got) == sorted(want + crowd) and {q["n"] for q in got} == {2, 3, 40}
+
+
+def test_rows_of_a_known_cluster_are_not_written_again(spark, monkeypatch):
+    """Keys that a cluster of 300 shares with few others: only the others are joined with their keys, under as many as there are."""
+    written, put = {}, scratch.Scratch.put
+    monkeypatch.setattr(scratch.Scratch, "put", lambda self, name, df: written.setdefault(name, put(self, name, df)))
+    seen, drop = {}, scratch.Scratch.drop
+    monkeypatch.setattr(scratch.Scratch, "drop", lambda self, *names: seen.update({n: written[n].count() for n in names if n in written and n not in seen}) or drop(self, *names))
+    s = scratch.Scratch(spark, "t")
+    roots = put(s, "roots", spark.range(310).select(F.col("id").alias("node"), F.greatest("id", F.lit(299)).alias("root")))
+    wave = lambda r: r.select("node", "root", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("kind"), F.lit(7).cast("long").alias("key"))
+    linked = linking.link(roots, [wave], F.abs(F.col("node_a") - F.col("node_b")) == 1, s)
+    assert linked.select("root").distinct().count() == 1
+    assert sum(n for name, n in seen.items() if name.split("-")[0] in ("outside", "held")) <= 5 * 10 * (linking.TURNS + 1)
