@@ -28,7 +28,7 @@ def word_pieces(data: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
 class WordIds(dict):
     """Integers for words, exact as long as the object is not emptied, and a 64-bit hash of each that is the same everywhere."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 15):
         super().__init__()
         self.most, self._hashes = most, array("Q")
 

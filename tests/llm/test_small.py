@@ -558,3 +558,12 @@ def test_urls_as_of_their_fetch(spark):
     assert url_filter.url_filter(df, entries).count() == len(seen)
     assert url_filter.url_filter(df, entries.limit(0)).filter("blocked").count() == 0
     assert url_filter.url_filter(df.limit(0), entries).count() == 0
+
+
+def test_a_task_holds_few_words_at_once():
+    from packgraph.llm.words import WordIds
+
+    ids = WordIds()
+    for i in range(100):
+        at = ids.of(b" ".join(b"w%d" % j for j in range(2000 * i, 2000 * i + 2000)))
+        assert len(set(at.tolist())) == 2000 and len(ids) <= (1 << 15) + 2000
